@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rastertable.llm import simhash_dedup, token_files
+from rastertable.llm import language_id, simhash_dedup, token_files
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,13 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(blocks)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(~language_id.is_held_out()))
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language_id.is_held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "fingerprint", "component_id")
@@ -23,6 +30,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op5_language_id": op5_language_id,
     "op8_simhash": op8_simhash,
 }
 
