@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rastertable.llm import decontaminate, language_id, simhash_dedup, token_files
+from rastertable.llm import decontaminate, language_id, mixing, simhash_dedup, token_files
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(blocks)
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.taken(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = language_id.fit(docs.where(~language_id.is_held_out()))
@@ -34,6 +39,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op4_mixing": op4_mixing,
     "op5_language_id": op5_language_id,
     "op8_simhash": op8_simhash,
     "op10_decontaminate": op10_decontaminate,
