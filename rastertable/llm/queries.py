@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rastertable.llm import decontaminate, language_id, mixing, simhash_dedup, token_files
+from rastertable.llm import decontaminate, language_id, mixing, sharding, simhash_dedup, token_files
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +17,14 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(blocks)
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    files, _ = sharding.write_shards(docs, 24)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
+    crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long")
+    return files.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.taken(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -39,6 +48,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
     "op5_language_id": op5_language_id,
     "op8_simhash": op8_simhash,
