@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastertable.llm import decontaminate, language_id, license_scan, mixing, sharding, simhash_dedup, token_files
+from rastertable.llm import ann, decontaminate, language_id, license_scan, mixing, sharding, simhash_dedup, token_files
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "fingerprint", "component_id")
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return ann.search(table, table.where(F.col("vec_id") % 100 == 0))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_language_id": op5_language_id,
     "op8_simhash": op8_simhash,
+    "op9_ann": op9_ann,
     "op10_decontaminate": op10_decontaminate,
 }
 
