@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rastertable.llm.components import components
@@ -71,12 +71,18 @@ def fingerprint(data: bytes, words: int = WORDS) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         found = np.array([fingerprint(x) for x in as_bytes(batch.column("text"))], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(found)], names=["doc_id", "row_key", "fp"])
+
+
+def row_key() -> Column:
+    """A row's key: a hash of doc_id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each whole text, as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, row_key, fp): the fingerprint of each whole text, as a signed long."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text")
+    return rows.mapInArrow(_fingerprints, "doc_id long, row_key long, fp long")
 
 
 def pivot_tables(pivots: int = PIVOTS, seed: int = 7) -> list[np.ndarray]:
@@ -186,13 +192,13 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, fingerprint, component_id) for each row of ``docs``."""
+    """(doc_id, row_key, fingerprint, component_id, root) for each row of ``docs``; root is the least fingerprint of a component."""
     prints = written(fingerprints(docs), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(nodes), "a", "b")
     linked = roots.join(nodes.withColumnRenamed("fp", "node"), "node")
     least = linked.groupBy("root").agg(F.min("least").alias("low"))
-    moved = linked.join(least, "root").select(F.col("node").alias("fp"), "low")
-    named = nodes.join(moved, "fp", "left").select("fp", F.coalesce("low", "least").alias("component_id"))
+    moved = linked.join(least, "root").select(F.col("node").alias("fp"), "low", "root")
+    named = nodes.join(moved, "fp", "left").select("fp", F.coalesce("low", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
     out = prints.join(named, "fp")
-    return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", "row_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
