@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastertable.llm import ann, decontaminate, language_id, license_scan, mixing, sharding, simhash_dedup, token_counts, token_files
+from rastertable.llm import ann, chat, decontaminate, language_id, license_scan, mixing, sharding, simhash_dedup, token_counts, token_files
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "fingerprint", "component_id")
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_language_id": op5_language_id,
     "op6_token_counts": op6_token_counts,
+    "op7_chat": op7_chat,
     "op8_simhash": op8_simhash,
     "op9_ann": op9_ann,
     "op10_decontaminate": op10_decontaminate,
