@@ -1 +1 @@
-
+"""Pipelines built from the operators, and the registered queries."""

@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from rastertable.plans import catalog_pixels, catalog_reports, catalog_tiles
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = catalog_pixels.QUERIES | catalog_tiles.QUERIES | catalog_reports.QUERIES
+ORACLE_SQL: dict[str, str] = catalog_pixels.SQL | catalog_tiles.SQL | catalog_reports.SQL

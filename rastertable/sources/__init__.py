@@ -1 +1 @@
-
+"""Readers, writers and the tile registry."""
