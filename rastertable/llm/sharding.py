@@ -14,6 +14,8 @@ those named slot, shard, virtual_slot, size or part are replaced.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right, insort
+from math import inf
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -63,32 +65,41 @@ def latest(slot_map: DataFrame) -> DataFrame:
 
 
 def rebalanced(slot_map: DataFrame, shards: int, loads: DataFrame | None = None, slack: float = 0.01) -> DataFrame:
-    """A next version for ``shards`` shards: slots leave removed and overfull shards, one by one, for the lightest shard.
+    """A next version of the map for ``shards`` shards; returns all versions.
 
-    ``loads`` gives newer rows and bytes; a slot stays where it is unless its shard is above the mean by more than ``slack``.
-    Returns all versions, the new one last.
+    The slots of removed shards go to the lightest shards, the largest first. Then slots move, one by one, from the heaviest
+    shard that can give one to the lightest, until two shards differ by less than ``slack`` of the mean or no move narrows their
+    gap; all other slots stay. ``loads`` gives newer rows and bytes.
     """
     rows = latest(slot_map).collect()  # one for each virtual slot
     newer = {r.virtual_slot: (r.n_rows, r.n_bytes) for r in loads.collect()} if loads is not None else None
     size = {r.virtual_slot: (newer.get(r.virtual_slot, (0, 0)) if newer is not None else (r.n_rows, r.n_bytes)) for r in rows}
-    owner = {r.virtual_slot: r.shard for r in rows}
-    held = [0] * shards
-    for v, s in owner.items():
-        if s < shards:
-            held[s] += size[v][1]
-    limit = sum(n for _, n in size.values()) / shards * (1 + slack)
-    free = [v for v, s in owner.items() if s >= shards]
-    for v in sorted(owner, key=lambda v: (size[v][1], v)):
-        s = owner[v]
-        if s < shards and held[s] - size[v][1] >= limit / (1 + slack) and size[v][1]:
-            held[s] -= size[v][1]
-            free.append(v)
-    heap = [(n, s) for s, n in enumerate(held)]
-    heapq.heapify(heap)
-    for v in sorted(free, key=lambda v: (-size[v][1], v)):
-        n, s = heapq.heappop(heap)
-        owner[v] = s
-        heapq.heappush(heap, (n + size[v][1], s))
+    owned: list[list[tuple[int, int]]] = [[] for _ in range(shards)]
+    for r in rows:
+        if r.shard < shards:
+            insort(owned[r.shard], (size[r.virtual_slot][1], r.virtual_slot))
+    held = [sum(n for n, _ in x) for x in owned]
+    for v in sorted((r.virtual_slot for r in rows if r.shard >= shards), key=lambda v: (-size[v][1], v)):
+        s = min(range(shards), key=lambda s: (held[s], s))
+        insort(owned[s], (size[v][1], v))
+        held[s] += size[v][1]
+    least = slack * sum(held) / shards
+    while True:
+        to = min(range(shards), key=lambda s: (held[s], s))
+        moved = False
+        for s in sorted(range(shards), key=lambda s: (-held[s], s)):
+            gap = held[s] - held[to]
+            if gap <= least:
+                break
+            k = bisect_right(owned[s], (gap // 2, inf)) - 1  # the largest slot of at most half the gap
+            if k >= 0 and owned[s][k][0]:
+                n, v = owned[s].pop(k)
+                insort(owned[to], (n, v))
+                held[s], held[to], moved = held[s] - n, held[to] + n, True
+                break
+        if not moved:
+            break
+    owner = {v: s for s, x in enumerate(owned) for _, v in x}
     version = rows[0].version + 1 if rows else 1
     return slot_map.unionByName(_table(slot_map.sparkSession, [(version, v, owner[v], *size[v]) for v in sorted(owner)]))
 
