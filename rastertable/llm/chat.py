@@ -43,7 +43,7 @@ def unquoted(text: Column) -> Column:
     lines = F.split(text, "\n", -1)
     quoted = lambda line: line.rlike(_MARKS)
     kept = F.filter(lines, lambda line, i: ~quoted(line) & ~(line.rlike(r"wrote:\s*$") & quoted(F.coalesce(F.try_element_at(lines, i + 2), F.lit("")))))
-    return F.trim(F.array_join(kept, "\n"))
+    return F.btrim(F.array_join(kept, "\n"), F.lit(" \t\r\n"))
 
 
 def messages(table: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rastertable.llm import ann, chat, decontaminate, language_id, license_scan, mixing, sharding, simhash_dedup, token_counts, token_files
+from rastertable.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,5 +76,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ann": op9_ann,
     "op10_decontaminate": op10_decontaminate,
 }
-
-ORACLE_SQL: dict[str, str] = {}
