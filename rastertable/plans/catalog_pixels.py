@@ -234,12 +234,12 @@ def gain_layer(spark: SparkSession, d: str) -> DataFrame:
     return _gain(spark, d).select("gx", "gy", F.col("gain").cast("long"), F.col("validated").cast("long"))
 
 
-def _steps(spark: SparkSession, d: str, year: int, prefix: str) -> DataFrame:
+def _steps(spark: SparkSession, d: str, steps: dict[int, str]) -> DataFrame:
     px = view(spark, d, "px")
     optical = px.select("gx", "gy", "y", "cloudy_pct", F.col("b2").alias("B2"), F.col("b4").alias("B4"), F.col("b8").alias("B8"), *[F.col("b4").alias(b) for b in ("B3", "B5", "B6", "B7")]).where("cloudy_pct < 60")
     radar = px.where("sensor = 'A'").select("gx", "gy", "y", F.col("b8").alias("VV"), F.col("b4").alias("VH"))
     land = px.select("gx", "gy", "y", (F.col("cov") / 100.0).alias("trees"), (F.col("scl") / 7.0).alias("crops"), (F.col("b2") / 10.0).alias("built"))
-    return labels.timestep_stack(optical, radar, land, year, prefix, px.select("gx", "gy").distinct(), cloudy=60.0)
+    return labels.timestep_stacks(optical, radar, land, steps, px.select("gx", "gy").distinct(), cloudy=60.0)
 
 
 def _steps_sql(name: str, year: int) -> str:
@@ -252,7 +252,7 @@ def _steps_sql(name: str, year: int) -> str:
 
 @query(_steps_sql("T0", 1997) + " SELECT gx, gy, " + ", ".join(f"round(T0_{b}, 6) AS T0_{b}" for b in labels.STEP_BANDS if b != "VVVH") + ", round(CASE WHEN T0_VH <> 0 THEN T0_VV/T0_VH END, 6) AS T0_VVVH FROM T0", "px")
 def timestep_stack(spark: SparkSession, d: str) -> DataFrame:
-    out = _steps(spark, d, 1997, "T0_")
+    out = _steps(spark, d, {1997: "T0_"})
     return out.select("gx", "gy", *[r6(c) for c in out.columns if c not in ("gx", "gy")])
 
 
@@ -282,23 +282,23 @@ def _labels(spark: SparkSession, d: str) -> DataFrame:
     return labels.pseudo_labels(_static(spark, d), land, 1996, 1999)
 
 
-@query(LABEL_SQL + " SELECT gx, gy, round(a, 5) AS score_agrocrop, round(b, 5) AS score_nat_regen, round(c, 5) AS score_plantation, round(e, 4) AS score_restoration FROM sc", "px", "dem")
+@query(LABEL_SQL + " SELECT gx, gy, round(a, 9) AS score_agrocrop, round(b, 9) AS score_nat_regen, round(c, 9) AS score_plantation, round(e, 9) AS score_restoration FROM sc", "px", "dem")
 def pseudo_labels(spark: SparkSession, d: str) -> DataFrame:
-    return _labels(spark, d).select("gx", "gy", *[F.round(c, 4 if c.endswith("restoration") else 5).alias(c) for c in labels.LABEL_BANDS[:4]])
+    return _labels(spark, d).select("gx", "gy", *[F.round(c, 9).alias(c) for c in labels.LABEL_BANDS[:4]])
 
 
 @query(
     _steps_sql("T0", 1996) + ", " + _steps_sql("T1", 1997) + ", " + _steps_sql("T2", 1999) + ", " + LABEL_SQL
     + ", av AS (SELECT gx, gy FROM (SELECT gx, gy, y, max(CASE WHEN b2n IS NOT NULL AND scl <> 3 THEN 1 ELSE 0 END) AS v FROM px WHERE sensor = 'R' GROUP BY gx, gy, y) WHERE y IN (1996, 1997, 1999) AND v = 1 GROUP BY gx, gy HAVING count(*) = 3)"
-    + " SELECT gx, gy, round(T0_NDVI, 6) AS T0_NDVI, round(T1_EVI, 6) AS T1_EVI, round(T2_B8, 6) AS T2_B8, round(CASE WHEN T2_VH <> 0 THEN T2_VV/T2_VH END, 6) AS T2_VVVH, round(T2_trees, 6) AS T2_trees, round(ly.slope, 6) AS slope, CAST(ly.gain AS BIGINT) AS gain, round(sc.b, 5) AS score_nat_regen, CAST(59 AS BIGINT) AS n_columns FROM av JOIN ly USING (gx, gy) JOIN T0 USING (gx, gy) JOIN T1 USING (gx, gy) JOIN T2 USING (gx, gy) JOIN sc USING (gx, gy)",
+    + " SELECT gx, gy, round(T0_NDVI, 6) AS T0_NDVI, round(T1_EVI, 6) AS T1_EVI, round(T2_B8, 6) AS T2_B8, round(CASE WHEN T2_VH <> 0 THEN T2_VV/T2_VH END, 6) AS T2_VVVH, round(T2_trees, 6) AS T2_trees, round(ly.slope, 6) AS slope, CAST(ly.gain AS BIGINT) AS gain, round(sc.b, 9) AS score_nat_regen, CAST(59 AS BIGINT) AS n_columns FROM av JOIN ly USING (gx, gy) JOIN T0 USING (gx, gy) JOIN T1 USING (gx, gy) JOIN T2 USING (gx, gy) JOIN sc USING (gx, gy)",
     "px", "dem",
 )
 def full_stack(spark: SparkSession, d: str) -> DataFrame:
     years = (1996, 1997, 1999)
     valid = composite.full_valid(composite.availability(view(spark, d, "px").where("sensor = 'R'"), ["b2n"], scl="scl"), years)
     static = _static(spark, d).select("gx", "gy", F.col("z").alias("dem"), "slope", "gain", F.when(F.col("gain") == 1, F.col("canopy")).alias("canopy"), "forest_type", "nat_forest")
-    out = labels.full_stack([_steps(spark, d, y, f"T{k}_") for k, y in enumerate(years)], static, _labels(spark, d), valid)
-    return out.select("gx", "gy", *[r6(c) for c in ("T0_NDVI", "T1_EVI", "T2_B8", "T2_VVVH", "T2_trees", "slope")], F.col("gain").cast("long"), F.round("score_nat_regen", 5).alias("score_nat_regen"), F.lit(len(out.columns)).cast("long").alias("n_columns"))
+    out = labels.full_stack([_steps(spark, d, {y: f"T{k}_" for k, y in enumerate(years)})], static, _labels(spark, d), valid)
+    return out.select("gx", "gy", *[r6(c) for c in ("T0_NDVI", "T1_EVI", "T2_B8", "T2_VVVH", "T2_trees", "slope")], F.col("gain").cast("long"), F.round("score_nat_regen", 9).alias("score_nat_regen"), F.lit(len(out.columns)).cast("long").alias("n_columns"))
 
 
 @query("s AS (SELECT CAST(floor(gx/4) AS BIGINT) AS xi, CAST(floor(gy/4) AS BIGINT) AS yi, y, scl, count(*) AS n FROM px GROUP BY ALL) SELECT xi, yi, y, scl, n, round(100.0*n/sum(n) OVER (PARTITION BY xi, yi, y), 6) AS pct FROM s", "px")

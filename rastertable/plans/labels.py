@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rastertable.functions.pixels import OPTICAL_BANDS, above, and_, argmax_band, band_ratio, clamp, confidence, evi, geo_mean, ndvi, not_, prefixed, self_mask
+from rastertable.functions.pixels import OPTICAL_BANDS, above, and_, argmax_band, band_ratio, clamp, confidence, evi, geo_mean, ndvi, not_, self_mask
 from rastertable.operators import neighbor, zonal
-from rastertable.operators.composite import linear_trend, median_composite, percentile_composite
+from rastertable.operators.composite import linear_trend
 
 # Fixed value: per cent of cover above which a pixel is forest.
 FOREST_COVER = 50.0
@@ -25,18 +25,29 @@ def gain_layer(cover: DataFrame, before: str = "cover_2017", after: str = "cover
     return clean.withColumn("gain", F.coalesce(validated, F.lit(0))).withColumn("validated", self_mask(F.col("gain"))).drop("__gain", "__clean")
 
 
-def timestep_stack(optical: DataFrame, radar: DataFrame, land: DataFrame, year: int, prefix: str, domain: DataFrame | None = None, cloudy: float = 30.0) -> DataFrame:
-    """15 bands of a year with a name prefix: 25th percentiles of the optical bands and indices, medians of radar and land cover.
+def timestep_stacks(optical: DataFrame, radar: DataFrame, land: DataFrame, steps: Mapping[int, str], domain: DataFrame | None = None, cloudy: float = 30.0) -> DataFrame:
+    """15 bands for each year of ``steps`` with that year's name prefix: 25th percentiles of the optical bands and indices, medians of radar and land cover.
 
-    ``optical``: gx, gy, y, cloudy_pct and the bands; ``radar``: VV, VH; ``land``: trees, crops, built.
+    ``optical``: gx, gy, y, cloudy_pct and the bands; ``radar``: VV, VH; ``land``: trees, crops, built. Each table is read and shuffled once for
+    all years: a year's aggregate is over the values of that year.
     """
-    own = lambda df: df.where(F.col("y") == year)
-    indexed = own(optical).where(F.col("cloudy_pct") < cloudy).withColumns({"NDVI": ndvi(F.col("B8"), F.col("B4")), "EVI": evi(F.col("B8"), F.col("B4"), F.col("B2"))})
-    a = percentile_composite(indexed, [*OPTICAL_BANDS, "NDVI", "EVI"], 0.25, by=())
-    b = median_composite(own(radar), ["VV", "VH"], by=()).withColumn("VVVH", band_ratio(F.col("VV"), F.col("VH")))
-    c = median_composite(own(land), ["trees", "crops", "built"], by=())
+    indexed = optical.where(F.col("cloudy_pct") < cloudy).withColumns({"NDVI": ndvi(F.col("B8"), F.col("B4")), "EVI": evi(F.col("B8"), F.col("B4"), F.col("B2"))})
+
+    def wide(df: DataFrame, bands: Sequence[str], reducer: Callable[[Column], Column]) -> DataFrame:
+        own = df.where(F.col("y").isin(*steps))
+        return own.groupBy("gx", "gy").agg(*[reducer(F.when(F.col("y") == y, F.col(b))).alias(f"{p}{b}") for y, p in steps.items() for b in bands])
+
+    a = wide(indexed, [*OPTICAL_BANDS, "NDVI", "EVI"], lambda c: F.percentile(c, 0.25))
+    b = wide(radar, ["VV", "VH"], F.median)
+    c = wide(land, ["trees", "crops", "built"], F.median)
     out = zonal.align(a, b, c, how="full_outer") if domain is None else zonal.align(domain.select("gx", "gy"), a, b, c)
-    return prefixed(out, prefix, STEP_BANDS)
+    out = out.withColumns({f"{p}VVVH": band_ratio(F.col(f"{p}VV"), F.col(f"{p}VH")) for p in steps.values()})
+    return out.select("gx", "gy", *[f"{p}{band}" for p in steps.values() for band in STEP_BANDS])
+
+
+def timestep_stack(optical: DataFrame, radar: DataFrame, land: DataFrame, year: int, prefix: str, domain: DataFrame | None = None, cloudy: float = 30.0) -> DataFrame:
+    """The 15 bands of one year."""
+    return timestep_stacks(optical, radar, land, {year: prefix}, domain, cloudy)
 
 
 def label_scores() -> dict[str, Column]:
