@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rastertable.functions.pixels import all_valid, scl_valid
+from rastertable.functions.pixels import REDUCERS, all_valid, scl_valid
 
 PIXEL = ("gx", "gy")
 
@@ -76,6 +76,15 @@ def mode_composite(obs: DataFrame, band: str, by: Sequence[str] = ("y",)) -> Dat
     return _by_pixel(obs, {band: F.mode(band, deterministic=True)}, by)
 
 
+def wide_composite(obs: DataFrame, years: Mapping[int, str], bands: Mapping[str, tuple[Column, str]], year: str = "y") -> DataFrame:
+    """Several composites of several years at once: a column <band><suffix> for each band (column, reducer name) and year suffix.
+
+    All aggregates share one shuffle of the observations on the pixel; years are told apart inside the aggregates.
+    """
+    own = obs.where(F.col(year).isin(*years))
+    return own.groupBy(*PIXEL).agg(*[REDUCERS[r](F.when(F.col(year) == y, c)).alias(f"{b}{s}") for y, s in years.items() for b, (c, r) in bands.items()])
+
+
 def availability(obs: DataFrame, bands: Sequence[str], by: Sequence[str] = ("y",), scl: str | None = None) -> DataFrame:
     """1 if some observation of the pixel has every band (and, with ``scl``, a usable scene class)."""
     ok = all_valid(*map(F.col, bands))

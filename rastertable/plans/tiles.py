@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastertable.functions.pixels import add_indices, encode_sentinel
+from rastertable.functions.pixels import all_valid, encode_sentinel, ndvi
 from rastertable.operators import filters, grid, zonal
-from rastertable.operators.composite import availability, median_composite
+from rastertable.operators.composite import wide_composite
 from rastertable.sources.registry import apply_updates
 
 
@@ -27,20 +27,18 @@ def plan_tiles(aois: DataFrame, ordinal: str = "ordinal", size: float = grid.TIL
 
 def yearly_ndvi(obs: DataFrame, before: int, after: int, year: str = "y") -> DataFrame:
     """ndvi_before, ndvi_after and their difference for each pixel, from medians; one aggregation over both years."""
-    rows = obs.where(F.col(year).isin(before, after))
-    value = lambda y: F.median(F.when(F.col(year) == y, F.col("NDVI")))
-    out = rows.groupBy("gx", "gy").agg(value(before).alias("ndvi_before"), value(after).alias("ndvi_after"))
+    out = wide_composite(obs, {before: "before", after: "after"}, {"ndvi_": (F.col("NDVI"), "median")}, year)
     return out.withColumn("ndvi_delta", F.col("ndvi_after") - F.col("ndvi_before"))
 
 
-def tile_stats(gain: DataFrame, ndvi: DataFrame, canopy: DataFrame, available: DataFrame, years: Sequence[int], tile: int = grid.TILE_PIXELS, method: str = "mean") -> DataFrame:
+def tile_stats(gain: DataFrame, delta: DataFrame, canopy: DataFrame, available: DataFrame, years: Sequence[int], tile: int = grid.TILE_PIXELS, method: str = "mean") -> DataFrame:
     """gain_frac, ndvi_delta, canopy_mean and s2_<year> of each tile.
 
     ``gain``: gx, gy, gain (0/1) over the whole pixel domain; NDVI difference and canopy count over gain pixels only. ``method`` is the
     reducer of the NDVI difference, mean or median. The layers meet on (gx, gy), then one aggregation makes the tiles.
     """
     wide = available.where(F.col("y").isin(*years)).groupBy("gx", "gy").agg(*[F.max(F.when(F.col("y") == y, F.col("available"))).alias(f"s2_{y}") for y in years])
-    pixels = zonal.align(gain, ndvi.select("gx", "gy", "ndvi_delta"), canopy.select("gx", "gy", F.col("canopy").alias("canopy_mean")), wide)
+    pixels = zonal.align(gain, delta.select("gx", "gy", "ndvi_delta"), canopy.select("gx", "gy", F.col("canopy").alias("canopy_mean")), wide)
     on_gain = lambda c: F.when(F.col("gain") == 1, F.col(c))
     reducer = F.avg if method == "mean" else F.median
     out = zonal.with_tile(pixels, tile).groupBy("xi", "yi").agg(
@@ -63,13 +61,9 @@ def tile_decision_summary(obs: DataFrame, before: int, after: int, tile: int, ga
 
     A pixel gains if its mean cover (``cov``) rises above half from before to after. Observations with a shadow class do not count.
     """
-    rows = add_indices(obs.withColumns({b: F.col("b4") for b in ("B3", "B5", "B6", "B7")} | {"B2": F.col("b2"), "B4": F.col("b4"), "B8": F.col("b8")}), keep=("gx", "gy", "y", "cov", "scl"))
-    rows = rows.where(F.col("y").isin(before, after) & (F.col("scl") != 3))
-    ndvi = median_composite(rows, ["NDVI"])
-    cover = rows.groupBy("gx", "gy", "y").agg(F.avg("cov").alias("cover"))
-    both = ndvi.join(cover, ["gx", "gy", "y"]).join(availability(rows, ["B8", "B4"]), ["gx", "gy", "y"])
-    at = lambda c, y: F.max(F.when(F.col("y") == y, F.col(c)))
-    pixels = both.groupBy("gx", "gy").agg(*[at(c, y).alias(f"{c}_{n}") for c in ("NDVI", "cover", "available") for n, y in (("a", before), ("b", after))])
+    rows = obs.where(F.col("scl") != 3)
+    bands = {"NDVI": (ndvi(F.col("b8"), F.col("b4")), "median"), "cover": (F.col("cov"), "mean"), "available": (all_valid(F.col("b8"), F.col("b4")), "max")}
+    pixels = wide_composite(rows, {before: "_a", after: "_b"}, bands)
     gain = F.coalesce((F.col("cover_a") <= 50) & (F.col("cover_b") > 50), F.lit(False))
     stats = zonal.with_tile(pixels, tile).groupBy("xi", "yi").agg(
         F.avg(gain.cast("int")).alias("gain_frac"), F.avg(F.when(gain, F.col("NDVI_b") - F.col("NDVI_a"))).alias("ndvi_delta"), F.avg(F.when(gain, F.col("cover_b"))).alias("canopy_mean"),
