@@ -200,5 +200,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = linked.groupBy("root").agg(F.min("least").alias("low"))
     moved = linked.join(least, "root").select(F.col("node").alias("fp"), "low", "root")
     named = nodes.join(moved, "fp", "left").select("fp", F.coalesce("low", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
-    out = prints.join(named, "fp")
+    #: Written, so that both sides of the join come from a shuffle of their own and Spark can split a hot fingerprint.
+    out = prints.join(written(named, "nodes"), "fp")
     return out.select("doc_id", "row_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
