@@ -196,8 +196,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prints = written(fingerprints(docs), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(nodes), "a", "b")
-    linked = roots.join(nodes.withColumnRenamed("fp", "node"), "node")
-    least = linked.groupBy("root").agg(F.min("least").alias("low"))
+    #: Written as well: the join on root must be free to split a component that most nodes belong to.
+    linked = written(roots.join(nodes.withColumnRenamed("fp", "node"), "node"), "linked")
+    least = written(linked.groupBy("root").agg(F.min("least").alias("low")), "components")
     moved = linked.join(least, "root").select(F.col("node").alias("fp"), "low", "root")
     named = nodes.join(moved, "fp", "left").select("fp", F.coalesce("low", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
     #: Written, so that both sides of the join come from a shuffle of their own and Spark can split a hot fingerprint.
