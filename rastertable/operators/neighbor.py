@@ -22,11 +22,35 @@ def _axis(df: DataFrame, along: str, across: str, radius: int, outputs: dict[str
     return dealt.withColumns({k: f(c).over(w) for k, (c, f) in outputs.items()}).where(F.col("__part") == own).drop("__part")
 
 
+def _filled(df: DataFrame, band: str, radius: int) -> DataFrame:
+    """The pixels (keys and ``band``) and the absent places within ``radius`` above or below one, marked ``__hole``.
+
+    A square window goes along rows first, so a row's sum is needed at each place that a column's window meets. A gap is
+    filled by the pixel before it as far as that reaches, then by the pixel after it, so no place comes twice; a full raster
+    gives places only beyond its edges.
+    """
+    own = F.floor(F.col("gy") / STRETCH)
+    #: Twice the radius: a pixel must see the one before it whose reach may meet its own. A stretch is longer than that.
+    halo = F.array_distinct(F.array(F.floor((F.col("gy") - 2 * radius) / STRETCH), own, F.floor((F.col("gy") + 2 * radius) / STRETCH)))
+    w = Window.partitionBy("gx", "__part").orderBy("gy")
+    far = F.lit(2 * radius + 1)
+    y, after = F.col("gy"), F.coalesce(F.lead("gy").over(w), F.col("gy") + far)
+    before = F.coalesce(F.lag("gy").over(w), F.col("gy") - far)
+    ends = df.select("gx", "gy", band).withColumn("__part", F.explode(halo)).withColumns({"__a": F.least(y + radius, after - 1), "__b": F.greatest(y - radius, before + radius + 1)}).where(F.col("__part") == own)
+    span = lambda lo, hi: F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
+    up = span((F.col("gy") + 1).cast("long"), F.col("__a").cast("long"))
+    down = span(F.col("__b").cast("long"), (F.col("gy") - 1).cast("long"))
+    pixel = F.struct(F.col("gy").cast("long").alias("y"), F.col(band).alias("v"), F.lit(False).alias("hole"))
+    places = F.transform(F.concat(up, down), lambda p: F.struct(p.alias("y"), F.lit(None).cast(df.schema[band].dataType).alias("v"), F.lit(True).alias("hole")))
+    return ends.select("gx", F.explode(F.concat(F.array(pixel), places)).alias("__p")).select("gx", F.col("__p.y").alias("gy"), F.col("__p.v").alias(band), F.col("__p.hole").alias("__hole"))
+
+
 def dilate(df: DataFrame, mask: str, out: str, shape: str = "plus", radius: int = 1) -> DataFrame:
     """Largest value in the neighbourhood, over pixels that are there: a plus (disc of radius 1) or a square."""
     if shape == "square":
-        step = _axis(df, "gx", "gy", radius, {"__row": (F.col(mask), F.max)})
-        return _axis(step, "gy", "gx", radius, {out: (F.col("__row"), F.max)}).drop("__row")
+        step = _axis(_filled(df, mask, radius), "gx", "gy", radius, {"__row": (F.col(mask), F.max)})
+        found = _axis(step, "gy", "gx", radius, {out: (F.col("__row"), F.max)}).where("NOT __hole").select("gx", "gy", out)
+        return df.drop(out).join(found, ["gx", "gy"])
     step = _axis(df, "gx", "gy", radius, {"__row": (F.col(mask), F.max)})
     step = _axis(step, "gy", "gx", radius, {"__col": (F.col(mask), F.max)})
     return step.withColumn(out, F.greatest("__row", "__col")).drop("__row", "__col")
@@ -60,10 +84,11 @@ def grow_domain(df: DataFrame, keys: tuple[str, str] = ("gx", "gy")) -> DataFram
 def neighborhood_std(df: DataFrame, band: str, out: str, radius: int = 3) -> DataFrame:
     """Population deviation in a square window; sums along rows, then along columns."""
     c = F.col(band)
-    rows = _axis(df, "gx", "gy", radius, {"__s": (c, F.sum), "__q": (c * c, F.sum), "__n": (c, F.count)})
+    rows = _axis(_filled(df, band, radius), "gx", "gy", radius, {"__s": (c, F.sum), "__q": (c * c, F.sum), "__n": (c, F.count)})
     both = _axis(rows, "gy", "gx", radius, {"__S": (F.col("__s"), F.sum), "__Q": (F.col("__q"), F.sum), "__N": (F.col("__n"), F.sum)})
     mean = F.col("__S") / F.col("__N")
-    return both.withColumn(out, F.when(F.col("__N") > 0, F.sqrt(F.greatest(F.col("__Q") / F.col("__N") - mean * mean, F.lit(0.0))))).drop("__s", "__q", "__n", "__S", "__Q", "__N")
+    found = both.where("NOT __hole").select("gx", "gy", F.when(F.col("__N") > 0, F.sqrt(F.greatest(F.col("__Q") / F.col("__N") - mean * mean, F.lit(0.0)))).alias(out))
+    return df.drop(out).join(found, ["gx", "gy"])
 
 
 def slope_deg(df: DataFrame, z: str, out: str, spacing: float = 10.0) -> DataFrame:

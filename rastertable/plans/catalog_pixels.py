@@ -169,7 +169,7 @@ def seasonal_peak(spark: SparkSession, d: str) -> DataFrame:
 TREND_SQL = "yr AS (SELECT gx, gy, y, avg(cov) AS c FROM px WHERE y BETWEEN 1996 AND 1999 GROUP BY gx, gy, y)"
 
 
-@query(TREND_SQL + " SELECT gx, gy, round(regr_slope(c, y), 6) AS slope, round(greatest(0.0, least(1.0, regr_slope(c, y))), 6) AS trend, count(*) AS n_years FROM yr GROUP BY gx, gy", "px")
+@query(TREND_SQL + " SELECT gx, gy, round(CASE WHEN count(*) > 1 THEN regr_slope(c, y) END, 6) AS slope, round(CASE WHEN count(*) > 1 THEN greatest(0.0, least(1.0, regr_slope(c, y))) END, 6) AS trend, count(*) AS n_years FROM yr GROUP BY gx, gy", "px")
 def linear_trend(spark: SparkSession, d: str) -> DataFrame:
     yearly = view(spark, d, "px").where("y BETWEEN 1996 AND 1999").groupBy("gx", "gy", "y").agg(F.avg("cov").alias("c"))
     return composite.linear_trend(yearly, "c").select("gx", "gy", r6("slope"), r6("trend"), "n_years")
@@ -263,7 +263,7 @@ LABEL_SQL = (
     ly AS (SELECT gx, gy, (gx*7 + gy*3) % 11/10.0 AS nat, CASE WHEN (gx + 2*gy) % 3 = 0 THEN 1.0 ELSE 0.0 END AS tc, CASE WHEN (gx*gy) % 2 = 0 THEN 1.0 ELSE 0.0 END AS ec, CASE (gx + gy) % 3 WHEN 0 THEN 20 WHEN 1 THEN 1 ELSE 10 END AS ft, slope, gain, CASE WHEN gain = 1 THEN z/10 ELSE 0 END AS can FROM st_ JOIN gl USING (gx, gy)),
     sd AS (SELECT a.gx, a.gy, least(stddev_pop(b.can)/10, 1.0) AS ch_std FROM ly a JOIN ly b ON abs(a.gx - b.gx) <= 3 AND abs(a.gy - b.gy) <= 3 GROUP BY a.gx, a.gy),
     lc AS (SELECT gx, gy, y, avg(cov/100.0) AS t, avg(scl/7.0) AS c FROM px WHERE y BETWEEN 1996 AND 1999 GROUP BY gx, gy, y),
-    tr AS (SELECT gx, gy, coalesce(greatest(0.0, least(1.0, regr_slope(t, y))), 0) AS dw_slope, coalesce(stddev_pop(t), 0) AS dw_std, coalesce(max(t) FILTER (WHERE y = 1996), 0) AS tp, coalesce(max(c) FILTER (WHERE y = 1996), 0) AS cp, coalesce(max(c) FILTER (WHERE y = 1999), 0) AS cq FROM lc GROUP BY gx, gy),
+    tr AS (SELECT gx, gy, CASE WHEN count(*) > 1 THEN greatest(0.0, least(1.0, regr_slope(t, y))) ELSE 0 END AS dw_slope, coalesce(stddev_pop(t), 0) AS dw_std, coalesce(max(t) FILTER (WHERE y = 1996), 0) AS tp, coalesce(max(c) FILTER (WHERE y = 1996), 0) AS cp, coalesce(max(c) FILTER (WHERE y = 1999), 0) AS cq FROM lc GROUP BY gx, gy),
     al AS (SELECT ly.gx, ly.gy, nat, 1 - nat AS low_nat, CASE WHEN gain = 1 THEN tc ELSE 0 END AS tc, ec, CASE WHEN ft = 20 THEN 1.0 ELSE 0.0 END AS pl, CASE WHEN ft = 1 THEN 1.0 ELSE 0.0 END AS nr, coalesce(slope, 0) AS slope, ch_std, coalesce(dw_slope, 0) AS dw_slope, coalesce(dw_std, 0) AS dw_std, coalesce(tp, 0) AS tp, coalesce(cp, 0) AS cp, coalesce(cq, 0) AS cq FROM ly JOIN sd USING (gx, gy) LEFT JOIN tr USING (gx, gy)),
     sc AS (SELECT gx, gy, pow(tc*ec, 0.5)*least(2.0, 1 + 0.4*cp + 0.4*cq) AS a, pow(nat*tp, 0.5)*least(2.0, 1 + 0.5*nr + least(0.5, 2*dw_std)) AS b, pow(pl*(1 - ch_std), 0.5)*least(2.0, 1 + 0.5*low_nat + 0.3*tp) AS c, pow(pl*ch_std*low_nat, 1.0/3)*least(2.0, 1 + 0.5*dw_slope + 0.3*least(1.0, slope/30)) AS e FROM al)"""
 )

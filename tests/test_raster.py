@@ -114,6 +114,21 @@ def test_stretches_do_not_change_windows(spark, monkeypatch):
     assert len(got) == len(want) and all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-9 and (a[3] == b[3] or abs(a[3] - b[3]) < 1e-9) for a, b in zip(got, want, strict=True))
 
 
+def test_square_windows_on_sparse_pixels(spark, monkeypatch):
+    random.seed(11)
+    cells = {(x, y): random.random() for x in range(-6, 9) for y in range(-6, 9) if random.random() < 0.35}
+    df = spark.createDataFrame([(*k, v) for k, v in cells.items()], "gx int, gy int, z double")
+    near = {k: [v for (x, y), v in cells.items() if abs(x - k[0]) <= 2 and abs(y - k[1]) <= 2] for k in cells}
+    for stretch in (1 << 14, 4):
+        monkeypatch.setattr(neighbor, "STRETCH", stretch)
+        std = {(r.gx, r.gy): r.s for r in neighbor.neighborhood_std(df, "z", "s", 2).collect()}
+        top = {(r.gx, r.gy): (r.m, r.z) for r in neighbor.dilate(df, "z", "m", "square", 2).collect()}
+        assert std.keys() == top.keys() == cells.keys()
+        for k, vs in near.items():
+            mean = sum(vs) / len(vs)
+            assert abs(std[k] - math.sqrt(sum((v - mean) ** 2 for v in vs) / len(vs))) < 1e-7 and top[k] == (max(vs), cells[k])
+
+
 def test_decision_edges(spark):
     rows = [("low", 0.00999, 1.0, 5.0, 1.0), ("at", 0.01, 0.1, 1.0, 0.95), ("zero_delta", 0.5, 0.0, 5.0, 1.0), ("none", 0.02, P.NO_GAIN, P.NO_GAIN, 1.0), ("cover", 0.5, 0.1, 5.0, 0.949), ("null", None, None, None, None)]
     df = spark.createDataFrame(rows, "k string, gain_frac double, ndvi_delta double, canopy_mean double, s2_2017 double")
