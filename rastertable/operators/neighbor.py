@@ -16,7 +16,7 @@ STRETCH = 1 << 14
 def _axis(df: DataFrame, along: str, across: str, radius: int, outputs: dict[str, tuple[Column, object]]) -> DataFrame:
     """Adds outputs: aggregates over ``radius`` pixels to both sides along one axis."""
     own = F.floor(F.col(along) / STRETCH)
-    halo = F.array_distinct(F.array(F.floor((F.col(along) - radius) / STRETCH), own, F.floor((F.col(along) + radius) / STRETCH)))
+    halo = F.sequence(F.floor((F.col(along) - radius) / STRETCH), F.floor((F.col(along) + radius) / STRETCH))
     dealt = df.withColumn("__part", F.explode(halo))
     w = Window.partitionBy(across, "__part").orderBy(along).rangeBetween(-radius, radius)
     return dealt.withColumns({k: f(c).over(w) for k, (c, f) in outputs.items()}).where(F.col("__part") == own).drop("__part")
@@ -30,8 +30,8 @@ def _filled(df: DataFrame, band: str, radius: int) -> DataFrame:
     gives places only beyond its edges.
     """
     own = F.floor(F.col("gy") / STRETCH)
-    #: Twice the radius: a pixel must see the one before it whose reach may meet its own. A stretch is longer than that.
-    halo = F.array_distinct(F.array(F.floor((F.col("gy") - 2 * radius) / STRETCH), own, F.floor((F.col("gy") + 2 * radius) / STRETCH)))
+    #: Twice the radius: a pixel must see the one before it whose reach may meet its own.
+    halo = F.sequence(F.floor((F.col("gy") - 2 * radius) / STRETCH), F.floor((F.col("gy") + 2 * radius) / STRETCH))
     w = Window.partitionBy("gx", "__part").orderBy("gy")
     far = F.lit(2 * radius + 1)
     y, after = F.col("gy"), F.coalesce(F.lead("gy").over(w), F.col("gy") + far)
@@ -95,7 +95,7 @@ def slope_deg(df: DataFrame, z: str, out: str, spacing: float = 10.0) -> DataFra
     """Terrain slope in degrees from the four neighbours; null where one is missing."""
     def gradient(frame: DataFrame, along: str, across: str, name: str) -> DataFrame:
         own = F.floor(F.col(along) / STRETCH)
-        halo = F.array_distinct(F.array(F.floor((F.col(along) - 1) / STRETCH), own, F.floor((F.col(along) + 1) / STRETCH)))
+        halo = F.sequence(F.floor((F.col(along) - 1) / STRETCH), F.floor((F.col(along) + 1) / STRETCH))
         w = Window.partitionBy(across, "__part").orderBy(along)
         ahead, behind = F.lead(z).over(w), F.lag(z).over(w)
         near = (F.lead(along).over(w) == F.col(along) + 1) & (F.lag(along).over(w) == F.col(along) - 1)
