@@ -1,9 +1,11 @@
 """Operator 9: approximate nearest neighbours by an inverted file with product-quantised residuals.
 
 Coarse centroids and the residual codebooks are fitted on a bounded sample (``SAMPLE`` vectors in expectation, chosen by a
-hash); every vector is indexed: its cell and one byte for each subspace of its residual. A query looks into its ``PROBES`` nearest
-cells, sums asymmetric distance tables over the codes, and the ``SHORT`` nearest codes are ranked again by the exact distance in
-double precision on the original vectors. Cells with many vectors or queries are split into blocks, so no task holds a cell.
+hash); every vector is indexed: its cell, one byte for each subspace of its residual and the norm of what the code leaves out. A
+query looks into its ``PROBES`` nearest cells and sums asymmetric distance tables over the codes. A code's distance is off by
+that norm at most, so a vector is discarded only if its least possible distance is above the k-th smallest of the largest
+possible ones; all others are ranked by the exact distance in double precision. Within the probed cells nothing is lost, also
+not among many near copies of one code. Cells with many vectors or queries are split into blocks, so no task holds a cell.
 
 Vectors that are null, zero, of another length than most, or with null or non-finite components take no part, nor do null
 ids. Ties go to the smaller vec_id. A query's own id is no candidate. With fewer candidates than asked for, all are given.
@@ -30,8 +32,6 @@ PROBES = 160
 GROUPS = 8
 SUBSPACES = 16
 CODES = 256
-#: Nearest codes of a query that are ranked again.
-SHORT = 300
 #: Index rows and queries of one search group, about.
 ROWS, QUERIES = 8192, 512
 
@@ -77,10 +77,13 @@ class Quantiser:
         self.cuts = np.array_split(np.arange(x.shape[1]), min(SUBSPACES, x.shape[1]))
         self.books = [_kmeans(residual[:, cut], CODES, 8, 2 + m) for m, cut in enumerate(self.cuts)]
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cells, codes and the norms of the residuals' quantisation errors."""
         cell = _nearest(x, self.coarse, 1)[:, 0]
         r = x - self.coarse[cell]
-        return cell, np.column_stack([_nearest(r[:, cut], book, 1)[:, 0] for cut, book in zip(self.cuts, self.books, strict=True)]).astype(np.uint8)
+        codes = np.column_stack([_nearest(r[:, cut], book, 1)[:, 0] for cut, book in zip(self.cuts, self.books, strict=True)]).astype(np.uint8)
+        lost = sum(((r[:, cut] - book[codes[:, m]]) ** 2).sum(axis=1) for m, (cut, book) in enumerate(zip(self.cuts, self.books, strict=True)))
+        return cell, codes, np.sqrt(lost)
 
     def distances(self, queries: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Squared asymmetric distances of each query to each code of one cell."""
@@ -106,7 +109,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> Quantiser | None:
     return pickle.loads(bytes(made[0].model)) if made else None
 
 
-def search(table: DataFrame, queries: DataFrame, k: int = 10, vec: str = "embedding", probes: int = PROBES, short: int = SHORT) -> DataFrame:
+def search(table: DataFrame, queries: DataFrame, k: int = 10, vec: str = "embedding", probes: int = PROBES) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows of ``table`` for each row of ``queries``."""
     spark = table.sparkSession
     rows = usable(table, vec)
@@ -121,8 +124,9 @@ def search(table: DataFrame, queries: DataFrame, k: int = 10, vec: str = "embedd
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                cell, codes = shared.value.encode(vectors(b.column("v")))
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(cell.astype(np.int64)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "cell", "code"])
+                x = vectors(b.column("v"))
+                cell, codes, lost = shared.value.encode(x)
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(cell.astype(np.int64)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(lost), pa.array([v.tobytes() for v in x], pa.binary())], names=["vec_id", "cell", "code", "lost", "raw"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -132,7 +136,7 @@ def search(table: DataFrame, queries: DataFrame, k: int = 10, vec: str = "embedd
                     own = [row[row % GROUPS == g].tolist() for row in cells]
                     yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array([g] * len(own), pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["query_id", "v", "part", "cells"])
 
-    index = written(rows.mapInArrow(encode, "vec_id long, cell long, code binary"), "ann-index")
+    index = written(rows.mapInArrow(encode, "vec_id long, cell long, code binary, lost double, raw binary"), "ann-index")
     asked = usable(queries, vec).select("vec_id", "v")
     probed = written(asked.mapInArrow(probe, "query_id long, v array<double>, part long, cells array<long>").where("size(cells) > 0"), "ann-probes")
     dealt = index.withColumn("part", F.col("cell") % GROUPS)
@@ -141,36 +145,42 @@ def search(table: DataFrame, queries: DataFrame, k: int = 10, vec: str = "embedd
     blocks = F.broadcast(row_blocks.join(query_blocks, "part"))  # GROUPS rows
     own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = dealt.join(blocks, "part").withColumn("i", own("vec_id", "row_blocks")).withColumn("j", every("query_blocks")).select("part", "i", "j", "vec_id", "cell", "code")
+    left = dealt.join(blocks, "part").withColumn("i", own("vec_id", "row_blocks")).withColumn("j", every("query_blocks")).select("part", "i", "j", "vec_id", "cell", "code", "lost", "raw")
     right = probed.join(blocks, "part").withColumn("j", own("query_id", "query_blocks")).withColumn("i", every("row_blocks")).select("part", "i", "j", "query_id", "v", "cells")
 
     def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "near": pd.Series(dtype="float64")})
+        """The ``k`` nearest of the block's rows for each of its queries, by the exact distance."""
+        out = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})]
+        if a.empty or b.empty or k < 1:
+            return out[0]
         a = a.sort_values("vec_id", kind="stable")
         codes = np.frombuffer(b"".join(a.code), np.uint8).reshape(len(a), -1)
+        x, lost = np.frombuffer(b"".join(a.raw), np.float64).reshape(len(a), -1), a.lost.to_numpy()
         ids, cells, q = a.vec_id.to_numpy(), a.cell.to_numpy(), np.array(b.v.tolist())
         at_cell = {c: np.flatnonzero(cells == c) for c in np.unique(cells).tolist()}
-        out = []
         for at in range(0, len(q), 64):
             asked_ids, wanted = b.query_id.to_numpy()[at : at + 64], [set(x.tolist()) for x in b.cells.iloc[at : at + 64]]
             d = np.full((len(asked_ids), len(ids)), np.inf)
+            seen = np.zeros(d.shape, bool)
             for c, members in at_cell.items():
                 who = np.array([n for n, w in enumerate(wanted) if c in w], np.int64)
                 if len(who):
-                    d[np.ix_(who, members)] = shared.value.distances(q[at : at + 64][who], c, codes[members])
-            d[asked_ids[:, None] == ids[None, :]] = np.inf
-            best = np.argsort(d, axis=1, kind="stable")[:, :short]
-            out.append(pd.DataFrame({"query_id": np.repeat(asked_ids, best.shape[1]), "vec_id": ids[best].ravel(), "near": np.take_along_axis(d, best, 1).ravel()}))
-        found = pd.concat(out)
-        return found[np.isfinite(found.near)]
+                    d[np.ix_(who, members)] = np.sqrt(shared.value.distances(q[at : at + 64][who], c, codes[members]))
+                    seen[np.ix_(who, members)] = True
+            own = asked_ids[:, None] == ids[None, :]
+            d[own], seen[own] = np.inf, False
+            for n, query_id in enumerate(asked_ids.tolist()):
+                live = np.flatnonzero(seen[n])
+                if len(live) > k:
+                    slack = 1e-9 * (d[n, live] + lost[live] + np.abs(q[at + n]).sum())  # far above the rounding of the sums
+                    most = np.partition(d[n, live] + lost[live] + slack, k - 1)[k - 1]
+                    live = live[~(d[n, live] - lost[live] - slack > most)]
+                score = np.sqrt(((x[live] - q[at + n]) ** 2).sum(axis=1))
+                best = np.lexsort((ids[live], score))[:k]
+                out.append(pd.DataFrame({"query_id": np.full(len(best), query_id), "vec_id": ids[live[best]], "score": score[best]}))
+        return pd.concat(out)
 
     group = ["part", "i", "j"]
-    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(near, "query_id long, vec_id long, near double")
-    order = Window.partitionBy("query_id").orderBy("near", "vec_id")
-    listed = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= short).select("query_id", "vec_id").distinct()
-    exact = listed.join(rows, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    score = F.sqrt(F.aggregate(F.zip_with("v", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    scored = exact.select("query_id", "vec_id", score.alias("score"))
+    scored = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(near, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

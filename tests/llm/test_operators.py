@@ -9,6 +9,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 import xxhash
@@ -343,6 +345,20 @@ def test_ann_recall_scores_and_odd_vectors(spark):
     assert few.count() == 3 and ann.search(df.limit(0), df).count() == 0 and ann.search(df.where("vec_id >= 2000 AND vec_id < 2005"), df).count() == 0
 
 
+def test_ann_keeps_the_neighbours_inside_a_group_of_near_copies(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(30_000, 64))
+    x[:1500] = x[0] + 0.01 * rng.normal(size=(1500, 64))
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x))}), f"{tmp_path}/e.parquet")
+    df = spark.read.parquet(f"{tmp_path}/e.parquet")
+    out = ann.search(df, df.where("vec_id < 1500 AND vec_id % 100 = 0")).collect()
+    for q in range(0, 1500, 100):
+        s = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        s[q] = np.inf
+        got = sorted((r for r in out if r.query_id == q), key=lambda r: r.rank)
+        assert [r.vec_id for r in got] == np.argsort(s, kind="stable")[:10].tolist()
+
+
 # 10 --------------------------------------------------------------------------------------------------------------
 
 
