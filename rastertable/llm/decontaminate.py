@@ -9,6 +9,10 @@ within one bit (7 = 4 x 1 + 3), so each block table holds the item's block and i
 is missed. A candidate gives a place for the whole item, and there the exact weighted similarity decides: the share of the
 item's weight (its five-word shingles, repeats included, the rarer among items the heavier; all words at once for shorter items) that the document's item-sized passage holds, 0.8 or more.
 
+Passages with edits in both end windows are out of the fingerprints' reach. Each item is therefore also known by its heaviest
+shingles that hold more than 0.2 of its weight together (anchors): a passage of 0.8 has one of them at least. Around each anchor
+that a document holds, every item-sized passage with the anchor is weighed, so no passage of 0.8 or more is missed.
+
 Null and empty texts match nothing, nor do items without words. Repeated rows and repeated items each give their rows.
 Items are held by each task in blocks of at most ``ITEM_WORDS`` words; a larger benchmark is taken block by block.
 Other columns are not read; empty tables give an empty result.
@@ -99,8 +103,17 @@ def shingles(words: list[bytes]) -> Counter:
     return Counter(b" ".join(z) for z in zip(*(words[k:] for k in range(SHINGLE)), strict=False))
 
 
+def gram_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words from the words' hashes; they depend on the order."""
+    n = max(0, len(hashes) - size + 1)
+    out = hashes[:n].copy()
+    for k in range(1, size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
+    return out
+
+
 class ItemIndex:
-    """Block tables of item fingerprints by window size, and each item's weighted shingles."""
+    """Block tables of item fingerprints by window size, each item's weighted shingles and its anchors."""
 
     def __init__(self, items: list[tuple[int, bytes]]) -> None:
         self.ids = [i for i, _ in items]
@@ -121,6 +134,57 @@ class ItemIndex:
                 for at in {0, len(w) - size}:
                     known[size].add((int(prints[at]), k, at))
         self.tables = {size: self._tables(sorted(found)) for size, found in sorted(known.items())}
+        anchors: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for k, (w, weights) in enumerate(zip(self.words, self.weights, strict=True)):
+            held, size = 0.0, min(SHINGLE, len(w))
+            for s in sorted(weights, key=lambda s: (-weights[s], s)):
+                h = np.array([xxhash.xxh64_intdigest(x) for x in s.split(b" ")], np.uint64)
+                anchors[size][int(gram_hashes(h, size)[0])].append(k)
+                held += weights[s]
+                if held > (1 - SIMILARITY + 1e-9) * self.totals[k]:
+                    break
+        self.anchors = {size: self._anchors(found) for size, found in sorted(anchors.items())}
+
+    @staticmethod
+    def _anchors(found: dict[int, list[int]]) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+        """Marks of the hashes' first 20 bits, the hashes in order and the items of each."""
+        keys = np.array(sorted(found), np.uint64)
+        hit = np.zeros(1 << 20, bool)
+        hit[keys >> np.uint64(44)] = True
+        return hit, keys, [found[x] for x in keys.tolist()]
+
+    def anchored(self, hashes: np.ndarray, owner: np.ndarray) -> dict[tuple[int, int], list[int]]:
+        """The places of each item's anchors in each text, as word numbers."""
+        out: dict[tuple[int, int], list[int]] = defaultdict(list)
+        for size, (hit, keys, items) in self.anchors.items():
+            grams = gram_hashes(hashes, size)
+            at = np.flatnonzero(hit[grams >> np.uint64(44)])
+            key = np.minimum(np.searchsorted(keys, grams[at]), len(keys) - 1)
+            ok = (keys[key] == grams[at]) & (owner[at] == owner[at + size - 1])
+            for w, doc, k in zip(at[ok].tolist(), owner[at[ok]].tolist(), key[ok].tolist(), strict=True):
+                for item in items[k]:
+                    out[doc, item].append(w)
+        return out
+
+    def best_start(self, item: int, words: list[bytes], lo: int, hi: int, end: int) -> int | None:
+        """The first best of the starts ``lo`` to ``hi`` of an item-sized passage in a text that ends at ``end``; None if none can do."""
+        own, weights, n = self.counts[item], self.weights[item], len(self.words[item])
+        size = min(SHINGLE, n)
+        width = n - size + 1
+        grams = [b" ".join(words[p : p + size]) for p in range(lo, min(hi + n, end) - size + 1)]
+        if sum(weights.get(s, 0.0) for s in set(grams)) < (SIMILARITY - 1e-9) * self.totals[item]:
+            return None
+        held, value, best, start = Counter(), 0.0, -1.0, lo
+        for p, s in enumerate(grams):
+            if s in own:
+                held[s] += 1
+                value += weights[s] / own[s] if held[s] <= own[s] else 0.0
+            if p >= width and (s := grams[p - width]) in own:
+                value -= weights[s] / own[s] if held[s] <= own[s] else 0.0
+                held[s] -= 1
+            if p >= width - 1 and value > best + 1e-9 * self.totals[item]:
+                best, start = value, lo + p - width + 1
+        return start
 
     @staticmethod
     def _tables(found: list[tuple[int, int, int]]) -> tuple:
@@ -172,6 +236,16 @@ def _scan(index: ItemIndex, texts: list[bytes]) -> list[tuple[int, int, int, int
         h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
         sums = lane_sums(h)
         tried: set[tuple[int, int, int]] = set()
+
+        def weigh(doc: int, item: int, lo: int) -> None:
+            hi = lo + len(index.words[item])
+            passage = [x for x, o in zip(words[lo:hi], owner[lo:hi].tolist(), strict=True) if o == doc]
+            sim, at = index.similarity(item, passage), base[doc] + lo - first[doc]
+            if sim >= SIMILARITY:  # of equal places the first, and there the longest
+                old = found.get((doc, item))
+                if old is None or (sim, -at, len(passage)) > (old[2], -old[0], old[1]):
+                    found[doc, item] = (at, len(passage), sim)
+
         for size, (_, _, _, items, offsets) in index.tables.items():
             at, ref = index.candidates(window_prints(h, size, sums), size)
             same = owner[at] == owner[at + size - 1] if len(at) else np.zeros(0, bool)
@@ -181,11 +255,19 @@ def _scan(index: ItemIndex, texts: list[bytes]) -> list[tuple[int, int, int, int
                 if (doc, item, lo) in tried:
                     continue
                 tried.add((doc, item, lo))
-                hi = lo + len(index.words[item])
-                passage = [x for x, o in zip(words[lo:hi], owner[lo:hi].tolist(), strict=True) if o == doc]
-                sim = index.similarity(item, passage)
-                if sim >= SIMILARITY and sim > found.get((doc, item), (0, 0, 0.0))[2]:
-                    found[doc, item] = (base[doc] + lo - first[doc], len(passage), sim)
+                weigh(doc, item, lo)
+        for (doc, item), places in index.anchored(h, owner).items():
+            n, end = len(index.words[item]), int(np.searchsorted(owner, doc, "right"))
+            back, at = n - min(SHINGLE, n), 0
+            while at < len(places):  # places whose passages' starts meet are one range
+                lo, k = max(places[at] - back, first[doc]), at
+                while k + 1 < len(places) and places[k + 1] - back <= places[k] + 1 and places[k + 1] - lo < STEP:
+                    k += 1
+                start = index.best_start(item, words, lo, places[k], end)
+                if start is not None and (doc, item, start) not in tried:
+                    tried.add((doc, item, start))
+                    weigh(doc, item, start)
+                at = k + 1
 
     words: list[bytes] = []
     owner: list[np.ndarray] = []

@@ -400,3 +400,24 @@ def test_decontamination(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "ITEM_WORDS", 100)
     assert rows_of(decontaminate.matches(table(spark, rows), bench), "doc_id", "item_id") == sorted(want, key=str)
     assert decontaminate.matches(table(spark, []), bench).count() == 0 and decontaminate.matches(table(spark, rows), bench.limit(0)).count() == 0
+
+
+def test_edited_passages_are_found_as_by_brute_force():
+    r = random.Random(12)
+    items = [(k, prose(3000 + k, 15 + k % 45).encode()) for k in range(60)] + [(90, b"tiny one")]
+    index, texts, want = decontaminate.ItemIndex(items), [], {}
+    for k, (_, text) in enumerate(items[:60]):
+        for edit in range(8):
+            words = text.split()
+            ends = r.sample(range(min(6, len(words))), 1 + edit % 2) + [len(words) - 1 - x for x in r.sample(range(6), 1 + edit // 2 % 2)]
+            for at in ends:
+                words[at] = b"edited"
+            if edit > 5:
+                words.insert(len(words) // 2, b"more")
+            full = prose(5000 + 8 * k + edit, 30).encode().split() + words + prose(6000 + 8 * k + edit, 30).encode().split()
+            best = max(index.similarity(k, full[at : at + len(text.split())]) for at in range(len(full)))
+            if best >= decontaminate.SIMILARITY:
+                want[len(texts), k] = best
+            texts.append(b" ".join(full))
+    got = {(n, item): sim for n, item, _, _, sim in decontaminate._scan(index, texts)}
+    assert len(want) > 50 and set(got) == set(want) and all(abs(got[x] - want[x]) < 1e-9 for x in want)
