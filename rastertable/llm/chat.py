@@ -3,7 +3,9 @@ r"""Operator 7: chat formatting by quotation linking, in DataFrame operations on
 A line's quote level is the number of '>' that begin it (single spaces between them are allowed). Lines without their marks,
 in lower case and with runs of white space as one space, are passages if they have ``LEAST_CHARS`` characters; their hashes join a quoted
 passage to the latest earlier message of its conversation that has it unquoted. A message replies to the message that
-has most of its passages quoted at the lowest level that is found at all, the later one if equal.
+has most of its passages quoted at the lowest level that is found at all, the later one if equal. For a message without such
+a passage, adjacent lines of one level joined to one passage decide (a quotation that is wrapped at another width), and if none of these is found,
+its shorter lines. A quotation of a part of a line is not found.
 
 A conversation's order is thread by thread (by first message), in a thread by depth of reply, then by turn; a message without
 a found quotation begins a thread, so a conversation without quotations keeps its turns. Quoted lines, and a line that ends
@@ -58,14 +60,22 @@ def links(rows: DataFrame) -> DataFrame:
     Originals and quotations of a passage are one table; within a stretch of turns a window finds the last original before,
     and a second window over the stretches' last originals finds those of earlier stretches.
     """
-    lines = rows.where(F.col("turn").isNotNull()).select("conv", "turn", "key", F.explode(F.split("text", "\n", -1)).alias("line"))
-    passages = lines.select("conv", "turn", "key", quote_level(F.col("line")).alias("level"), normalised(F.col("line")).alias("body"))
-    hashed = passages.where(F.length("body") >= LEAST_CHARS).select("conv", "turn", "key", "level", F.xxhash64("body").alias("passage"))
+    line = lambda x: F.struct(quote_level(x).alias("level"), normalised(x).alias("body"))
+    lines = rows.where(F.col("turn").isNotNull()).select("conv", "turn", "key", F.transform(F.split("text", "\n", -1), line).alias("lines"))
+    at = lambda i: F.get("lines", i)
+    begins = lambda i: (i == 0) | (at(i).body == "") | (at(i - 1).body == "") | (at(i).level != at(i - 1).level)
+    begun = lines.withColumn("first", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), begins))
+    length = lambda i, n: F.coalesce(F.get("first", n + 1), F.size("lines")) - i
+    joined = lambda i, n: F.array_join(F.transform(F.slice("lines", i + 1, length(i, n)), lambda x: x.body), " ")
+    blocks = F.transform("first", lambda i, n: F.struct(F.lit(1).alias("kind"), at(i).level.alias("level"), joined(i, n).alias("body")))
+    single = F.transform("lines", lambda x: F.struct(F.when(F.length(x.body) >= LEAST_CHARS, 0).otherwise(2).alias("kind"), x.level.alias("level"), x.body.alias("body")))
+    passages = begun.select("conv", "turn", "key", F.explode(F.concat(single, blocks)).alias("p")).select("conv", "turn", "key", "p.*")
+    hashed = passages.where("body <> ''").select("conv", "turn", "key", "kind", "level", F.xxhash64("kind", "body").alias("passage"))
     quoted = hashed.where("level > 0").distinct()
     origin = hashed.where("level = 0").select("conv", "turn", "passage").distinct()
     asked = quoted.select("conv", "passage").distinct()
     origin = origin.join(asked.select(F.col("conv").alias("c"), F.col("passage").alias("p")), (F.col("conv").eqNullSafe(F.col("c"))) & (F.col("passage") == F.col("p")), "left_semi")
-    both = quoted.withColumn("origin", F.lit(None).cast("long")).unionByName(origin.select("conv", "turn", F.lit(None).cast("long").alias("key"), F.lit(0).alias("level"), "passage", F.col("turn").alias("origin")))
+    both = quoted.withColumn("origin", F.lit(None).cast("long")).unionByName(origin.select("conv", "turn", F.lit(None).cast("long").alias("key"), F.lit(0).alias("kind"), F.lit(0).alias("level"), "passage", F.col("turn").alias("origin")))
     both = both.withColumn("stretch", F.floor(F.col("turn") / STRETCH))
     within = Window.partitionBy("conv", "passage", "stretch").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     near = both.withColumn("near", F.max("origin").over(within)).where("level > 0")
@@ -73,8 +83,8 @@ def links(rows: DataFrame) -> DataFrame:
     before = Window.partitionBy("conv", "passage").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(F.col("conv").alias("c"), F.col("passage").alias("p"), F.col("stretch").alias("s"), F.max("last").over(before).alias("far"))
     met = near.join(ends, F.col("conv").eqNullSafe(F.col("c")) & (F.col("passage") == F.col("p")) & (F.col("stretch") == F.col("s")))
-    votes = met.withColumn("source", F.coalesce("near", "far")).where("source is not null").groupBy("conv", "turn", "key", "level", "source").agg(F.count("*").alias("n"))
-    return votes.groupBy("conv", "turn", "key").agg(F.min_by("source", F.struct("level", -F.col("n"), -F.col("source"))).alias("parent"))
+    votes = met.withColumn("source", F.coalesce("near", "far")).where("source is not null").groupBy("conv", "turn", "key", "kind", "level", "source").agg(F.count("*").alias("n"))
+    return votes.groupBy("conv", "turn", "key").agg(F.min_by("source", F.struct("kind", "level", -F.col("n"), -F.col("source"))).alias("parent"))
 
 
 def threads(rows: DataFrame) -> DataFrame:

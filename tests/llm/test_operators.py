@@ -252,6 +252,15 @@ def test_chat_long_threads_and_stretches(spark, monkeypatch):
     assert [(r.turn, r.parent, r.depth) for r in out] == [(k, k - 1 if k else None, k) for k in range(40)]
 
 
+def test_chat_links_short_and_rewrapped_quotations(spark):
+    long, said = "The key column must be sorted first", "and then all of it\nis joined to the other\ntable by its number"
+    rows = [(1, 0, "user", "Which one?"), (1, 1, "assistant", f"yes\n{long}"), (1, 2, "user", "> Which one?\nThe first."), (1, 3, "user", ">YES\n>\nFine."), (1, 4, "user", f"> Which one?\n> {long}\nNo."), (1, 5, "user", "好的"), (1, 6, "user", f"Well.\n\n{said}"), (1, 7, "user", "> 好的\nOK"),
+            (1, 8, "user", "> and then all of it is joined\n> to the other table by its number\nWhy?"), (1, 9, "user", "> absent\nx"), (2, 0, "user", "> yes\nx")]
+    out = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {r.turn: r.parent for r in out if r.conv_id == 1} == {0: None, 1: None, 2: 0, 3: 1, 4: 1, 5: None, 6: None, 7: 5, 8: 6, 9: None}
+    assert [r.parent for r in out if r.conv_id == 2] == [None]
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------
 
 
