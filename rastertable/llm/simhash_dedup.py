@@ -50,7 +50,7 @@ def word_runs(data: bytes, overlap: int, most: int = 1 << 20) -> Iterator[list[b
         end = m.end() if m else len(data)
         words = tail + data[at:end].split()
         yield words
-        tail, at = words[len(words) - overlap :] if overlap else [], end
+        tail, at = words[max(0, len(words) - overlap) :] if overlap else [], end
 
 
 def fingerprint(data: bytes, words: int = WORDS) -> int:

@@ -301,6 +301,14 @@ def test_simhash(spark):
     assert simhash_dedup.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_texts_in_short_runs_keep_their_fingerprint(monkeypatch):
+    whole = simhash_dedup.word_runs
+    for text in ("data: " + "x" * 50 + " more words and a few others", "two words" + " " * 60, "one " + " " * 50 + "b c" + " " * 50 + "d e f", prose(3, 40)):
+        for most in (1, 4, 12, 30, 200):
+            monkeypatch.setattr(simhash_dedup, "word_runs", lambda data, overlap, most=most: whole(data, overlap, most))
+            assert simhash_dedup.fingerprint(text.encode()) == brute_print(text), (text, most)
+
+
 def test_links_lose_nothing_in_large_cells(spark, monkeypatch):
     monkeypatch.setattr(simhash_dedup, "BLOCK", 8)
     r = random.Random(6)
