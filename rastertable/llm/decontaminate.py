@@ -1,20 +1,24 @@
-"""Operator 10: benchmark decontamination by SimHash of item-sized windows.
+r"""Operator 10: benchmark decontamination by SimHash of item-sized windows.
 
-Words are lower case, with ASCII punctuation as space. Every window of each item size is fingerprinted with 64 bits: a bit is
-1 if it is set in over half of the hashes of the window's words, counted per window from running sums. Item sizes are
-rounded down to at most ``SIZES`` sizes; an item is known by its first and its last window of its rounded size.
+Words are lower case, with ASCII punctuation as space. Every window of an item's size is fingerprinted with 64 bits: a bit is 1 if it
+is set in over half of the hashes of the window's words, counted per window from running sums. Windows have exactly the item's
+number of words up to 31 words; above, the five leading bits of the number are kept, which is within 1/16 of it, and the item is
+known by its first and its last window of that size.
 
 The fingerprints are cut into four blocks of 16 bits. A window whose fingerprint is within ``RADIUS`` = 7 bits of an item's has a block
 within one bit (7 = 4 x 1 + 3), so each block table holds the item's block and its 16 neighbours: no window within the radius
 is missed. A candidate gives a place for the whole item, and there the exact weighted similarity decides: the share of the
 item's weight (its five-word shingles, repeats included, the rarer among items the heavier; all words at once for shorter items) that the document's item-sized passage holds, 0.8 or more.
 
-Passages with edits in both end windows are out of the fingerprints' reach. Each item is therefore also known by its heaviest
-shingles that hold more than 0.2 of its weight together (anchors): a passage of 0.8 has one of them at least. Around each anchor
-that a document holds, every item-sized passage with the anchor is weighed, so no passage of 0.8 or more is missed.
+Passages with many edits are out of the fingerprints' reach. Each item is therefore also known by its heaviest shingles that
+hold more than 0.2 of its weight together (anchors): a passage of 0.8 has one of them at least. Around each anchor that a
+document holds, every item-sized passage with the anchor is weighed, so no passage of 0.8 or more is missed. Neighbouring
+places of an item are weighed together from running counts, once for each run of places, so the work is linear in the text.
 
-Null and empty texts match nothing, nor do items without words. Repeated rows and repeated items each give their rows.
-Items are held by each task in blocks of at most ``ITEM_WORDS`` words; a larger benchmark is taken block by block.
+A text is scanned in steps that overlap by the longest item, whatever its length, so every item-sized passage lies whole in a
+step. Null and empty texts match nothing, nor do items without words; items with a null item_id are items like any other.
+Repeated rows and repeated items each give their rows. Items are held by each task in blocks of at most ``ITEM_WORDS`` words (and
+one item), in the order of item_id and text; a larger benchmark is taken block by block, and weights are counted in a block.
 Other columns are not read; empty tables give an empty result.
 """
 
@@ -26,7 +30,6 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,60 +38,98 @@ from rastertable.llm.shared import as_bytes, slices
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 7
-SIZES = 6
-ITEM_WORDS = 2_000_000
-#: Words that one step of the window scan holds.
-STEP = 1 << 16
+#: Leading bits of an item's number of words that its window size keeps.
+SIZE_BITS = 5
+ITEM_WORDS = 500_000
+#: Bytes that one step of the window scan holds, about; more if the longest item needs it.
+STEP = 1 << 19
 _FOLD = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
-#: One byte's eight bits, each in a byte of a 64-bit number.
-_LANES = np.array([sum(1 << 8 * k for k in range(8) if v >> k & 1) for v in range(256)], np.uint64)
-_ONES = np.uint64(0x0101010101010101)
+_ONES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+#: Multiplier of the words' polynomial hashes and its inverse modulo 2^64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def words_of(data: bytes) -> list[bytes]:
     return data.translate(_FOLD).split()
 
 
-class Hashes(dict):
-    """Hashes of words, remembered; starts anew when it holds many."""
+class _Powers:
+    """Powers of the multiplier and of its inverse, kept for each worker and grown when needed."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+    up = down = np.ones(1, np.uint64)
 
+    @classmethod
+    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            with np.errstate(over="ignore"):
+                cls.up, cls.down = (np.cumprod(np.r_[np.uint64(1), np.full(n, x, np.uint64)]) for x in (_BASE, _INVERSE))
+        return cls.up[:n], cls.down[:n]
 
-#: One for each worker process.
-_HASHES = Hashes()
+
+def word_hashes(folded: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of the words of a folded text: each word's bytes as a polynomial, from running sums, mixed."""
+    raw = np.frombuffer(folded, np.uint8)
+    inside = np.zeros(len(raw) + 2, np.int8)
+    inside[1:-1] = raw != 32
+    edge = np.diff(inside)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    up, down = _Powers.upto(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(raw * up[: len(raw)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * down[starts]
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(factor)
+    return starts, ends, h ^ h >> np.uint64(33)
+
+
+def window_size(n: int) -> int:
+    """The window size of an item of ``n`` words."""
+    low = max(0, n.bit_length() - SIZE_BITS)
+    return n >> low << low
 
 
 def window_prints(hashes: np.ndarray, size: int, sums: np.ndarray | None = None) -> np.ndarray:
-    """Fingerprints of all windows of ``size`` words. Sums stay exact in 8-bit lanes up to 255 words, else in wider steps."""
+    """Fingerprints of all windows of ``size`` words."""
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    if size > 250:
-        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        run = np.zeros((len(hashes) + 1, 64), np.int32)
-        np.cumsum(bits, axis=0, out=run[1:])
-        return np.packbits((run[size:] - run[:-size]) * 2 > size, axis=1, bitorder="little").view("<u8").ravel()
+    if size > 255:
+        return _wide_prints(hashes, size)
     sums = lane_sums(hashes) if sums is None else sums
-    out = np.zeros(n, np.uint64)
-    #: A lane's high bit is set if its count plus this is 128 or more: for counts over half the size; twice as wide above 127.
-    wide = size > 127
+    out, count = np.zeros(n, np.uint64), np.empty(n, np.uint64)
+    #: A lane's high bit is set if its count plus this is 128 or more: for counts over half the size. No lane passes 255.
+    more = _ONES * np.uint64(127 - size // 2)
     for k in range(8):
-        count = sums[k, size:] - sums[k, :-size]
-        if wide:
-            even, odd = count & np.uint64(0x00FF00FF00FF00FF), (count >> np.uint64(8)) & np.uint64(0x00FF00FF00FF00FF)
-            add = np.uint64(0x0001000100010001) * np.uint64(32767 - size // 2)
-            flags = (((even + add) >> np.uint64(15)) & np.uint64(0x0001000100010001)) | ((((odd + add) >> np.uint64(15)) & np.uint64(0x0001000100010001)) << np.uint64(8))
-        else:
-            flags = ((count + _ONES * np.uint64(127 - size // 2)) >> np.uint64(7)) & _ONES
-        out |= flags << np.uint64(k)
+        np.subtract(sums[k, size:], sums[k, :-size], out=count)
+        np.add(count, more, out=count)
+        np.bitwise_and(count, _TOPS, out=count)
+        np.right_shift(out, np.uint64(1), out=out)
+        np.bitwise_or(out, count, out=out)
     return out
 
 
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
+def _wide_prints(hashes: np.ndarray, size: int, piece: int = 1 << 13) -> np.ndarray:
+    """Fingerprints of large windows, in pieces, by the bits that come in and go out."""
+    n = len(hashes) - size + 1
+    count = sum((_bits(hashes[at : min(at + piece, size)]).sum(axis=0, dtype=np.int64) for at in range(0, size, piece)), np.zeros(64, np.int64))
+    out = []
+    for at in range(0, n, piece):
+        end = min(at + piece, n)
+        change = _bits(hashes[at + size : end + size]).astype(np.int32)
+        change -= _bits(hashes[at : at + len(change)])
+        run = np.zeros((end - at + 1, 64), np.int64)
+        np.cumsum(change, axis=0, out=run[1 : len(change) + 1])
+        out.append(np.packbits((run[: end - at] + count) * 2 > size, axis=1, bitorder="little").view("<u8").ravel())
+        count = count + run[end - at]
+    return np.concatenate(out)
+
+
 def lane_sums(hashes: np.ndarray) -> np.ndarray:
     """Running sums of the hashes' bits: row k has the bits 8 lane + k, each lane a byte, modulo 2^64."""
     run = np.zeros((8, len(hashes) + 1), np.uint64)
@@ -108,113 +149,85 @@ def gram_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     n = max(0, len(hashes) - size + 1)
     out = hashes[:n].copy()
     for k in range(1, size):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
+        out *= np.uint64(_BASE)
+        out += hashes[k : k + n]
     return out
 
 
 class ItemIndex:
     """Block tables of item fingerprints by window size, each item's weighted shingles and its anchors."""
 
-    def __init__(self, items: list[tuple[int, bytes]]) -> None:
+    def __init__(self, items: list[tuple[int | None, bytes]]) -> None:
         self.ids = [i for i, _ in items]
         self.words = [words_of(t) for _, t in items]
+        self.longest = max(map(len, self.words), default=0)
         own = [shingles(w) for w in self.words]
         seen = Counter(s for c in own for s in c)
         self.weights = [{s: n * (1 + log(len(items) / seen[s])) for s, n in c.items()} for c in own]
         self.counts = own
         self.totals = [sum(w.values()) for w in self.weights]
-        lengths = sorted({len(w) for w in self.words if w})
-        cuts = sorted({lengths[len(lengths) * k // SIZES] for k in range(SIZES)}) if lengths else []
+        self.grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         known: dict[int, set[tuple[int, int, int]]] = defaultdict(set)
-        for k, w in enumerate(self.words):
+        anchors: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for k, (w, weights) in enumerate(zip(self.words, self.weights, strict=True)):
+            names = list(weights)
+            n = min(SHINGLE, len(w))
+            hashes = [int(gram_hashes(word_hashes(s)[2], n)[0]) for s in names]
+            order = np.argsort(np.array(hashes, np.uint64))
+            keys = np.array(hashes, np.uint64)[order]
+            counts = np.array([own[k][s] for s in names], np.int64)[order]
+            each = np.array([weights[s] for s in names])[order] / np.maximum(counts, 1)
+            self.grams.append((keys, counts, each))
             if w:
-                size = max(c for c in cuts if c <= len(w))
-                h = np.array([xxhash.xxh64_intdigest(x) for x in w], np.uint64)
-                prints = window_prints(h, size)
+                size = window_size(len(w))
+                prints = window_prints(word_hashes(b" ".join(w))[2], size)
                 for at in {0, len(w) - size}:
                     known[size].add((int(prints[at]), k, at))
+                held = 0.0
+                for x in sorted(range(len(names)), key=lambda x: (-weights[names[x]], names[x])):
+                    anchors[n][hashes[x]].append(k)
+                    held += weights[names[x]]
+                    if held > (1 - SIMILARITY + 1e-9) * self.totals[k]:
+                        break
         self.tables = {size: self._tables(sorted(found)) for size, found in sorted(known.items())}
-        anchors: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for k, (w, weights) in enumerate(zip(self.words, self.weights, strict=True)):
-            held, size = 0.0, min(SHINGLE, len(w))
-            for s in sorted(weights, key=lambda s: (-weights[s], s)):
-                h = np.array([xxhash.xxh64_intdigest(x) for x in s.split(b" ")], np.uint64)
-                anchors[size][int(gram_hashes(h, size)[0])].append(k)
-                held += weights[s]
-                if held > (1 - SIMILARITY + 1e-9) * self.totals[k]:
-                    break
         self.anchors = {size: self._anchors(found) for size, found in sorted(anchors.items())}
 
     @staticmethod
     def _anchors(found: dict[int, list[int]]) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
-        """Marks of the hashes' first 20 bits, the hashes in order and the items of each."""
+        """Marks of the hashes' first 16 bits, the hashes in order and the items of each."""
         keys = np.array(sorted(found), np.uint64)
-        hit = np.zeros(1 << 20, bool)
-        hit[keys >> np.uint64(44)] = True
+        hit = np.zeros(1 << 16, bool)
+        hit[keys >> np.uint64(48)] = True
         return hit, keys, [found[x] for x in keys.tolist()]
 
-    def anchored(self, hashes: np.ndarray, owner: np.ndarray) -> dict[tuple[int, int], list[int]]:
-        """The places of each item's anchors in each text, as word numbers."""
-        out: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for size, (hit, keys, items) in self.anchors.items():
-            grams = gram_hashes(hashes, size)
-            at = np.flatnonzero(hit[grams >> np.uint64(44)])
-            key = np.minimum(np.searchsorted(keys, grams[at]), len(keys) - 1)
-            ok = (keys[key] == grams[at]) & (owner[at] == owner[at + size - 1])
-            for w, doc, k in zip(at[ok].tolist(), owner[at[ok]].tolist(), key[ok].tolist(), strict=True):
-                for item in items[k]:
-                    out[doc, item].append(w)
-        return out
-
-    def best_start(self, item: int, words: list[bytes], lo: int, hi: int, end: int) -> int | None:
-        """The first best of the starts ``lo`` to ``hi`` of an item-sized passage in a text that ends at ``end``; None if none can do."""
-        own, weights, n = self.counts[item], self.weights[item], len(self.words[item])
-        size = min(SHINGLE, n)
-        width = n - size + 1
-        grams = [b" ".join(words[p : p + size]) for p in range(lo, min(hi + n, end) - size + 1)]
-        if sum(weights.get(s, 0.0) for s in set(grams)) < (SIMILARITY - 1e-9) * self.totals[item]:
-            return None
-        held, value, best, start = Counter(), 0.0, -1.0, lo
-        for p, s in enumerate(grams):
-            if s in own:
-                held[s] += 1
-                value += weights[s] / own[s] if held[s] <= own[s] else 0.0
-            if p >= width and (s := grams[p - width]) in own:
-                value -= weights[s] / own[s] if held[s] <= own[s] else 0.0
-                held[s] -= 1
-            if p >= width - 1 and value > best + 1e-9 * self.totals[item]:
-                best, start = value, lo + p - width + 1
-        return start
-
     @staticmethod
     def _tables(found: list[tuple[int, int, int]]) -> tuple:
+        """References; for each block marks of the values within one bit, those values in order and their references."""
         prints = np.array([f[0] for f in found], np.uint64)
-        hit = np.zeros((4, 1 << 16), bool)
-        lists: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(4)]
-        for b in range(4):
-            for n, p in enumerate(prints.tolist()):
-                v = p >> 16 * b & 0xFFFF
-                for x in (v, *(v ^ 1 << t for t in range(16))):
-                    hit[b, x] = True
-                    lists[b][x].append(n)
-        flat = []
+        near = np.array([0, *(1 << t for t in range(16))], np.int64)
+        hit, flat = np.zeros((4, 1 << 16), bool), []
         for b in range(4):
-            starts = np.zeros((1 << 16) + 1, np.int64)
-            for x, ns in lists[b].items():
-                starts[x + 1] = len(ns)
-            starts = np.cumsum(starts)
-            flat.append((starts, np.array([n for x in sorted(lists[b]) for n in lists[b][x]], np.int64)))
+            values = (((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)[:, None] ^ near).ravel()
+            refs = np.repeat(np.arange(len(prints)), len(near))
+            order = np.lexsort((refs, values))
+            keys, starts = np.unique(values[order], return_index=True)
+            hit[b, keys] = True
+            flat.append((keys, np.r_[starts, len(order)], refs[order]))
         return prints, hit, flat, np.array([f[1] for f in found]), np.array([f[2] for f in found])
 
     def candidates(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, reference number) of all windows within the radius of a reference."""
         refs, hit, flat, _, _ = self.tables[size]
-        out = []
+        blocks = prints.astype("<u8", copy=False).view(np.uint16).reshape(-1, 4)
+        out, any_hit = [], hit[0].take(blocks[:, 0])
+        for b in range(1, 4):
+            any_hit |= hit[b].take(blocks[:, b])
+        met = np.flatnonzero(any_hit)
         for b in range(4):
-            block = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
-            at = np.flatnonzero(hit[b][block])
-            starts, ns = flat[b]
-            lo, width = starts[block[at]], starts[block[at] + 1] - starts[block[at]]
+            at = met[hit[b].take(blocks[met, b])]
+            keys, starts, ns = flat[b]
+            x = np.searchsorted(keys, blocks[at, b])
+            lo, width = starts[x], starts[x + 1] - starts[x]
             at = np.repeat(at, width)
             ref = ns[np.repeat(lo, width) + np.arange(len(at)) - np.repeat(np.cumsum(width) - width, width)]
             near = np.bitwise_count(prints[at] ^ refs[ref]) <= RADIUS
@@ -222,86 +235,137 @@ class ItemIndex:
         both = np.unique(np.concatenate(out))
         return both // len(refs), both % len(refs)
 
+    def places(self, hashes: np.ndarray, owner: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int]]]:
+        """For each (text, item), ranges of words where an item-sized passage may start; ``first`` has each text's first word."""
+        out: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        sums = lane_sums(hashes)
+        for size, (_, _, _, items, offsets) in self.tables.items():
+            at, ref = self.candidates(window_prints(hashes, size, sums), size)
+            same = owner[at] == owner[at + size - 1] if len(at) else np.zeros(0, bool)
+            at, ref = at[same], ref[same]
+            start = np.maximum(at - offsets[ref], first[owner[at]])
+            for doc, item, lo in zip(owner[at].tolist(), items[ref].tolist(), start.tolist(), strict=True):
+                out[doc, item].append((lo, lo))
+        for size, (hit, keys, lists) in self.anchors.items():
+            grams = gram_hashes(hashes, size)
+            at = np.flatnonzero(hit.take(grams.astype("<u8", copy=False).view(np.uint16).reshape(-1, 4)[:, 3]))
+            key = np.minimum(np.searchsorted(keys, grams[at]), len(keys) - 1)
+            ok = (keys[key] == grams[at]) & (owner[at] == owner[at + size - 1])
+            for w, doc, k in zip(at[ok].tolist(), owner[at[ok]].tolist(), key[ok].tolist(), strict=True):
+                for item in lists[k]:
+                    out[doc, item].append((max(w - len(self.words[item]) + size, int(first[doc])), w))
+        return out
+
+    def best_start(self, item: int, hashes: np.ndarray, lo: int, hi: int) -> int | None:
+        """The first best of the starts ``lo`` to ``hi`` of an item-sized passage; None if no passage can do.
+
+        ``hashes`` are a text's words; passages at its end may be shorter. Running sums give the weight of every passage if no
+        shingle comes more often than the item has it; otherwise running counts do.
+        """
+        keys, own, each = self.grams[item]
+        n = len(self.words[item])
+        size = min(SHINGLE, n)
+        width = n - size + 1
+        grams = gram_hashes(hashes[lo : hi + n], size)
+        if not len(grams):
+            return None
+        key = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+        met = keys[key] == grams
+        there = np.bincount(key[met], minlength=len(keys))
+        if (np.minimum(there, own) * each).sum() < (SIMILARITY - 1e-9) * self.totals[item]:
+            return None
+        starts = hi - lo + 1
+        if (there <= own).all():
+            run = np.zeros(len(grams) + 1)
+            np.cumsum(np.where(met, each[key], 0.0), out=run[1:])
+            at = np.minimum(np.arange(starts), len(grams))
+            held = run[np.minimum(at + width, len(grams))] - run[at]
+        else:
+            count, value, held = [0] * len(keys), 0.0, np.zeros(starts)
+            key, met, most, worth = key.tolist(), met.tolist(), own.tolist(), each.tolist()
+            for p in range(starts + width - 1):
+                if p < len(met) and met[p]:
+                    count[key[p]] += 1
+                    value += worth[key[p]] if count[key[p]] <= most[key[p]] else 0.0
+                if p >= width and p - width < len(met) and met[p - width]:
+                    value -= worth[key[p - width]] if count[key[p - width]] <= most[key[p - width]] else 0.0
+                    count[key[p - width]] -= 1
+                if p >= width - 1:
+                    held[p - width + 1] = value
+        return lo + int(np.flatnonzero(held >= held.max() - 1e-9 * self.totals[item])[0])
+
     def similarity(self, item: int, passage: list[bytes]) -> float:
         there, own, w = shingles(passage), self.counts[item], self.weights[item]
         return sum(v * min(there[s], own[s]) / own[s] for s, v in w.items() if s in there) / self.totals[item]
 
 
+def _steps(folded: bytes, overlap: int) -> Iterator[tuple[int, bytes, bool]]:
+    """(first word, text, last): a folded text in steps; each begins ``overlap`` words before the end of the step before."""
+    at = base = 0
+    while True:
+        end = at
+        while end < len(folded):
+            end += STEP
+            end = folded.find(b" ", end) if end < len(folded) else len(folded)
+            end = len(folded) if end < 0 else end
+            starts = word_hashes(folded[at:end])[0] if end < len(folded) else None
+            if starts is None or len(starts) > 2 * overlap:
+                break
+        yield base, folded[at:end], end >= len(folded)
+        if end >= len(folded):
+            return
+        skip = len(starts) - overlap
+        base, at = base + skip, at + int(starts[skip]) if overlap else end
+
+
 def _scan(index: ItemIndex, texts: list[bytes]) -> list[tuple[int, int, int, int, float]]:
     """(text number, item number, first word, words, similarity), the best place of each item in each text."""
     found: dict[tuple[int, int], tuple[int, int, float]] = {}
-    widest = max(index.tables)
-
-    def step(words: list[bytes], owner: np.ndarray, first: list[int]) -> None:
-        h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-        sums = lane_sums(h)
-        tried: set[tuple[int, int, int]] = set()
-
-        def weigh(doc: int, item: int, lo: int) -> None:
-            hi = lo + len(index.words[item])
-            passage = [x for x, o in zip(words[lo:hi], owner[lo:hi].tolist(), strict=True) if o == doc]
-            sim, at = index.similarity(item, passage), base[doc] + lo - first[doc]
-            if sim >= SIMILARITY:  # of equal places the first, and there the longest
-                old = found.get((doc, item))
-                if old is None or (sim, -at, len(passage)) > (old[2], -old[0], old[1]):
-                    found[doc, item] = (at, len(passage), sim)
-
-        for size, (_, _, _, items, offsets) in index.tables.items():
-            at, ref = index.candidates(window_prints(h, size, sums), size)
-            same = owner[at] == owner[at + size - 1] if len(at) else np.zeros(0, bool)
-            for w, r in zip(at[same].tolist(), ref[same].tolist(), strict=True):
-                doc, item = int(owner[w]), int(items[r])
-                lo = max(w - int(offsets[r]), first[doc])
-                if (doc, item, lo) in tried:
+
+    def step(parts: list[tuple[int, int, bytes, bool]]) -> None:
+        """Parts are (text number, first word, folded text, whether the text ends here), one for each text at most."""
+        joined = b" ".join(p[2] for p in parts)
+        starts, ends, hashes = word_hashes(joined)
+        edges = np.searchsorted(starts, np.cumsum([0, *(len(p[2]) + 1 for p in parts)]))
+        owner = np.repeat(np.arange(len(parts)), np.diff(edges))
+        for (part, item), ranges in index.places(hashes, owner, edges).items():
+            n, base, _, last = parts[part]
+            begin, end, size = int(edges[part]), int(edges[part + 1]), len(index.words[item])
+            most = end - 1 if last else end - size  # a passage that the step cuts lies whole in the next one
+            own, lo, hi = hashes[begin:end], None, None
+            for a, b in [*sorted(ranges), (len(hashes) + size, 0)]:
+                if lo is not None and a <= hi + 1:
+                    hi = max(hi, b)
                     continue
-                tried.add((doc, item, lo))
-                weigh(doc, item, lo)
-        for (doc, item), places in index.anchored(h, owner).items():
-            n, end = len(index.words[item]), int(np.searchsorted(owner, doc, "right"))
-            back, at = n - min(SHINGLE, n), 0
-            while at < len(places):  # places whose passages' starts meet are one range
-                lo, k = max(places[at] - back, first[doc]), at
-                while k + 1 < len(places) and places[k + 1] - back <= places[k] + 1 and places[k + 1] - lo < STEP:
-                    k += 1
-                start = index.best_start(item, words, lo, places[k], end)
-                if start is not None and (doc, item, start) not in tried:
-                    tried.add((doc, item, start))
-                    weigh(doc, item, start)
-                at = k + 1
-
-    words: list[bytes] = []
-    owner: list[np.ndarray] = []
-    first: dict[int, int] = {}
-    base: dict[int, int] = {}
-
-    def flush() -> None:
-        if words:
-            step(words, np.concatenate(owner), first)
-        words.clear()
-        owner.clear()
-        first.clear()
-
-    reach = max(widest, max(map(len, index.words)))
+                if lo is not None and (top := min(hi, most)) >= lo:
+                    start = index.best_start(item, own, lo - begin, top - begin)
+                    if start is not None:
+                        w = range(begin + start, min(begin + start + size, end))
+                        passage = [joined[starts[x] : ends[x]] for x in w]
+                        sim, at = index.similarity(item, passage), base + start
+                        old = found.get((n, item))
+                        if sim >= SIMILARITY and (old is None or (sim, -at) > (old[2], -old[0])):  # of equal places the first
+                            found[n, item] = (at, len(passage), sim)
+                lo, hi = a, b
+
+    parts: list[tuple[int, int, bytes, bool]] = []
+    held = 0
     for n, data in enumerate(texts):
-        own = words_of(data)
-        at = 0
-        while at < len(own):  # a very long text in steps that overlap by the longest item
-            part = own[at : at + STEP]
-            first[n], base[n] = len(words), at
-            words.extend(part)
-            owner.append(np.full(len(part), n))
-            last = at + STEP >= len(own)
-            if len(words) >= STEP or not last:
-                flush()
-            at = len(own) if last else at + STEP - min(2 * reach, STEP // 2)
-    flush()
+        for base, folded, last in _steps(data.translate(_FOLD), max(index.longest - 1, 0)):
+            parts.append((n, base, folded, last))
+            held += len(folded)
+            if held >= STEP or not last:
+                step(parts)
+                parts, held = [], 0
+    if parts:
+        step(parts)
     return [(n, item, *v) for (n, item), v in found.items()]
 
 
-def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
+def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, bytes]]]:
     """The benchmark in blocks of bounded size, streamed."""
     block, held = [], 0
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("binary")).where("item_id is not null and text is not null").orderBy("item_id", "text")
+    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("binary")).where("text is not null").orderBy("item_id", "text")
     for item_id, text in rows.toLocalIterator():
         n = len(words_of(bytes(text)))
         if n:
@@ -314,16 +378,35 @@ def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
         yield block
 
 
+#: The index of the block that a worker process used last.
+_INDEX: dict[int, ItemIndex] = {}
+
+
+def _index(shared) -> ItemIndex:
+    if shared.bid not in _INDEX:
+        _INDEX.clear()
+        _INDEX[shared.bid] = ItemIndex(shared.items.value)
+    return _INDEX[shared.bid]
+
+
+class _Shared:
+    """A broadcast block of items and a number that tells blocks apart."""
+
+    def __init__(self, items, bid: int) -> None:
+        self.items, self.bid = items, bid
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, similarity): the best place of each benchmark item in each document that holds it."""
     spark, out = docs.sparkSession, None
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id long, first_word long, n_words long, similarity double"
     for block in _item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block)  # at most ITEM_WORDS words
+        sent = spark.sparkContext.broadcast(block)  # at most ITEM_WORDS words
+        shared = _Shared(sent, sent._jbroadcast.id())
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(shared.value)
+            index = _index(shared)
             for batch in slices(batches, "text"):
                 ids = batch.column("doc_id").to_pylist()
                 got = _scan(index, as_bytes(batch.column("text")))

@@ -379,7 +379,7 @@ def test_ann_keeps_the_neighbours_inside_a_group_of_near_copies(spark, tmp_path)
 # 10 --------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("size", [3, 14, 59, 127, 128, 250, 251, 300])
+@pytest.mark.parametrize("size", [3, 14, 59, 127, 128, 255, 256, 300])
 def test_window_prints(size):
     h = np.random.default_rng(size).integers(0, 1 << 63, 400, np.uint64) * np.uint64(2) + np.uint64(1)
     got = decontaminate.window_prints(h, size)
@@ -402,14 +402,14 @@ def test_candidates_are_all_within_the_radius():
 
 
 def test_decontamination(spark, monkeypatch):
-    items = [(k, prose(1000 + k, 14 + k)) for k in range(30)] + [(50, "Tiny one"), (51, None), (52, " ... "), (53, prose(1500, 320))]
+    items = [(k, prose(1000 + k, 14 + k)) for k in range(30)] + [(50, "Tiny one"), (51, None), (52, " ... "), (53, prose(1500, 320)), (None, prose(1501, 18))]
     text = dict(items)
     clean = [(200 + k, prose(k, 300), None, "a") for k in range(20)]
     edited = text[25].split()
     edited[30] = "other"
-    rows = [*EDGE, *clean, (10, f"{prose(1, 90)} {text[3].upper()}! {prose(2, 40)}", None, "a"), (11, f"{text[7]}\n{text[8]}", None, "a"), (12, " ".join(edited), None, "a"), (13, prose(5, 70_000) + " " + text[9] + " " + prose(6, 9), None, "a"), (14, "a tiny, one b", None, "a"), (15, prose(9, 20) + " " + text[53], None, "a"), (10, text[4], None, "a"), (16, text[20].rsplit(" ", 20)[0], None, "a")]
+    rows = [*EDGE, *clean, (10, f"{prose(1, 90)} {text[3].upper()}! {prose(2, 40)}", None, "a"), (11, f"{text[7]}\n{text[8]}", None, "a"), (12, " ".join(edited), None, "a"), (13, prose(5, 70_000) + " " + text[9] + " " + prose(6, 9), None, "a"), (14, "a tiny, one b", None, "a"), (15, prose(9, 20) + " " + text[53], None, "a"), (10, text[4], None, "a"), (16, text[20].rsplit(" ", 20)[0], None, "a"), (17, text[None], None, "a")]
     bench = spark.createDataFrame([(i, t, "clash") for i, t in items], "item_id long, text string, doc_id string")
-    want = [(10, 3), (10, 4), (11, 7), (11, 8), (12, 25), (13, 9), (14, 50), (15, 53)]
+    want = [(10, 3), (10, 4), (11, 7), (11, 8), (12, 25), (13, 9), (14, 50), (15, 53), (17, None)]
     out = decontaminate.matches(table(spark, rows), bench)
     assert rows_of(out, "doc_id", "item_id") == sorted(want, key=str)
     place = {(r.doc_id, r.item_id): (r.first_word, r.similarity) for r in out.collect()}
@@ -438,3 +438,60 @@ def test_edited_passages_are_found_as_by_brute_force():
             texts.append(b" ".join(full))
     got = {(n, item): sim for n, item, _, _, sim in decontaminate._scan(index, texts)}
     assert len(want) > 50 and set(got) == set(want) and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+def test_word_hashes_depend_on_the_word_alone():
+    texts = [prose(k, 200).encode().translate(decontaminate._FOLD) for k in range(5)] + ["é x ü éé  ".encode(), b" ", b""]
+    known = {}
+    for t in texts:
+        starts, ends, hashes = decontaminate.word_hashes(t)
+        assert [t[a:b] for a, b in zip(starts, ends, strict=True)] == t.split()
+        for w, h in zip(t.split(), hashes.tolist(), strict=True):
+            assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known)
+
+
+def test_no_item_is_too_long_and_no_offset_is_lost(monkeypatch):
+    item = prose(4000, 700)
+    index = decontaminate.ItemIndex([(1, item.encode()), (None, prose(4001, 9).encode())])
+    monkeypatch.setattr(decontaminate, "STEP", 900)
+    filler = prose(4002, 3000).split()
+    for at in range(0, 3000, 41):
+        (found,) = decontaminate._scan(index, [" ".join([*filler[:at], item, *filler[at:]]).encode()])
+        assert found == (0, 0, at, 700, 1.0)
+    monkeypatch.undo()
+    for n, at in ((40_000, 50_000), (70_000, 0), (70_000, 33_333)):
+        item = prose(n, n)
+        index = decontaminate.ItemIndex([(1, item.encode())])
+        text = f"{prose(1, at)} {item} {prose(2, 20_000)}"
+        assert decontaminate._scan(index, ["".encode(), text.encode()]) == [(1, 0, at, n, 1.0)]
+
+
+def test_repeated_shingles_and_text_ends_as_by_brute_force():
+    r, items = random.Random(3), [(0, b"a b a b a b a b a b a b c"), (1, b"x y z x y z x y z q"), (2, b"q w")]
+    index = decontaminate.ItemIndex(items)
+    for _ in range(300):
+        words = [r.choice([b"a", b"b", b"x", b"y", b"z", b"q", b"w"]) for _ in range(r.randint(0, 25))]
+        words[r.randint(0, len(words)) : 0] = items[r.randrange(3)][1].split()
+        want = {}
+        for k, (_, t) in enumerate(items):
+            n = len(t.split())
+            sims = [index.similarity(k, words[a : a + n]) for a in range(len(words))]
+            if max(sims) >= decontaminate.SIMILARITY:
+                want[k] = max(sims)
+        assert {item: pytest.approx(sim) for _, item, _, _, sim in decontaminate._scan(index, [b" ".join(words)])} == want
+
+
+def test_fingerprints_alone_find_most_edited_passages():
+    r = random.Random(5)
+    items = [(k, prose(7000 + k, 16 + k % 44).encode()) for k in range(120)]
+    index = decontaminate.ItemIndex(items)
+    index.anchors = {}
+    met = total = 0
+    for k, (_, text) in enumerate(items):
+        words = text.split()
+        words[r.randrange(len(words))] = b"edited"
+        full = prose(8000 + k, 40).encode().split() + words + prose(9000 + k, 40).encode().split()
+        if index.similarity(k, full[40 : 40 + len(words)]) >= decontaminate.SIMILARITY:
+            total, met = total + 1, met + any(f[1] == k for f in decontaminate._scan(index, [b" ".join(full)]))
+    assert total > 80 and met >= 0.95 * total
