@@ -14,7 +14,7 @@ from rastertable.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    blocks = token_files.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    blocks = token_files.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.read_documents(blocks)
 
 

@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -25,8 +26,10 @@ from rastertable.llm.shared import as_bytes, slices, written
 
 #: Ids in a block, at least (a block ends with the document that fills it).
 BLOCK_IDS = 1 << 16
-#: Entries that a worker's memory of encoded words may hold; when full it starts anew.
-MEMORY_ENTRIES = 700_000
+#: Bytes that a worker's memory of encoded words may hold, about; when full it starts anew. An entry takes ``ENTRY_BYTES`` and its texts.
+MEMORY_BYTES, ENTRY_BYTES = 192 << 20, 180
+#: Below this character the pattern and the library agree on letters and digits; a test goes through all of them.
+PLAIN = "\u0500"
 BLOCKS = "shard int, block int, first_id long, n_ids int, width int, payload binary, doc_ids array<long>, doc_starts array<int>"
 
 
@@ -57,65 +60,114 @@ def unpack(payload: bytes, width: int, first: int, count: int) -> np.ndarray:
 
 
 class WordEncoder:
-    """Encodes whole texts with a byte-level BPE model of the tokenizers library, remembering words it has met.
-
-    The model's pre-tokenizer never joins characters across a space that follows another character, so that texts are cut
-    before single spaces and each piece is encoded by itself; a text with a run of spaces or a special token goes to the
-    library whole. Ids are kept as little-endian bytes, so that a text's ids are one join.
+    r"""Encodes whole texts with a byte-level BPE model of the tokenizers library, remembering words it has met.
+
+    The library's pre-tokenizer never joins characters across a single space between two characters that are not white
+    space, so such texts are cut before their spaces and only words that are not known yet are encoded. A word of characters
+    below ``PLAIN`` is cut by the pre-tokenizer's pattern and its pieces go to the library's model; any other word goes to the library
+    itself, whose tables of letters and digits may be of another release of Unicode than the pattern's. A text with a space beside
+    other white space or at its end, or with a special token, goes to the library whole. What is remembered is bounded in bytes:
+    ``MEMORY_BYTES`` and one batch. Ids are kept as little-endian bytes, so that a text's ids are one join.
     """
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str) -> None:
+        import public_tokenizers
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.special = [x.content for x in self.whole.get_added_tokens_decoder().values()]
         self.model = self.whole.model
-        self.pattern = regex.compile(pattern)
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        special = [x.content for x in self.whole.get_added_tokens_decoder().values()]
+        #: RE2: texts that are not cut. Every character that some release of Unicode counts as white space is in the class.
+        self.odd = "|".join([f"{_WHITE} | {_WHITE}| $", *map(_quoted, special)])
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.short: dict[str, list[int]] = {}
+        self.held = 0
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in set(printable)]
         #: The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
         self.alphabet = {b: b for b in printable} | {b: 256 + k for k, b in enumerate(rest)}
 
-    def piece(self, text: str) -> bytes:
-        got = self.pieces.get(text)
-        if got is None:
-            spelled = text.encode().decode("latin-1").translate(self.alphabet)
-            got = self.pieces[text] = np.array([t.id for t in self.model.tokenize(spelled)], self.dtype).tobytes()
-        return got
-
-    def encode(self, text: str) -> np.ndarray:
-        if "  " in text or any(s in text for s in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        words, known = text.split(" "), self.words
-        first = words.pop(0)
-        out = [b"".join(map(self.piece, self.pattern.findall(first)))]
-        for w in words:
-            got = known.get(w)
-            if got is None:
-                got = known[w] = b"".join(map(self.piece, self.pattern.findall(" " + w)))
-            out.append(got)
-        if len(known) > MEMORY_ENTRIES or len(self.pieces) > MEMORY_ENTRIES:
-            known.clear()
-            self.pieces.clear()
-        return np.frombuffer(b"".join(out), self.dtype)
-
-
-_ENCODERS: dict[tuple[str, str], WordEncoder] = {}
-
-
-def encoder(path: str, pattern: str) -> WordEncoder:
+    def library(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def model_ids(self, piece: str) -> list[int]:
+        """The ids of one piece of the pre-tokenizer."""
+        simple = piece.isascii() and piece.isprintable()
+        spelled = piece.replace(" ", "\u0120") if simple else piece.encode().decode("latin-1").translate(self.alphabet)
+        return [t.id for t in self.model.tokenize(spelled)]
+
+    def learn(self, words: list[str]) -> None:
+        """Remembers new words, each with the space before it; those of plain characters are cut in one go."""
+        plain = [w for w in words if w.isascii() or max(w) < PLAIN]
+        ids, ends, short = [], [], self.short
+        if plain:
+            for p in self.pattern.findall(" " + " ".join(plain)):
+                if p[0] == " ":  # a word's first piece begins with its space, no other does
+                    ends.append(len(ids))
+                    ids += self.model_ids(p)
+                elif len(p) > 3:
+                    ids += self.model_ids(p)
+                else:
+                    if p not in short:
+                        short[p] = self.model_ids(p)
+                    ids += short[p]
+        each = self.dtype.itemsize
+        raw, edges = np.array(ids, self.dtype).tobytes(), [each * x for x in (*ends, len(ids))]
+        found = {w: raw[lo:hi] for w, lo, hi in zip(plain, edges[:-1], edges[1:], strict=True)} if plain else {}
+        if len(plain) < len(words):
+            found |= {w: self.library(" " + w) for w in words if w not in found}
+        self.words |= found
+        self.held += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY_BYTES * len(found)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null counts as empty."""
+        if self.held > MEMORY_BYTES:
+            self.words, self.short, self.held = {}, {}, 0
+        odd = pc.fill_null(pc.match_substring_regex(texts, self.odd), False).to_pylist()
+        parts: list[tuple[list[str], list[bytes | None], list[int]]] = []
+        missing: dict[str, None] = {}
+        for text, whole in zip(texts.to_pylist(), odd, strict=True):
+            if whole or not text:
+                parts.append(([], [self.library(text or "")], []))
+                continue
+            words = text.split(" ")
+            got = list(map(self.words.get, words))
+            got[0] = self.library(words[0])  # no space before it
+            new = [k for k, x in enumerate(got) if x is None]
+            missing |= dict.fromkeys([words[k] for k in new])
+            parts.append((words, got, new))
+        self.learn(list(missing))
+        out = []
+        for words, got, new in parts:
+            for k in new:
+                got[k] = self.words[words[k]]
+            out.append(np.frombuffer(b"".join(got), self.dtype))
+        return out
+
+
+# Fixed value: white space of any release of Unicode, and marks that some tools count as such.
+_WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
+
+
+def _quoted(text: str) -> str:
+    return "".join(f"\\x{{{ord(c):x}}}" for c in text)
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
     """One encoder for each worker process and tokenizer file."""
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = WordEncoder(path, pattern)
-    return _ENCODERS[path, pattern]
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
-def _blocks(path: str, pattern: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _blocks(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
+        enc = encoder(path)
         width, shard = id_bits(enc.whole.get_vocab_size()), TaskContext.get().partitionId()
         schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first_id", pa.int64()), ("n_ids", pa.int32()), ("width", pa.int32()), ("payload", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int32()))])
         end = np.array([end_id], np.uint32)
@@ -127,11 +179,10 @@ def _blocks(path: str, pattern: str, end_id: int) -> Callable[[Iterator[pa.Recor
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((shard, block, first, count, width, pack(np.concatenate(held), width), docs, starts), schema, strict=True)], schema=schema)
 
-        for batch in slices(batches, "text"):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for batch in slices(batches, "text", 8 << 20):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text")), strict=True):
                 docs.append(doc_id)
                 starts.append(count)
-                ids = enc.encode(text or "")
                 held += [ids, end]
                 count += len(ids) + 1
                 if count >= BLOCK_IDS:
@@ -143,14 +194,14 @@ def _blocks(path: str, pattern: str, end_id: int) -> Callable[[Iterator[pa.Recor
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 0) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
     """Encodes ``docs`` (doc_id, text) and writes the token table; returns the table as read back (schema ``BLOCKS``).
 
     Shards are ranges of doc_id. A document is never cut, so a block is at most ``BLOCK_IDS`` ids and one document long.
     """
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("text"))
     ordered = ordered.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    return written(ordered.mapInArrow(_blocks(tokenizer_path, pattern, end_id), BLOCKS), "tokens")
+    return written(ordered.mapInArrow(_blocks(tokenizer_path, end_id), BLOCKS), "tokens")
 
 
 def shard_offsets(blocks: DataFrame) -> DataFrame:

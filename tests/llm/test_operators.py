@@ -59,7 +59,7 @@ def test_token_files_against_the_library(spark):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = [*EDGE, (7, "don't  stop<|endoftext|> it's", None, "a"), (8, " lead and trail ", None, "a")]
-    blocks = token_files.write_tokens(table(spark, rows), path, public_tokenizers.PATTERN)
+    blocks = token_files.write_tokens(table(spark, rows), path)
     lib = Tokenizer.from_file(path)
     want, at = [], 0
     ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
@@ -73,7 +73,25 @@ def test_token_files_against_the_library(spark):
     assert rows_of(got, "doc_id", "start", "n_tokens", "ids_crc32") == sorted(want, key=str)
     first = blocks.agg(F.min("shard")).first()[0]
     assert token_files.read_ids(blocks, first, 2, 5).tolist() == stream[2:7]
-    assert token_files.read_documents(token_files.write_tokens(table(spark, []), path, public_tokenizers.PATTERN)).count() == 0
+    assert token_files.read_documents(token_files.write_tokens(table(spark, []), path)).count() == 0
+
+
+def test_ids_equal_the_library_for_all_kinds_of_white_space_and_characters(monkeypatch):
+    path, r = public_tokenizers.path("byte_bpe_50k.json"), random.Random(11)
+    enc = token_files.WordEncoder(path)
+    white = [chr(c) for c in range(0x3001) if chr(c).isspace() or chr(c) in "\u180e\u200b\u2060"] + ["\ufeff"]
+    marks = ["'s", "don't", "<|endoftext|>", "<|endof", "1", "42", "²", "é", "日本", "a", "the", "Of", ".", "...", "!?", "_", "\x00", "Ġ", "ġ", "😀", "\u0558", "\U00010940", "ß", "я", "\u0301", " "]
+    texts = ["".join(r.choice(white if r.random() < 0.2 else " " if r.random() < 0.5 else marks) for _ in range(r.randint(0, 12))) for _ in range(100_000)]
+    want = [x.ids for x in enc.whole.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(token_files, "MEMORY_BYTES", 2_000_000)
+    for at in range(0, len(texts), 5000):
+        for t, got, ids in zip(texts[at : at + 5000], enc.encode(pa.array(texts[at : at + 5000])), want[at : at + 5000], strict=True):
+            assert got.tolist() == ids, t
+    assert enc.held < 4_000_000 and not len(enc.encode(pa.array([None, ""], pa.string()))[0])
+    every = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(every), 4096):
+        t = " ".join(f"a{c}1{c}!{c}x" for c in every[at : at + 4096])
+        assert enc.encode(pa.array([t]))[0].tobytes() == enc.library(t)
 
 
 # 2 ---------------------------------------------------------------------------------------------------------------
