@@ -3,12 +3,15 @@
 A fingerprint has 64 bits: bit b is 1 if it is set in over half of the document's shingle hashes (repeats included).
 Two fingerprints are linked if they differ in at most ``RADIUS`` bits.
 
-Distances to a set of reference fingerprints (pivots) are tabled for each of seven bit segments, so that a fingerprint's
-distances are sums of table rows. Two linked fingerprints agree on at least three whole segments, and there all their pivot
-distances agree; cells are therefore keyed by the table rows of three segments (35 choices), which loses no link. In a
-cell, pairs whose largest difference of pivot distances exceeds the radius are discarded, and the rest are verified bit by
-bit. A cell gives only a spanning star of each of its local components, so that large groups of copies stay linear, and a cell
-of very many fingerprints is split into pairs of blocks.
+The Hamming distances to ``PIVOTS`` reference fingerprints are a fingerprint's coordinates, summed from a precomputed table for each
+of its eight bytes. Linked fingerprints differ in no coordinate by more than the radius: of the pairs that meet in a cell, those
+whose largest coordinate difference exceeds it are discarded, and the rest are verified bit by bit.
+
+Coordinates alone are no index: they lie close together, so a grid over them needs 3 ** m cells a fingerprint to compare 0.7 ** m of all
+pairs. Cells are therefore made of bit segments: the 64 bits are cut into s segments, linked fingerprints agree on at least s - 4 of
+them, and each choice of s - 4 segments is a cell key, which loses no link. s grows with the number of distinct fingerprints, so
+that a cell has a few by chance; the result does not depend on it. A cell gives only a spanning star of each of its local
+components, so that large groups of copies stay linear, and a cell of very many fingerprints is split into pairs of blocks.
 
 Equal fingerprints are one node. Null and empty texts have fingerprint zero and link like any other. Rows whose doc_id is null
 are kept; a component's id is its least doc_id that is not null. An empty table gives an empty result; other columns pass by.
@@ -17,7 +20,7 @@ are kept; a component's id is its least doc_id that is not null. An empty table
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -26,19 +29,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rastertable.llm.components import components
+from rastertable.llm.components import components, split_join
 from rastertable.llm.shared import as_bytes, slices, written
 
 RADIUS = 4
 WORDS = 4
 SEED = 42
-#: Bits of each segment; with RADIUS differing bits at least 7 - 4 = 3 segments agree.
-SEGMENTS = (9, 9, 9, 9, 9, 9, 10)
-SHIFTS = tuple(int(x) for x in np.cumsum((0, *SEGMENTS[:-1])))
-CHOICES = tuple(combinations(range(len(SEGMENTS)), len(SEGMENTS) - RADIUS))
 PIVOTS = 16
 #: Fingerprints of a cell that one block holds.
 BLOCK = 1024
+#: Fingerprints that share a cell by chance, at most, about.
+CHANCE = 4
 _SPACE = re.compile(rb"[ \t-\r]")
 
 
@@ -85,49 +86,52 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_fingerprints, "doc_id long, row_key long, fp long")
 
 
-def pivot_tables(pivots: int = PIVOTS, seed: int = 7) -> list[np.ndarray]:
-    """For each segment, the Hamming distances of each value to the pivots' bits of that segment."""
-    reference = np.random.default_rng(seed).integers(0, 1 << 63, pivots, np.uint64) * np.uint64(2) + np.arange(pivots, dtype=np.uint64) % np.uint64(2)
-    out = []
-    for shift, width in zip(SHIFTS, SEGMENTS, strict=True):
-        values = np.arange(1 << width, dtype=np.uint64)
-        own = (reference >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-        out.append(np.bitwise_count(values[:, None] ^ own[None, :]).astype(np.int8))
-    return out
+def pivot_tables(pivots: int = PIVOTS, seed: int = 7) -> np.ndarray:
+    """For each byte of a fingerprint and each value of it, the Hamming distances to the pivots' bits of that byte."""
+    reference = np.random.default_rng(seed).integers(0, 256, (8, 1, pivots), np.uint8)
+    return np.bitwise_count(np.arange(256, dtype=np.uint8)[None, :, None] ^ reference).astype(np.int8)
 
 
-_TABLES: dict[str, list[np.ndarray]] = {}
+_TABLES = pivot_tables()
 
 
-def _tables() -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The distance tables, and for each segment value the number of its distinct table row."""
-    if not _TABLES:
-        _TABLES["distances"] = pivot_tables()
-        _TABLES["rows"] = [np.unique(t, axis=0, return_inverse=True)[1].ravel().astype(np.int64) for t in _TABLES["distances"]]
-    return _TABLES["distances"], _TABLES["rows"]
+def coordinates(fps: np.ndarray) -> np.ndarray:
+    """The distances of fingerprints to the pivots, one row for each."""
+    each = fps.astype("<u8").view(np.uint8).reshape(-1, 8)
+    return sum(_TABLES[b][each[:, b]] for b in range(8))
 
 
-def _segments(fps: np.ndarray) -> list[np.ndarray]:
-    return [((fps >> np.uint64(s)) & np.uint64((1 << w) - 1)).astype(np.int64) for s, w in zip(SHIFTS, SEGMENTS, strict=True)]
+def segments(n: int) -> list[tuple[int, int]]:
+    """(shift, width) of the bit segments for ``n`` distinct fingerprints."""
+    count = RADIUS + 1
+    while count < 12 and n > CHANCE << 64 * (count - RADIUS) // count:
+        count += 1
+    widths = [64 // count + (k < 64 % count) for k in range(count)]
+    return [(sum(widths[:k]), w) for k, w in enumerate(widths)]
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    _, rows = _tables()
-    for batch in batches:
-        signed = batch.column("fp").to_numpy()
-        own = [rows[k][v] for k, v in enumerate(_segments(signed.view(np.uint64)))]
-        for c, picked in enumerate(CHOICES):
-            key = np.full(len(signed), c, np.int64)
-            for k in picked:
-                key = key << 10 | own[k]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(signed)], names=["cell", "fp"])
+def _cells(cut: list[tuple[int, int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A row for each fingerprint and choice of segments; a cell is the choice and the chosen bits."""
+    choices = list(combinations(range(len(cut)), len(cut) - RADIUS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signed = batch.column("fp").to_numpy()
+            fps = signed.view(np.uint64)
+            own = [(fps >> np.uint64(s)) & np.uint64((1 << w) - 1) for s, w in cut]
+            for c, picked in enumerate(choices):
+                key = np.zeros(len(fps), np.uint64)
+                for k in picked:
+                    key = key << np.uint64(cut[k][1]) | own[k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), c, np.int32)), pa.array(key.view(np.int64)), pa.array(signed)], names=["choice", "bits", "fp"])
+
+    return run
 
 
 def local_stars(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (member, first member) that join each component of the given distinct fingerprints."""
     n = len(fps)
-    distances, _ = _tables()
-    coords = sum(distances[k][v].astype(np.int16) for k, v in enumerate(_segments(fps)))
+    coords = coordinates(fps)
     near = np.ones((n, n), bool)
     for p in range(coords.shape[1]):
         near &= np.abs(coords[:, p][:, None] - coords[:, p][None, :]) <= RADIUS
@@ -147,8 +151,7 @@ def local_stars(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches come sorted by cell and block pair; a group may go on in the next batch."""
-    distances, _ = _tables()
-    kept: tuple[np.ndarray, np.ndarray] = (np.zeros((0, 3), np.int64), np.zeros(0, np.int64))
+    kept: tuple[np.ndarray, np.ndarray] = (np.zeros((0, 4), np.int64), np.zeros(0, np.int64))
 
     def solve(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         fps = fps.view(np.uint64)
@@ -156,10 +159,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(np.r_[starts, len(keys)])
         two = starts[sizes == 2]
         a, b = fps[two], fps[two + 1]
-        gap = np.zeros((len(two), PIVOTS), np.int16)
-        for k, (x, y) in enumerate(zip(_segments(a), _segments(b), strict=True)):
-            gap += distances[k][x].astype(np.int16) - distances[k][y]
-        live = np.abs(gap).max(axis=1, initial=0) <= RADIUS
+        live = np.abs(coordinates(a) - coordinates(b)).max(axis=1, initial=0) <= RADIUS
         live &= np.bitwise_count(a ^ b) <= RADIUS
         u, v = [a[live]], [b[live]]
         for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
@@ -169,7 +169,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (u, v)], names=["a", "b"])
 
     for batch in batches:
-        keys = np.column_stack([np.asarray(batch.column(c)) for c in ("cell", "i", "j")]).astype(np.int64)
+        keys = np.column_stack([np.asarray(batch.column(c)) for c in ("choice", "bits", "i", "j")]).astype(np.int64)
         keys, fps = np.concatenate([kept[0], keys]), np.concatenate([kept[1], batch.column("fp").to_numpy()])
         if not len(keys):
             continue
@@ -183,24 +183,24 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b): links that join the components of distinct fingerprints (column fp)."""
-    cells = written(distinct.select("fp").mapInArrow(_cells, "cell long, fp long"), "cells")
-    counts = cells.groupBy("cell").count().where("count > 1").select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    shared = cells.join(counts, "cell").withColumn("own", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("fp"), F.col("blocks"))).otherwise(0).cast("int"))
+    cells = written(distinct.select("fp").mapInArrow(_cells(segments(distinct.count())), "choice int, bits long, fp long"), "cells")
+    counts = cells.groupBy("choice", "bits").count().where("count > 1").select("choice", "bits", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    shared = cells.join(counts, ["choice", "bits"]).withColumn("own", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("fp"), F.col("blocks"))).otherwise(0).cast("int"))
     paired = shared.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-    return paired.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(_links, "a long, b long")
+    cell = ["choice", "bits", "i", "j"]
+    paired = paired.select("choice", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+    return paired.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, row_key, fingerprint, component_id, root) for each row of ``docs``; root is the least fingerprint of a component."""
     prints = written(fingerprints(docs), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    total = nodes.count()
     roots = components(links(nodes), "a", "b")
-    #: Written as well: the join on root must be free to split a component that most nodes belong to.
     linked = written(roots.join(nodes.withColumnRenamed("fp", "node"), "node"), "linked")
     least = written(linked.groupBy("root").agg(F.min("least").alias("low")), "components")
-    moved = linked.join(least, "root").select(F.col("node").alias("fp"), "low", "root")
+    moved = split_join(linked, least, "root", "node", total).select(F.col("node").alias("fp"), "low", "root")
     named = nodes.join(moved, "fp", "left").select("fp", F.coalesce("low", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
-    #: Written, so that both sides of the join come from a shuffle of their own and Spark can split a hot fingerprint.
-    out = prints.join(written(named, "nodes"), "fp")
+    out = split_join(prints, written(named, "named"), "fp", F.monotonically_increasing_id(), prints.count())
     return out.select("doc_id", "row_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
