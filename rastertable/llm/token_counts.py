@@ -5,7 +5,8 @@ words start at marks. For each word, Aho-Corasick enumerates all vocabulary piec
 best score and the number of pieces on the best path, with the library's rules: scores add up from the left in double precision, a
 candidate replaces another only if it is strictly better, candidates come in order of their start, and a character that is no
 piece costs the least score less 10. Neighbouring unknown characters are one token, or with ``byte_fallback`` one token for
-each byte. No path is kept or traced back.
+each byte. No path is kept or traced back: scores and counts stay in a ring as long as the longest piece and matches are taken as
+they come, so a word of any length needs no more memory than its characters.
 
 Null and empty texts have 0 tokens. Rows that repeat are counted each. Other columns are not read; an empty table gives no rows.
 """
@@ -39,30 +40,34 @@ class UnigramCounter(dict):
             if piece:
                 self.pieces.add_word(piece, (len(piece), score))
         self.pieces.make_automaton()
+        #: One less than a power of two that is above the longest piece: scores are kept in a ring.
+        self.ring = (1 << max(len(p) for p, _ in vocabulary).bit_length()) - 1
 
     def count(self, word: str) -> int:
         """Tokens of one word with its mark."""
-        n = len(word)
-        lengths: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, found in self.pieces.iter(word):
-            lengths[end].append(found)
-        best, tokens, ends_unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        for end in range(1, n + 1):
-            known, top = lengths[end - 1], None
+        found = self.pieces.iter(word)  # in the order of their ends, so none is kept
+        ahead = next(found, None)
+        mask = self.ring
+        best, tokens, unknown_before = [0.0] * (mask + 1), [0] * (mask + 1), False
+        for end in range(1, len(word) + 1):
+            known, top, count, unknown, single = [], None, 0, False, False
+            while ahead is not None and ahead[0] == end - 1:
+                known.append(ahead[1])
+                ahead = next(found, None)
             known.sort(reverse=True)  # the longest piece starts first
-            single = bool(known) and known[-1][0] == 1
             for length, score in known:
-                s = score + best[end - length]
+                s = score + best[end - length & mask]
+                single = length == 1
                 if top is None or s > top:
-                    top, tokens[end] = s, tokens[end - length] + 1
+                    top, count = s, tokens[end - length & mask] + 1
             if not single:
-                s = self.unknown + best[end - 1]
+                s = self.unknown + best[end - 1 & mask]
                 if top is None or s > top:
-                    top, ends_unknown[end] = s, True
-                    more = len(word[end - 1].encode()) if self.byte_fallback else 0 if ends_unknown[end - 1] else 1
-                    tokens[end] = tokens[end - 1] + more
-            best[end] = top
-        return tokens[n]
+                    top, unknown = s, True
+                    more = len(word[end - 1].encode()) if self.byte_fallback else 0 if unknown_before else 1
+                    count = tokens[end - 1 & mask] + more
+            best[end & mask], tokens[end & mask], unknown_before = top, count, unknown
+        return tokens[len(word) & mask]
 
     def __missing__(self, word: str) -> int:
         n = self.count(MARK + word)
