@@ -1,19 +1,21 @@
 """Operator 3: sharding by fixed virtual slots.
 
-Each record is hashed (doc_id and text) to one of ``SLOTS`` virtual slots. Bytes are summed by slot, and slots are dealt to shards, the
-largest first, each to the shard with the fewest bytes so far: shards come out near equal in bytes. The slot-to-shard map is a
-small table with a version; rebalancing adds a version that moves few slots. A record's size is the UTF-8 bytes of its
-text (null: none) plus 8.
-
-The map has ``SLOTS`` rows whatever the corpus; only it passes through the driver. A record's place in its shard is its
-number within its slot plus the records of the shard's slots before it, so no task holds a shard. Rows with equal doc_id
-and text share a slot and are kept as often as they occur; null doc_ids are spread by their texts. Empty tables give empty shards. Extra columns go to the shard files;
-those named slot, shard, virtual_slot, size or part are replaced.
+Each record is hashed (doc_id and text) to one of ``SLOTS`` virtual slots. The slot-to-shard map is a small table with a version:
+version 1 deals the slots in turn, whatever they hold; then bytes are summed by slot and the map is edited, as it is whenever
+shards grow, shrink or come and go: version 2 moves slots from heavy shards to light ones until shards are near equal in bytes.
+A record's size is the UTF-8 bytes of its text (null: none) plus 8.
+
+The map has ``SLOTS`` rows whatever the corpus; only it passes through the driver. A shard is written in parts of about ``PART_BYTES``, one
+task each; a slot larger than that is spread over parts of its own. A record's place in its shard is its number within
+its part plus the records of the shard's parts before it, as counted in the written files, so no task holds a shard or a slot.
+
+A row that is repeated more often than a slot has rows on average is dealt over as many slots as it fills; such equal rows are
+told apart by their place in the scan. Null doc_ids are spread by their texts. Empty tables give empty shards. Extra columns go to
+the shard files; those named slot, shard, virtual_slot, size, part or number, or beginning with two underscores, are replaced.
 """
 
 from __future__ import annotations
 
-import heapq
 from bisect import bisect_right, insort
 from math import inf
 
@@ -31,9 +33,15 @@ MAP = "version int, virtual_slot int, shard int, n_rows long, n_bytes long"
 
 
 def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """``docs`` with size and virtual_slot."""
+    """``docs`` with size and virtual_slot, and __hash and __row, which tell records apart."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
-    return docs.withColumns({"size": size, "virtual_slot": F.pmod(F.xxhash64("doc_id", "text"), F.lit(slots)).cast("int")})
+    keyed = docs.withColumns({"size": size, "__hash": F.xxhash64("doc_id", "text"), "__row": F.monotonically_increasing_id()})
+    share = docs.count() // slots + 1
+    counts = keyed.groupBy("__hash").agg(F.count("*").alias("__n")).where(F.col("__n") > share)
+    often = written(counts.select("__hash", F.ceil(F.col("__n") / share).alias("__parts")), "repeated")
+    dealt = keyed.join(F.broadcast(often), "__hash", "left")  # at most ``slots`` rows
+    copy = F.pmod(F.xxhash64("__row"), F.coalesce("__parts", F.lit(1)))
+    return dealt.withColumn("virtual_slot", F.pmod(F.xxhash64("__hash", copy), F.lit(slots)).cast("int")).drop("__parts")
 
 
 def slot_loads(slotted: DataFrame) -> DataFrame:
@@ -45,17 +53,9 @@ def _table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, MAP)
 
 
-def first_map(loads: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
-    """Version 1 of the map: the largest slots first, each to the lightest shard."""
-    known = {r.virtual_slot: (r.n_rows, r.n_bytes) for r in loads.collect()}  # at most ``slots`` rows
-    heap = [(0, s) for s in range(shards)]
-    rows = []
-    for slot in sorted(range(slots), key=lambda v: (-known.get(v, (0, 0))[1], v)):
-        n_rows, n_bytes = known.get(slot, (0, 0))
-        held, shard = heapq.heappop(heap)
-        heapq.heappush(heap, (held + n_bytes, shard))
-        rows.append((1, slot, shard, n_rows, n_bytes))
-    return _table(loads.sparkSession, rows)
+def first_map(spark: SparkSession, shards: int, slots: int = SLOTS) -> DataFrame:
+    """Version 1 of the map, before anything is known of the loads: the slots in turn."""
+    return _table(spark, [(1, v, v % shards, 0, 0) for v in range(slots)])
 
 
 def latest(slot_map: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def latest(slot_map: DataFrame) -> DataFrame:
     return slot_map.join(F.broadcast(newest), F.col("version") == F.col("v")).drop("v")
 
 
-def rebalanced(slot_map: DataFrame, shards: int, loads: DataFrame | None = None, slack: float = 0.01) -> DataFrame:
+def rebalanced(slot_map: DataFrame, shards: int, loads: DataFrame | None = None, slack: float = 0.001) -> DataFrame:
     """A next version of the map for ``shards`` shards; returns all versions.
 
     The slots of removed shards go to the lightest shards, the largest first. Then slots move, one by one, from the heaviest
@@ -104,22 +104,45 @@ def rebalanced(slot_map: DataFrame, shards: int, loads: DataFrame | None = None,
     return slot_map.unionByName(_table(slot_map.sparkSession, [(version, v, owner[v], *size[v]) for v in sorted(owner)]))
 
 
+def parts(slot_map: DataFrame) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """(virtual_slot, shard, its first part, its parts, the task of its first part) of the newest map, and the number of tasks."""
+    by_shard: dict[int, list] = {}
+    for r in latest(slot_map).collect():  # one row for each virtual slot
+        by_shard.setdefault(r.shard, []).append(r)
+    out, task = [], 0
+    for shard, rows in sorted(by_shard.items()):
+        most = max(1, min(PART_BYTES, sum(r.n_bytes for r in rows) // LEAST_PARTS))
+        ahead = last = 0
+        for r in sorted(rows, key=lambda r: r.virtual_slot):
+            first, n = ahead // most, max(1, -(-r.n_bytes // most))
+            out.append((r.virtual_slot, shard, first, n, task + first))
+            ahead, last = ahead + r.n_bytes, max(last, first + n)
+        task += last
+    return out, task
+
+
 def placed(slotted: DataFrame, slot_map: DataFrame) -> DataFrame:
-    """``slotted`` with shard, part and slot: the record's place in its shard, from 0 without gaps."""
-    current = latest(slot_map)
-    before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    total = F.sum("n_bytes").over(Window.partitionBy("shard"))
-    parts = F.greatest(F.ceil(total / PART_BYTES), F.lit(LEAST_PARTS))
-    part = F.least(F.floor(ahead("n_bytes") * parts / F.greatest(total, F.lit(1))), parts - 1).cast("int")
-    places = current.select("virtual_slot", "shard", part.alias("part"), ahead("n_rows").alias("base"))
-    dealt = slotted.join(F.broadcast(places), "virtual_slot")  # one row for each virtual slot
-    own = Window.partitionBy("shard", "part", "virtual_slot").orderBy("doc_id", "size")
-    return dealt.repartition("shard", "part").withColumn("slot", F.col("base") + F.row_number().over(own) - 1).drop("base")
+    """``slotted`` with shard, part and number: the record's order within its part, with gaps before the first only."""
+    rows, tasks = parts(slot_map)
+    places = F.broadcast(slotted.sparkSession.createDataFrame(rows, "virtual_slot int, shard int, __first int, __parts int, __task int"))  # one row for each virtual slot
+    spread = F.pmod(F.xxhash64("__hash", "__row"), F.col("__parts")).cast("int")
+    dealt = slotted.join(places, "virtual_slot").withColumn("__in", spread)
+    dealt = dealt.withColumns({"part": F.col("__first") + F.col("__in"), "__task": F.col("__task") + F.col("__in")})
+    sent = dealt.repartitionById(max(tasks, 1), "__task").sortWithinPartitions("shard", "part", "virtual_slot", "__hash", "__row")
+    return sent.withColumn("number", F.monotonically_increasing_id()).drop("__hash", "__row", "__first", "__parts", "__task", "__in")
+
+
+def with_places(files: DataFrame) -> DataFrame:
+    """Shard files with slot: the record's place in its shard, from 0 without gaps."""
+    sizes = files.groupBy("shard", "part").agg(F.count("*").alias("n"), F.min("number").alias("first"))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("shard", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("base"))  # one row a part file
+    return files.join(bases, ["shard", "part"]).withColumn("slot", F.col("base") + F.col("number")).drop("base", "number")
 
 
 def write_shards(docs: DataFrame, shards: int, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
-    """Writes ``docs`` as shard folders, and their map; returns both as read back."""
-    slotted = with_slots(docs.drop("slot", "shard", "part", "virtual_slot", "size"), slots)
-    slot_map = written(first_map(slot_loads(slotted), shards, slots), "slot-map")
-    return written(placed(slotted, slot_map), "shards", ["shard"]), slot_map
+    """Writes ``docs`` as shard folders, dealt by version 2 of their map; returns files and map as read back."""
+    slotted = with_slots(docs.drop("slot", "shard", "part", "virtual_slot", "size", "number"), slots)
+    first = first_map(docs.sparkSession, shards, slots)
+    slot_map = written(rebalanced(first, shards, slot_loads(slotted), slack=0.0), "slot-map")
+    return with_places(written(placed(slotted, slot_map), "shards", ["shard"])), slot_map
