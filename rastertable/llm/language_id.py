@@ -122,21 +122,23 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
     return Model(idf, [r.lang for r in found], np.array([np.frombuffer(r.centroid, np.float32) for r in found]).reshape(len(found), DIMS), np.array([r.floor for r in found]))
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and rejected; clashing columns of ``docs`` are replaced."""
-    schema = docs.drop("lang_pred", "score", "rejected").schema
+def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """``docs`` with lang_pred, score and rejected, or as ``names`` calls them; clashing columns of ``docs`` are replaced."""
+    kept = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: languages x CENTROIDS x DIMS floats
-    names = [f.name for f in schema]
+    own = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in slices(batches, text):
             found = [m.predict(t) for t in batch.column(text).to_pylist()]
             more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *more], names=[*names, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *more], names=[*own, *names])
 
-    out = T.StructType(list(schema.fields)).add("lang_pred", T.StringType()).add("score", T.DoubleType()).add("rejected", T.BooleanType())
-    return docs.drop("lang_pred", "score", "rejected").mapInArrow(run, out)
+    out = T.StructType(list(kept.schema.fields))
+    for name, kind in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True):
+        out = out.add(name, kind)
+    return kept.mapInArrow(run, out)
 
 
 def is_held_out() -> Column:

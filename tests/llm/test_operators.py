@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from rastertable.llm import ann, chat, decontaminate, language_id, license_scan, mixing, sharding, simhash_dedup, token_counts, token_files
-from rastertable.llm.components import components
+from rastertable.llm.components import components, split_join
 
 DOCS = "doc_id long, text string, lang string, source string, slot string, shard string, fp string, score string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -130,7 +130,7 @@ def test_sharding(spark):
     assert Counter((r.doc_id, r.text) for r in got) == Counter((i, t) for i, t, *_ in rows)
     for s in range(5):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
-    owner = {r.virtual_slot: r.shard for r in slot_map.collect()}
+    owner = {r.virtual_slot: r.shard for r in sharding.latest(slot_map).collect()}
     assert all(owner[r.virtual_slot] == r.shard for r in got) and len(owner) == 512
     sizes = Counter()
     for r in got:
@@ -138,7 +138,7 @@ def test_sharding(spark):
     rest = sorted(sizes.values())[:-1]  # one shard holds the long text, which is more than a fifth of all bytes
     assert max(rest) - min(rest) < 100
     grown = sharding.rebalanced(slot_map, 6)
-    old, new = ({r.virtual_slot: r.shard for r in grown.where(f"version = {v}").collect()} for v in (1, 2))
+    old, new = ({r.virtual_slot: r.shard for r in grown.where(f"version = {v}").collect()} for v in (2, 3))
     assert set(new.values()) == set(range(6)) and sum(old[v] == new[v] for v in old) > 300
     fewer = sharding.latest(sharding.rebalanced(slot_map, 3))
     assert {r.shard for r in fewer.collect()} == {0, 1, 2}
@@ -146,6 +146,19 @@ def test_sharding(spark):
     assert none.count() == 0
 
 
+def test_sharding_splits_repeated_rows_and_large_slots(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART_BYTES", 20_000)
+    often = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same row").alias("text"), F.lit("x").alias("number"))
+    few = spark.range(3000).select((F.col("id") + 10).alias("doc_id"), F.repeat(F.lit("ab"), (F.col("id") % 400).cast("int")).alias("text"), F.lit("x").alias("number"))
+    files, slot_map = sharding.write_shards(often.union(few), 3, slots=64)
+    by = files.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.countDistinct("slot").alias("places"), F.max("slot").alias("last")).collect()
+    assert sum(r.n for r in by) == 103_000 and all(r.n == r.places == r.last + 1 for r in by)
+    assert max(r.bytes for r in by) - min(r.bytes for r in by) < 0.01 * sum(r.bytes for r in by)
+    loads = sharding.latest(slot_map).agg(F.max("n_rows")).first()[0]
+    largest = files.groupBy("shard", "part").count().agg(F.max("count")).first()[0]
+    assert loads < 10_000 and largest < 3000
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -231,6 +244,15 @@ def test_token_counts_against_the_library(spark):
     assert token_counts.token_counts(table(spark, []), path).count() == 0
 
 
+def test_a_very_long_word_is_counted_in_a_ring():
+    import resource
+
+    own = token_counts.UnigramCounter([("<unk>", 0.0), ("▁", -1.0), ("a", -1.0), ("b", -1.5), ("ab", -2.0), ("bab", -2.5), ("aaaa", -2.0)])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert own.tokens("a" * 4_000_000) == 1 + 1_000_000
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100_000
+
+
 def test_ties_follow_the_library():
     from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -346,6 +368,35 @@ def test_links_lose_nothing_in_large_cells(spark, monkeypatch):
     assert groups(lambda k: got.get(signed[k], signed[k])) == groups(lambda k: root[k])
 
 
+def test_pivots_discard_most_pairs_and_no_link():
+    r = np.random.default_rng(2)
+    a = r.integers(0, 1 << 63, 20_000, np.uint64) * np.uint64(2)
+    b = r.integers(0, 1 << 63, 20_000, np.uint64)
+    near = a.copy()
+    for _ in range(simhash_dedup.RADIUS):
+        near ^= np.uint64(1) << r.integers(0, 64, len(a)).astype(np.uint64)
+    gap = lambda x, y: np.abs(simhash_dedup.coordinates(x) - simhash_dedup.coordinates(y)).max(axis=1)
+    assert (gap(a, near) <= simhash_dedup.RADIUS).all() and (gap(a, b) > simhash_dedup.RADIUS).mean() > 0.99
+    assert all((simhash_dedup.coordinates(a)[:, 3] - simhash_dedup.coordinates(np.zeros(1, np.uint64))[0, 3]) % 2 == np.bitwise_count(a) % 2)
+
+
+@pytest.mark.parametrize("n", [10, 20_000, 10**6, 10**8, 10**10])
+def test_segments_agree_for_all_linked_fingerprints(n):
+    cut = simhash_dedup.segments(n)
+    assert cut[0][0] == 0 and sum(w for _, w in cut) == 64 and all(s + w == t for (s, w), (t, _) in zip(cut, cut[1:]))
+    bits = sum(sorted(w for _, w in cut)[: len(cut) - simhash_dedup.RADIUS])
+    assert len(cut) > simhash_dedup.RADIUS and n / 2**bits <= 8
+
+
+def test_components_of_a_hub_are_split_and_whole(spark):
+    edges = spark.range(1, 4000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")).union(spark.range(5000, 5010).select("id", F.col("id") + 1))
+    got = {r.node: r.root for r in components(edges, "a", "b").collect()}
+    assert all(got[k] == 0 for k in range(4000)) and all(got[k] == 5000 for k in range(5000, 5011)) and len(got) == 4011
+    many = spark.range(3000).select(F.when(F.col("id") < 2900, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("x"))
+    few = many.select("k").distinct().withColumn("y", F.col("k") * 2)
+    assert split_join(many, few, "k", "x", 3000).where("y = 2 * k").count() == 3000
+
+
 def test_components_of_a_path_and_of_nothing(spark):
     path = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 100), (200, 201), (201, 200)], "a long, b long")
     got = {r.node: r.root for r in components(path, "a", "b").collect()}
@@ -376,10 +427,30 @@ def test_ann_recall_scores_and_odd_vectors(spark):
         hits, n = hits + len({r.vec_id for r in got} & set(best.tolist())), n + 10
     assert hits / n >= 0.9 and not {r.query_id for r in out} & {2000}
     assert [r.vec_id for r in sorted((r for r in out if r.query_id == 0), key=lambda r: r.rank)] == list(range(700, 710))
+    twice = ann.search(df, df.where("vec_id % 100 = 0").union(df.where("vec_id = 100")).union(spark.createDataFrame([(300, [1.0] * 3, "")], df.schema))).collect()
+    assert sorted(map(tuple, twice)) == sorted(map(tuple, out))
+    other = spark.createDataFrame([(9, [1.0] * 3, "")], df.schema)
+    assert ann.search(df, other).count() == 0
     few = ann.search(df.where("vec_id < 4 OR vec_id >= 2000"), df.where("vec_id = 0"))
     assert few.count() == 3 and ann.search(df.limit(0), df).count() == 0 and ann.search(df.where("vec_id >= 2000 AND vec_id < 2005"), df).count() == 0
 
 
+@pytest.mark.parametrize("n,spread", [(40, 1.0), (3000, 1.0), (6000, 0.2)])
+def test_ann_recall_on_all_sizes(spark, tmp_path, n, spread, monkeypatch):
+    monkeypatch.setattr(ann, "ROWS", 50)
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(40, 24))[rng.integers(0, 40, n)] * (1 if spread < 1 else 0) + spread * rng.normal(size=(n, 24))
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x))}), f"{tmp_path}/e.parquet")
+    df = spark.read.parquet(f"{tmp_path}/e.parquet")
+    out = ann.search(df, df.where("vec_id % 20 = 0")).collect()
+    hits = 0
+    for q in range(0, n, 20):
+        s = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        s[q] = np.inf
+        hits += len({r.vec_id for r in out if r.query_id == q} & set(np.argsort(s, kind="stable")[:10].tolist()))
+    assert hits >= 0.9 * 10 * len(range(0, n, 20)) and len(out) == 10 * len(range(0, n, 20))
+
+
 def test_ann_keeps_the_neighbours_inside_a_group_of_near_copies(spark, tmp_path):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(30_000, 64))

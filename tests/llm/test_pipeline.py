@@ -35,3 +35,21 @@ def test_stages(spark, tmp_path):
     out = corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path))
     assert sorted((r.doc_id for r in out.collect()), key=str) == mixed
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(mixed)
+
+
+def test_clashing_columns_pass_and_empty_tables_give_empty_results(spark, tmp_path):
+    extra = ["score", "lang_pred", "rejected", "row_key", "copy", "place", "size", "h"]
+    a = ["shu", "kra", "mog", "wit"]
+    rows = [(i, words(a, i, 60), "xx", "s0", 9, *[f"{c}{i}" for c in extra]) for i in range(30)] * 2
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    spark.createDataFrame([(1, words(a, 900, 40))], "item_id long, text string").write.parquet(f"{tmp_path}/full/benchmark.parquet")
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/full/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/full/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = written(stage(spark, docs, f"{tmp_path}/full"), name)
+        assert docs.columns == [*COLUMNS, *extra]
+        assert all(r[c] == f"{c}{r.doc_id}" for r in docs.collect() for c in extra)
+    assert docs.select("doc_id").distinct().count() == 30
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
