@@ -1,7 +1,9 @@
 """Corpus preparation in five stages: language ID, near-dedup, decontamination, mixing to target weights, token files.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before kept, and all but the last return the columns
-of ``documents``; ``run`` writes each result as Parquet and reads it for the next.
+of ``documents``; ``run`` writes each result as Parquet and reads it for the next. Columns beyond those of ``documents`` pass all
+stages but the last, whatever their names; names that begin with two underscores are reserved. Documents with a null doc_id are
+documents like any other. An empty table, or one of which nothing is kept, gives empty results.
 """
 
 from __future__ import annotations
@@ -17,27 +19,28 @@ from rastertable.llm.shared import written
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that language ID rejects: no text, no letter, or far from every language."""
+    """Drops documents that language ID rejects: no text, no letter, or far from every language. Without a labelled document all are."""
     model = language_id.fit(docs.where(~language_id.is_held_out()))
-    found = language_id.predict(docs, model)
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    found = language_id.predict(docs, model, names=("__lang", "__score", "__rejected"))
+    return found.where(~F.col("__rejected")).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least doc_id of each SimHash component (of equal rows, one)."""
     found = simhash_dedup.near_duplicates(docs)
-    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("least")).select(F.col("least.row_key").alias("row_key"))
-    keyed = docs.withColumn("row_key", simhash_dedup.row_key())
-    ordered = Window.partitionBy("row_key").orderBy("row_key")
-    return keyed.join(kept, "row_key", "left_semi").withColumn("copy", F.row_number().over(ordered)).where("copy = 1").select(*docs.columns)
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("least")).select(F.col("least.row_key").alias("__key"))
+    #: One row of each key is taken before the rows are shuffled, so that a row repeated very often never meets in one task.
+    first = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    single = docs.withColumn("__key", simhash_dedup.row_key()).withColumn("__copy", first).where("__copy = 1")
+    return single.join(kept, "__key", "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    keyed = docs.withColumn("row_key", simhash_dedup.row_key())
-    hits = decontaminate.matches(keyed.select(F.col("row_key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    found = written(hits.select(F.col("doc_id").alias("row_key")).distinct(), "contaminated")
-    return keyed.join(found, "row_key", "left_anti").select(*docs.columns)
+    keyed = docs.withColumn("__key", simhash_dedup.row_key())
+    hits = decontaminate.matches(keyed.select(F.col("__key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = written(hits.select(F.col("doc_id").alias("__key")).distinct(), "contaminated")
+    return keyed.join(found, "__key", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
