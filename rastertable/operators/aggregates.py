@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rastertable.functions.scalars import gain_area, pct
+from rastertable.sources.workdir import kept
 
 
 def group_count(df: DataFrame, *keys: str, where: Column | None = None) -> DataFrame:
@@ -41,20 +42,45 @@ def pivot_counts(df: DataFrame, row: str, column: str, values: Sequence[str]) ->
     return df.groupBy(row).pivot(column, list(values)).agg(F.count(F.lit(1))).fillna(0)
 
 
+def quantiles(df: DataFrame, keys: Sequence[str], column: str, q: Mapping[str, float], floor: Sequence[str] = ()) -> DataFrame:
+    """The keys, n and a column for each quantile of ``q`` over the rows of each group that have a value.
+
+    Neighbouring values are interpolated; for names in ``floor`` it is the element at floor(n * q). Values are counted before the shuffle, dealt in ranges and numbered by the sums of the ranges before, so that no task holds a group or a column.
+    """
+    keys = list(keys)
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
+    dealt = kept(counts.repartitionByRange(*keys, "__v").withColumn("__part", F.spark_partition_id()), "quantiles")
+    sums = dealt.groupBy(*keys, "__part").agg(F.sum("__c").alias("__s"))
+    ahead = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(*keys, "__part", F.coalesce(F.sum("__s").over(ahead), F.lit(0)).alias("__base"), F.sum("__s").over(Window.partitionBy(*keys)).alias("__n"))
+    same = F.lit(True)
+    for k in [*keys, "__part"]:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    before = Window.partitionBy(*keys, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("__own", F.coalesce(F.sum("__c").over(before), F.lit(0))).alias("a").join(bases.alias("b"), same)
+    rows = placed.select(*[F.col(f"a.{k}").alias(k) for k in keys], "__v", "__n", (F.col("__base") + F.col("__own")).alias("__at"), "__c")
+    at = lambda p: F.max(F.when((F.col("__at") <= p) & (p < F.col("__at") + F.col("__c")), F.col("__v")))
+    out = {}
+    for name, share in q.items():
+        if name in floor:
+            out[name] = at(F.floor(F.col("__n") * share))
+        else:
+            place = (F.col("__n") - 1) * share
+            lo, hi = at(F.floor(place)), at(F.ceil(place))
+            out[name] = lo + (hi - lo) * F.max(place - F.floor(place))
+    return rows.groupBy(*keys).agg(F.max("__n").alias("n"), *[c.alias(k) for k, c in out.items()])
+
+
 def summary_stats(df: DataFrame, column: str) -> DataFrame:
     """n, min, p25, mean, median, p75, max and stdev (0 for one value) of a column.
 
-    Quartiles are elements at floor(n * q) of the sorted values, without interpolation: a discrete percentile whose rank is
-    known once n is, so the values are counted first and never gathered.
+    Quartiles are elements at floor(n * q) of the sorted values, without interpolation; the median is interpolated.
     """
-    rows = df.where(F.col(column).isNotNull())
-    n = rows.count()
-    if not n:
-        return rows.agg(F.count("*").alias("n"), *[F.lit(None).cast("double").alias(k) for k in ("min", "p25", "mean", "median", "p75", "max", "stdev")])
-    c = f"CAST(`{column}` AS DOUBLE)"
-    rank = lambda q: F.expr(f"percentile_disc({(math.floor(n * q) + 0.5) / n}) WITHIN GROUP (ORDER BY {c})")
     v = F.col(column).cast("double")
-    return rows.agg(F.count("*").alias("n"), F.min(v).alias("min"), rank(0.25).alias("p25"), F.avg(v).alias("mean"), F.median(v).alias("median"), rank(0.75).alias("p75"), F.max(v).alias("max"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("stdev"))
+    rows = df.where(v.isNotNull())
+    one = rows.agg(F.count("*").alias("n"), F.min(v).alias("min"), F.avg(v).alias("mean"), F.max(v).alias("max"), F.when(F.count("*") > 0, F.coalesce(F.stddev_samp(v), F.lit(0.0))).alias("stdev"))
+    ranks = quantiles(rows, [], column, {"p25": 0.25, "median": 0.5, "p75": 0.75}, floor=("p25", "p75")).drop("n")
+    return one.join(F.broadcast(ranks), F.lit(True)).select("n", "min", "p25", "mean", "median", "p75", "max", "stdev")  # one row each
 
 
 def extent(df: DataFrame, lon: str, lat: str, *keys: str) -> DataFrame:
@@ -133,17 +159,18 @@ def corr_pvalue(matrix: DataFrame) -> DataFrame:
 def boxplot_stats(df: DataFrame, key: str, column: str) -> DataFrame:
     """Quartiles, whiskers (the farthest values within 1.5 interquartile ranges) and mean by group, largest median first."""
     c = F.col(column).cast("double")
-    q = df.where(c.isNotNull()).groupBy(key).agg(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.avg(c).alias("mean"), F.count("*").alias("n"))
-    q = q.select(key, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "mean", "n")
+    q = quantiles(df, [key], column, {"q1": 0.25, "median": 0.5, "q3": 0.75}).where(F.col(key).isNotNull())
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = df.join(q, key).where(c.between(F.col("q1") - reach, F.col("q3") + reach))
-    whiskers = inside.groupBy(key).agg(F.min(c).alias("whisker_lo"), F.max(c).alias("whisker_hi"))
-    return q.join(whiskers, key).orderBy(F.desc("median"), key)
+    inside = c.between(F.col("q1") - reach, F.col("q3") + reach)
+    joined = df.where(c.isNotNull()).join(q, key)
+    spread = joined.groupBy(key).agg(F.avg(c).alias("mean"), F.min(F.when(inside, c)).alias("whisker_lo"), F.max(F.when(inside, c)).alias("whisker_hi"))
+    return q.join(spread, key).select(key, "q1", "median", "q3", "mean", "n", "whisker_lo", "whisker_hi").orderBy(F.desc("median"), key)
 
 
 def tiles_per_aoi(links: DataFrame, aoi: str = "aoi_id") -> DataFrame:
-    per = links.groupBy(aoi).agg(F.count("*").alias("n"))
-    return per.agg(F.count("*").alias("aois"), F.min("n").alias("min"), F.max("n").alias("max"), F.avg("n").alias("mean"), F.median("n").alias("median"))
+    per = kept(links.groupBy(aoi).agg(F.count("*").alias("n")), "tiles-per-aoi")
+    one = per.agg(F.count("*").alias("aois"), F.min("n").alias("min"), F.max("n").alias("max"), F.avg("n").alias("mean"))
+    return one.join(F.broadcast(quantiles(per, [], "n", {"median": 0.5}).drop("n")), F.lit(True))  # one row
 
 
 def latitude_load(tiles: DataFrame, aoi: str, lat: Column) -> DataFrame:

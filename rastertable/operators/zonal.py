@@ -86,6 +86,13 @@ def point_join(points: DataFrame, boxes: DataFrame, x: str, y: str, box: Sequenc
     return placed.join(_cells(boxes, box, cell), ["__cx", "__cy"]).where(inside).drop("__cx", "__cy")
 
 
+def rasterize(pixels: DataFrame, boxes: DataFrame, box: Sequence[str], cell: float, out: str) -> DataFrame:
+    """The pixels (gx, gy) with ``out``: 1 where the pixel's centre is in a box, else 0. Only the painted pixels are shuffled again."""
+    centres = pixels.select("gx", "gy", (F.col("gx") + 0.5).alias("__x"), (F.col("gy") + 0.5).alias("__y"))
+    painted = point_join(centres, boxes, "__x", "__y", box, cell, upper_open=True).select("gx", "gy").distinct().withColumn(out, F.lit(1))
+    return pixels.drop(out).join(painted, ["gx", "gy"], "left").withColumn(out, F.coalesce(out, F.lit(0)))
+
+
 def pick_least(pairs: DataFrame, key: Sequence[str], take: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """For each key the columns ``take`` of the pair that comes first in ``order``."""
     chosen = pairs.groupBy(*key).agg(F.min_by(F.struct(*take), F.struct(*order)).alias("__t"))

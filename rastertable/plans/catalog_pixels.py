@@ -282,23 +282,37 @@ def _labels(spark: SparkSession, d: str) -> DataFrame:
     return labels.pseudo_labels(_static(spark, d), land, 1996, 1999)
 
 
-@query(LABEL_SQL + " SELECT gx, gy, round(a, 9) AS score_agrocrop, round(b, 9) AS score_nat_regen, round(c, 9) AS score_plantation, round(e, 9) AS score_restoration FROM sc", "px", "dem")
+SCORE_SQL = "round(a, 9) AS score_agrocrop, round(b, 9) AS score_nat_regen, round(c, 9) AS score_plantation, round(e, 9) AS score_restoration, CAST(list_position([a, b, c, e], greatest(a, b, c, e)) - 1 AS BIGINT) AS dominant, round(greatest(a, b, c, e)/greatest(a + b + c + e, 1e-6), 6) AS confidence"
+
+
+def _label_columns() -> list:
+    return [*[F.round(c, 9).alias(c) for c in labels.LABEL_BANDS[:4]], F.col("dominant").cast("long").alias("dominant"), r6("confidence")]
+
+
+@query(LABEL_SQL + f" SELECT gx, gy, {SCORE_SQL} FROM sc", "px", "dem")
 def pseudo_labels(spark: SparkSession, d: str) -> DataFrame:
-    return _labels(spark, d).select("gx", "gy", *[F.round(c, 9).alias(c) for c in labels.LABEL_BANDS[:4]])
+    return _labels(spark, d).select("gx", "gy", *_label_columns())
+
+
+YEARS = (1996, 1997, 1999)
+#: The bands of the time steps, but for VVVH the columns of the views T0 to T2.
+STEP_SQL = ", ".join(f"round(CASE WHEN T{k}_VH <> 0 THEN T{k}_VV/T{k}_VH END, 6) AS T{k}_VVVH" if b == "VVVH" else f"round(T{k}_{b}, 6) AS T{k}_{b}" for k in range(3) for b in labels.STEP_BANDS)
 
 
 @query(
-    _steps_sql("T0", 1996) + ", " + _steps_sql("T1", 1997) + ", " + _steps_sql("T2", 1999) + ", " + LABEL_SQL
+    ", ".join(_steps_sql(f"T{k}", y) for k, y in enumerate(YEARS)) + ", " + LABEL_SQL
     + ", av AS (SELECT gx, gy FROM (SELECT gx, gy, y, max(CASE WHEN b2n IS NOT NULL AND scl <> 3 THEN 1 ELSE 0 END) AS v FROM px WHERE sensor = 'R' GROUP BY gx, gy, y) WHERE y IN (1996, 1997, 1999) AND v = 1 GROUP BY gx, gy HAVING count(*) = 3)"
-    + " SELECT gx, gy, round(T0_NDVI, 6) AS T0_NDVI, round(T1_EVI, 6) AS T1_EVI, round(T2_B8, 6) AS T2_B8, round(CASE WHEN T2_VH <> 0 THEN T2_VV/T2_VH END, 6) AS T2_VVVH, round(T2_trees, 6) AS T2_trees, round(ly.slope, 6) AS slope, CAST(ly.gain AS BIGINT) AS gain, round(sc.b, 9) AS score_nat_regen, CAST(59 AS BIGINT) AS n_columns FROM av JOIN ly USING (gx, gy) JOIN T0 USING (gx, gy) JOIN T1 USING (gx, gy) JOIN T2 USING (gx, gy) JOIN sc USING (gx, gy)",
+    + f" SELECT gx, gy, {STEP_SQL}, round(dem.z, 6) AS dem, round(ly.slope, 6) AS slope, CAST(ly.gain AS BIGINT) AS gain, round(CASE WHEN ly.gain = 1 THEN dem.z/10 END, 6) AS canopy, CAST(ly.ft AS BIGINT) AS forest_type, round(ly.nat, 6) AS nat_forest, {SCORE_SQL}"
+    + " FROM av JOIN ly USING (gx, gy) JOIN dem USING (gx, gy) JOIN T0 USING (gx, gy) JOIN T1 USING (gx, gy) JOIN T2 USING (gx, gy) JOIN sc USING (gx, gy)",
     "px", "dem",
 )
 def full_stack(spark: SparkSession, d: str) -> DataFrame:
-    years = (1996, 1997, 1999)
-    valid = composite.full_valid(composite.availability(view(spark, d, "px").where("sensor = 'R'"), ["b2n"], scl="scl"), years)
+    """All 57 bands: three time steps of 15, six static layers and six labels."""
+    valid = composite.full_valid(composite.availability(view(spark, d, "px").where("sensor = 'R'"), ["b2n"], scl="scl"), YEARS)
     static = _static(spark, d).select("gx", "gy", F.col("z").alias("dem"), "slope", "gain", F.when(F.col("gain") == 1, F.col("canopy")).alias("canopy"), "forest_type", "nat_forest")
-    out = labels.full_stack([_steps(spark, d, {y: f"T{k}_" for k, y in enumerate(years)})], static, _labels(spark, d), valid)
-    return out.select("gx", "gy", *[r6(c) for c in ("T0_NDVI", "T1_EVI", "T2_B8", "T2_VVVH", "T2_trees", "slope")], F.col("gain").cast("long"), F.round("score_nat_regen", 9).alias("score_nat_regen"), F.lit(len(out.columns)).cast("long").alias("n_columns"))
+    out = labels.full_stack([_steps(spark, d, {y: f"T{k}_" for k, y in enumerate(YEARS)})], static, _labels(spark, d), valid)
+    steps = [f"T{k}_{b}" for k in range(3) for b in labels.STEP_BANDS]
+    return out.select("gx", "gy", *map(r6, steps), r6("dem"), r6("slope"), F.col("gain").cast("long"), r6("canopy"), F.col("forest_type").cast("long"), r6("nat_forest"), *_label_columns())
 
 
 @query("s AS (SELECT CAST(floor(gx/4) AS BIGINT) AS xi, CAST(floor(gy/4) AS BIGINT) AS yi, y, scl, count(*) AS n FROM px GROUP BY ALL) SELECT xi, yi, y, scl, n, round(100.0*n/sum(n) OVER (PARTITION BY xi, yi, y), 6) AS pct FROM s", "px")

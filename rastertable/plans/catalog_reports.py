@@ -75,9 +75,18 @@ def corr_matrix(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.correlation_matrix(view(spark, d, "aoi"), CORR).select("a", "b", r6("r"), "n")
 
 
-@query(None)
+def _pvalue_sql() -> str:
+    """p of a correlation from the finite sums of Student's distribution for even and odd degrees of freedom."""
+    pairs = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r, count(*) AS n FROM aoi" for i, a in enumerate(CORR) for b in CORR[i:])
+    even = "1 - abs(r)*list_sum(list_transform(range(0, nu//2), lambda j: exp(lgamma(2*j + 1) - 2*j*ln(2) - 2*lgamma(j + 1) + j*ln(1 - r*r))))"
+    odd = "1 - 2/pi()*(asin(abs(r)) + abs(r)*sqrt(1 - r*r)*coalesce(list_sum(list_transform(range(0, (nu - 1)//2), lambda j: exp(2*j*ln(2) + 2*lgamma(j + 1) - lgamma(2*j + 2) + j*ln(1 - r*r)))), 0))"
+    return f"m AS ({pairs}), v AS (SELECT *, n - 2 AS nu FROM m), w AS (SELECT *, CASE WHEN r IS NULL OR n < 3 THEN NULL WHEN abs(r) > 1 - 1e-12 THEN 0 WHEN nu % 2 = 0 THEN {even} ELSE {odd} END AS p FROM v) SELECT a, b, round(r, 6) AS r, n, abs(round(p, 6)) AS p, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS stars FROM w"
+
+
+@query(_pvalue_sql(), "aoi")
 def corr_pvalue(spark: SparkSession, d: str) -> DataFrame:
-    return aggregates.corr_pvalue(aggregates.correlation_matrix(view(spark, d, "aoi"), CORR))
+    out = aggregates.corr_pvalue(aggregates.correlation_matrix(view(spark, d, "aoi"), CORR))
+    return out.select("a", "b", r6("r"), "n", r6("p"), "stars")
 
 
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
@@ -124,10 +133,10 @@ def contribution(spark: SparkSession, d: str) -> DataFrame:
 def _audit(spark: SparkSession, d: str) -> DataFrame:
     reg = view(spark, d, "reg")
     links = reg.select("tile_id", F.concat(F.lit("aoi_"), F.col("aoi_id").cast("string")).alias("aoi_id"))
-    return reports.aoi_audit(view(spark, d, "aoi").withColumnRenamed("biome", "biome_name"), reg.where("tile_id % 3 = 0").select("tile_id", "status"), links)
+    return reports.aoi_audit(view(spark, d, "aoi").withColumnRenamed("biome", "biome_name"), reg.select("tile_id", "status"), links)
 
 
-AUDIT_SQL = "a AS (SELECT aoi.id AS aoi_id, biome, aoi.region, count(tile_id) AS total_tiles, count(*) FILTER (WHERE status = 'complete') AS complete_tiles, count(*) FILTER (WHERE status = 'pending') AS pending_tiles FROM aoi LEFT JOIN (SELECT tile_id, aoi_id, status FROM reg WHERE tile_id % 3 = 0) r ON c_custkey = aoi_id GROUP BY ALL)"
+AUDIT_SQL = "a AS (SELECT aoi.id AS aoi_id, aoi.biome, aoi.region, count(tile_id) AS total_tiles, count(*) FILTER (WHERE r.status = 'complete') AS complete_tiles, count(*) FILTER (WHERE r.status = 'pending') AS pending_tiles FROM aoi LEFT JOIN reg r ON c_custkey = aoi_id GROUP BY ALL)"
 
 
 @query(AUDIT_SQL + " SELECT aoi_id, biome, region, total_tiles, complete_tiles, pending_tiles, complete_tiles > 0 AS has_coverage FROM a", "aoi", "reg")
@@ -236,9 +245,9 @@ def bounded_check(spark: SparkSession, d: str) -> DataFrame:
     return validation.violations(view(spark, d, "px"), F.col("scl") * 12, F.col("cov")).groupBy("gx", "gy").agg(F.count("*").alias("n"))
 
 
-@query("SELECT scene_id AS id, count(*) AS n FROM px WHERE y = 1998 GROUP BY scene_id HAVING count(*) > 1", "px")
+@query("SELECT scene_id AS id, count(*) AS n FROM px GROUP BY scene_id HAVING count(*) > 1", "px")
 def duplicate_ids(spark: SparkSession, d: str) -> DataFrame:
-    return sets.duplicate_ids(view(spark, d, "px").where("y = 1998").select(F.col("scene_id").alias("id")), "id")
+    return sets.duplicate_ids(view(spark, d, "px").select(F.col("scene_id").alias("id")), "id")
 
 
 STATS_SQL = f"""
@@ -303,15 +312,15 @@ def _status_log(events: DataFrame) -> DataFrame:
 def fold_status(spark: SparkSession, d: str) -> DataFrame:
     out = work_dir(spark, "fold-status")
     streams.fold_status(_status_log(_stream(spark, d, "events")), f"{out}/table", f"{out}/checkpoint").awaitTermination()
-    versions = spark.read.parquet(f"{out}/table")
-    newest = versions.agg(F.max("version").alias("version"))
-    return versions.join(F.broadcast(newest), "version", "left_semi").select("tile_id", "status", "event_id")
+    return streams.folded(spark, f"{out}/table").select("tile_id", "status", "event_id")
 
 
 @query("SELECT time_bucket(INTERVAL '6 hours', ts) AS start, count(*) AS n_done, count(*) FILTER (WHERE status = 'valid') AS n_valid, count(*) FILTER (WHERE status = 'failed') AS n_failed, round(count(*)/360.0, 6) AS per_minute FROM ev GROUP BY 1", "ev")
 def progress_rate(spark: SparkSession, d: str) -> DataFrame:
-    out = streams.progress_rate(_status_log(spark.read.parquet(f"{d}/events.parquet")), "6 hours")
-    return out.select("start", "n_done", "n_valid", "n_failed", r6("per_minute"))
+    out = work_dir(spark, "progress")
+    log = _status_log(_stream(spark, d, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
+    streams.progress_stream(log, f"{out}/table", f"{out}/checkpoint", "6 hours", late="3650 days").awaitTermination()  # files come in any order
+    return streams.current_rates(spark, f"{out}/table").select(F.col("start").cast("timestamp_ntz").alias("start"), "n_done", "n_valid", "n_failed", r6("per_minute"))
 
 
 @query("SELECT l_partkey % 32 AS gx, l_orderkey % 32 AS gy, CAST(year(l_shipdate) AS BIGINT) AS y, CAST(max(CASE WHEN l_tax*100 >= 0.5 AND l_linenumber <> 3 THEN 1 ELSE 0 END) AS BIGINT) AS available FROM lineitem GROUP BY ALL", "px")

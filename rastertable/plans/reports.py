@@ -37,6 +37,20 @@ def aoi_report(screened: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+#: The columns that name the rows of each table of the report.
+_ITEMS = {"overview": ["set"], "reasons": ["rejection_reason"], "extents": ["set"], "by_region": ["set", "region"], "by_biome": ["set", "biome_name"], "area_stats": [], "gain": ["set"]}
+
+
+def report_rows(report: dict[str, DataFrame]) -> DataFrame:
+    """The tables of ``aoi_report`` as one: (section, item, measure, value)."""
+    parts = []
+    for section, table in report.items():
+        names = _ITEMS[section]
+        cells = [F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in table.columns if m not in names]
+        parts.append(table.select(F.lit(section).alias("section"), F.concat_ws("/", *names).alias("item"), F.inline(F.array(*cells))))
+    return sets.merge(*parts)
+
+
 def reconcile(everything: DataFrame, valid: DataFrame, rejected: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Counts, missing ids, and ids done twice."""
     done = sets.merge(valid.select(key), rejected.select(key))

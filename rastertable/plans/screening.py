@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rastertable.functions.scalars import ecoregion_labels
-from rastertable.operators import filters, sets
+from rastertable.operators import filters
 from rastertable.operators.grid import bbox_metrics
 from rastertable.operators.zonal import bbox_join, pick_least
+from rastertable.sources.sinks import write_split
+from rastertable.sources.workdir import work_dir
 
 BOX = ("min_lon", "min_lat", "max_lon", "max_lat")
 ECO_BOX = ("eco_x0", "eco_y0", "eco_x1", "eco_y1")
@@ -28,30 +30,35 @@ def smallest_ecoregion(cells: DataFrame, ecoregions: DataFrame, cell: float = 5.
     return out.select(*[c for c in out.columns if c not in facts], *ecoregion_labels(F.col("biome_name"), F.col("biome_num"), F.col("realm")))
 
 
-def cell_fraction(cells: DataFrame, points: DataFrame, value: str, name: str, step: float) -> DataFrame:
-    """Mean of a point layer (lon, lat, value) over each cell of a regular grid; cells without points get 0."""
-    means = points.groupBy(F.floor(F.col("lon") / step).alias("__i"), F.floor(F.col("lat") / step).alias("__j")).agg(F.avg(value).alias(name))
-    placed = cells.withColumns({"__i": F.floor((F.col("min_lon") + step / 2) / step), "__j": F.floor((F.col("min_lat") + step / 2) / step)})
-    return placed.join(means, ["__i", "__j"], "left").withColumn(name, F.coalesce(name, F.lit(0.0))).drop("__i", "__j")
+def cell_fractions(cells: DataFrame, layers: Mapping[str, DataFrame], step: float) -> DataFrame:
+    """Adds the mean of each point layer (lon, lat and the value that names it) over each cell of a regular grid; 0 without points.
+
+    Each layer is read once and combined before its shuffle; cells and means all hash on the cell.
+    """
+    out = cells.withColumns({"__i": F.floor((F.col("min_lon") + step / 2) / step), "__j": F.floor((F.col("min_lat") + step / 2) / step)})
+    for name, points in layers.items():
+        means = points.groupBy(F.floor(F.col("lon") / step).alias("__i"), F.floor(F.col("lat") / step).alias("__j")).agg(F.avg(name).alias(name))
+        out = out.drop(name).join(means, ["__i", "__j"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+    return out.drop("__i", "__j")
 
 
-def screen_aois(cells: DataFrame, layers: Mapping[str, DataFrame], ecoregions: DataFrame, step: float = 0.25, limits: tuple[float, float, float, float] = (filters.MIN_LAND, filters.MIN_VEG, filters.MIN_GAIN, filters.MIN_SCENES)) -> tuple[DataFrame, DataFrame]:
-    """Valid and rejected cells. ``layers``: point tables by land_frac, veg_fraction, forest_gain_frac and s2_frac.
+def screen_cells(cells: DataFrame, layers: Mapping[str, DataFrame], ecoregions: DataFrame, step: float = 0.25, limits: tuple[float, float, float, float] = (filters.MIN_LAND, filters.MIN_VEG, filters.MIN_GAIN, filters.MIN_SCENES)) -> DataFrame:
+    """Cells with area, centroid, ecoregion, the four fractions, rejection_reason and valid.
 
-    A layer is aggregated only for cells that passed the stage before: the cells still in play cut its points by a semi-join.
+    ``layers``: point tables by land_frac, veg_fraction, forest_gain_frac and s2_frac. All are measured once and one CASE decides, so the
+    plan has each table once; what a stage would never have measured is 0, as the cascade of single stages leaves it.
     """
-    alive = smallest_ecoregion(bbox_metrics(cells), ecoregions)
-    rejected = []
-    stages = filters.screening_stages(limits=limits)
-    for (name, _), value, least in zip(stages, layers, limits, strict=True):
-        places = alive.select(F.floor((F.col("min_lon") + step / 2) / step).alias("__i"), F.floor((F.col("min_lat") + step / 2) / step).alias("__j")).distinct()
-        near = layers[value].withColumns({"__i": F.floor(F.col("lon") / step), "__j": F.floor(F.col("lat") / step)}).join(places, ["__i", "__j"], "left_semi").drop("__i", "__j")
-        measured = cell_fraction(alive, near, value, value, step)
-        ok = F.coalesce(F.col(value) >= least, F.lit(False))
-        rejected.append(measured.where(~ok).withColumn("rejection_reason", F.lit(name)))
-        alive = measured.where(ok)
-    valid = alive.withColumns({"rejection_reason": F.lit("valid"), "valid": F.lit(True)})
-    return valid, filters.reject_defaults(sets.merge(*rejected)).withColumn("valid", F.lit(False))
+    facts = smallest_ecoregion(bbox_metrics(cells), ecoregions)
+    return screened(cell_fractions(facts, layers, step), limits)
+
+
+def screen_aois(cells: DataFrame, layers: Mapping[str, DataFrame], ecoregions: DataFrame, step: float = 0.25, limits: tuple[float, float, float, float] = (filters.MIN_LAND, filters.MIN_VEG, filters.MIN_GAIN, filters.MIN_SCENES), path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Valid and rejected cells, written to ``path`` (a work folder by default) as two partitions of one table and read from there."""
+    spark, out = cells.sparkSession, screen_cells(cells, layers, ecoregions, step, limits)
+    path = path or work_dir(spark, "screened")
+    write_split(out, path)
+    both = spark.read.schema(out.schema).parquet(path)
+    return both.where("valid"), both.where("NOT valid")
 
 
 def screened(table: DataFrame, limits: tuple[float, float, float, float]) -> DataFrame:

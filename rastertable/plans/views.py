@@ -18,6 +18,10 @@ VIEWS = {
        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "eco": """SELECT s_suppkey AS eco_id, ((s_suppkey*3571) % 340) - 180 AS x0, ((s_suppkey*2801) % 120) - 60 AS y0, 20 + s_suppkey % 20 AS w, 15 + s_suppkey % 10 AS h,
        CASE WHEN s_suppkey % 13 = 0 THEN 'N/A' ELSE s_name END AS biome_name, CASE WHEN s_suppkey % 17 <> 0 THEN s_suppkey % 14 END AS biome_num FROM supplier""",
+    "eco_ids": "SELECT s_suppkey FROM supplier",
+    "cell": """SELECT c_custkey, concat('aoi_', CAST(c_custkey AS VARCHAR(20))) AS id, (CAST(floor(((c_custkey*7919) % 36000)/25) AS BIGINT) - 720)*0.25 AS min_lon, (CAST(floor(((c_custkey*104729) % 14500)/25) AS BIGINT) - 240)*0.25 AS min_lat FROM customer""",
+    "pts": """SELECT (CAST(floor(((o_custkey*7919) % 36000)/25) AS BIGINT) - 720)*0.25 + 0.05 + (o_orderkey % 4)*0.04 AS lon, (CAST(floor(((o_custkey*104729) % 14500)/25) AS BIGINT) - 240)*0.25 + 0.05 + (o_orderkey % 3)*0.04 AS lat,
+       CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS land, (o_orderkey % 7)/64.0 AS veg, CASE WHEN o_orderkey % 5 < 3 THEN 0 ELSE 1 END/64.0 AS gain, CASE WHEN o_orderkey % 6 = 0 THEN 1 ELSE 0 END AS s2 FROM orders""",
     "reg": """SELECT o_orderkey AS tile_id, o_orderkey % 100 AS xi, CAST(floor(o_orderkey/100) AS BIGINT) AS yi, o_custkey AS aoi_id,
        CASE o_orderstatus WHEN 'P' THEN 'pending' WHEN 'F' THEN 'complete' ELSE 'rejected' END AS status,
        CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END AS rejection_reason, o_totalprice AS gain_area, o_orderdate AS updated_at, c_mktsegment AS biome, r_name AS region

@@ -5,10 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below the shared one that ``spark.checkpoint.dir`` names; a temporary one where that is unset."""
+    """A new folder below the shared one that ``spark.checkpoint.dir`` names; a temporary one in a local session where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{(named or 'file://' + tempfile.mkdtemp(prefix='rastertable-')).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='rastertable-')}"
+    return f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, so that what follows reads it and does not compute it again."""
+    path = work_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
