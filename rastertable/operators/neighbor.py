@@ -1,64 +1,85 @@
 """Neighbourhood operators on a pixel table: morphology, local deviation and slope.
 
-Each works axis by axis with windows over rows (``gy``) and columns (``gx``). A window holds one raster row; rows longer than
-memory are cut into stretches of ``STRETCH`` pixels, with the few border pixels given to both neighbours.
+Pixels are dealt once to square blocks of ``BLOCK`` pixels a side with a border of the operator's reach, so each operator is one
+shuffle and a task holds one block. Within a block the neighbourhood is worked out on arrays, where an absent or masked pixel
+is NaN.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-#: Pixels of a row that one window holds.
-STRETCH = 1 << 14
+from collections.abc import Callable, Mapping
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-def _axis(df: DataFrame, along: str, across: str, radius: int, outputs: dict[str, tuple[Column, object]]) -> DataFrame:
-    """Adds outputs: aggregates over ``radius`` pixels to both sides along one axis."""
-    own = F.floor(F.col(along) / STRETCH)
-    halo = F.sequence(F.floor((F.col(along) - radius) / STRETCH), F.floor((F.col(along) + radius) / STRETCH))
-    dealt = df.withColumn("__part", F.explode(halo))
-    w = Window.partitionBy(across, "__part").orderBy(along).rangeBetween(-radius, radius)
-    return dealt.withColumns({k: f(c).over(w) for k, (c, f) in outputs.items()}).where(F.col("__part") == own).drop("__part")
+#: Pixels of a block's side; a block and its border are what a task holds.
+BLOCK = 256
+Grids = Mapping[str, np.ndarray]
 
 
-def _filled(df: DataFrame, band: str, radius: int) -> DataFrame:
-    """The pixels (keys and ``band``) and the absent places within ``radius`` above or below one, marked ``__hole``.
+def in_blocks(df: DataFrame, bands: list[str], reach: int, outputs: list[str], compute: Callable[[Grids, np.ndarray], Grids]) -> DataFrame:
+    """``df`` with the columns ``outputs`` (double), which ``compute`` works out from the grids of ``bands`` and of the pixels that are there.
 
-    A square window goes along rows first, so a row's sum is needed at each place that a column's window meets. A gap is
-    filled by the pixel before it as far as that reaches, then by the pixel after it, so no place comes twice; a full raster
-    gives places only beyond its edges.
+    A pixel's outputs may depend on pixels up to ``reach`` away. All columns of ``df`` pass by; ``outputs`` replace columns of that name.
     """
-    own = F.floor(F.col("gy") / STRETCH)
-    #: Twice the radius: a pixel must see the one before it whose reach may meet its own.
-    halo = F.sequence(F.floor((F.col("gy") - 2 * radius) / STRETCH), F.floor((F.col("gy") + 2 * radius) / STRETCH))
-    w = Window.partitionBy("gx", "__part").orderBy("gy")
-    far = F.lit(2 * radius + 1)
-    y, after = F.col("gy"), F.coalesce(F.lead("gy").over(w), F.col("gy") + far)
-    before = F.coalesce(F.lag("gy").over(w), F.col("gy") - far)
-    ends = df.select("gx", "gy", band).withColumn("__part", F.explode(halo)).withColumns({"__a": F.least(y + radius, after - 1), "__b": F.greatest(y - radius, before + radius + 1)}).where(F.col("__part") == own)
-    span = lambda lo, hi: F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
-    up = span((F.col("gy") + 1).cast("long"), F.col("__a").cast("long"))
-    down = span(F.col("__b").cast("long"), (F.col("gy") - 1).cast("long"))
-    pixel = F.struct(F.col("gy").cast("long").alias("y"), F.col(band).alias("v"), F.lit(False).alias("hole"))
-    places = F.transform(F.concat(up, down), lambda p: F.struct(p.alias("y"), F.lit(None).cast(df.schema[band].dataType).alias("v"), F.lit(True).alias("hole")))
-    return ends.select("gx", F.explode(F.concat(F.array(pixel), places)).alias("__p")).select("gx", F.col("__p.y").alias("gy"), F.col("__p.v").alias(band), F.col("__p.hole").alias("__hole"))
+    block, names = BLOCK, df.drop(*outputs).columns
+    spans = lambda c: F.sequence(F.floor((F.col(c) - reach) / block), F.floor((F.col(c) + reach) / block))
+    kept = df.drop(*outputs)
+    dealt = kept.withColumn("__bx", F.explode(spans("gx"))).withColumn("__by", F.explode(spans("gy")))
+    numeric = dealt.withColumns({f"__{b}": F.col(b).cast("double") for b in bands} | {"__gx": F.col("gx").cast("long"), "__gy": F.col("gy").cast("long")})
+    schema = T.StructType(list(kept.schema.fields) + [T.StructField(o, T.DoubleType()) for o in outputs])
+
+    def run(rows: pa.Table) -> pa.Table:
+        side = block + 2 * reach
+        x, y = (rows.column(f"__{g}").to_numpy() - rows.column(f"__b{a}").to_numpy() * block + reach for g, a in (("gx", "x"), ("gy", "y")))
+        there = np.zeros((side, side), bool)
+        there[x, y] = True
+        grids = {}
+        for b in bands:
+            grids[b] = np.full((side, side), np.nan)
+            grids[b][x, y] = rows.column(f"__{b}").to_numpy()
+        with np.errstate(all="ignore"):
+            found = compute(grids, there)
+        core = np.flatnonzero((x >= reach) & (x < reach + block) & (y >= reach) & (y < reach + block))
+        own = rows.take(pa.array(core)).select(names)
+        for o in outputs:
+            values = found[o][x[core], y[core]]
+            own = own.append_column(o, pa.array(values, pa.float64(), mask=np.isnan(values)))
+        return own
+
+    return numeric.groupBy("__bx", "__by").applyInArrow(run, schema)
+
+
+def _shifted(grid: np.ndarray, dx: int, dy: int, fill: float = np.nan) -> np.ndarray:
+    """The grid's value ``dx`` and ``dy`` further on; ``fill`` beyond its edge."""
+    out = np.full_like(grid, fill)
+    n, m = grid.shape
+    out[max(0, -dx) : n - max(0, dx), max(0, -dy) : m - max(0, dy)] = grid[max(0, dx) : n - max(0, -dx), max(0, dy) : m - max(0, -dy)]
+    return out
+
+
+def _largest(grid: np.ndarray, shape: str, radius: int) -> np.ndarray:
+    """The largest value around each place, NaN apart."""
+    along = lambda g, x, y: np.fmax.reduce([_shifted(g, x * k, y * k) for k in range(-radius, radius + 1)])
+    rows = along(grid, 1, 0)
+    return along(rows, 0, 1) if shape == "square" else np.fmax(rows, along(grid, 0, 1))
+
+
+def _as_before(df: DataFrame, band: str, found: DataFrame, out: str) -> DataFrame:
+    return found.withColumn(out, F.col(out).cast(df.schema[band].dataType))
 
 
 def dilate(df: DataFrame, mask: str, out: str, shape: str = "plus", radius: int = 1) -> DataFrame:
     """Largest value in the neighbourhood, over pixels that are there: a plus (disc of radius 1) or a square."""
-    if shape == "square":
-        step = _axis(_filled(df, mask, radius), "gx", "gy", radius, {"__row": (F.col(mask), F.max)})
-        found = _axis(step, "gy", "gx", radius, {out: (F.col("__row"), F.max)}).where("NOT __hole").select("gx", "gy", out)
-        return df.drop(out).join(found, ["gx", "gy"])
-    step = _axis(df, "gx", "gy", radius, {"__row": (F.col(mask), F.max)})
-    step = _axis(step, "gy", "gx", radius, {"__col": (F.col(mask), F.max)})
-    return step.withColumn(out, F.greatest("__row", "__col")).drop("__row", "__col")
+    return _as_before(df, mask, in_blocks(df, [mask], radius, [out], lambda g, there: {out: _largest(g[mask], shape, radius)}), out)
 
 
 def erode(df: DataFrame, mask: str, out: str, shape: str = "plus", radius: int = 1) -> DataFrame:
     """Smallest value in the neighbourhood."""
-    return dilate(df.withColumn("__neg", -F.col(mask)), "__neg", out, shape, radius).withColumn(out, -F.col(out)).drop("__neg")
+    return _as_before(df, mask, in_blocks(df, [mask], radius, [out], lambda g, there: {out: -_largest(-g[mask], shape, radius)}), out)
 
 
 def close(df: DataFrame, mask: str, out: str, mode: str = "zero") -> DataFrame:
@@ -67,11 +88,15 @@ def close(df: DataFrame, mask: str, out: str, mode: str = "zero") -> DataFrame:
     ``zero``: masked pixels count as 0, a true closing. ``skip``: masked and 0 pixels take no part in the second step, which
     then changes nothing but what the first step left masked.
     """
-    zero = df.withColumn("__m", F.coalesce(F.col(mask), F.lit(0)))
-    grown = dilate(zero, "__m", "__d")
-    if mode == "skip":
-        return erode(grown.withColumn("__d", F.nullif("__d", F.lit(0))), "__d", out).withColumn(out, F.coalesce(out, F.lit(0))).drop("__m", "__d")
-    return erode(grown, "__d", out).drop("__m", "__d")
+
+    def compute(g: Grids, there: np.ndarray) -> Grids:
+        zero = np.where(there, np.nan_to_num(g[mask]), np.nan)
+        grown = np.where(there, _largest(zero, "plus", 1), np.nan)
+        if mode == "skip":
+            return {out: np.nan_to_num(-_largest(-np.where(grown == 0, np.nan, grown), "plus", 1))}
+        return {out: -_largest(-grown, "plus", 1)}
+
+    return _as_before(df, mask, in_blocks(df, [mask], 2, [out], compute), out)
 
 
 def grow_domain(df: DataFrame, keys: tuple[str, str] = ("gx", "gy")) -> DataFrame:
@@ -82,24 +107,31 @@ def grow_domain(df: DataFrame, keys: tuple[str, str] = ("gx", "gy")) -> DataFram
 
 
 def neighborhood_std(df: DataFrame, band: str, out: str, radius: int = 3) -> DataFrame:
-    """Population deviation in a square window; sums along rows, then along columns."""
-    c = F.col(band)
-    rows = _axis(_filled(df, band, radius), "gx", "gy", radius, {"__s": (c, F.sum), "__q": (c * c, F.sum), "__n": (c, F.count)})
-    both = _axis(rows, "gy", "gx", radius, {"__S": (F.col("__s"), F.sum), "__Q": (F.col("__q"), F.sum), "__N": (F.col("__n"), F.sum)})
-    mean = F.col("__S") / F.col("__N")
-    found = both.where("NOT __hole").select("gx", "gy", F.when(F.col("__N") > 0, F.sqrt(F.greatest(F.col("__Q") / F.col("__N") - mean * mean, F.lit(0.0)))).alias(out))
-    return df.drop(out).join(found, ["gx", "gy"])
+    """Population deviation in a square window, from values less each pixel's window mean, so that large values lose no digits."""
+    steps = range(-radius, radius + 1)
+
+    def window_sum(grid: np.ndarray) -> np.ndarray:
+        rows = sum(_shifted(grid, k, 0, 0.0) for k in steps)
+        return sum(_shifted(rows, 0, k, 0.0) for k in steps)
+
+    def compute(g: Grids, there: np.ndarray) -> Grids:
+        valid = ~np.isnan(g[band])
+        n = window_sum(valid.astype(float))
+        mean = window_sum(np.where(valid, g[band], 0.0)) / n
+        squares = np.zeros_like(mean)
+        for dx in steps:
+            for dy in steps:
+                squares += np.nan_to_num((_shifted(g[band], dx, dy) - mean) ** 2)
+        return {out: np.where(n > 0, np.sqrt(squares / n), np.nan)}
+
+    return in_blocks(df, [band], radius, [out], compute)
 
 
 def slope_deg(df: DataFrame, z: str, out: str, spacing: float = 10.0) -> DataFrame:
     """Terrain slope in degrees from the four neighbours; null where one is missing."""
-    def gradient(frame: DataFrame, along: str, across: str, name: str) -> DataFrame:
-        own = F.floor(F.col(along) / STRETCH)
-        halo = F.sequence(F.floor((F.col(along) - 1) / STRETCH), F.floor((F.col(along) + 1) / STRETCH))
-        w = Window.partitionBy(across, "__part").orderBy(along)
-        ahead, behind = F.lead(z).over(w), F.lag(z).over(w)
-        near = (F.lead(along).over(w) == F.col(along) + 1) & (F.lag(along).over(w) == F.col(along) - 1)
-        return frame.withColumn("__part", F.explode(halo)).withColumn(name, F.when(near, (ahead - behind) / (2 * spacing))).where(F.col("__part") == own).drop("__part")
-
-    both = gradient(gradient(df, "gx", "gy", "__dx"), "gy", "gx", "__dy")
-    return both.withColumn(out, F.degrees(F.atan(F.sqrt(F.col("__dx") ** 2 + F.col("__dy") ** 2)))).drop("__dx", "__dy")
+
+    def compute(g: Grids, there: np.ndarray) -> Grids:
+        dx, dy = ((_shifted(g[z], a, b) - _shifted(g[z], -a, -b)) / (2 * spacing) for a, b in ((1, 0), (0, 1)))
+        return {out: np.degrees(np.arctan(np.sqrt(dx**2 + dy**2)))}
+
+    return in_blocks(df, [z], 1, [out], compute)

@@ -52,6 +52,7 @@ def timestep_stack(optical: DataFrame, radar: DataFrame, land: DataFrame, year:
 
 def label_scores() -> dict[str, Column]:
     """The four scores from the bands that ``pseudo_labels`` prepares; each is a geometric mean times a bounded bonus."""
+    # The weights of the scores and the bounds of their bonuses.
     c = F.col
     bonus = lambda e: clamp(e, hi=2.0)
     return {

@@ -106,10 +106,10 @@ def test_closing_is_idempotent_and_sparse_domain_grows(spark):
     assert neighbor.grow_domain(df.where("gx = 5 AND gy = 5")).count() == 5
 
 
-def test_stretches_do_not_change_windows(spark, monkeypatch):
+def test_blocks_do_not_change_windows(spark, monkeypatch):
     df = spark.createDataFrame([(x, y, float((x * 7 + y * 3) % 11)) for x in range(20) for y in range(9)], "gx int, gy int, z double")
     want = values(neighbor.slope_deg(neighbor.neighborhood_std(df, "z", "s"), "z", "t"), "gx", "gy", "s", "t")
-    monkeypatch.setattr(neighbor, "STRETCH", 4)
+    monkeypatch.setattr(neighbor, "BLOCK", 4)
     got = values(neighbor.slope_deg(neighbor.neighborhood_std(df, "z", "s"), "z", "t"), "gx", "gy", "s", "t")
     assert len(got) == len(want) and all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-9 and (a[3] == b[3] or abs(a[3] - b[3]) < 1e-9) for a, b in zip(got, want, strict=True))
 
@@ -119,8 +119,8 @@ def test_square_windows_on_sparse_pixels(spark, monkeypatch):
     cells = {(x, y): random.random() for x in range(-6, 9) for y in range(-6, 9) if random.random() < 0.35}
     df = spark.createDataFrame([(*k, v) for k, v in cells.items()], "gx int, gy int, z double")
     near = {k: [v for (x, y), v in cells.items() if abs(x - k[0]) <= 2 and abs(y - k[1]) <= 2] for k in cells}
-    for stretch in (1 << 14, 4):
-        monkeypatch.setattr(neighbor, "STRETCH", stretch)
+    for block in (256, 4):
+        monkeypatch.setattr(neighbor, "BLOCK", block)
         std = {(r.gx, r.gy): r.s for r in neighbor.neighborhood_std(df, "z", "s", 2).collect()}
         top = {(r.gx, r.gy): (r.m, r.z) for r in neighbor.dilate(df, "z", "m", "square", 2).collect()}
         assert std.keys() == top.keys() == cells.keys()
