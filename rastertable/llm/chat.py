@@ -1,11 +1,12 @@
 r"""Operator 7: chat formatting by quotation linking, in DataFrame operations only.
 
-A line's quote level is the number of '>' that begin it (single spaces between them are allowed). Lines without their marks,
-in lower case and with runs of white space as one space, are passages if they have ``LEAST_CHARS`` characters; their hashes join a quoted
-passage to the latest earlier message of its conversation that has it unquoted. A message replies to the message that
-has most of its passages quoted at the lowest level that is found at all, the later one if equal. For a message without such
-a passage, adjacent lines of one level joined to one passage decide (a quotation that is wrapped at another width), and if none of these is found,
-its shorter lines. A quotation of a part of a line is not found.
+A line's quote level is the number of '>' that begin it (single spaces between them are allowed). Passages are lines without their
+marks, in lower case and with runs of white space as one space; their hashes join a quoted passage to the latest earlier
+message of its conversation that has it unquoted. There are four kinds, and a message is linked by the first kind of which one is found: lines of
+``LEAST_CHARS`` characters or more; adjacent lines of one level joined (a quotation that is wrapped at another width); sentences of such
+joined lines with as many characters (a quotation of a part of a line or paragraph); shorter lines. A message replies to the
+message that has most of its passages quoted at the lowest level that is found at all, the later one if equal. A quotation
+that is cut within a sentence is not found.
 
 A conversation's order is thread by thread (by first message), in a thread by depth of reply, then by turn; a message without
 a found quotation begins a thread, so a conversation without quotations keeps its turns. Quoted lines, and a line that ends
@@ -29,6 +30,7 @@ SEGMENT = 32
 #: Turns of a stretch, within which the latest earlier message is searched at once.
 STRETCH = 256
 _MARKS = r"^(?: ?>)+"
+_SENTENCE_END = r"(?<=[.!?])\s+|(?<=[。！？])"
 
 
 def quote_level(line: Column) -> Column:
@@ -68,22 +70,27 @@ def links(rows: DataFrame) -> DataFrame:
     length = lambda i, n: F.coalesce(F.get("first", n + 1), F.size("lines")) - i
     joined = lambda i, n: F.array_join(F.transform(F.slice("lines", i + 1, length(i, n)), lambda x: x.body), " ")
     blocks = F.transform("first", lambda i, n: F.struct(F.lit(1).alias("kind"), at(i).level.alias("level"), joined(i, n).alias("body")))
-    single = F.transform("lines", lambda x: F.struct(F.when(F.length(x.body) >= LEAST_CHARS, 0).otherwise(2).alias("kind"), x.level.alias("level"), x.body.alias("body")))
-    passages = begun.select("conv", "turn", "key", F.explode(F.concat(single, blocks)).alias("p")).select("conv", "turn", "key", "p.*")
+    single = F.transform("lines", lambda x: F.struct(F.when(F.length(x.body) >= LEAST_CHARS, 0).otherwise(3).alias("kind"), x.level.alias("level"), x.body.alias("body")))
+    cut = lambda b: F.filter(F.split(b.body, _SENTENCE_END), lambda s: F.length(s) >= LEAST_CHARS)
+    sentences = F.flatten(F.transform("blocks", lambda b: F.transform(cut(b), lambda s: F.struct(F.lit(2).alias("kind"), b.level.alias("level"), s.alias("body")))))
+    passages = begun.withColumn("blocks", blocks).select("conv", "turn", "key", F.explode(F.concat(single, "blocks", sentences)).alias("p")).select("conv", "turn", "key", "p.*")
     hashed = passages.where("body <> ''").select("conv", "turn", "key", "kind", "level", F.xxhash64("kind", "body").alias("passage"))
     quoted = hashed.where("level > 0").distinct()
     origin = hashed.where("level = 0").select("conv", "turn", "passage").distinct()
-    asked = quoted.select("conv", "passage").distinct()
-    origin = origin.join(asked.select(F.col("conv").alias("c"), F.col("passage").alias("p")), (F.col("conv").eqNullSafe(F.col("c"))) & (F.col("passage") == F.col("p")), "left_semi")
-    both = quoted.withColumn("origin", F.lit(None).cast("long")).unionByName(origin.select("conv", "turn", F.lit(None).cast("long").alias("key"), F.lit(0).alias("kind"), F.lit(0).alias("level"), "passage", F.col("turn").alias("origin")))
+    #: A turn's source does not depend on its messages, so turns of very many messages are one row here.
+    asked = quoted.select("conv", "passage", "turn").distinct()
+    origin = origin.join(asked.select(F.col("conv").alias("c"), F.col("passage").alias("p")).distinct(), (F.col("conv").eqNullSafe(F.col("c"))) & (F.col("passage") == F.col("p")), "left_semi")
+    both = asked.withColumn("origin", F.lit(None).cast("long")).unionByName(origin.withColumn("origin", F.col("turn")))
     both = both.withColumn("stretch", F.floor(F.col("turn") / STRETCH))
-    within = Window.partitionBy("conv", "passage", "stretch").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    near = both.withColumn("near", F.max("origin").over(within)).where("level > 0")
+    within = Window.partitionBy("conv", "passage", "stretch").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)  # at most two rows a turn
+    near = both.withColumn("near", F.max("origin").over(within)).where("origin IS NULL")
     ends = both.groupBy("conv", "passage", "stretch").agg(F.max("origin").alias("last"))
     before = Window.partitionBy("conv", "passage").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(F.col("conv").alias("c"), F.col("passage").alias("p"), F.col("stretch").alias("s"), F.max("last").over(before).alias("far"))
     met = near.join(ends, F.col("conv").eqNullSafe(F.col("c")) & (F.col("passage") == F.col("p")) & (F.col("stretch") == F.col("s")))
-    votes = met.withColumn("source", F.coalesce("near", "far")).where("source is not null").groupBy("conv", "turn", "key", "kind", "level", "source").agg(F.count("*").alias("n"))
+    sources = met.select(F.col("conv").alias("c"), F.col("passage").alias("p"), F.col("turn").alias("t"), F.coalesce("near", "far").alias("source")).where("source is not null")
+    named = quoted.join(sources, F.col("conv").eqNullSafe(F.col("c")) & (F.col("passage") == F.col("p")) & (F.col("turn") == F.col("t")))
+    votes = named.groupBy("conv", "turn", "key", "kind", "level", "source").agg(F.count("*").alias("n"))
     return votes.groupBy("conv", "turn", "key").agg(F.min_by("source", F.struct("kind", "level", -F.col("n"), -F.col("source"))).alias("parent"))
 
 

@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where that setting is absent (a local session, as in tests) a temporary folder takes its place.
+    Only in a local session without that setting, as in tests, a temporary folder takes its place.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='rastertable-')}"
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
