@@ -11,15 +11,15 @@ from rastertable.llm.shared import written
 HOT = 256
 
 
-def split_join(many: DataFrame, few: DataFrame, key: str, spread: str | Column, total: int) -> DataFrame:
+def split_join(many: DataFrame, few: DataFrame, key: str, spread: str | Column, total: int, counts: DataFrame | None = None) -> DataFrame:
     """``many`` inner joined with ``few``, which has one row a key, on ``key``; hot keys are split.
 
     A key with more than 1 / ``HOT`` of the ``total`` rows (at least as many as ``many`` has) is split into parts of about that
-    size by the hash of ``spread``, and its row of ``few`` is copied to each part.
+    size by the hash of ``spread``, and its row of ``few`` is copied to each part. ``counts`` (key, __n), if known, spares counting.
     """
     share = total // HOT + 1
-    counts = many.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > share)
-    hot = F.broadcast(counts.select(key, F.ceil(F.col("__n") / share).cast("int").alias("__parts")))  # at most HOT rows
+    counts = many.groupBy(key).agg(F.count("*").alias("__n")) if counts is None else counts
+    hot = F.broadcast(counts.where(F.col("__n") > share).select(key, F.ceil(F.col("__n") / share).cast("int").alias("__parts")))  # at most HOT rows
     parts = F.coalesce("__parts", F.lit(1))
     left = many.join(hot, key, "left").withColumn("__part", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("__parts")
     right = few.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")

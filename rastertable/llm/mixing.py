@@ -19,6 +19,7 @@ from decimal import Decimal, getcontext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rastertable.llm.components import split_join
 from rastertable.llm.shared import written
 
 WEIGHTS = (5, 2, 1)
@@ -40,7 +41,7 @@ _LOW, _HIGH = float(_GOLDEN), float(_GOLDEN * 2**20 % 1)
 def sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, place): place orders the documents of a source."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), F.xxhash64("doc_id", "text").alias("place"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("place"))
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -92,16 +93,35 @@ def schedule(quotas: DataFrame, n_slots: int) -> DataFrame:
     return numbered.join(bases, F.col("source").eqNullSafe(F.col("s")) & (F.col("stretch") == F.col("t"))).select("slot", "source", (F.col("base") + F.col("own")).alias("rank"))
 
 
+def ordered(sized: DataFrame) -> DataFrame:
+    """``sized``, a written table, with ``order``: the hash of ``place`` and, for rows that are repeated very often, of the copy's number.
+
+    Copies are numbered within the table's partitions and these one after the other, so that no task holds all copies of a row.
+    """
+    share = sized.count() // BUCKETS + 1
+    often = sized.groupBy("place").agg(F.count("*").alias("n")).where(F.col("n") > share).select("place", F.lit(True).alias("often"))
+    marked = sized.withColumn("part", F.spark_partition_id()).join(F.broadcast(often), "place", "left")  # at most BUCKETS rows
+    hot = marked.where("often")
+    sums = hot.groupBy("place", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("place").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("place", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    own = F.row_number().over(Window.partitionBy("place", "part").orderBy("place"))
+    copies = hot.withColumn("own", own).join(bases, ["place", "part"]).withColumn("copy", F.col("base") + F.col("own"))
+    rest = marked.where("often IS NULL").withColumn("copy", F.lit(0).cast("long"))
+    names = ["doc_id", "source", "size", "place"]
+    return rest.select(*names, "copy").union(copies.select(*names, "copy")).select(*names, F.xxhash64("place", "copy").alias("order"))
+
+
 def placed(sized: DataFrame) -> DataFrame:
-    """``sized`` with ``at``, the words of its source before the document, in the order of ``place``.
+    """``sized`` with ``at``, the words of its source before the document, in the order of ``order``.
 
     The sum within a hash bucket of the source plus the buckets before it.
     """
-    bucketed = sized.withColumn("bucket", F.pmod("place", F.lit(BUCKETS)))
+    bucketed = ordered(sized).withColumn("bucket", F.pmod("order", F.lit(BUCKETS)))
     totals = bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("source", "bucket").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "bucket").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     run = bucketed.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0)))
     joined = run.join(bases, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     return joined.select("doc_id", "source", "size", "place", (F.col("base") + F.col("own")).alias("at"))
@@ -144,9 +164,11 @@ def taken(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """``docs`` as the mix has them: each whole document as often as its taken words hold it, rounded; equal rows alike."""
-    twins = taken(docs, block).groupBy(F.col("doc_id").alias("d"), F.col("place").alias("p")).agg(F.avg(F.col("taken") / F.greatest("size", F.lit(1))).alias("share"))
-    repeats = twins.select("d", "p", F.round("share").cast("int").alias("times")).where("times > 0")
+    twins = written(taken(docs, block).groupBy("place").agg(F.avg(F.col("taken") / F.greatest("size", F.lit(1))).alias("share"), F.count("*").alias("n")), "twins")
+    repeats = twins.select(F.col("place").alias("__place"), F.round("share").cast("int").alias("__times")).where("__times > 0")
+    counts = twins.select(F.col("place").alias("__place"), F.col("n").alias("__n"))
+    total = twins.agg(F.sum("n")).first()[0] or 0
     names = docs.columns
     keyed = docs.withColumn("__place", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    out = keyed.join(repeats, F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (F.col("__place") == F.col("p")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*names)
+    out = split_join(keyed, repeats, "__place", F.monotonically_increasing_id(), total, counts)
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*names)

@@ -7,7 +7,7 @@ The Hamming distances to ``PIVOTS`` reference fingerprints are a fingerprint's c
 of its eight bytes. Linked fingerprints differ in no coordinate by more than the radius: of the pairs that meet in a cell, those
 whose largest coordinate difference exceeds it are discarded, and the rest are verified bit by bit.
 
-Coordinates alone are no index: they lie close together, so a grid over them needs 3 ** m cells a fingerprint to compare 0.7 ** m of all
+Coordinates alone are no index: they lie close together, so a grid over m of them needs 3 ** m cells a fingerprint to compare 0.8 ** m of all
 pairs. Cells are therefore made of bit segments: the 64 bits are cut into s segments, linked fingerprints agree on at least s - 4 of
 them, and each choice of s - 4 segments is a cell key, which loses no link. s grows with the number of distinct fingerprints, so
 that a cell has a few by chance; the result does not depend on it. A cell gives only a spanning star of each of its local
