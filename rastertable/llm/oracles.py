@@ -8,21 +8,15 @@ from rastertable.llm import chat, license_scan
 def license_sql() -> str:
     """The license scan, word by word and without the index."""
     found = license_scan.templates()
-    quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    posts = ", ".join(f"({quoted(w)}, {t.number}, {i})" for t in found for i, w in enumerate(t.words))
-    facts = ", ".join(f"({t.number}, {quoted(t.label)}, {str(t.base).lower()}, {len(t.words)}, {t.key}, {1 if t.base else license_scan.ANCHORS}, {1 if t.base else 2})" for t in found)
+    posts = ", ".join(f"({t.number}, {i}, '{w}', {1 if t.mandatory(i) else 0})" for t in found for i, w in enumerate(t.words))
+    facts = ", ".join(f"({t.number}, '{t.label}', {str(t.base).lower()}, {len(t.words)}, {len(t.key)})" for t in found)
     return rf"""
-WITH posts(word, template, spot) AS (VALUES {posts}), facts(template, label, base, n, key_mask, anchors, needed) AS (VALUES {facts}),
+WITH posts(template, spot, word, mandatory) AS (VALUES {posts}), facts(template, label, base, n, n_key) AS (VALUES {facts}),
 lists AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM documents),
 words AS (SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) - 1 AS pos FROM lists),
-df AS (SELECT p.word, count(DISTINCT w.doc_id) AS n FROM (SELECT DISTINCT word FROM posts) p LEFT JOIN words w ON w.word = p.word GROUP BY p.word),
-ranked AS (SELECT DISTINCT p.template, p.word, df.n FROM posts p JOIN df USING (word)),
-chosen AS (SELECT template, word FROM (SELECT r.*, row_number() OVER (PARTITION BY template ORDER BY n, word) AS rn FROM ranked r) JOIN facts USING (template) WHERE rn <= anchors),
-anchor AS (SELECT p.template, bit_or(CAST(1 AS BIGINT) << p.spot) AS anchor_mask FROM posts p JOIN chosen c ON p.template = c.template AND p.word = c.word GROUP BY p.template),
-votes AS (SELECT doc_id, template, pos - spot AS start, bit_or(CAST(1 AS BIGINT) << spot) AS mask FROM words JOIN posts USING (word) GROUP BY ALL),
-met AS (SELECT * FROM votes JOIN facts USING (template) JOIN anchor USING (template) WHERE bit_count(mask & anchor_mask) >= needed AND mask & key_mask = key_mask),
+met AS (SELECT * FROM (SELECT doc_id, template, pos - spot AS start, count(*) AS matched, sum(mandatory) AS keyed FROM words JOIN posts USING (word) GROUP BY ALL) JOIN facts USING (template) WHERE keyed = n_key),
 hits AS (SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word,
-  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(bit_count(mask)/n) AS score FROM met GROUP BY doc_id)
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(matched/n) AS score FROM met GROUP BY doc_id)
 SELECT doc_id, CAST(len(l) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
 FROM lists LEFT JOIN hits USING (doc_id)"""
 
