@@ -133,11 +133,14 @@ def placed(slotted: DataFrame, slot_map: DataFrame) -> DataFrame:
 
 
 def with_places(files: DataFrame) -> DataFrame:
-    """Shard files with slot: the record's place in its shard, from 0 without gaps."""
+    """Shard files with slot: the record's place in its shard, from 0 without gaps.
+
+    The places of the parts are one row for each part of about ``PART_BYTES``: 100 TB are 800,000 narrow rows.
+    """
     sizes = files.groupBy("shard", "part").agg(F.count("*").alias("n"), F.min("number").alias("first"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("shard", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("base"))  # one row a part file
-    return files.join(bases, ["shard", "part"]).withColumn("slot", F.col("base") + F.col("number")).drop("base", "number")
+    bases = sizes.select("shard", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("base"))
+    return files.join(F.broadcast(bases), ["shard", "part"]).withColumn("slot", F.col("base") + F.col("number")).drop("base", "number")
 
 
 def write_shards(docs: DataFrame, shards: int, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
