@@ -50,16 +50,14 @@ class UnigramCounter(dict):
         mask = self.ring
         best, tokens, unknown_before = [0.0] * (mask + 1), [0] * (mask + 1), False
         for end in range(1, len(word) + 1):
-            known, top, count, unknown, single = [], None, 0, False, False
-            while ahead is not None and ahead[0] == end - 1:
-                known.append(ahead[1])
-                ahead = next(found, None)
-            known.sort(reverse=True)  # the longest piece starts first
-            for length, score in known:
+            top, count, unknown, single = None, 0, False, False
+            while ahead is not None and ahead[0] == end - 1:  # of equal ends the longest piece, which starts first, comes first
+                length, score = ahead[1]
                 s = score + best[end - length & mask]
                 single = length == 1
                 if top is None or s > top:
                     top, count = s, tokens[end - length & mask] + 1
+                ahead = next(found, None)
             if not single:
                 s = self.unknown + best[end - 1 & mask]
                 if top is None or s > top:
