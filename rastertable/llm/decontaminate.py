@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from math import log
 
 import numpy as np
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastertable.llm.shared import as_bytes, slices
+from rastertable.llm.shared import as_bytes, slices, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -398,11 +399,14 @@ class _Shared:
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, similarity): the best place of each benchmark item in each document that holds it."""
-    spark, out = docs.sparkSession, None
+    spark, done, last, sent = docs.sparkSession, [], None, None
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id long, first_word long, n_words long, similarity double"
     for block in _item_blocks(benchmark):
-        sent = spark.sparkContext.broadcast(block)  # at most ITEM_WORDS words
+        if last is not None:  # another block follows, so the one before is worked off and its broadcast freed
+            done.append(written(last, "matches"))
+            sent.destroy()
+        sent = spark.sparkContext.broadcast(block)  # at most ITEM_WORDS words and one item
         shared = _Shared(sent, sent._jbroadcast.id())
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -413,6 +417,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 cols = [[ids[n] for n, *_ in got], [index.ids[g[1]] for g in got], [g[2] for g in got], [g[3] for g in got], [g[4] for g in got]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.float64()], strict=True)], names=["doc_id", "item_id", "first_word", "n_words", "similarity"])
 
-        part = texts.mapInArrow(run, schema)
-        out = part if out is None else out.union(part)
-    return spark.createDataFrame([], schema) if out is None else out
+        last = texts.mapInArrow(run, schema)
+    if last is None:
+        return spark.createDataFrame([], schema)
+    return reduce(DataFrame.union, [*done, last])

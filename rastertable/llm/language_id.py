@@ -2,8 +2,8 @@
 
 A text becomes the counts of its byte 2- and 3-grams (lower case, everything in ASCII but letters is a space, runs of spaces
 are one), hashed to ``DIMS`` dimensions, damped by a logarithm, weighted by inverse document frequency and normalised. Each
-language has several centroids, found by spherical k-means on a bounded sample of its labelled rows (``SAMPLE`` rows in
-expectation, chosen by a hash of doc_id). The prediction is the language of the centroid with the largest cosine. A text that
+language has several centroids, found by spherical k-means (seeded as k-means++ does, with a fixed generator) on a bounded sample of its
+labelled rows (``SAMPLE`` rows in expectation, chosen by a hash of doc_id and text); clusters of single odd texts are dropped. The prediction is the language of the centroid with the largest cosine. A text that
 is farther from its centroid than any sampled training text of that centroid, by a margin, is rejected.
 
 Document frequencies are counted over all training rows. Null texts and texts without a letter are ``und`` with score 0;
@@ -28,8 +28,10 @@ from rastertable.llm.shared import slices
 DIMS = 4096
 CENTROIDS = 4
 SAMPLE = 800
+#: Clusters with a smaller share of their language's sample are dropped, so that no centroid is a single odd text.
+LEAST_SHARE = 0.02
 #: A text is rejected if its cosine is under this share of the least cosine among its centroid's training texts.
-MARGIN = 0.25
+MARGIN = 0.5
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -75,14 +77,20 @@ def _clusters(idf: np.ndarray, centroids: int) -> Callable[[tuple, pd.DataFrame]
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         texts = rows.sort_values(["doc_id", "text"]).text
         x = np.array([vector(t, idf) for t in texts], np.float32)
-        seeds = [0]
-        for _ in range(1, min(centroids, len(x))):  # the text farthest from those chosen
-            seeds.append(int((x @ x[seeds].T).max(axis=1).argmin()))
+        rng = np.random.default_rng(0)
+        seeds = [int(rng.integers(len(x)))]
+        while len(seeds) < min(centroids, len(x)):  # the farther from the seeds, the likelier
+            far = np.maximum(1 - (x @ x[seeds].T).max(axis=1), 0).astype(np.float64) ** 2
+            if not far.sum():
+                break
+            seeds.append(int(rng.choice(len(x), p=far / far.sum())))
         c = x[seeds]
         for _ in range(12):
             own = (x @ c.T).argmax(axis=1)
             c = np.array([x[own == k].mean(axis=0) if (own == k).any() else c[k] for k in range(len(c))], np.float32)
             c /= np.maximum(np.sqrt((c * c).sum(axis=1, keepdims=True)), 1e-12)
+        sizes = np.bincount((x @ c.T).argmax(axis=1), minlength=len(c))
+        c = c[sizes >= min(LEAST_SHARE * len(x), sizes.max())]  # texts of a dropped cluster join their next nearest
         near = x @ c.T
         own = near.argmax(axis=1)
         floor = [float(near[own == k, k].min()) if (own == k).any() else 1.0 for k in range(len(c))]
