@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 
 from rastertable.llm import ann, chat, decontaminate, language_id, license_scan, mixing, sharding, simhash_dedup, token_counts, token_files
 from rastertable.llm.oracles import ORACLE_SQL as ORACLE_SQL
+from rastertable.llm.shared import spread
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +24,7 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return license_scan.scan(documents(spark, sf_dir))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,14 +41,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     model = language_id.fit(docs.where(~language_id.is_held_out()))
     found = language_id.predict(docs.select("doc_id", "text"), model)
     return found.select("doc_id", language_id.is_held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +56,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = simhash_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = simhash_dedup.near_duplicates(documents(spark, sf_dir))
     return out.select("doc_id", "fingerprint", "component_id")
 
 
@@ -61,7 +66,7 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

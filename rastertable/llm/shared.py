@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +35,13 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a scan, in at least as many partitions as the cluster has cores: one large file without row groups is one split otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    last = df.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0]
+    return df if last is None or last + 1 >= cores else df.repartition(cores)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that the texts of one piece stay near ``most_bytes`` (a longer text is alone)."""
     for batch in batches:
