@@ -110,16 +110,43 @@ def brute_license(text):
 
 
 def test_license_scan(spark):
-    mit = license_scan.NOTICES[0][1]
-    rows = [*EDGE, (10, "MIT License, mit-license; the MIT\nlicense", None, "a"), (11, "Mit Licenses and mit x license", None, "a"), (12, f"{LONG[:3000]} {mit.title()} {LONG[:200]}", None, "a"), (13, "This work is licensed under the GNU General Public License, version 3.", None, "a"), (14, "license " * 3000 + "apache license", None, "a"), (15, "mit license", None, "a"), (15, "mit license", None, "a")]
+    mit = license_scan.TEMPLATES[0][1]
+    rows = [*EDGE, (10, "MIT License, mit-license; the MIT\nlicense", None, "a"), (11, "Mit Licenses and mit x license", None, "a"), (12, f"{LONG[:3000]} {mit.title()} {LONG[:200]}", None, "a"), (13, "This work is licensed under the GNU General Public License, version 3.", None, "a"), (14, "license " * 3000 + "apache license", None, "a"), (15, "mit license", None, "a"), (15, "mit license", None, "a"), (16, f"{mit} mit license {license_scan.TEMPLATES[3][1]}", None, "a"), (17, "apache \u212aernel licen\u017fe m\u0131t license", None, "a")]
     out = license_scan.scan(table(spark, rows))
     got = rows_of(out, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
     assert got == sorted([(i, *brute_license(t)) for i, t, *_ in rows], key=str)
     labels = {r.doc_id: (r.labels, r.score) for r in out.collect()}
     assert labels[12] == ("mit-text", 1.0) and labels[13][0] == "gpl,gpl-3.0" and labels[3] == ("", 0.0)
+    assert labels[16] == ("bsd-3-clause,mit,mit-text", 1.0)
     assert license_scan.scan(table(spark, [])).count() == 0
 
 
+def test_license_scan_finds_every_template_as_by_brute_force(spark):
+    r, found = random.Random(9), license_scan.templates()
+    words = sorted({w for t in found for w in t.words})
+    rows = []
+    for k in range(150):
+        text = [r.choice(words) for _ in range(r.randint(0, 60))]
+        for _ in range(r.randint(0, 3)):
+            t = r.choice(found)
+            lo, hi = r.randint(0, t.key_at), r.randint(t.key_at + len(t.key), len(t.words))
+            at = r.randint(0, len(text))
+            text[at:at] = [w if r.random() > 0.02 else "other" for w in t.words[lo:hi]]
+        rows.append((k, " ".join(text), None, "a"))
+    got = {x.doc_id: (x.labels, x.score) for x in license_scan.scan(table(spark, rows)).collect()}
+    for k, text, *_ in rows:
+        own, labels, score = text.split(), set(), 0.0
+        for t in found:
+            for start in range(-len(t.words), len(own)):
+                there = [0 <= start + i < len(own) and own[start + i] == w for i, w in enumerate(t.words)]
+                if all(there[t.key_at : t.key_at + len(t.key)]):
+                    labels.add(t.label)
+                    score = max(score, sum(there) / len(there))
+        assert got[k][0] == ",".join(sorted(labels)) and abs(got[k][1] - score) < 1e-12
+    own = license_scan.scan(table(spark, [(1, "x our own terms apply here", None, None)]), [("own", "our own terms apply", "own terms")]).first()
+    assert (own.labels, own.score) == ("own", 1.0)
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -197,6 +224,46 @@ def test_mixing(spark):
     assert mixing.taken(table(spark, [(1, None, None, None)])).first().taken == 0 and mixing.taken(table(spark, [])).count() == 0
 
 
+def test_takes_as_by_brute_force(spark):
+    rows = [(i, prose(i, 3 + i * 7 % 90), None, s) for i, s in enumerate(["a"] * 12 + ["b"] * 60 + ["c"] * 25 + [None] * 8)]
+    docs = table(spark, rows)
+    got = sorted((r.doc_id, r.taken) for r in mixing.taken(docs, 16).collect())
+    at = {r.doc_id: r["at"] for r in mixing.placed(mixing.written(mixing.sizes(docs), "sizes")).collect()}
+    size = {i: len(t.split()) for i, t, *_ in rows}
+    by = {s: [i for i, _, _, own in rows if own == s] for s in ("a", "b", "c", None)}
+    totals = {s: sum(size[i] for i in ids) for s, ids in by.items()}
+    n_blocks = {s: -(-n // 16) for s, n in totals.items()}
+    quota = {s: want / totals[s] * n_blocks[s] for s, want in brute_targets(totals).items()}
+    edges, total = [], sum(quota.values())
+    for s in quota:
+        edges.append((sum(q for x, q in quota.items() if list(quota).index(x) <= list(quota).index(s)) / total, s))
+    ranks, blocks = Counter(), Counter()
+    for slot in range(round(total)):
+        u = (slot * (5**0.5 - 1) / 2) % 1
+        s = next((s for e, s in edges if u < e), edges[-1][1])
+        if ranks[s] < 3 * n_blocks[s]:
+            blocks[s, ranks[s] % n_blocks[s]] += 1
+        ranks[s] += 1
+    want = []
+    for s, ids in by.items():
+        assert sorted((at[i], at[i] + size[i]) for i in ids)[0][0] == 0 and sum(size[i] for i in ids) == max(at[i] + size[i] for i in ids)
+        want += [(i, sum(n * max(0, min(at[i] + size[i], 16 * b + 16) - max(at[i], 16 * b)) for (x, b), n in blocks.items() if x == s)) for i in ids]
+    assert got == sorted(want)
+
+
+def test_mixing_spreads_a_row_that_is_repeated_very_often(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKETS", 64)
+    often = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one two three four").alias("text"), F.lit("a").alias("source"))
+    docs = often.union(spark.range(400).select((F.col("id") + 10).alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 50).cast("int")).alias("text"), F.lit("b").alias("source")))
+    rows = mixing.ordered(mixing.written(mixing.sizes(docs), "sizes"))
+    assert rows.groupBy(F.pmod("order", F.lit(64)).alias("b")).count().agg(F.max("count")).first()[0] < 1000 and rows.count() == 20_400
+    out = mixing.taken(docs)
+    by = {r.source: r for r in out.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max(F.col("taken") - 3 * F.col("size")).alias("over")).collect()}
+    assert all(abs(r.taken - r.target) <= 4 * mixing.BLOCK and r.over <= 0 for r in by.values())
+    copies = mixing.mixed(docs).groupBy("source").count().collect()
+    assert {r.source for r in copies} == {"a", "b"}
+
+
 def test_golden_points_stay_even_for_large_slots(spark):
     u = [r.u for r in spark.range(2**40, 2**40 + 5000).select(mixing.points(F.col("id")).alias("u")).collect()]
     counts = np.bincount((np.array(u) * 50).astype(int), minlength=50)
@@ -227,6 +294,36 @@ def test_language_id(spark):
     assert language_id.predict(docs.limit(0), model).count() == 0
 
 
+def test_predictions_as_by_brute_force_and_held_out_accuracy(spark):
+    from math import log, log1p, sqrt
+    from pathlib import Path
+
+    rows = [(i, " ".join(random.Random(i).choice(["shu", "kra", "éla", "oui"][i % 2 * 2 :][:2]) for _ in range(i % 9 + 2)), "xx" if i % 2 else "yy", None) for i in range(60)]
+    docs = table(spark, rows)
+    model = language_id.fit(docs.where(~language_id.is_held_out()))
+    learnt = [t for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+
+    def grams(text):
+        raw = b" " + " ".join(re.sub("[^a-z\x80-\U0010ffff]", " ", text.lower()).split()).encode() + b" "
+        return Counter([(int.from_bytes(raw[k : k + 2], "big") * 0x9E3779B1 & 0xFFFFFFFF) >> 20 for k in range(len(raw) - 1)] + [(int.from_bytes(raw[k : k + 3], "big") * 0x85EBCA77 & 0xFFFFFFFF) >> 20 for k in range(len(raw) - 2)])
+
+    df = Counter(d for t in learnt for d in grams(t))
+    for r in language_id.predict(docs, model).select("text", "lang_pred", "score").collect():
+        v = {d: log1p(n) * (log((1 + len(learnt)) / (1 + df[d])) + 0.1) for d, n in grams(r.text).items()}
+        norm = sqrt(sum(x * x for x in v.values()))
+        near = [sum(x / norm * float(c[d]) for d, x in v.items()) for c in model.centroids]
+        assert r.lang_pred == model.langs[near.index(max(near))] and abs(r.score - max(near)) < 1e-4
+    given = Path("/root/testdata/sf0.01/documents.parquet")
+    if given.exists():
+        docs = spark.read.parquet(str(given)).where("lang is not null")
+        model = language_id.fit(docs.where(~language_id.is_held_out()))
+        odd = spark.createDataFrame([(1, "Tämä on suomenkielinen teksti jossa puhutaan säästä ja kesästä järven rannalla"), (2, "0x4f3a9c deadbeef 1f2e3d4c5b6a 9a8b7c6d5e4f"), (3, "Это русский текст о погоде"), (4, "zzzz qqqq xxxx kkkk jjjj")], "doc_id long, text string")
+        assert language_id.predict(odd, model).where("NOT rejected").count() == 0
+        found = language_id.predict(docs, model).where(language_id.is_held_out())
+        assert found.agg(F.avg(F.col("rejected").cast("int"))).first()[0] < 0.01
+        assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -301,6 +398,15 @@ def test_chat_links_short_and_rewrapped_quotations(spark):
     assert [r.parent for r in out if r.conv_id == 2] == [None]
 
 
+def test_chat_links_parts_of_lines_and_turns_of_many_messages(spark):
+    rows = [(1, 0, "user", "The first step is to sort the rows. Then the second step joins them by key. Done."), (1, 1, "a", "今日は良い天気ですねとても嬉しいです。明日は雨が降るでしょうから傘が要ります。"), (1, 2, "user", "> Then the second step\n> joins them by key.\nWhy?"), (1, 3, "user", "> 明日は雨が降るでしょうから傘が要ります。\nはい"), (1, 4, "user", "> the second step joins\nno sentence")]
+    out = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {r.turn: r.parent for r in out} == {0: None, 1: None, 2: 0, 3: 1, 4: None}
+    many = spark.range(5000).select(F.lit(1).cast("long").alias("conv_id"), F.lit(9).cast("long").alias("turn"), F.col("id").cast("string").alias("role"), F.lit("> The first step is to sort the rows.\nyes").alias("text"))
+    got = chat.conversations(many.unionByName(spark.createDataFrame(rows[:1], "conv_id long, turn long, role string, text string")))
+    assert got.where("parent = 0").count() == 5000 and got.agg(F.max("position")).first()[0] == 5000
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------
 
 
