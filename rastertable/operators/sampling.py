@@ -13,6 +13,12 @@ def page(df: DataFrame, order: Sequence[Column | str], limit: int, offset: int =
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_after(df: DataFrame, key: str, last: object, limit: int) -> DataFrame:
+    """The page that follows the key ``last`` (None: the first): a comparison that reaches the scan, so deep pages cost no more."""
+    rows = df if last is None else df.where(F.col(key) > F.lit(last))
+    return rows.orderBy(key).limit(limit)
+
+
 def limit_groups(df: DataFrame, key: str, n: int) -> DataFrame:
     """All rows of the first ``n`` groups by key."""
     return df.join(df.select(key).distinct().orderBy(key).limit(n), key, "left_semi")

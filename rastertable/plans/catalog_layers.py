@@ -291,6 +291,11 @@ def strata_counts(spark: SparkSession, d: str) -> DataFrame:
     return sampling.strata_counts(sampling.stratified_sample(view(spark, d, "reg"), "biome", 200, sampling.arithmetic_hash(F.col("tile_id")), "tile_id"), "biome")
 
 
+@query("SELECT tile_id, status FROM reg WHERE tile_id > 1000 ORDER BY tile_id LIMIT 50", "reg")
+def page_after(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.page_after(view(spark, d, "reg").select("tile_id", "status"), "tile_id", 1000, 50)
+
+
 @query("SELECT c_custkey AS id FROM aoi WHERE c_custkey % 5 <> 0 UNION SELECT aoi_id FROM reg", "aoi", "reg")
 def done_ids(spark: SparkSession, d: str) -> DataFrame:
     valid = view(spark, d, "aoi").select(F.col("c_custkey").alias("id")).where("id % 5 <> 0")
