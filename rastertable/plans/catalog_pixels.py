@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rastertable.functions import pixels as P
-from rastertable.functions import scalars as S
 from rastertable.operators import aggregates, composite, neighbor, zonal
 from rastertable.plans import labels, tiles
 from rastertable.plans.views import sql, view

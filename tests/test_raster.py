@@ -15,6 +15,7 @@ from rastertable.functions import scalars as S
 from rastertable.operators import aggregates, composite, filters, grid, neighbor, sampling, sets, validation, zonal
 from rastertable.plans import screening, tiles
 from rastertable.sources import readers, registry, sinks
+from rastertable.streaming import status as streams
 
 
 def values(df, *cols):
@@ -255,3 +256,50 @@ def test_class_list_and_resume(spark):
 
 def test_latitude_of_the_poles_is_bounded(spark):
     assert math.isclose(spark.range(1).select(projection.lat_of(F.lit(9e9))).first()[0], 90.0, abs_tol=1e-6)
+
+
+@pytest.mark.parametrize("n,kinds", [(0, 3), (1, 3), (7, 2), (2000, 25), (2000, 100_000)])
+def test_quantiles_as_by_brute_force(spark, n, kinds):
+    import numpy as np
+
+    random.seed(n + kinds)
+    rows = [(random.choice(["a", "b", None]), random.choice([None, *range(kinds)] if kinds < 100 else [random.random()])) for _ in range(n)]
+    df = spark.createDataFrame([(k, None if v is None else float(v)) for k, v in rows], "k string, v double")
+    got = {r.k: r for r in aggregates.quantiles(df, ["k"], "v", {"q1": 0.25, "q2": 0.5, "f3": 0.75}, floor=("f3",)).collect()}
+    for k in {k for k, v in rows if v is not None}:
+        own = sorted(float(v) for x, v in rows if x == k and v is not None)
+        assert got[k].n == len(own) and abs(got[k].q1 - np.quantile(own, 0.25)) < 1e-9 and abs(got[k].q2 - np.quantile(own, 0.5)) < 1e-9 and got[k].f3 == own[int(len(own) * 0.75)]
+    assert set(got) == {k for k, v in rows if v is not None}
+
+
+def _log(spark, path, rows):
+    """Updates as a stream of one file a micro-batch, in the order of ``rows``."""
+    for k, part in enumerate(rows):
+        spark.createDataFrame(part, "event_id long, tile_id long, ts timestamp, status string").coalesce(1).write.mode("append").parquet(f"{path}/{k}")
+    schema = "event_id long, tile_id long, ts timestamp, status string"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
+def test_streams_of_several_batches(spark, tmp_path):
+    from datetime import datetime
+
+    at = lambda h, m=0: datetime(2024, 1, 1, h, m)
+    rows = [[(1, 1, at(0), "pending"), (2, 2, at(0, 30), "valid")], [(3, 1, at(1), "valid"), (4, 3, at(5), "failed")], [(7, 3, at(5, 40), "failed")], [(5, 1, at(0, 10), "rejected"), (6, 2, at(5, 30), "complete"), (6, 2, at(5, 30), "complete")]]
+    log = _log(spark, f"{tmp_path}/log", rows)
+    streams.fold_status(log, f"{tmp_path}/fold", f"{tmp_path}/c1").awaitTermination()
+    assert {(r.tile_id, r.status) for r in streams.folded(spark, f"{tmp_path}/fold").collect()} == {(1, "valid"), (2, "complete"), (3, "failed")}
+    assert len([x for x in (tmp_path / "fold").iterdir() if x.name.startswith("turn=")]) == 2
+    streams.progress_stream(log, f"{tmp_path}/rates", f"{tmp_path}/c2", "1 hour", late="1 day").awaitTermination()
+    got = {r.start.hour: (r.n_done, r.n_valid, r.n_failed) for r in streams.current_rates(spark, f"{tmp_path}/rates").collect()}
+    assert got == {0: (3, 1, 0), 1: (1, 1, 0), 5: (4, 0, 2)}
+    streams.progress_stream(log, f"{tmp_path}/late", f"{tmp_path}/c3", "1 hour", late="1 hour").awaitTermination()
+    assert {r.start.hour: r.n_done for r in streams.current_rates(spark, f"{tmp_path}/late").collect()}[0] == 2  # the update of 0:10 came too late
+    streams.incremental_screen(log, lambda df: df.withColumn("seen", F.lit(True)), f"{tmp_path}/screen", f"{tmp_path}/c4", "tile_id").awaitTermination()
+    assert sorted(r.tile_id for r in spark.read.parquet(f"{tmp_path}/screen").collect()) == [1, 2, 3]
+
+
+def test_rasterize_paints_centres(spark):
+    pixels = spark.createDataFrame([(x, y) for x in range(4) for y in range(3)], "gx int, gy int")
+    boxes = spark.createDataFrame([(0.0, 0.0, 2.0, 1.0), (1.4, 0.6, 3.0, 2.0), (9.0, 9.0, 9.0, 9.0)], "a double, b double, c double, d double")
+    got = {(r.gx, r.gy) for r in zonal.rasterize(pixels, boxes, ("a", "b", "c", "d"), 1.5, "land").where("land = 1").collect()}
+    assert got == {(0, 0), (1, 0), (1, 1), (2, 1)} and zonal.rasterize(pixels, boxes.limit(0), ("a", "b", "c", "d"), 1.5, "land").where("land = 0").count() == 12
