@@ -22,15 +22,19 @@ FROM lists LEFT JOIN hits USING (doc_id)"""
 
 
 def chat_sql() -> str:
-    """Chat formatting for tables whose turns are unique in a conversation; threads by recursion."""
+    """Chat formatting for tables whose turns are unique in a conversation; passages of all four kinds, threads by recursion."""
     return rf"""
 WITH RECURSIVE m AS (SELECT conv_id AS conv, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations),
-l AS (SELECT conv, turn, unnest(string_split(text, chr(10))) AS line FROM m),
-p AS (SELECT conv, turn, len(replace(regexp_extract(line, '^(?: ?>)+'), ' ', '')) AS level, trim(regexp_replace(lower(regexp_replace(line, '^(?: ?>)+', '')), '\s+', ' ', 'g')) AS body FROM l),
-q AS (SELECT DISTINCT conv, turn, level, body FROM p WHERE len(body) >= {chat.LEAST_CHARS}),
-s AS (SELECT a.conv, a.turn, a.level, a.body, max(b.turn) AS source FROM q a JOIN q b ON a.conv = b.conv AND a.body = b.body AND b.level = 0 AND b.turn < a.turn WHERE a.level > 0 GROUP BY ALL),
-v AS (SELECT conv, turn, level, source, count(*) AS n FROM s GROUP BY ALL),
-up AS (SELECT conv, turn, source AS parent FROM v QUALIFY row_number() OVER (PARTITION BY conv, turn ORDER BY level, n DESC, source DESC) = 1),
+k AS (SELECT conv, turn, string_split(text, chr(10)) AS ls FROM m), l AS (SELECT conv, turn, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM k),
+p AS (SELECT conv, turn, i, len(replace(regexp_extract(line, '^(?: ?>)+'), ' ', '')) AS level, trim(regexp_replace(lower(regexp_replace(line, '^(?: ?>)+', '')), '\s+', ' ', 'g')) AS body FROM l),
+g AS (SELECT *, CASE WHEN i = 1 OR body = '' OR lag(body) OVER w = '' OR lag(level) OVER w <> level THEN 1 ELSE 0 END AS begins FROM p WINDOW w AS (PARTITION BY conv, turn ORDER BY i)),
+h AS (SELECT *, sum(begins) OVER (PARTITION BY conv, turn ORDER BY i) AS block FROM g),
+j AS (SELECT conv, turn, min(level) AS level, string_agg(body, ' ' ORDER BY i) AS body FROM h GROUP BY conv, turn, block),
+z AS (SELECT conv, turn, level, unnest(string_split(regexp_replace(regexp_replace(body, '([.!?])\s+', '\1' || chr(1), 'g'), '([。！？])', '\1' || chr(1), 'g'), chr(1))) AS body FROM j),
+q AS (SELECT DISTINCT * FROM (SELECT conv, turn, CASE WHEN len(body) >= {chat.LEAST_CHARS} THEN 0 ELSE 3 END AS kind, level, body FROM p UNION ALL SELECT conv, turn, 1, level, body FROM j UNION ALL SELECT conv, turn, 2, level, body FROM z WHERE len(body) >= {chat.LEAST_CHARS}) WHERE body <> ''),
+s AS (SELECT a.conv, a.turn, a.kind, a.level, a.body, max(b.turn) AS source FROM q a JOIN q b ON a.conv = b.conv AND a.kind = b.kind AND a.body = b.body AND b.level = 0 AND b.turn < a.turn WHERE a.level > 0 GROUP BY ALL),
+v AS (SELECT conv, turn, kind, level, source, count(*) AS n FROM s GROUP BY ALL),
+up AS (SELECT conv, turn, source AS parent FROM v QUALIFY row_number() OVER (PARTITION BY conv, turn ORDER BY kind, level, n DESC, source DESC) = 1),
 t AS (SELECT m.conv, m.turn, m.turn AS root, 0 AS depth FROM m LEFT JOIN up USING (conv, turn) WHERE parent IS NULL UNION ALL SELECT up.conv, up.turn, t.root, t.depth + 1 FROM up JOIN t ON up.conv = t.conv AND up.parent = t.turn),
 o AS (SELECT m.*, parent, row_number() OVER (PARTITION BY m.conv ORDER BY root, depth, m.turn) - 1 AS position FROM m JOIN t USING (conv, turn) LEFT JOIN up USING (conv, turn)),
 f AS (SELECT conv, position, parent, role, string_split(text, chr(10)) AS ls FROM o),

@@ -398,6 +398,32 @@ def test_chat_links_short_and_rewrapped_quotations(spark):
     assert [r.parent for r in out if r.conv_id == 2] == [None]
 
 
+def test_chat_sql_states_all_kinds_of_quotations(spark, tmp_path):
+    import duckdb
+
+    from rastertable.llm import oracles
+
+    r, said = random.Random(8), ["Which one?", "yes", "The key column must be sorted first.", "好的", "A first thing is said here. And then a second one follows! Done", "今日は良い天気ですねとても嬉しいです。明日は雨が降るでしょうから傘が要ります。", "and then all of it\nis joined to the other\ntable by its number", ""]
+    rows = []
+    for conv in range(60):
+        texts = []
+        for turn in range(12):
+            parts = [r.choice(said)]
+            for _ in range(r.randint(0, 2)):
+                old = r.choice(texts) if texts and r.random() < 0.8 else "absent text of no one"
+                lines = old.replace("table ", "table\n").split("\n") if r.random() < 0.3 else re.split(r"(?<=[.!?]) ", old)[: r.randint(1, 3)] if r.random() < 0.5 else old.split("\n")
+                parts.insert(r.randint(0, len(parts)), "\n".join(r.choice(["> ", ">", "> > "][:2]) + x for x in lines))
+            texts.append("\n".join(parts))
+            rows.append((conv, turn, r.choice(["user", "assistant", None]), texts[-1]))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/c")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c/*.parquet'")
+    want = con.sql(oracles.chat_sql())
+    got = chat.formatted(df).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall()) and sum(x.n_linked for x in got) > 200
+
+
 def test_chat_links_parts_of_lines_and_turns_of_many_messages(spark):
     rows = [(1, 0, "user", "The first step is to sort the rows. Then the second step joins them by key. Done."), (1, 1, "a", "今日は良い天気ですねとても嬉しいです。明日は雨が降るでしょうから傘が要ります。"), (1, 2, "user", "> Then the second step\n> joins them by key.\nWhy?"), (1, 3, "user", "> 明日は雨が降るでしょうから傘が要ります。\nはい"), (1, 4, "user", "> the second step joins\nno sentence")]
     out = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
