@@ -30,6 +30,8 @@ SEGMENT = 32
 #: Turns of a stretch, within which the latest earlier message is searched at once.
 STRETCH = 256
 _MARKS = r"^(?: ?>)+"
+#: A text with a line that begins with a mark.
+_QUOTES = r"(?m)^ ?>"
 _SENTENCE_END = r"(?<=[.!?])\s+|(?<=[。！？])"
 
 
@@ -56,12 +58,8 @@ def messages(table: DataFrame) -> DataFrame:
     return rows.withColumn("key", F.xxhash64("role", "text"))
 
 
-def links(rows: DataFrame) -> DataFrame:
-    """(conv, turn, key, parent): the turn that each message with a found quotation replies to.
-
-    Originals and quotations of a passage are one table; within a stretch of turns a window finds the last original before,
-    and a second window over the stretches' last originals finds those of earlier stretches.
-    """
+def passages(rows: DataFrame) -> DataFrame:
+    """(conv, turn, key, kind, level, passage): the hashed passages of each message of a turn that is not null."""
     line = lambda x: F.struct(quote_level(x).alias("level"), normalised(x).alias("body"))
     lines = rows.where(F.col("turn").isNotNull()).select("conv", "turn", "key", F.transform(F.split("text", "\n", -1), line).alias("lines"))
     at = lambda i: F.get("lines", i)
@@ -73,13 +71,23 @@ def links(rows: DataFrame) -> DataFrame:
     single = F.transform("lines", lambda x: F.struct(F.when(F.length(x.body) >= LEAST_CHARS, 0).otherwise(3).alias("kind"), x.level.alias("level"), x.body.alias("body")))
     cut = lambda b: F.filter(F.split(b.body, _SENTENCE_END), lambda s: F.length(s) >= LEAST_CHARS)
     sentences = F.flatten(F.transform("blocks", lambda b: F.transform(cut(b), lambda s: F.struct(F.lit(2).alias("kind"), b.level.alias("level"), s.alias("body")))))
-    passages = begun.withColumn("blocks", blocks).select("conv", "turn", "key", F.explode(F.concat(single, "blocks", sentences)).alias("p")).select("conv", "turn", "key", "p.*")
-    hashed = passages.where("body <> ''").select("conv", "turn", "key", "kind", "level", F.xxhash64("kind", "body").alias("passage"))
-    quoted = hashed.where("level > 0").distinct()
-    origin = hashed.where("level = 0").select("conv", "turn", "passage").distinct()
+    each = begun.withColumn("blocks", blocks).select("conv", "turn", "key", F.explode(F.concat(single, "blocks", sentences)).alias("p")).select("conv", "turn", "key", "p.*")
+    return each.where("body <> ''").select("conv", "turn", "key", "kind", "level", F.xxhash64("kind", "body").alias("passage"))
+
+
+def links(rows: DataFrame) -> DataFrame:
+    """(conv, turn, key, parent): the turn that each message with a found quotation replies to.
+
+    Messages that quote are worked off first and written; originals are sought among all messages after that, in one more pass.
+    Originals and quotations of a passage are one table; within a stretch of turns a window finds the last original before,
+    and a second window over the stretches' last originals finds those of earlier stretches.
+    """
+    quoted = written(passages(rows.where(F.col("text").rlike(_QUOTES))).where("level > 0").distinct(), "chat-quoted")
+    everything = rows if not quoted.isEmpty() else rows.where("false")
+    origin = passages(everything).where("level = 0").select("conv", "turn", "passage").distinct()
     #: A turn's source does not depend on its messages, so turns of very many messages are one row here.
     asked = quoted.select("conv", "passage", "turn").distinct()
-    origin = origin.join(asked.select(F.col("conv").alias("c"), F.col("passage").alias("p")).distinct(), (F.col("conv").eqNullSafe(F.col("c"))) & (F.col("passage") == F.col("p")), "left_semi")
+    origin = written(origin.join(asked.select(F.col("conv").alias("c"), F.col("passage").alias("p")).distinct(), (F.col("conv").eqNullSafe(F.col("c"))) & (F.col("passage") == F.col("p")), "left_semi"), "chat-originals")
     both = asked.withColumn("origin", F.lit(None).cast("long")).unionByName(origin.withColumn("origin", F.col("turn")))
     both = both.withColumn("stretch", F.floor(F.col("turn") / STRETCH))
     within = Window.partitionBy("conv", "passage", "stretch").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)  # at most two rows a turn
