@@ -27,7 +27,7 @@ from rastertable.llm.shared import slices, written
 #: Ids in a block, at least (a block ends with the document that fills it).
 BLOCK_IDS = 1 << 16
 #: Bytes that a worker's memory of encoded words may hold, about; when full it starts anew. An entry takes ``ENTRY_BYTES`` and its texts.
-MEMORY_BYTES, ENTRY_BYTES = 192 << 20, 180
+MEMORY_BYTES, ENTRY_BYTES = 160 << 20, 180
 #: Below this character the pattern and the library agree on letters and digits; a test goes through all of them.
 PLAIN = "\u0500"
 BLOCKS = "shard int, block int, first_id long, n_ids int, width int, payload binary, doc_ids array<long>, doc_starts array<int>"
@@ -179,7 +179,7 @@ def _blocks(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((shard, block, first, count, width, pack(np.concatenate(held), width), docs, starts), schema, strict=True)], schema=schema)
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text")), strict=True):
                 docs.append(doc_id)
                 starts.append(count)
