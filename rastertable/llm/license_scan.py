@@ -23,14 +23,16 @@ import json
 import re
 from math import log
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rastertable.llm.shared import written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before lower case.
-_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same words of a text in lower case, as a class that Java matches faster.
+_LOWER_WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
+#: The only letter beyond ASCII that becomes an ASCII letter in lower case, the Kelvin sign, and a letter that does not.
+_KELVIN, _OTHER = "\u212a", "\u0138"
 #: A file's highest-IDF licence words that are looked up whatever they belong to.
 RAREST = 8
 
@@ -82,14 +84,13 @@ def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
 def licence_words(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """(row, doc_id, n_words, hits) for each row of ``docs``; hits are the words of the vocabulary and their places.
 
-    ``lower`` changes letters beyond A-Z too, so only words of ASCII letters count as hits.
+    ``lower`` changes letters beyond A-Z too, but no word's bounds, and with the Kelvin sign out of the way no word becomes one of ASCII letters.
     """
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_ANY_CASE), F.lit(0))
-    places = F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at")))
-    met = F.filter(places, lambda h: F.lower(h.word).isin(vocabulary) & (F.octet_length(h.word) == F.length(h.word)))
-    hits = F.transform(met, lambda h: F.struct(F.lower(h.word).alias("word"), h["at"].cast("long").alias("pos")))
-    rows = docs.select("doc_id", words.alias("words"))
-    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").cast("long").alias("n_words"), hits.alias("hits"))
+    text = F.coalesce("text", F.lit(""))
+    lower = F.lower(F.when(F.contains(text, F.lit(_KELVIN)), F.replace(text, F.lit(_KELVIN), F.lit(_OTHER))).otherwise(text))
+    rows = docs.select("doc_id", F.regexp_extract_all(lower, F.lit(_LOWER_WORD), F.lit(0)).alias("words"))
+    hits = F.transform("words", lambda w, i: F.when(w.isin(vocabulary), F.struct(w.alias("word"), i.cast("long").alias("pos"))))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").cast("long").alias("n_words"), F.array_compact(hits).alias("hits"))
 
 
 def frequencies(hits: DataFrame, vocabulary: list[str]) -> dict[str, float]:
@@ -105,7 +106,8 @@ def candidates(hits: DataFrame, found: list[Template], idf: dict[str, float], po
     ranked = F.split(F.lit(" ".join(sorted(idf, key=lambda w: (-idf[w], w)))), " ")
     keys = F.from_json(F.lit(json.dumps([{"template": t.number, "words": t.key} for t in found])), "array<struct<template:int,words:array<string>>>")
     own = F.array_intersect(ranked, F.transform("hits", lambda h: h.word))  # the file's licence words, the rarest first
-    rows = hits.select("row", "hits", own.alias("own"))
+    must = sorted({max(t.key, key=lambda w: (idf[w], w)) for t in found})  # a file with a template has its rarest mandatory word
+    rows = hits.where(F.exists("hits", lambda h: h.word.isin(must))).select("row", "hits", own.alias("own"))
     rows = rows.withColumn("possible", F.filter(keys, lambda t: F.size(F.array_except(t.words, F.col("own"))) == 0)).where(F.size("possible") > 0)
     rarest = F.transform("possible", lambda t: F.array_intersect("own", t.words)[0])
     rows = rows.withColumn("asked", F.array_union(F.slice("own", 1, RAREST), rarest))
