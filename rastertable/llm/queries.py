@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastertable.llm import ann, chat, decontaminate, language_id, license_scan, mixing, periodic_runs, sharding, simhash_dedup, spelling_variants, token_counts, token_files
+from rastertable.llm import ann, chat, decontaminate, language_id, license_scan, minhash_dedup, mixing, periodic_runs, sharding, simhash_dedup, spelling_variants, token_counts, token_files
 from rastertable.llm.oracles import ORACLE_SQL as ORACLE_SQL
 from rastertable.llm.shared import spread
 
@@ -77,6 +77,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.spelling_variants(documents(spark, sf_dir))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_license_scan": op2_license_scan,
@@ -90,4 +94,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_minhash": op13_minhash,
 }
