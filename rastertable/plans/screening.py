@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rastertable.functions.scalars import ecoregion_labels
-from rastertable.operators import filters
+from rastertable.operators import filters, polygons
 from rastertable.operators.grid import bbox_metrics
 from rastertable.operators.zonal import bbox_join, pick_least
 from rastertable.sources.sinks import write_split
@@ -30,6 +30,19 @@ def smallest_ecoregion(cells: DataFrame, ecoregions: DataFrame, cell: float = 5.
     return out.select(*[c for c in out.columns if c not in facts], *ecoregion_labels(F.col("biome_name"), F.col("biome_num"), F.col("realm")))
 
 
+def smallest_polygon(cells: DataFrame, points: DataFrame, regions: DataFrame, size: float = 1.0) -> DataFrame:
+    """As ``smallest_ecoregion``, for ecoregions that are polygons on the globe, with holes, parts and pieces beyond the date line.
+
+    ``points`` are their vertices (``polygons.vertices``), ``regions`` has eco_id, biome_name, biome_num, realm and eco_area.
+    """
+    facts = ["biome_name", "biome_num", "realm"]
+    edges = polygons.cut_at_date_line(polygons.ring_edges(points))
+    met = polygons.boxes_meeting_polygons(cells, ["id"], BOX, edges, size)
+    chosen = pick_least(met.withColumnRenamed("poly", "eco_id").join(regions, "eco_id"), ["id"], facts, ["eco_area", "eco_id"])
+    out = cells.drop(*facts, "region").join(chosen, "id", "left")
+    return out.select(*[c for c in out.columns if c not in facts], *ecoregion_labels(F.col("biome_name"), F.col("biome_num"), F.col("realm")))
+
+
 def cell_fractions(cells: DataFrame, layers: Mapping[str, DataFrame], step: float) -> DataFrame:
     """Adds the mean of each point layer (lon, lat and the value that names it) over each cell of a regular grid; 0 without points.
 

@@ -29,6 +29,21 @@ VIEWS = {
     "ev": """SELECT event_id, user_id AS tile_id, ts, CASE event_type WHEN 'view' THEN 'pending' WHEN 'signup' THEN 'valid' WHEN 'click' THEN 'submitted' WHEN 'purchase' THEN 'complete' ELSE 'failed' END AS status, value FROM events""",
     "emb": "SELECT vec_id, {0} AS s0, {1} AS s1, {2} AS s2, {3} AS s3, label % 4 AS expected FROM embeddings",
 }
+#: An L with a slanted hole and a separate triangle, in eighths of a box: (part, ring, seq, x, y).
+_SHAPE = "(0, 0, 0, 0, 0), (0, 0, 1, 8, 0), (0, 0, 2, 8, 4), (0, 0, 3, 4, 4), (0, 0, 4, 4, 8), (0, 0, 5, 0, 8), (0, 1, 0, 2, 1), (0, 1, 1, 3, 2), (0, 1, 2, 2, 3), (0, 1, 3, 1, 2), (1, 0, 0, 6, 6), (1, 0, 1, 8, 6), (1, 0, 2, 7, 8)"
+
+
+def _rings(boxes: str) -> str:
+    """Vertices of one shape for each box; every third has the hole, every second the triangle."""
+    return f"""SELECT poly, part, ring, seq, x0 + w*qx*CAST(0.125 AS DOUBLE) AS x, y0 + h*qy*CAST(0.125 AS DOUBLE) AS y
+       FROM ({boxes}) AS b CROSS JOIN (VALUES {_SHAPE}) AS v(part, ring, seq, qx, qy) WHERE (ring = 0 OR poly % 3 = 0) AND (part = 0 OR poly % 2 = 0)"""
+
+
+VIEWS |= {
+    "eco_rings": _rings("SELECT s_suppkey AS poly, ((s_suppkey*3571) % 340) - 180 AS x0, ((s_suppkey*2801) % 120) - 60 AS y0, 20 + s_suppkey % 20 AS w, 15 + s_suppkey % 10 AS h FROM supplier"),
+    "plots": _rings("SELECT s_suppkey AS poly, (s_suppkey*37) % 480 AS x0, (s_suppkey*53) % 490 AS y0, 8 + s_suppkey % 24 AS w, 6 + s_suppkey % 17 AS h FROM supplier"),
+    "field": "SELECT DISTINCT l_partkey % 512 AS gx, l_orderkey % 512 AS gy FROM lineitem",
+}
 #: Sums of each quarter of a 64-dimensional vector, as Spark and as DuckDB state them.
 _QUARTERS = [f"aggregate(slice(embedding, {k}, 16), 0D, (a, x) -> a + CAST(x AS DOUBLE))" for k in (1, 17, 33, 49)]
 _QUARTERS_DUCK = [f"list_sum(list_transform(embedding[{k}:{k + 15}], lambda x: CAST(x AS DOUBLE)))" for k in (1, 17, 33, 49)]
