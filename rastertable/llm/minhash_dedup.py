@@ -208,13 +208,19 @@ def _within_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def cell_links(met: DataFrame, sets: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, b): confirmed links that join nodes of one cell which ``known`` (node, root) has in different components, block by block."""
+    """(a, b): confirmed links that join nodes of one cell which ``known`` (node, root) has in different components, block by block.
+
+    Nodes of the cell's largest component are not compared with each other: they meet the blocks of the others alone.
+    """
     rest = met.where("node <> centre").select("cell", "node").join(known, "node", "left").select("cell", "node", F.coalesce("root", "node").alias("root"))
-    size = F.sum(F.octet_length("shingles") + F.octet_length("minima"))
-    apart = rest.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
-    rows = written(rest.join(apart, "cell", "left_semi").join(sets, "node"), "open_cells")
-    counts = rows.groupBy("cell").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(size / (8 << 20))).cast("int").alias("blocks"))
-    dealt = rows.join(counts, "cell").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    groups = rest.groupBy("cell", "root").agg(F.count("*").alias("n"))
+    apart = groups.groupBy("cell").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("cell", F.col("m.root").alias("most"))
+    rows = written(rest.join(apart, "cell").withColumn("stray", F.expr("root <> most")).drop("most").join(sets, "node"), "open_cells")
+    size = F.octet_length("shingles") + F.octet_length("minima")
+    blocks = lambda side: F.greatest(F.ceil(F.count_if(side) / BLOCK), F.ceil(F.sum(F.when(side, size).otherwise(0)) / (8 << 20))).cast("int")
+    counts = rows.groupBy("cell").agg(blocks(F.col("stray")).alias("strays"), blocks(~F.col("stray")).alias("others"))
+    own = F.expr("IF(stray, pmod(xxhash64(node), strays), strays + pmod(xxhash64(node), others))").cast("int")
+    dealt = rows.join(counts, "cell").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, IF(stray, strays + others, strays) - 1)")))
     place = ["cell", "i", "j"]
     dealt = dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "minima", "shingles")
     return dealt.repartition(*place).sortWithinPartitions(*place).mapInArrow(_within_cells, "a long, b long")
