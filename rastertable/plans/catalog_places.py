@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from rastertable.operators import polygons
 from rastertable.plans import screening
-from rastertable.plans.catalog_tiles import _eco
+from rastertable.plans.catalog_reports import _status_log, _stream
+from rastertable.plans.catalog_tiles import LIMITS, WATER, _eco
 from rastertable.plans.views import sql, view
+from rastertable.sources import keyed
+from rastertable.sources.workdir import work_dir
+from rastertable.streaming import bounded
+from rastertable.streaming.status import latest_status
 
 QUERIES, SQL = {}, {}
 
@@ -75,3 +80,55 @@ def boxes_meeting_polygons(spark: SparkSession, d: str) -> DataFrame:
 def ecoregion_polygons(spark: SparkSession, d: str) -> DataFrame:
     out = screening.smallest_polygon(_boxes(spark, d), _globe_rings(spark, d), _eco(spark, d).drop(*screening.ECO_BOX))
     return out.select("id", "biome_name", F.col("biome_num").cast("long").alias("biome_num"), "region")
+
+
+# Keyed tables and streams with bounded state ---------------------------------------------------------------------
+
+
+@query("SELECT tile_id, status, event_id FROM ev QUALIFY row_number() OVER (PARTITION BY tile_id ORDER BY ts DESC, event_id DESC) = 1", "ev")
+def fold_keyed(spark: SparkSession, d: str) -> DataFrame:
+    out = work_dir(spark, "fold-keyed")
+    log = _status_log(_stream(spark, d, "events"))
+    bounded.fold_keyed(log, f"{out}/table", f"{out}/checkpoint").awaitTermination()
+    return keyed.current(spark, f"{out}/table", latest_status(log).schema).select("tile_id", "status", "event_id")
+
+
+@query(
+    """SELECT tile_id, CASE WHEN tile_id % 40 = 1 THEN 'valid' ELSE status END AS status, CASE WHEN tile_id % 40 = 1 THEN 'again' ELSE rejection_reason END AS rejection_reason, tile_id % 40 = 1 AS touched FROM reg""",
+    "reg",
+)
+def upsert_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """A registry written in buckets, then updates of one tile in forty and of tiles that are not there; the second batch comes twice."""
+    path = work_dir(spark, "tiles-keyed")
+    day = lambda x: F.lit(x).cast("timestamp")
+    tiles = view(spark, d, "reg").select("tile_id", "status", "rejection_reason", day("2024-01-01").alias("updated_at"))
+    updates = tiles.where("tile_id % 40 = 1").select("tile_id", F.lit("valid").alias("status"), F.lit("again").alias("rejection_reason"))
+    updates = updates.unionByName(updates.selectExpr("-tile_id AS tile_id", "status", "rejection_reason"))
+    keyed.merge(tiles, path, 0, "tile_id", lambda held, new: held.unionByName(new), tiles.schema)
+    for _ in range(2):
+        bounded.upsert_tiles(updates, path, 1, ["status", "rejection_reason"], tiles.schema, now=day("2024-02-01"))
+    return keyed.current(spark, path, tiles.schema).select("tile_id", "status", "rejection_reason", (F.col("updated_at") == day("2024-02-01")).alias("touched"))
+
+
+@query(f"SELECT c_custkey, {WATER} AS rejection_reason FROM aoi", "aoi")
+def screen_new(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as cells: a first batch outside the stream, then a stream of all of them, of which only the new ones are screened."""
+    k, out = F.col("c_custkey"), work_dir(spark, "screen-new")
+    facts = {"land_frac": (F.col("c_acctbal") + 1000) / 11000, "veg_fraction": (k * 31 % 100) / 1000.0, "forest_gain_frac": (k * 17 % 100) / 10000.0, "s2_frac": (k * 13 % 100) / 500.0}
+    screen = lambda df: screening.screened(df, LIMITS).select("c_custkey", "rejection_reason")
+    early = spark.read.parquet(f"{d}/customer.parquet").where("c_nationkey < 12").withColumns(facts)
+    keyed.commit(screen(early), f"{out}/table", -1, "c_custkey")
+    stream = _stream(spark, d, "customer").withColumns(facts)
+    bounded.screen_new(stream, screen, f"{out}/table", f"{out}/checkpoint", "c_custkey long, rejection_reason string", "c_custkey").awaitTermination()
+    return keyed.done_rows(spark, f"{out}/table", "c_custkey long, rejection_reason string")
+
+
+@query(
+    "SELECT l_partkey % 512 AS gx, l_orderkey % 512 AS gy, CAST(year(l_shipdate) AS BIGINT) AS y, CAST(max(CASE WHEN l_tax*100 >= 0.5 AND l_linenumber <> 3 THEN 1 ELSE 0 END) AS BIGINT) AS available FROM lineitem GROUP BY ALL",
+    "px",
+)
+def availability_by_year(spark: SparkSession, d: str) -> DataFrame:
+    rows = _stream(spark, d, "lineitem").select((F.col("l_partkey") % 512).alias("gx"), (F.col("l_orderkey") % 512).alias("gy"), F.col("l_shipdate").cast("timestamp").alias("ts"), F.when(F.col("l_tax") * 100 >= 0.5, F.col("l_tax")).alias("b2n"), "l_linenumber")
+    out = work_dir(spark, "availability-by-year")
+    bounded.availability_by_year(rows, ["b2n"], f"{out}/table", f"{out}/checkpoint", usable=F.col("l_linenumber") != 3).awaitTermination()
+    return bounded.availability_now(spark, f"{out}/table").select("gx", "gy", "y", F.col("available").cast("long").alias("available"))

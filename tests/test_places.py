@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import math
 import random
+from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from rastertable.operators import polygons
+from rastertable.sources import keyed
+from rastertable.streaming import bounded
 
 # Polygons --------------------------------------------------------------------------------------------------------
 
@@ -71,3 +75,110 @@ def test_nested_arrays_holes_and_areas(spark):
     pixels = spark.range(30 * 30).selectExpr("id % 30 AS gx", "id DIV 30 AS gy")
     assert polygons.rasterize_polygons(pixels, edges, "in").where("in = 1").count() == 97
     assert polygons.rasterize_polygons(pixels, edges.limit(0), "in").where("in = 1").count() == 0
+
+
+# Keyed tables ----------------------------------------------------------------------------------------------------
+
+TILE = "tile_id long, status string, updated_at timestamp"
+DAY = datetime(2024, 1, 1)
+
+
+def files(path):
+    return {str(p.relative_to(path)): p.stat().st_mtime_ns for p in path.rglob("part-*")}
+
+
+def test_a_batch_of_ten_ids_rewrites_ten_buckets_and_may_run_again(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    tiles = spark.range(2000).select(F.col("id").alias("tile_id"), F.lit("pending").alias("status"), F.lit(DAY).alias("updated_at"))
+    assert len(keyed.merge(tiles, path, 0, "tile_id", lambda held, new: held.unionByName(new), TILE)) == keyed.BUCKETS
+    before = files(tmp_path / "t" / "rows")
+    ups = spark.createDataFrame([(k * 131, "valid") for k in range(10)], "tile_id long, status string")
+    touched = bounded.upsert_tiles(ups, path, 1, ["status"], TILE, now=F.lit(datetime(2024, 2, 1)))
+    assert 0 < len(touched) <= 10
+    after = files(tmp_path / "t" / "rows")
+    assert {k: v for k, v in after.items() if k in before} == before  # nothing else was written
+    assert {k.split("/")[0] for k in set(after) - set(before)} == {f"bucket={b}" for b in touched}
+    state = lambda: sorted((r.tile_id, r.status) for r in keyed.current(spark, path, TILE).collect())
+    want = sorted((k, "valid" if k % 131 == 0 and k < 1310 else "pending") for k in range(2000))
+    assert state() == want
+    assert bounded.upsert_tiles(ups, path, 1, ["status"], TILE, now=F.lit(datetime(2024, 2, 1))) == touched
+    assert state() == want
+    bounded.upsert_tiles(spark.createDataFrame([(5, "failed"), (-1, "failed")], "tile_id long, status string"), path, 2, ["status"], TILE)
+    bounded.upsert_tiles(ups.limit(0), path, 3, ["status"], TILE)
+    want[5] = (5, "failed")
+    assert state() == want
+    assert keyed.vacuum(spark, path) >= len(touched)
+    assert state() == want and keyed.vacuum(spark, path) == 0
+
+
+def test_a_batch_that_failed_half_way_is_not_seen(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    row = lambda *x: spark.createDataFrame([x], "tile_id long, status string, updated_at timestamp")
+    keyed.merge(row(1, "pending", DAY), path, 0, "tile_id", lambda held, new: held.unionByName(new), TILE)
+    with pytest.raises(Exception, match="division|DIVIDE"):
+        keyed.merge(row(1, "x", DAY), path, 1, "tile_id", lambda held, new: new.withColumn("status", F.expr("CAST(1 / (tile_id - 1) AS STRING)")), TILE)
+    assert [r.status for r in keyed.current(spark, path, TILE).collect()] == ["pending"]
+    assert keyed.current(spark, f"{tmp_path}/none", TILE).count() == 0
+
+
+def test_done_ids_are_asked_of_the_filter_first(spark, tmp_path):
+    path, schema = f"{tmp_path}/done", "id long, reason string"
+    ids = lambda lo, hi: spark.range(lo, hi).select("id", F.lit("valid").alias("reason"))
+    assert keyed.undone(ids(0, 10), path, 0, "id", schema).count() == 10
+    keyed.commit(ids(0, 5000), path, 0, "id")
+    keyed.commit(ids(5000, 6000), path, 1, "id")
+    keyed.commit(ids(5000, 6000), path, 1, "id")  # again: no double rows
+    assert keyed.done_rows(spark, path, schema).count() == 6000
+    left = keyed.undone(ids(4000, 9000), path, 2, "id", schema)
+    assert sorted(r.id for r in left.collect()) == list(range(6000, 9000))
+    assert keyed.undone(ids(5500, 5600), path, 1, "id", schema).count() == 100  # batch 1 does not see itself
+    few = keyed.undone(ids(100, 101), path, 2, "id", schema)
+    assert few.count() == 0 and "PartitionFilters: [" in few._jdf.queryExecution().explainString(few._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    words = spark.read.parquet(f"{path}/filter/batch=0")
+    new = ids(10_000, 20_000).withColumns(keyed._word("id", keyed.BUCKETS)).join(words.withColumnRenamed("__bits", "__known"), ["bucket", "__word"])
+    assert new.where(F.col("__known").bitwiseAND(F.col("__bits")) == F.col("__bits")).count() < 200  # false hits below 2 %
+    keyed.commit(ids(0, 0), path, 2, "id")
+    assert keyed.done_rows(spark, path, schema).count() == 6000
+
+
+# Streams ---------------------------------------------------------------------------------------------------------
+
+
+def stream_of(spark, path, batches, schema):
+    """One file a micro-batch, in order."""
+    for k, part in enumerate(batches):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{path}/{k}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
+def test_fold_and_screen_over_several_batches(spark, tmp_path):
+    at = lambda h, m=0: datetime(2024, 1, 1, h, m)
+    rows = [[(1, 1, at(0), "pending"), (2, 2, at(0, 30), "valid")], [(3, 1, at(1), "valid"), (4, 3, at(5), "failed")], [(5, 1, at(0, 10), "rejected"), (6, 2, at(5, 30), "complete"), (6, 2, at(5, 30), "complete")]]
+    log = stream_of(spark, f"{tmp_path}/log", rows, "event_id long, tile_id long, ts timestamp, status string")
+    bounded.fold_keyed(log, f"{tmp_path}/fold", f"{tmp_path}/c1", buckets=8).awaitTermination()
+    assert {(r.tile_id, r.status) for r in bounded.folded_keyed(spark, f"{tmp_path}/fold").collect()} == {(1, "valid"), (2, "complete"), (3, "failed")}
+    schema = "tile_id long, seen string"
+    screen = lambda df: df.select("tile_id", F.col("status").alias("seen"))
+    bounded.screen_new(log, screen, f"{tmp_path}/new", f"{tmp_path}/c2", schema, "tile_id", ["ts"]).awaitTermination()
+    assert sorted(tuple(r) for r in keyed.done_rows(spark, f"{tmp_path}/new", schema).collect()) == [(1, "pending"), (2, "valid"), (3, "failed")]
+    bounded.screen_new(log, screen, f"{tmp_path}/new", f"{tmp_path}/c3", schema, "tile_id", ["ts"]).awaitTermination()  # the whole stream again
+    assert keyed.done_rows(spark, f"{tmp_path}/new", schema).count() == 3
+
+
+def test_state_of_availability_ends_with_the_year(spark, tmp_path):
+    scene = lambda y, m, gx, gy, b: (datetime(y, m, 15), gx, gy, b)
+    batches = [
+        [scene(2020, 3, 1, 1, None), scene(2020, 5, 70, 1, 1.0), scene(2020, 5, -1, -1, 1.0)],
+        [scene(2020, 8, 1, 1, 2.0), scene(2020, 9, 1, 2, None)],
+        [scene(2021, 6, 1, 1, None)],  # the watermark passes the end of 2020
+        [scene(2020, 12, 1, 2, 5.0), scene(2021, 7, 3, 3, 1.0)],  # the first is late
+        [scene(2021, 8, 1, 1, 4.0)],
+    ]
+    obs = stream_of(spark, f"{tmp_path}/obs", batches, "ts timestamp, gx long, gy long, b double")
+    query = bounded.availability_by_year(obs, ["b"], f"{tmp_path}/out", f"{tmp_path}/c")
+    query.awaitTermination()
+    got = {(r.gx, r.gy, r.y): (r.available, r.final) for r in bounded.availability_now(spark, f"{tmp_path}/out").collect()}
+    assert got == {(1, 1, 2020): (1, True), (70, 1, 2020): (1, True), (-1, -1, 2020): (1, True), (1, 2, 2020): (0, True), (1, 1, 2021): (1, False), (3, 3, 2021): (1, False)}
+    held = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert max(held) > held[-1] > 0  # three blocks of 2020 went, one of 2021 is left
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
