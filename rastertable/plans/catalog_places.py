@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastertable.operators import polygons
-from rastertable.plans import screening
+from rastertable.operators import layout, polygons, zonal
+from rastertable.plans import catalog_pixels, labels, screening
 from rastertable.plans.catalog_reports import _status_log, _stream
 from rastertable.plans.catalog_tiles import LIMITS, WATER, _eco
 from rastertable.plans.views import sql, view
-from rastertable.sources import keyed
+from rastertable.sources import keyed, sinks
 from rastertable.sources.workdir import work_dir
 from rastertable.streaming import bounded
 from rastertable.streaming.status import latest_status
@@ -132,3 +134,39 @@ def availability_by_year(spark: SparkSession, d: str) -> DataFrame:
     out = work_dir(spark, "availability-by-year")
     bounded.availability_by_year(rows, ["b2n"], f"{out}/table", f"{out}/checkpoint", usable=F.col("l_linenumber") != 3).awaitTermination()
     return bounded.availability_now(spark, f"{out}/table").select("gx", "gy", "y", F.col("available").cast("long").alias("available"))
+
+
+# Clustered layout ------------------------------------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey % 2000 AS gx, l_orderkey % 2000 AS gy, l_quantity AS b8 FROM lineitem WHERE l_partkey % 2000 BETWEEN 300 AND 499 AND l_orderkey % 2000 BETWEEN 1000 AND 1199", "px")
+def scan_clustered(spark: SparkSession, d: str) -> DataFrame:
+    """Observations written along the curve; a box of a hundredth of the area is read back."""
+    path = work_dir(spark, "clustered")
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 2000).alias("gx"), (F.col("l_orderkey") % 2000).alias("gy"), F.col("l_quantity").alias("b8"))
+    layout.write_clustered(rows, path, group_bytes=256 << 10)
+    return layout.read_box(spark, path, (300, 1000, 499, 1199)).drop(layout.KEY)
+
+
+@query("SELECT s_suppkey AS eco_id FROM supplier WHERE ((s_suppkey*3571) % 340) - 180 <= 20 AND ((s_suppkey*3571) % 340) - 180 + 20 + s_suppkey % 20 >= -10 AND ((s_suppkey*2801) % 120) - 60 <= 30 AND ((s_suppkey*2801) % 120) - 60 + 15 + s_suppkey % 10 >= 0", "eco")
+def scan_footprints(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of up to 39 by 24 degrees, clustered by their corner in cells of a degree; those that meet a box."""
+    path, corner = work_dir(spark, "footprints"), (-180, -90)
+    layout.write_clustered(_eco(spark, d), path, "eco_x0", "eco_y0", corner, 1)
+    return layout.read_footprints(spark, path, (-10.0, 0.0, 20.0, 30.0), screening.ECO_BOX, (39.0, 24.0), "eco_x0", "eco_y0", corner, 1).select("eco_id")
+
+
+def _floats(names: Sequence[str]) -> str:
+    return ", ".join(f"CAST(CAST({c} AS FLOAT) AS DOUBLE) AS {c}" for c in names)
+
+
+STACK_BANDS = [*(f"T{k}_{b}" for k in range(3) for b in labels.STEP_BANDS), "dem", "slope", "gain", "canopy", "forest_type", "nat_forest", *labels.LABEL_BANDS]
+
+
+@query(f"f AS ({catalog_pixels.SQL['full_stack']}) SELECT gx, gy, CAST(floor(gx/4) AS BIGINT) AS xi, CAST(floor(gy/4) AS BIGINT) AS yi, concat('r', CAST(floor(gx/4) AS BIGINT) % 3) AS region, {_floats(STACK_BANDS)} FROM f", "px")
+def export_full_stack(spark: SparkSession, d: str) -> DataFrame:
+    """All 57 bands of every valid pixel as floats, tile by tile in partitions of regions, and read back."""
+    tiles = zonal.with_tile(catalog_pixels.full_stack(spark, d), catalog_pixels.TILE)
+    path = work_dir(spark, "stack")
+    sinks.export_stack(tiles.withColumn("region", F.concat(F.lit("r"), (F.col("xi") % 3).cast("string"))), path, STACK_BANDS, ("xi", "yi"))
+    return spark.read.parquet(path).select("gx", "gy", "xi", "yi", "region", *[F.col(b).cast("double").alias(b) for b in STACK_BANDS])

@@ -9,7 +9,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from rastertable.operators import polygons
+from rastertable.operators import layout, polygons
 from rastertable.sources import keyed
 from rastertable.streaming import bounded
 
@@ -182,3 +182,51 @@ def test_state_of_availability_ends_with_the_year(spark, tmp_path):
     held = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
     assert max(held) > held[-1] > 0  # three blocks of 2020 went, one of 2021 is left
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+# Clustered layout ------------------------------------------------------------------------------------------------
+
+
+def test_keys_interleave_and_ranges_hold_the_box(spark):
+    r = random.Random(5)
+    cells = [(r.randrange(1 << 31), r.randrange(1 << 31)) for _ in range(50)] + [(0, 0), ((1 << 31) - 1, (1 << 31) - 1)]
+    key = lambda x, y: int("".join(f"{(y >> b) & 1}{(x >> b) & 1}" for b in reversed(range(31))), 2)
+    got = spark.createDataFrame(cells, "x long, y long").select(layout.morton(F.col("x"), F.col("y")).alias("k")).collect()
+    assert [x.k for x in got] == [key(*c) for c in cells]
+    for _ in range(30):
+        x0, y0 = r.randrange(60), r.randrange(60)
+        x1, y1 = x0 + r.randrange(40), y0 + r.randrange(40)
+        for most in (4, 32):
+            ranges = layout.key_ranges(x0, y0, x1, y1, most)
+            assert len(ranges) <= most and all(a <= b for a, b in ranges) and all(p[1] + 1 < q[0] for p, q in zip(ranges, ranges[1:], strict=False))
+            assert all(any(a <= key(x, y) <= b for a, b in ranges) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1))
+    area = sum(b - a + 1 for a, b in layout.key_ranges(1000, 5000, 1999, 5999))
+    assert area < 2 * 1000 * 1000 and layout.key_ranges(5, 5, 4, 9) == []
+
+
+def rows_scanned(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+
+
+def test_a_box_of_a_hundredth_reads_a_twentieth(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    n = 400_000
+    table = spark.range(n).select((F.pmod(F.xxhash64("id"), F.lit(2000)) - 1000).alias("gx"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2000)).alias("gy"), F.col("id").alias("v"))
+    layout.write_clustered(table, f"{tmp_path}/z", origin=(-1000, 0), files=4, group_bytes=64 << 10)
+    table.write.parquet(f"{tmp_path}/plain")
+    box = (-310, 1100, -111, 1299)
+    found = layout.read_box(spark, f"{tmp_path}/z", box, origin=(-1000, 0))
+    want = {r.v for r in table.where("gx BETWEEN -310 AND -111 AND gy BETWEEN 1100 AND 1299").collect()}
+    assert {r.v for r in found.collect()} == want and len(want) > 3000
+    assert rows_scanned(found) < n / 20
+    plain = spark.read.parquet(f"{tmp_path}/plain").where("gx BETWEEN -310 AND -111 AND gy BETWEEN 1100 AND 1299")
+    assert rows_scanned(plain) > n / 2
+    groups = [pq.ParquetFile(p).metadata.row_group(k) for p in (tmp_path / "z").glob("part-*") for k in range(pq.ParquetFile(p).metadata.num_row_groups)]
+    spans = [next((g.column(c).statistics.min, g.column(c).statistics.max) for c in range(g.num_columns) if g.column(c).path_in_schema == layout.KEY) for g in groups]
+    ranges = layout.key_ranges(-310 + 1000, 1100, -111 + 1000, 1299)
+    met = sum(any(a <= high and low <= b for a, b in ranges) for low, high in spans)
+    assert len(groups) > 60 and met < len(groups) / 20
+    assert layout.read_box(spark, f"{tmp_path}/z", (-5000, -10, -2000, -1), origin=(-1000, 0)).count() == 0
+    assert layout.read_box(spark, f"{tmp_path}/z", (-5000, -10, 5000, 5000), origin=(-1000, 0)).count() == n
