@@ -17,9 +17,9 @@ places of an item are weighed together from running counts, once for each run of
 
 A text is scanned in steps that overlap by the longest item, whatever its length, so every item-sized passage lies whole in a
 step. Null and empty texts match nothing, nor do items without words; items with a null item_id are items like any other.
-Repeated rows and repeated items each give their rows. Items are held by each task in blocks of at most ``ITEM_WORDS`` words (and
-one item), in the order of item_id and text; a larger benchmark is taken block by block, and weights are counted in a block.
-Other columns are not read; empty tables give an empty result.
+Repeated rows and repeated items each give their rows. How many items hold a shingle is counted over the whole benchmark beforehand.
+Items are held by each task in blocks of at most ``ITEM_WORDS`` words (and one item), in the order of item_id and text; a larger benchmark
+is taken block by block, and the matches do not depend on the blocks. Other columns are not read; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rastertable.llm.components import split_join
 from rastertable.llm.shared import as_bytes, slices, written
 
 SHINGLE = 5
@@ -158,13 +159,17 @@ def gram_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
 class ItemIndex:
     """Block tables of item fingerprints by window size, each item's weighted shingles and its anchors."""
 
-    def __init__(self, items: list[tuple[int | None, bytes]]) -> None:
+    def __init__(self, items: list[tuple[int | None, bytes]], holders: list[list[int]] | None = None, total: int | None = None) -> None:
+        """``holders``: for each item how many of the benchmark's ``total`` items hold each of its shingles, in the order in which
+        they first occur; without it the given items are the whole benchmark."""
         self.ids = [i for i, _ in items]
         self.words = [words_of(t) for _, t in items]
         self.longest = max(map(len, self.words), default=0)
         own = [shingles(w) for w in self.words]
-        seen = Counter(s for c in own for s in c)
-        self.weights = [{s: n * (1 + log(len(items) / seen[s])) for s, n in c.items()} for c in own]
+        if holders is None:
+            seen = Counter(s for c in own for s in c)
+            holders, total = [[seen[s] for s in c] for c in own], len(items)
+        self.weights = [{s: n * (1 + log(total / k)) for (s, n), k in zip(c.items(), each, strict=True)} for c, each in zip(own, holders, strict=True)]
         self.counts = own
         self.totals = [sum(w.values()) for w in self.weights]
         self.grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -304,14 +309,13 @@ def _steps(folded: bytes, overlap: int) -> Iterator[tuple[int, bytes, bool]]:
     """(first word, text, last): a folded text in steps; each begins ``overlap`` words before the end of the step before."""
     at = base = 0
     while True:
-        end = at
-        while end < len(folded):
-            end += STEP
+        end, words = at, 0
+        while end < len(folded) and words <= 2 * overlap:
+            before, end = end, end + STEP
             end = folded.find(b" ", end) if end < len(folded) else len(folded)
             end = len(folded) if end < 0 else end
-            starts = word_hashes(folded[at:end])[0] if end < len(folded) else None
-            if starts is None or len(starts) > 2 * overlap:
-                break
+            words += len(folded[before:end].split())
+        starts = word_hashes(folded[at:end])[0] if end < len(folded) else None
         yield base, folded[at:end], end >= len(folded)
         if end >= len(folded):
             return
@@ -363,18 +367,38 @@ def _scan(index: ItemIndex, texts: list[bytes]) -> list[tuple[int, int, int, int
     return [(n, item, *v) for (n, item), v in found.items()]
 
 
-def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, bytes]]]:
-    """The benchmark in blocks of bounded size, streamed."""
+def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(number, place, shingle): each item's shingles in the order in which they first occur."""
+    for batch in slices(batches, "text"):
+        for number, data in zip(batch.column("number").to_pylist(), as_bytes(batch.column("text")), strict=True):
+            own = list(shingles(words_of(data)))
+            for k in range(0, len(own), 1 << 14):
+                part = own[k : k + (1 << 14)]
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(part), pa.int64()), pa.array(range(k, k + len(part)), pa.int32()), pa.array(part, pa.binary())], names=["number", "place", "shingle"])
+
+
+def weighted_items(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """(item_id, text, holders) of the items that have words, and their number; holders: how many items hold each shingle of the item."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    items = written(rows.withColumn("number", F.monotonically_increasing_id()), "items")
+    own = written(items.select("number", "text").mapInArrow(_item_shingles, "number long, place int, shingle binary"), "item_shingles")
+    seen = own.groupBy("shingle").agg(F.count("*").alias("n"))
+    each = split_join(own, seen, "shingle", "number", own.count())
+    holders = each.groupBy("number").agg(F.sort_array(F.collect_list(F.struct("place", "n"))).alias("h"))  # as long as the item
+    out = written(items.join(holders, "number").select("item_id", "text", F.col("h.n").alias("holders")), "weighted_items")
+    return out, out.count()
+
+
+def _item_blocks(items: DataFrame) -> Iterator[list[tuple[int | None, bytes, list[int]]]]:
+    """The items in blocks of bounded size, streamed."""
     block, held = [], 0
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("binary")).where("text is not null").orderBy("item_id", "text")
-    for item_id, text in rows.toLocalIterator():
+    for item_id, text, holders in items.select("item_id", F.col("text").cast("binary"), "holders").orderBy("item_id", "text").toLocalIterator():
         n = len(words_of(bytes(text)))
-        if n:
-            if block and held + n > ITEM_WORDS:
-                yield block
-                block, held = [], 0
-            block.append((item_id, bytes(text)))
-            held += n
+        if block and held + n > ITEM_WORDS:
+            yield block
+            block, held = [], 0
+        block.append((item_id, bytes(text), np.array(holders, np.int64)))
+        held += n
     if block:
         yield block
 
@@ -386,15 +410,16 @@ _INDEX: dict[int, ItemIndex] = {}
 def _index(shared) -> ItemIndex:
     if shared.bid not in _INDEX:
         _INDEX.clear()
-        _INDEX[shared.bid] = ItemIndex(shared.items.value)
+        items = shared.items.value
+        _INDEX[shared.bid] = ItemIndex([x[:2] for x in items], [x[2].tolist() for x in items], shared.total)
     return _INDEX[shared.bid]
 
 
 class _Shared:
-    """A broadcast block of items and a number that tells blocks apart."""
+    """A broadcast block of items, a number that tells blocks apart, and the number of all items."""
 
-    def __init__(self, items, bid: int) -> None:
-        self.items, self.bid = items, bid
+    def __init__(self, items, bid: int, total: int) -> None:
+        self.items, self.bid, self.total = items, bid, total
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -402,12 +427,13 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark, done, last, sent = docs.sparkSession, [], None, None
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id long, first_word long, n_words long, similarity double"
-    for block in _item_blocks(benchmark):
+    items, total = weighted_items(benchmark)
+    for block in _item_blocks(items):
         if last is not None:  # another block follows, so the one before is worked off and its broadcast freed
             done.append(written(last, "matches"))
             sent.destroy()
         sent = spark.sparkContext.broadcast(block)  # at most ITEM_WORDS words and one item
-        shared = _Shared(sent, sent._jbroadcast.id())
+        shared = _Shared(sent, sent._jbroadcast.id(), total)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = _index(shared)

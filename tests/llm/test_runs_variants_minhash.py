@@ -210,3 +210,30 @@ def test_minhash_pairs_of_one_cell_that_miss_the_centre_are_found():
 def test_minhash_of_empty_tables(spark):
     assert minhash_dedup.near_duplicates(table(spark, [])).count() == 0
     assert rows_of(minhash_dedup.near_duplicates(table(spark, [(1, None), (2, "")])), "doc_id", "n_shingles", "component_id", "kept") == [(1, 0, 1, True), (2, 0, 2, True)]
+
+
+# 10: matches do not depend on blocks -----------------------------------------------------------------------------
+
+
+def test_matches_are_the_same_whatever_the_blocks(spark, monkeypatch):
+    from rastertable.llm import decontaminate
+
+    r = random.Random(10)
+    vocabulary = [f"v{k}" for k in range(300)]
+    shared = [" ".join(r.choice(vocabulary) for _ in range(12)) for _ in range(3)]  # boilerplate of many items: its weight depends on the whole benchmark
+    items = [(k, f"{r.choice(shared)} {' '.join(r.choice(vocabulary) for _ in range(r.randrange(4, 20)))}") for k in range(40)] + [(40, "short one"), (40, "short one"), (None, "a b c d e f"), (41, ""), (42, None)]
+    rows = []
+    for k in range(120):
+        w = r.choice(items[:40])[1].split()
+        for _ in range(r.randrange(0, 3)):  # around the limit
+            w[r.randrange(len(w))] = "x"
+        rows.append((k, " ".join([*(r.choice(vocabulary) for _ in range(5)), *w, *(r.choice(vocabulary) for _ in range(5))])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = table(spark, [*rows, (200, "a short one b"), (201, None), (201, LONG)])
+    names = ("doc_id", "item_id", "first_word", "n_words", "similarity")
+    whole = decontaminate.ItemIndex([(i, t.encode()) for i, t in items if t])
+    want = sorted(((i, whole.ids[k], at, n, sim) for i, t in [(d.doc_id, d.text or "") for d in docs.collect()] for _, k, at, n, sim in decontaminate._scan(whole, [t.encode()])), key=str)
+    assert len({x[0] for x in want}) > 60 and any(x[4] < 0.9 for x in want)
+    for words in (30, 100, 500_000):
+        monkeypatch.setattr(decontaminate, "ITEM_WORDS", words)
+        assert rows_of(decontaminate.matches(docs, bench), *names) == want
