@@ -197,10 +197,11 @@ def _blocks(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
     """Encodes ``docs`` (doc_id, text) and writes the token table; returns the table as read back (schema ``BLOCKS``).
 
-    Shards are ranges of doc_id. A document is never cut, so a block is at most ``BLOCK_IDS`` ids and one document long.
+    Shards are ranges of doc_id; equal rows, whose ids are equal, are told apart by their place in the scan, so they fill several shards.
+    A document is never cut, so a block is at most ``BLOCK_IDS`` ids and one document long.
     """
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("text"))
-    ordered = ordered.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns({"h": F.xxhash64("text"), "spot": F.monotonically_increasing_id()})
+    ordered = ordered.repartitionByRange("doc_id", "h", "spot").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     return written(ordered.mapInArrow(_blocks(tokenizer_path, end_id), BLOCKS), "tokens")
 
 

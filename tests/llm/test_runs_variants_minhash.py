@@ -11,6 +11,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from rastertable.llm import minhash_dedup, periodic_runs, spelling_variants
 
 DOCS = "doc_id long, text string, word string, node long, n long, cell string, row_key string, set string"
@@ -237,3 +239,26 @@ def test_matches_are_the_same_whatever_the_blocks(spark, monkeypatch):
     for words in (30, 100, 500_000):
         monkeypatch.setattr(decontaminate, "ITEM_WORDS", words)
         assert rows_of(decontaminate.matches(docs, bench), *names) == want
+
+
+# 1: equal rows fill several shards -------------------------------------------------------------------------------
+
+
+def test_equal_rows_are_spread_over_the_shards(spark, monkeypatch):
+    import public_tokenizers
+
+    from rastertable.llm import token_files
+
+    docs = spark.range(100_000).selectExpr("IF(id < 90000, 7L, id) AS doc_id", "IF(id < 90000, 'the same words', concat('other ', id)) AS text").repartition(4)
+    monkeypatch.setattr(token_files, "BLOCK_IDS", 5000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few bytes are one shard
+    blocks = token_files.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    shards = {r.shard: r.n for r in blocks.groupBy("shard").agg(F.sum(F.size("doc_ids")).alias("n")).collect()}
+    assert sum(shards.values()) == 100_000 and len(shards) >= 4 and max(shards.values()) < 2 * 100_000 / len(shards)
+    found = token_files.read_documents(blocks)
+    assert found.where("doc_id = 7").select("ids_crc32", "n_tokens").distinct().count() == 1
+    starts = sorted((r.start, r.n_tokens) for r in found.select("start", "n_tokens").collect())
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False)) and starts[0][0] == 0
+    order = [r.doc_id for r in found.orderBy("start").select("doc_id").collect()]
+    assert order == sorted(order)
