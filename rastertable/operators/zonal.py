@@ -78,6 +78,52 @@ def bbox_join(left: DataFrame, right: DataFrame, left_box: Sequence[str], right_
     return a.join(found, "__id", "left").drop("__id")
 
 
+def box_level(box: Sequence[str], least: float) -> Column:
+    """The level whose cells are as wide as the box or just wider; cells of level 0 are ``least`` wide, those of each next one twice as wide."""
+    return F.ceil(F.log2(F.greatest(F.col(box[2]) - F.col(box[0]), F.col(box[3]) - F.col(box[1]), F.lit(least)) / least)).cast("int")
+
+
+def level_cells(df: DataFrame, box: Sequence[str], least: float, levels: Column) -> DataFrame:
+    """Each row for every cell (__level, __cx, __cy) of the given levels that its box meets; column __own goes."""
+    out = df.withColumn("__level", F.explode(levels)).withColumn("__s", F.pow(F.lit(2.0), F.col("__level")) * least)
+    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / F.col("__s")), F.floor(F.col(hi) / F.col("__s")))
+    return out.withColumn("__cx", F.explode(span(box[0], box[2]))).withColumn("__cy", F.explode(span(box[1], box[3]))).drop("__own", "__s")
+
+
+def bbox_join_levels(left: DataFrame, right: DataFrame, left_box: Sequence[str], right_box: Sequence[str], least: float, split: int = 1 << 16) -> DataFrame:
+    """As ``bbox_join`` (inner), for boxes of very different sizes.
+
+    Cells come in levels, each twice as wide as the one before, the first ``least`` units. A box lives at the level whose cells are as wide as
+    the box or just wider, in four cells at most, and looks up the cells of wider levels that the other side uses, again four at most for each
+    level. So a box has rows in proportion to the number of levels, whatever its size; a pair is given once, as in ``bbox_join``. Look-ups of
+    a cell are split into parts of ``split``, to which the few boxes that live there are copied.
+    """
+    a, b = left.withColumn("__own", box_level(left_box, least)), right.withColumn("__own", box_level(right_box, least))
+    used = [sorted(r[0] for r in x.select("__own").distinct().collect()) for x in (a, b)]  # a level is a power of two, so they are few
+    lx0, ly0, lx1, ly1 = map(F.col, left_box)
+    rx0, ry0, rx1, ry1 = map(F.col, right_box)
+    meet = (lx0 <= rx1) & (lx1 >= rx0) & (ly0 <= ry1) & (ly1 >= ry0)
+    size = F.pow(F.lit(2.0), F.col("__level")) * least
+    cell = ["__level", "__cx", "__cy"]
+
+    def joined(many: DataFrame, few: DataFrame) -> DataFrame:
+        parts = many.groupBy(*cell).agg(F.ceil(F.count("*") / split).cast("int").alias("__parts")).where("__parts > 1")
+        n = F.coalesce("__parts", F.lit(1))
+        spread = many.join(parts, cell, "left").withColumn("__part", F.floor(F.rand(1) * n).cast("int")).drop("__parts")
+        copied = few.join(parts, cell, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), n - 1))).drop("__parts")
+        both = spread.join(copied, [*cell, "__part"]).where(meet)
+        return both.where((F.col("__cx") == F.floor(F.greatest(lx0, rx0) / size)) & (F.col("__cy") == F.floor(F.greatest(ly0, ry0) / size))).drop(*cell, "__part")
+
+    home = F.array("__own")
+    above = lambda levels, own: F.filter(F.array(*map(F.lit, levels)), lambda x: x >= F.col("__own") if own else x > F.col("__own"))
+    if not all(used):
+        return joined(level_cells(a, left_box, least, home), level_cells(b, right_box, least, home))
+    columns = [*left.columns, *right.columns]
+    upward = joined(level_cells(a, left_box, least, above(used[1], True)), level_cells(b, right_box, least, home)).select(*columns)
+    downward = joined(level_cells(b, right_box, least, above(used[0], False)), level_cells(a, left_box, least, home)).select(*columns)
+    return upward.union(downward)
+
+
 def point_join(points: DataFrame, boxes: DataFrame, x: str, y: str, box: Sequence[str], cell: float, upper_open: bool = False) -> DataFrame:
     """Pairs of a point and a box that holds it; a point falls in one cell, so only boxes are dealt out."""
     x0, y0, x1, y1 = map(F.col, box)

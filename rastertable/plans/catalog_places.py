@@ -12,7 +12,7 @@ from rastertable.plans import catalog_pixels, labels, screening
 from rastertable.plans.catalog_reports import _status_log, _stream
 from rastertable.plans.catalog_tiles import LIMITS, WATER, _eco
 from rastertable.plans.views import sql, view
-from rastertable.sources import keyed, sinks
+from rastertable.sources import keyed, readers, sinks
 from rastertable.sources.workdir import work_dir
 from rastertable.streaming import bounded
 from rastertable.streaming.status import latest_status
@@ -170,3 +170,57 @@ def export_full_stack(spark: SparkSession, d: str) -> DataFrame:
     path = work_dir(spark, "stack")
     sinks.export_stack(tiles.withColumn("region", F.concat(F.lit("r"), (F.col("xi") % 3).cast("string"))), path, STACK_BANDS, ("xi", "yi"))
     return spark.read.parquet(path).select("gx", "gy", "xi", "yi", "region", *[F.col(b).cast("double").alias(b) for b in STACK_BANDS])
+
+
+# Boxes of all sizes, arrays of records ---------------------------------------------------------------------------
+
+_SIZES = "CASE {k} % 6 WHEN 0 THEN 0.0015 WHEN 1 THEN 0.0105 WHEN 2 THEN 0.1205 WHEN 3 THEN 1.0005 WHEN 4 THEN 12.0005 ELSE 90.0005 END"
+
+
+@query(
+    f"""a AS (SELECT c_custkey, CAST(lon AS DOUBLE) AS ax, CAST(lat AS DOUBLE) AS ay, CAST({_SIZES.format(k="c_custkey")} AS DOUBLE) AS s FROM aoi),
+    b AS (SELECT eco_id, CAST(x0 AS DOUBLE) AS bx, CAST(y0 AS DOUBLE) AS bq, CAST({_SIZES.format(k="eco_id")} AS DOUBLE) AS t FROM eco)
+    SELECT c_custkey, eco_id FROM a JOIN b ON ax <= bx + t AND ax + s >= bx AND ay <= bq + t AND ay + s >= bq""",
+    "aoi", "eco",
+)
+def boxes_of_all_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of a thousandth to ninety degrees on both sides."""
+    box = lambda df, key, x, y, p: df.select(key, F.col(x).cast("double").alias(f"{p}0"), F.col(y).cast("double").alias(f"{p}1"), F.expr(f"CAST({_SIZES.format(k=key)} AS DOUBLE)").alias("s")).select(key, f"{p}0", f"{p}1", (F.col(f"{p}0") + F.col("s")).alias(f"{p}2"), (F.col(f"{p}1") + F.col("s")).alias(f"{p}3"))
+    a, b = box(view(spark, d, "aoi"), "c_custkey", "lon", "lat", "a"), box(view(spark, d, "eco"), "eco_id", "x0", "y0", "b")
+    return zonal.bbox_join_levels(a, b, ("a0", "a1", "a2", "a3"), ("b0", "b1", "b2", "b3"), 0.001).select("c_custkey", "eco_id")
+
+
+#: Bytes of a piece in the queries; files of the tables are small.
+_PIECE = 64 << 10
+
+
+def _aoi_records(spark: SparkSession, d: str) -> DataFrame:
+    """(id, r, valid): AOIs as records, every other one wrapped; names hold quotes, backslashes and brackets."""
+    odd = F.concat(F.lit('q"}]\\'), F.col("biome"), F.lit('{[\\"'))
+    rows = screening.screened(view(spark, d, "aoi"), LIMITS)
+    bare = F.struct("id", odd.alias("biome_name"), "region", F.col("land_frac").cast("double").alias("land_frac"), "rejection_reason")
+    return rows.select("id", F.when(F.col("c_custkey") % 2 == 0, F.to_json(F.struct(bare.alias("properties")))).otherwise(F.to_json(bare)).alias("r"), "valid")
+
+
+_NAMES = "concat('q\"}]', chr(92), biome, '{[', chr(92), '\"')"
+
+
+@query(f"SELECT id, {_NAMES} AS biome_name, region, CAST(land_frac AS DOUBLE) AS land_frac FROM aoi", "aoi")
+def scan_aois(spark: SparkSession, d: str) -> DataFrame:
+    """All AOIs as one array in one file, read in pieces."""
+    path, rows = work_dir(spark, "aoi-array"), _aoi_records(spark, d)
+    first = rows.agg(F.min("id").alias("least"))
+    lines = rows.join(F.broadcast(first)).select(F.concat(F.when(F.col("id") == F.col("least"), "[").otherwise(","), "r").alias("value"), (F.col("id") != F.col("least")).alias("later"))
+    end = spark.createDataFrame([("]", True)], "value string, later boolean")
+    lines.union(end).coalesce(1).sortWithinPartitions("later", F.col("value") == "]").select("value").write.text(path)
+    return readers.scan_aois(spark, path, _PIECE).select("id", "biome_name", "region", "land_frac")
+
+
+@query(f"SELECT id, {_NAMES} AS biome_name, {WATER} AS rejection_reason, {WATER} = 'valid' AS valid FROM aoi", "aoi")
+def scan_checkpoint(spark: SparkSession, d: str) -> DataFrame:
+    """All AOIs in one checkpoint file with both arrays, read in pieces."""
+    path = work_dir(spark, "checkpoint-arrays")
+    rows = _aoi_records(spark, d).select((~F.col("valid")).cast("int").alias("side"), F.lit(1).alias("part"), F.concat("r", F.lit(",")).alias("value"))
+    frame = [(0, 0, '{"valid": ['), (0, 2, '{"id": null}], "rejected" :\n ['), (1, 2, '{"id": null}]}')]
+    rows.union(spark.createDataFrame(frame, "side int, part int, value string")).coalesce(1).sortWithinPartitions("side", "part").select("value").write.text(path)
+    return readers.scan_checkpoint(spark, path, _PIECE).where("id IS NOT NULL").select("id", "biome_name", "rejection_reason", "valid")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rastertable.functions.pixels import class_in, decode_cover, unmask
+from rastertable.sources.json_arrays import PIECE, json_records
 
 # A record's fields in the files, and our names for them.
 _FIELDS = {
@@ -41,6 +42,19 @@ def load_checkpoint(spark: SparkSession, path: str) -> DataFrame:
     return parts[0].union(parts[1]).union(bare.select(*_unwrapped(bare), F.lit(True).alias("valid")))
 
 
+def scan_aois(spark: SparkSession, path: str, piece: int = PIECE) -> DataFrame:
+    """As ``read_aois``, with each file read by as many tasks as it has pieces."""
+    raw = json_records(spark, path, piece).select(F.from_json("value", _EITHER).alias("r"))
+    return raw.select(*_unwrapped(raw, "r."))
+
+
+def scan_checkpoint(spark: SparkSession, path: str, piece: int = PIECE) -> DataFrame:
+    """As ``load_checkpoint``, with each file read by as many tasks as it has pieces. Arrays of other names are left out."""
+    raw = json_records(spark, path, piece).where("array IS NULL OR array IN ('valid', 'rejected')")
+    parsed = raw.select(F.from_json("value", _EITHER).alias("r"), F.coalesce(F.col("array") == "valid", F.lit(True)).alias("valid"))
+    return parsed.select(*_unwrapped(parsed, "r."), "valid")
+
+
 def with_aoi_ids(tiles: DataFrame, links: DataFrame) -> DataFrame:
     """Tiles with the array of their AOIs, by one join; a tile has few AOIs."""
     ids = links.groupBy("tile_id").agg(F.sort_array(F.collect_list("aoi_id")).alias("aoi_ids"))

@@ -230,3 +230,70 @@ def test_a_box_of_a_hundredth_reads_a_twentieth(spark, tmp_path):
     assert len(groups) > 60 and met < len(groups) / 20
     assert layout.read_box(spark, f"{tmp_path}/z", (-5000, -10, -2000, -1), origin=(-1000, 0)).count() == 0
     assert layout.read_box(spark, f"{tmp_path}/z", (-5000, -10, 5000, 5000), origin=(-1000, 0)).count() == n
+
+
+# Boxes of all sizes ----------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("split", [1 << 16, 20])
+def test_boxes_of_five_decades_meet_once_with_few_rows(spark, split):
+    from rastertable.operators import zonal
+
+    r = random.Random(split)
+
+    def boxes(n, lo):
+        out = []
+        for k in range(n):
+            s, t = 10 ** r.uniform(-3, 2), 10 ** r.uniform(-3, 2)
+            x, y = r.uniform(-100, 100), r.uniform(-60, 60)
+            out.append((lo + k, x, y, x + s, y + t))
+        return [*out, (lo + n, 0.0, 0.0, 0.0, 0.0), (lo + n + 1, -8.0, -8.0, 8.0, 8.0)]
+
+    a, b = boxes(400, 0), boxes(300, 1000)
+    left, right = (spark.createDataFrame(x, ", ".join([f"{p}id long", *(f"{p}{k} double" for k in range(4))])) for x, p in ((a, "a"), (b, "b")))
+    out = zonal.bbox_join_levels(left, right, ("a0", "a1", "a2", "a3"), ("b0", "b1", "b2", "b3"), 0.001, split)
+    want = sorted((i, j) for i, x0, y0, x1, y1 in a for j, u0, v0, u1, v1 in b if x0 <= u1 and x1 >= u0 and y0 <= v1 and y1 >= v0)
+    assert sorted((x.aid, x.bid) for x in out.collect()) == want
+    placed = left.withColumn("__own", zonal.box_level(("a0", "a1", "a2", "a3"), 0.001))
+    cells = zonal.level_cells(placed, ("a0", "a1", "a2", "a3"), 0.001, F.expr("sequence(__own, 18)"))
+    most = cells.groupBy("aid", "__level").count().agg(F.max("count")).first()[0]
+    assert most <= 4  # rows of a box grow with the levels alone
+    none = zonal.bbox_join_levels(left.limit(0), right, ("a0", "a1", "a2", "a3"), ("b0", "b1", "b2", "b3"), 0.001)
+    assert none.count() == 0
+
+
+# Arrays of records -----------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("piece", [1, 17, 1000, 1 << 20])
+def test_arrays_are_read_whatever_the_cuts(spark, tmp_path, piece):
+    import json
+
+    from rastertable.sources.json_arrays import json_records
+
+    r = random.Random(piece)
+    text = lambda: "".join(r.choice(['"', "\\", "\\\\", "{", "}", "[", "]", ",", ":", "é", "日", "a", "\n"]) for _ in range(r.randrange(0, 12)))
+    record = lambda k: {"k": k, text() + "n": text(), "deep": {"list": [{"x": text()}, [1, {"y": [text()]}]], "z": {}}}
+    n = 3 if piece == 1 else 40
+    bare, valid, rejected = ([record(k) for k in range(n)] for _ in range(3))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps(bare, ensure_ascii=False))
+    (tmp_path / "in" / "b.json").write_text(json.dumps({"valid": valid, "note": "{[", "rejected": rejected, "none": []}, indent=1, ensure_ascii=piece % 2 == 0))
+    (tmp_path / "in" / "c.json").write_text("[]")
+    (tmp_path / "in" / "d.json").write_text("")
+    if piece == 1:
+        (tmp_path / "in" / "b.json").write_text('{"valid":[{"k":"\\\\"}],"rejected":[{"k":"\\""},{}]}')
+        valid, rejected = [{"k": "\\"}], [{"k": '"'}, {}]
+    got = [(x.path.rsplit("/", 1)[1], x.array, json.loads(x.value)) for x in json_records(spark, f"{tmp_path}/in", piece).orderBy("path", "offset").collect()]
+    assert got == [("a.json", None, x) for x in bare] + [("b.json", "valid", x) for x in valid] + [("b.json", "rejected", x) for x in rejected]
+
+
+def test_one_file_is_read_by_many_tasks(spark, tmp_path):
+    from rastertable.sources.json_arrays import json_records
+    from rastertable.sources.readers import read_aois, scan_aois
+
+    (tmp_path / "big.json").write_text("[" + ",\n".join(f'{{"id": "aoi_{k}", "minLon": {k}.5, "region": "a\\"}}]"}}' for k in range(100_000)) + "]")
+    rows = json_records(spark, f"{tmp_path}/big.json", 200_000)
+    shares = [x["count"] for x in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(shares) == 100_000 and len(shares) > 10
+    assert scan_aois(spark, f"{tmp_path}/big.json", 200_000).exceptAll(read_aois(spark, f"{tmp_path}/big.json")).count() == 0
