@@ -61,11 +61,54 @@ def _shifted(grid: np.ndarray, dx: int, dy: int, fill: float = np.nan) -> np.nda
     return out
 
 
+State = tuple[np.ndarray, ...]
+
+
+def sliding(state: State, join: Callable[[State, State], State], nothing: tuple[float, ...], radius: int) -> State:
+    """What ``join`` makes of the places up to ``radius`` before and after each place of the first axis.
+
+    The axis is cut into stretches as long as the window. A window is the end of one stretch and the begin of the next, and both are
+    running results within the stretch, so each place is joined three times, whatever the radius. ``nothing`` is joined without effect.
+    """
+    width, n = 2 * radius + 1, len(state[0])
+    room = -(-(n + 2 * radius) // width) * width
+    padded = [np.full((room, *x.shape[1:]), e, x.dtype) for x, e in zip(state, nothing, strict=True)]
+    for p, x in zip(padded, state, strict=True):
+        p[radius : radius + n] = x
+    cut = tuple(p.reshape(-1, width, *p.shape[1:]) for p in padded)
+    head, tail = (tuple(c.copy() for c in cut) for _ in range(2))
+    at = lambda s, k: tuple(c[:, k] for c in s)
+    for k in range(1, width):
+        for h, v in zip(head, join(at(head, k - 1), at(cut, k)), strict=True):
+            h[:, k] = v
+        for t, v in zip(tail, join(at(cut, width - 1 - k), at(tail, width - k)), strict=True):
+            t[:, width - 1 - k] = v
+    head, tail = (tuple(c.reshape(room, *c.shape[2:]) for c in s) for s in (head, tail))
+    begins = np.arange(n) % width == 0  # the window is one stretch
+    later = tuple(h[2 * radius : 2 * radius + n].copy() for h in head)
+    for x, e in zip(later, nothing, strict=True):
+        x[begins] = e
+    return join(tuple(t[:n] for t in tail), later)
+
+
+def _around(state: State, join: Callable[[State, State], State], nothing: tuple[float, ...], radius: int, axis: int) -> State:
+    turned = tuple(np.swapaxes(x, 0, axis) for x in state)
+    return tuple(np.swapaxes(x, 0, axis) for x in sliding(turned, join, nothing, radius))
+
+
 def _largest(grid: np.ndarray, shape: str, radius: int) -> np.ndarray:
     """The largest value around each place, NaN apart."""
-    along = lambda g, x, y: np.fmax.reduce([_shifted(g, x * k, y * k) for k in range(-radius, radius + 1)])
-    rows = along(grid, 1, 0)
-    return along(rows, 0, 1) if shape == "square" else np.fmax(rows, along(grid, 0, 1))
+    along = lambda g, axis: _around((g,), lambda a, b: (np.fmax(a[0], b[0]),), (np.nan,), radius, axis)[0]
+    rows = along(grid, 0)
+    return along(rows, 1) if shape == "square" else np.fmax(rows, along(grid, 1))
+
+
+def _joined_moments(a: State, b: State) -> State:
+    """Numbers, means and sums of squared differences from the mean of two disjoint sets of values together; loses no digits."""
+    n = a[0] + b[0]
+    share = np.divide(b[0], n, out=np.zeros_like(n), where=n > 0)
+    apart = b[1] - a[1]
+    return n, a[1] + apart * share, a[2] + b[2] + apart**2 * a[0] * share
 
 
 def _as_before(df: DataFrame, band: str, found: DataFrame, out: str) -> DataFrame:
@@ -106,23 +149,25 @@ def grow_domain(df: DataFrame, keys: tuple[str, str] = ("gx", "gy")) -> DataFram
     return near.select((F.col(keys[0]) + F.col("dx")).alias(keys[0]), (F.col(keys[1]) + F.col("dy")).alias(keys[1])).distinct()
 
 
-def neighborhood_std(df: DataFrame, band: str, out: str, radius: int = 3) -> DataFrame:
-    """Population deviation in a square window, from values less each pixel's window mean, so that large values lose no digits."""
-    steps = range(-radius, radius + 1)
+def window_moments(grid: np.ndarray, radius: int) -> State:
+    """Number, mean and sum of squared differences of the values (NaN apart) in the square window around each place.
+
+    Values are first taken less the grid's mean, so that what is common to all of them costs no digits; the mean is less by that, too.
+    """
+    valid = ~np.isnan(grid)
+    centre = grid[valid].mean() if valid.any() else 0.0
+    state: State = (valid.astype(float), np.where(valid, grid - centre, 0.0), np.zeros_like(grid))
+    for axis in (0, 1):
+        state = _around(state, _joined_moments, (0.0, 0.0, 0.0), radius, axis)
+    return state
+
 
-    def window_sum(grid: np.ndarray) -> np.ndarray:
-        rows = sum(_shifted(grid, k, 0, 0.0) for k in steps)
-        return sum(_shifted(rows, 0, k, 0.0) for k in steps)
+def neighborhood_std(df: DataFrame, band: str, out: str, radius: int = 3) -> DataFrame:
+    """Population deviation in a square window, from numbers, means and squares joined stretch by stretch, so that large values lose no digits."""
 
     def compute(g: Grids, there: np.ndarray) -> Grids:
-        valid = ~np.isnan(g[band])
-        n = window_sum(valid.astype(float))
-        mean = window_sum(np.where(valid, g[band], 0.0)) / n
-        squares = np.zeros_like(mean)
-        for dx in steps:
-            for dy in steps:
-                squares += np.nan_to_num((_shifted(g[band], dx, dy) - mean) ** 2)
-        return {out: np.where(n > 0, np.sqrt(squares / n), np.nan)}
+        n, _, squares = window_moments(g[band], radius)
+        return {out: np.where(n > 0, np.sqrt(squares / np.maximum(n, 1)), np.nan)}
 
     return in_blocks(df, [band], radius, [out], compute)
 

@@ -297,3 +297,47 @@ def test_one_file_is_read_by_many_tasks(spark, tmp_path):
     shares = [x["count"] for x in rows.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(shares) == 100_000 and len(shares) > 10
     assert scan_aois(spark, f"{tmp_path}/big.json", 200_000).exceptAll(read_aois(spark, f"{tmp_path}/big.json")).count() == 0
+
+
+# Neighbourhoods whose work does not grow with the radius ---------------------------------------------------------
+
+
+@pytest.mark.parametrize("radius", [0, 1, 3, 11, 40])
+def test_sliding_maxima_and_moments_against_every_window(radius):
+    import numpy as np
+
+    from rastertable.operators import neighbor
+
+    r = np.random.default_rng(radius)
+    grid = r.normal(1e9, 1e-3, (37, 41))
+    grid[r.random(grid.shape) < 0.2] = np.nan
+    state = neighbor.window_moments(grid, radius)
+    square = neighbor._largest(grid, "square", radius)
+    for i in range(0, 37, 3):
+        for j in range(0, 41, 4):
+            w = grid[max(0, i - radius) : i + radius + 1, max(0, j - radius) : j + radius + 1]
+            v = w[~np.isnan(w)]
+            assert state[0][i, j] == len(v) and np.array_equal(square[i, j], v.max() if len(v) else np.nan, equal_nan=True)
+            if len(v):
+                assert abs(math.sqrt(state[2][i, j] / len(v)) - v.std()) <= 1e-6 * v.std() + 1e-12
+
+
+def test_a_radius_of_fifty_takes_less_than_twice_the_time_of_three():
+    import time
+
+    import numpy as np
+
+    from rastertable.operators import neighbor
+
+    grid = np.random.default_rng(1).normal(size=(1500, 1500))
+
+    def seconds(radius):
+        best = 1e9
+        for _ in range(3):
+            began = time.process_time()
+            neighbor._largest(grid, "square", radius)
+            neighbor.window_moments(grid, radius)
+            best = min(best, time.process_time() - began)
+        return best
+
+    assert seconds(50) < 2 * seconds(3)
