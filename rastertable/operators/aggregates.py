@@ -42,14 +42,19 @@ def pivot_counts(df: DataFrame, row: str, column: str, values: Sequence[str]) ->
     return df.groupBy(row).pivot(column, list(values)).agg(F.count(F.lit(1))).fillna(0)
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], column: str, q: Mapping[str, float], floor: Sequence[str] = ()) -> DataFrame:
+def value_counts(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """(keys, __v, __c, __part): how often each group has each value, written in ranges of keys and value, so that it is read more than once."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
+    return kept(counts.repartitionByRange(*keys, "__v").withColumn("__part", F.spark_partition_id()), "quantiles")
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], column: str, q: Mapping[str, float], floor: Sequence[str] = (), counts: DataFrame | None = None) -> DataFrame:
     """The keys, n and a column for each quantile of ``q`` over the rows of each group that have a value.
 
-    Neighbouring values are interpolated; for names in ``floor`` it is the element at floor(n * q). Values are counted before the shuffle, dealt in ranges and numbered by the sums of the ranges before, so that no task holds a group or a column.
+    Neighbouring values are interpolated; for names in ``floor`` it is the element at floor(n * q). Values are counted before the shuffle, dealt in ranges and numbered by the sums of the ranges before, so that no task holds a group or a column. ``counts`` are the ``value_counts``, if there already.
     """
     keys = list(keys)
-    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
-    dealt = kept(counts.repartitionByRange(*keys, "__v").withColumn("__part", F.spark_partition_id()), "quantiles")
+    dealt = value_counts(df, keys, column) if counts is None else counts
     sums = dealt.groupBy(*keys, "__part").agg(F.sum("__c").alias("__s"))
     ahead = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(*keys, "__part", F.coalesce(F.sum("__s").over(ahead), F.lit(0)).alias("__base"), F.sum("__s").over(Window.partitionBy(*keys)).alias("__n"))
@@ -158,12 +163,11 @@ def corr_pvalue(matrix: DataFrame) -> DataFrame:
 
 def boxplot_stats(df: DataFrame, key: str, column: str) -> DataFrame:
     """Quartiles, whiskers (the farthest values within 1.5 interquartile ranges) and mean by group, largest median first."""
-    c = F.col(column).cast("double")
-    q = quantiles(df, [key], column, {"q1": 0.25, "median": 0.5, "q3": 0.75}).where(F.col(key).isNotNull())
-    reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = c.between(F.col("q1") - reach, F.col("q3") + reach)
-    joined = df.where(c.isNotNull()).join(q, key)
-    spread = joined.groupBy(key).agg(F.avg(c).alias("mean"), F.min(F.when(inside, c)).alias("whisker_lo"), F.max(F.when(inside, c)).alias("whisker_hi"))
+    counts = value_counts(df, [key], column)  # holds all that is needed, so the rows are read once
+    q = quantiles(df, [key], column, {"q1": 0.25, "median": 0.5, "q3": 0.75}, counts=counts).where(F.col(key).isNotNull())
+    reach, v = 1.5 * (F.col("q3") - F.col("q1")), F.col("__v")
+    inside = v.between(F.col("q1") - reach, F.col("q3") + reach)
+    spread = counts.join(q, key).groupBy(key).agg((F.sum(v * F.col("__c")) / F.sum("__c")).alias("mean"), F.min(F.when(inside, v)).alias("whisker_lo"), F.max(F.when(inside, v)).alias("whisker_hi"))
     return q.join(spread, key).select(key, "q1", "median", "q3", "mean", "n", "whisker_lo", "whisker_hi").orderBy(F.desc("median"), key)
 
 

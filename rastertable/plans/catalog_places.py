@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastertable.operators import layout, polygons, zonal
+from rastertable.operators import layout, polygons, sketches, zonal
 from rastertable.plans import catalog_pixels, labels, screening
 from rastertable.plans.catalog_reports import _status_log, _stream
 from rastertable.plans.catalog_tiles import LIMITS, WATER, _eco
@@ -224,3 +224,24 @@ def scan_checkpoint(spark: SparkSession, d: str) -> DataFrame:
     frame = [(0, 0, '{"valid": ['), (0, 2, '{"id": null}], "rejected" :\n ['), (1, 2, '{"id": null}]}')]
     rows.union(spark.createDataFrame(frame, "side int, part int, value string")).coalesce(1).sortWithinPartitions("side", "part").select("value").write.text(path)
     return readers.scan_checkpoint(spark, path, _PIECE).where("id IS NOT NULL").select("id", "biome_name", "rejection_reason", "valid")
+
+
+# Sketches --------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """r AS (SELECT sensor, count(b8) AS n, round(avg(b8), 6) AS mean, CAST(min(b8) AS DOUBLE) AS least, CAST(max(b8) AS DOUBLE) AS most FROM px WHERE y BETWEEN 1995 AND 1997 GROUP BY sensor)
+    SELECT sensor, n, mean, least, most, true AS median_close, true AS p90_close, true AS distinct_close FROM r""",
+    "px",
+)
+def merged_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Sketches of each cell and year, written once; three years of each sensor from the sketches alone, held against the exact answers."""
+    px, path = view(spark, d, "px"), work_dir(spark, "sketches")
+    sketches.sketched(zonal.with_tile(px, 4), ["xi", "yi", "sensor", "y"], "b8", "scene_id").write.parquet(path)
+    window = spark.read.parquet(path).where("y BETWEEN 1995 AND 1997")
+    found = sketches.report(sketches.merged(window, ["sensor"]), ["sensor"], {"median": 0.5, "p90": 0.9})
+    rows, near = px.where("y BETWEEN 1995 AND 1997").select("sensor", F.col("b8").cast("double").alias("v"), "scene_id").join(found, "sensor"), sketches.RANK_ERROR
+    close = lambda c, p: ((F.avg((F.col("v") < F.col(c)).cast("double")) <= p + near) & (F.avg((F.col("v") <= F.col(c)).cast("double")) >= p - near))
+    distinct = F.countDistinct("scene_id")
+    check = rows.groupBy("sensor").agg(close("median", 0.5).alias("median_close"), close("p90", 0.9).alias("p90_close"), (F.abs(F.max("n_distinct") - distinct) <= F.lit(sketches.DISTINCT_ERROR) * distinct).alias("distinct_close"))
+    return found.join(check, "sensor").select("sensor", "n", F.round("mean", 6).alias("mean"), "least", "most", "median_close", "p90_close", "distinct_close")

@@ -341,3 +341,24 @@ def test_a_radius_of_fifty_takes_less_than_twice_the_time_of_three():
         return best
 
     assert seconds(50) < 2 * seconds(3)
+
+
+# Sketches --------------------------------------------------------------------------------------------------------
+
+
+def test_merged_sketches_stay_within_their_errors(spark):
+    from rastertable.operators import sketches
+
+    n = 200_000
+    rows = spark.range(n).selectExpr("id % 40 AS cell", "id % 12 AS month", "IF(id % 11 = 0, NULL, pow(rand(3), 3) * 1000) AS v", "xxhash64(id) % 50000 AS tile")
+    per_group = sketches.sketched(rows, ["cell", "month"], "v", "tile")
+    got = sketches.report(sketches.merged(per_group, []), [], {"p01": 0.01, "median": 0.5, "p99": 0.99}).first()
+    values = sorted(r.v for r in rows.where("v IS NOT NULL").select("v").collect())
+    assert got.n == len(values) and got.least == values[0] and got.most == values[-1] and abs(got.mean - sum(values) / len(values)) < 1e-6
+    for name, p in (("p01", 0.01), ("median", 0.5), ("p99", 0.99)):
+        rank = sum(v <= got[name] for v in values) / len(values)
+        assert abs(rank - p) <= sketches.RANK_ERROR
+    exact = rows.select("tile").distinct().count()
+    assert abs(got.n_distinct - exact) <= sketches.DISTINCT_ERROR * exact
+    empty = sketches.report(sketches.sketched(rows.where("v IS NULL"), ["cell"], "v", "tile"), ["cell"], {"median": 0.5}).first()
+    assert empty.n == 0 and empty.mean is None and empty.median is None and empty.n_distinct > 0
