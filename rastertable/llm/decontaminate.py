@@ -422,11 +422,14 @@ class _Shared:
         self.items, self.bid, self.total = items, bid, total
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, first_word, n_words, similarity): the best place of each benchmark item in each document that holds it."""
+def matches(docs: DataFrame, benchmark: DataFrame, doc_type: str = "long") -> DataFrame:
+    """(doc_id, item_id, first_word, n_words, similarity): the best place of each benchmark item in each document that holds it.
+
+    ``doc_type`` is the type that doc_id is cast to.
+    """
     spark, done, last, sent = docs.sparkSession, [], None, None
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, item_id long, first_word long, n_words long, similarity double"
+    texts = docs.select(F.col("doc_id").cast(doc_type).alias("doc_id"), "text")
+    schema = f"doc_id {doc_type}, item_id long, first_word long, n_words long, similarity double"
     items, total = weighted_items(benchmark)
     for block in _item_blocks(items):
         if last is not None:  # another block follows, so the one before is worked off and its broadcast freed
@@ -441,7 +444,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 ids = batch.column("doc_id").to_pylist()
                 got = _scan(index, as_bytes(batch.column("text")))
                 cols = [[ids[n] for n, *_ in got], [index.ids[g[1]] for g in got], [g[2] for g in got], [g[3] for g in got], [g[4] for g in got]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.float64()], strict=True)], names=["doc_id", "item_id", "first_word", "n_words", "similarity"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [batch.column("doc_id").type] + [pa.int64()] * 3 + [pa.float64()], strict=True)], names=["doc_id", "item_id", "first_word", "n_words", "similarity"])
 
         last = texts.mapInArrow(run, schema)
     if last is None:

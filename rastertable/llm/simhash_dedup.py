@@ -80,10 +80,15 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, fp): the fingerprint of each whole text, as a signed long."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text")
-    return rows.mapInArrow(_fingerprints, "doc_id long, row_key long, fp long")
+def wide_key() -> Column:
+    """A row's key in 128 bits, for tables so large that two of 64 bits may be equal by chance."""
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.when(F.col("text").isNull(), "-").otherwise("+"), F.coalesce("text", F.lit("")))))
+
+
+def fingerprints(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """(doc_id, row_key, fp): the fingerprint of each whole text, as a signed long. ``key`` takes the place of ``row_key()``."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (row_key() if key is None else key).alias("row_key"), "text")
+    return rows.mapInArrow(_fingerprints, f"doc_id long, row_key {rows.schema['row_key'].dataType.simpleString()}, fp long")
 
 
 def pivot_tables(pivots: int = PIVOTS, seed: int = 7) -> np.ndarray:
@@ -192,9 +197,9 @@ def links(distinct: DataFrame) -> DataFrame:
     return paired.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_links, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: Column | None = None) -> DataFrame:
     """(doc_id, row_key, fingerprint, component_id, root) for each row of ``docs``; root is the least fingerprint of a component."""
-    prints = written(fingerprints(docs), "fingerprints")
+    prints = written(fingerprints(docs, key), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     total = nodes.count()
     roots = components(links(nodes), "a", "b")

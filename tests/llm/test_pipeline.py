@@ -5,6 +5,9 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
+from rastertable.llm import mixing, simhash_dedup
 from rastertable.llm.shared import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -37,6 +40,31 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(mixed)
 
 
+def test_documents_whose_64_bit_keys_are_equal_are_both_kept(spark, tmp_path, monkeypatch):
+    a = ["shu", "kra", "mog", "wit"]
+    item = words(a, 900, 40)
+    rows = [(i, words(a, i, 80), "xx", "s0", 1) for i in range(40)] + [(40, words(a, 3, 80), "xx", "s0", 1), (41, f"{words(a, 41, 30)} {item}", "xx", "s0", 1)]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(simhash_dedup, "row_key", lambda: F.lit(7).cast("long"))
+    single = written(corpus_pipeline.keep_one_of_each_group(spark, docs, str(tmp_path)), "single")
+    assert sorted(r.doc_id for r in single.collect()) == [*range(40), 41]
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_contaminated(spark, single, str(tmp_path)).collect()) == list(range(40))
+    keys = docs.select(simhash_dedup.wide_key().alias("k")).union(spark.createDataFrame([(None, None), (None, ""), (1, "-")], "doc_id long, text string").select(simhash_dedup.wide_key()))
+    assert keys.distinct().count() == 42 + 3
+
+
+def test_words_by_source_are_near_their_targets_after_whole_documents(spark):
+    r = random.Random(8)
+    rows = [(i, " ".join(["w"] * r.randrange(20, 200)), ["big", "mid", "small"][min(2, r.randrange(8) // 3)]) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = {x.source: x.target for x in mixing.taken(docs).select("source", "target").distinct().collect()}
+    got = {x.source: x.n for x in mixing.mixed(docs).groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()}
+    assert len(targets) == 3
+    for source, target in targets.items():
+        assert abs(got.get(source, 0) - target) <= 0.1 * target, (source, got.get(source), target)
+
+
 def test_clashing_columns_pass_and_empty_tables_give_empty_results(spark, tmp_path):
     extra = ["score", "lang_pred", "rejected", "row_key", "copy", "place", "size", "h"]
     a = ["shu", "kra", "mog", "wit"]
