@@ -27,18 +27,18 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least doc_id of each SimHash component (of equal rows, one)."""
-    found = simhash_dedup.near_duplicates(docs)
+    found = simhash_dedup.near_duplicates(docs, simhash_dedup.wide_key())
     kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("least")).select(F.col("least.row_key").alias("__key"))
     #: One row of each key is taken before the rows are shuffled, so that a row repeated very often never meets in one task.
     first = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-    single = docs.withColumn("__key", simhash_dedup.row_key()).withColumn("__copy", first).where("__copy = 1")
+    single = docs.withColumn("__key", simhash_dedup.wide_key()).withColumn("__copy", first).where("__copy = 1")
     return single.join(kept, "__key", "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    keyed = docs.withColumn("__key", simhash_dedup.row_key())
-    hits = decontaminate.matches(keyed.select(F.col("__key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    keyed = docs.withColumn("__key", simhash_dedup.wide_key())
+    hits = decontaminate.matches(keyed.select(F.col("__key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "binary")
     found = written(hits.select(F.col("doc_id").alias("__key")).distinct(), "contaminated")
     return keyed.join(found, "__key", "left_anti").select(*docs.columns)
 
