@@ -112,3 +112,9 @@ def map_total(m: Column) -> Column:
 
 def map_get(m: Column, key: str, default: int = 0) -> Column:
     return F.coalesce(F.try_element_at(m, F.lit(key)), F.lit(default))
+
+
+def iso_utc(ts: Column) -> Column:
+    """An instant as ISO text of UTC to the second, 2024-03-10T07:30:00Z, whatever the session's time zone and its summer time."""
+    wall = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.unix_seconds(ts).cast("decimal(18,6)"))
+    return F.concat(F.replace(wall.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))

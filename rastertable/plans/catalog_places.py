@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rastertable.functions import scalars as S
 from rastertable.operators import layout, polygons, sketches, zonal
 from rastertable.plans import catalog_pixels, labels, screening
 from rastertable.plans.catalog_reports import _status_log, _stream
@@ -245,3 +246,13 @@ def merged_sketches(spark: SparkSession, d: str) -> DataFrame:
     distinct = F.countDistinct("scene_id")
     check = rows.groupBy("sensor").agg(close("median", 0.5).alias("median_close"), close("p90", 0.9).alias("p90_close"), (F.abs(F.max("n_distinct") - distinct) <= F.lit(sketches.DISTINCT_ERROR) * distinct).alias("distinct_close"))
     return found.join(check, "sensor").select("sensor", "n", F.round("mean", 6).alias("mean"), "least", "most", "median_close", "p90_close", "distinct_close")
+
+
+# Stamps ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp, ts + INTERVAL '90 minutes' > TIMESTAMP '2024-01-15' AS later FROM ev", "ev")
+def iso_stamps(spark: SparkSession, d: str) -> DataFrame:
+    at = F.to_timestamp_ltz(F.concat(F.col("ts").cast("timestamp_ntz").cast("string"), F.lit("Z")))  # an instant, whatever the session's zone
+    ts = view(spark, d, "ev").select("event_id", at.alias("at"))
+    return ts.select("event_id", S.iso_utc(F.col("at")).alias("stamp"), (S.iso_utc(F.col("at") + F.expr("INTERVAL 90 MINUTES")) > "2024-01-15T00:00:00Z").alias("later"))

@@ -362,3 +362,20 @@ def test_merged_sketches_stay_within_their_errors(spark):
     assert abs(got.n_distinct - exact) <= sketches.DISTINCT_ERROR * exact
     empty = sketches.report(sketches.sketched(rows.where("v IS NULL"), ["cell"], "v", "tile"), ["cell"], {"median": 0.5}).first()
     assert empty.n == 0 and empty.mean is None and empty.median is None and empty.n_distinct > 0
+
+
+# Stamps ----------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_iso_stamps_are_utc_in_any_session(spark, zone):
+    from rastertable.functions.scalars import iso_utc
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        stamps = ["2024-03-10T06:59:59Z", "2024-03-10T07:30:00Z", "2024-11-03T05:30:00Z", "2024-11-03T06:30:00Z", "1969-12-31T23:59:59Z"]
+        rows = spark.createDataFrame([(s,) for s in stamps], "s string").select("s", F.col("s").cast("timestamp").alias("t"))
+        assert [r.u for r in rows.select(iso_utc(F.col("t")).alias("u")).collect()] == stamps
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
