@@ -132,6 +132,38 @@ def linear_trend(yearly: DataFrame, band: str, year: str = "y") -> DataFrame:
     return out.withColumn("trend", F.when(F.col("slope").isNotNull(), F.least(F.greatest("slope", F.lit(0.0)), F.lit(1.0))))
 
 
+def trend_moments(yearly: DataFrame, band: str, year: str = "y", by: Sequence[str] = PIXEL) -> DataFrame:
+    """(by, n, mt, mv, tt, tv, vv): number, means and sums of products of differences from the means of each pixel's yearly values.
+
+    These can be kept and merged, so a new year needs no old observation.
+    """
+    v = F.col(band).cast("double")
+    t = F.when(v.isNotNull(), F.col(year).cast("double"))
+    n = F.count(v)
+    return yearly.groupBy(*by).agg(n.alias("n"), F.avg(t).alias("mt"), F.avg(v).alias("mv"), (F.var_pop(t) * n).alias("tt"), (F.covar_pop(t, v) * n).alias("tv"), (F.var_pop(v) * n).alias("vv")).where("n > 0")
+
+
+def merge_trends(parts: DataFrame, by: Sequence[str] = PIXEL) -> DataFrame:
+    """One row of moments a pixel from several over different years; a pixel has as many as it has parts. Differences are joined, so no digits are lost."""
+    fields = ("n", "mt", "mv", "tt", "tv", "vv")
+    rows = parts.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("__p"))
+
+    def joined(a: Column, b: Column) -> Column:
+        n = a["n"] + b["n"]
+        dt, dv, both = b["mt"] - a["mt"], b["mv"] - a["mv"], a["n"] * b["n"] / n
+        return F.struct(n.alias("n"), (a["mt"] + dt * b["n"] / n).alias("mt"), (a["mv"] + dv * b["n"] / n).alias("mv"), (a["tt"] + b["tt"] + dt * dt * both).alias("tt"), (a["tv"] + b["tv"] + dt * dv * both).alias("tv"), (a["vv"] + b["vv"] + dv * dv * both).alias("vv"))
+
+    one = F.aggregate(F.slice("__p", 2, F.size("__p")), F.element_at("__p", 1), joined)
+    return rows.select(*by, one.alias("__m")).select(*by, *[F.col(f"__m.{c}").alias(c) for c in fields])
+
+
+def trend_of(moments: DataFrame, by: Sequence[str] = PIXEL) -> DataFrame:
+    """What ``linear_trend`` gives, from moments."""
+    slope = F.when(F.col("tt") > 0, F.col("tv") / F.nullif(F.col("tt"), F.lit(0.0)))
+    out = moments.select(*by, slope.alias("slope"), F.sqrt(F.col("vv") / F.col("n")).alias("std"), F.col("n").alias("n_years"))
+    return out.withColumn("trend", F.when(F.col("slope").isNotNull(), F.least(F.greatest("slope", F.lit(0.0)), F.lit(1.0))))
+
+
 def last_per_pixel(obs: DataFrame, order: Sequence[str]) -> DataFrame:
     """The whole last observation of each pixel."""
     w = Window.partitionBy(*PIXEL).orderBy(*[F.col(c).desc() for c in order])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rastertable.functions import scalars as S
-from rastertable.operators import layout, polygons, sketches, zonal
+from rastertable.operators import composite, layout, polygons, sketches, zonal
 from rastertable.plans import catalog_pixels, labels, screening
 from rastertable.plans.catalog_reports import _status_log, _stream
 from rastertable.plans.catalog_tiles import LIMITS, WATER, _eco
@@ -16,7 +16,7 @@ from rastertable.plans.views import sql, view
 from rastertable.sources import keyed, readers, sinks
 from rastertable.sources.workdir import work_dir
 from rastertable.streaming import bounded
-from rastertable.streaming.status import latest_status
+from rastertable.streaming.status import latest_status, progress_rate
 
 QUERIES, SQL = {}, {}
 
@@ -256,3 +256,26 @@ def iso_stamps(spark: SparkSession, d: str) -> DataFrame:
     at = F.to_timestamp_ltz(F.concat(F.col("ts").cast("timestamp_ntz").cast("string"), F.lit("Z")))  # an instant, whatever the session's zone
     ts = view(spark, d, "ev").select("event_id", at.alias("at"))
     return ts.select("event_id", S.iso_utc(F.col("at")).alias("stamp"), (S.iso_utc(F.col("at") + F.expr("INTERVAL 90 MINUTES")) > "2024-01-15T00:00:00Z").alias("later"))
+
+
+# Kept and merged -------------------------------------------------------------------------------------------------
+
+
+@query(catalog_pixels.TREND_SQL + " SELECT gx, gy, round(CASE WHEN count(*) > 1 THEN regr_slope(c, y) END, 6) AS slope, round(stddev_pop(c), 6) AS std, count(*) AS n_years FROM yr GROUP BY gx, gy", "px")
+def merged_trend(spark: SparkSession, d: str) -> DataFrame:
+    """Moments of two years written; those of each later year merged with them, without the years before."""
+    path, px = work_dir(spark, "trend"), view(spark, d, "px")
+    year = lambda *y: composite.trend_moments(px.where(F.col("y").isin(*y)).groupBy("gx", "gy", "y").agg(F.avg("cov").alias("c")), "c")
+    year(1996, 1997).write.parquet(f"{path}/0")
+    for k, y in enumerate((1998, 1999)):
+        composite.merge_trends(spark.read.parquet(f"{path}/{k}").unionByName(year(y))).write.parquet(f"{path}/{k + 1}")
+    return composite.trend_of(spark.read.parquet(f"{path}/2")).select("gx", "gy", F.round("slope", 6).alias("slope"), F.round("std", 6).alias("std"), "n_years")
+
+
+@query("SELECT time_bucket(INTERVAL '6 hours', ts) AS start, count(*) AS n_done, count(*) FILTER (WHERE status = 'valid') AS n_valid, count(*) FILTER (WHERE status = 'failed') AS n_failed, round(count(*)/360.0, 6) AS per_minute FROM ev GROUP BY 1", "ev")
+def progress_keyed(spark: SparkSession, d: str) -> DataFrame:
+    out = work_dir(spark, "progress-keyed")
+    log = _status_log(_stream(spark, d, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
+    bounded.progress_keyed(log, f"{out}/table", f"{out}/checkpoint", "6 hours", late="3650 days").awaitTermination()  # files come in any order
+    rows = keyed.current(spark, f"{out}/table", progress_rate(log, "6 hours").schema)
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "n_done", "n_valid", "n_failed", F.round("per_minute", 6).alias("per_minute"))

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from rastertable.functions.pixels import all_valid
 from rastertable.sources import keyed
 from rastertable.sources.registry import apply_updates
-from rastertable.streaming.status import latest_status
+from rastertable.streaming.status import latest_status, progress_rate
 
 #: Pixels along the side of a block; the state of a block and year is two bits a pixel.
 SIDE = 64
@@ -39,6 +39,21 @@ def folded_keyed(spark: SparkSession, path: str, key: str = "tile_id", kind: str
     return keyed.current(spark, path, f"{key} {kind}, status string, {ts} {time}, {tie} long")
 
 
+def progress_keyed(log: DataFrame, path: str, checkpoint: str, window: str = "1 hour", ts: str = "ts", late: str = "1 hour", buckets: int = 8) -> StreamingQuery:
+    """As ``progress_stream``, but a window has one row in a keyed table: a micro-batch replaces the windows that it changed, and what is superseded is dropped.
+
+    Read it with ``keyed.current`` and ``progress_rate(log).schema``.
+    """
+    rates = progress_rate(log, window, ts, late)
+    schema, spark = rates.schema, log.sparkSession
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        keyed.merge(batch, path, epoch, "start", lambda held, new: held.join(new.select("start"), "start", "left_anti").unionByName(new), schema, buckets)
+        keyed.vacuum(spark, path)
+
+    return rates.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def upsert_tiles(updates: DataFrame, path: str, number: int, fields: Sequence[str], schema, now: Column | None = None, key: str = "tile_id", buckets: int = keyed.BUCKETS) -> list[int]:
     """``apply_updates`` on a keyed registry: only the buckets of the updated tiles are read and written. Unknown tiles are not added."""
     return keyed.merge(updates, path, number, key, lambda held, new: apply_updates(held, new, fields, now, key), schema, buckets)

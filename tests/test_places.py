@@ -379,3 +379,27 @@ def test_iso_stamps_are_utc_in_any_session(spark, zone):
         assert [r.u for r in rows.select(iso_utc(F.col("t")).alias("u")).collect()] == stamps
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+# Kept and merged -------------------------------------------------------------------------------------------------
+
+
+def test_merged_moments_keep_digits_and_rates_keep_one_row_a_window(spark, tmp_path):
+    from rastertable.operators import composite
+
+    r = random.Random(2)
+    rows = [(x, 0, y, None if r.random() < 0.2 else 1e9 + y * 0.25 + r.random()) for x in range(30) for y in range(1990, 2002)]
+    table = spark.createDataFrame(rows, "gx long, gy long, y long, v double")
+    parts = composite.trend_moments(table.where("y < 1991"), "v")
+    for lo, hi in ((1991, 1995), (1995, 1996), (1996, 2002)):
+        parts = composite.merge_trends(parts.unionByName(composite.trend_moments(table.where(f"y >= {lo} AND y < {hi}"), "v")))
+    got = {x.gx: x for x in composite.trend_of(parts).collect()}
+    for x in composite.linear_trend(table, "v").collect():
+        m = got[x.gx]
+        assert m.n_years == x.n_years and abs(m.slope - x.slope) < 1e-5 and abs(m.std - x.std) < 1e-5 and abs(m.trend - x.trend) < 1e-5
+    at = lambda h, m=0: datetime(2024, 1, 1, h, m)
+    log = stream_of(spark, f"{tmp_path}/log", [[(1, at(0), "valid")], [(2, at(0, 30), "failed"), (3, at(2), "valid")], [(4, at(0, 40), "valid")]], "event_id long, ts timestamp, status string")
+    bounded.progress_keyed(log, f"{tmp_path}/rates", f"{tmp_path}/c", "1 hour", late="1 day", buckets=2).awaitTermination()
+    schema = "start timestamp, n_done long, n_valid long, n_rejected long, n_failed long, per_minute double"
+    assert {r.start.hour: (r.n_done, r.n_valid, r.n_failed) for r in keyed.current(spark, f"{tmp_path}/rates", schema).collect()} == {0: (3, 2, 1), 2: (1, 1, 0)}
+    assert len(list((tmp_path / "rates" / "manifest").glob("batch=*"))) <= 2
