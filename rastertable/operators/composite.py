@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rastertable.functions.pixels import REDUCERS, all_valid, scl_valid
 
@@ -85,6 +88,54 @@ def wide_composite(obs: DataFrame, years: Mapping[int, str], bands: Mapping[str,
     return own.groupBy(*PIXEL).agg(*[REDUCERS[r](F.when(F.col(year) == y, c)).alias(f"{b}{s}") for y, s in years.items() for b, (c, r) in bands.items()])
 
 
+#: Pixels of the side of a block whose scenes one group of ``block_quantiles`` holds as arrays.
+SIDE = 16
+
+
+def block_quantiles(obs: DataFrame, years: Mapping[int, str], bands: Mapping[str, float], year: str = "y", side: int = SIDE) -> DataFrame:
+    """For each pixel a column <prefix><band> for every year (by its prefix) and band: the interpolated quantile of the band's values.
+
+    ``obs`` may be a union of tables that have some of the bands each. Scenes are dealt to blocks of pixels in one shuffle; within a block each
+    band is put in order once, by pixel, year and value, and the quantiles are picked along the scenes. Pixels without a value have null.
+    """
+    names = [f"{p}{b}" for p in years.values() for b in bands]
+    kinds = [obs.schema[c].dataType for c in PIXEL]
+    schema = T.StructType([T.StructField(c, k) for c, k in zip(PIXEL, kinds, strict=True)] + [T.StructField(n, T.DoubleType()) for n in names])
+    order = np.array(list(years), np.int64)
+    rank = np.argsort(order)
+    own = obs.where(F.col(year).isin(*years)).select(*PIXEL, F.col(year).cast("long").alias("__y"), *[F.col(b).cast("double").alias(b) for b in bands])
+    dealt = own.withColumns({"__bx": F.floor(F.col(PIXEL[0]) / side), "__by": F.floor(F.col(PIXEL[1]) / side)})
+
+    def run(rows: pa.Table) -> pa.Table:
+        x, y = (rows.column(c).to_numpy() for c in PIXEL)
+        low_x, low_y = x.min(), y.min()
+        place = (x - low_x).astype(np.int64) * side + (y - low_y).astype(np.int64)
+        there, pixel = np.unique(place, return_inverse=True)
+        slot = pixel * len(order) + rank[np.searchsorted(order[rank], rows.column("__y").to_numpy())]
+        found = {}
+        for b, p in bands.items():
+            column = rows.column(b).combine_chunks()
+            held = np.flatnonzero(~column.is_null().to_numpy(zero_copy_only=False))
+            value, at = column.to_numpy(zero_copy_only=False)[held], slot[held]
+            by = np.lexsort((value, at))
+            value, at = value[by], at[by]
+            n = np.bincount(at, minlength=len(there) * len(order))
+            first = np.cumsum(n) - n
+            has = np.flatnonzero(n)
+            spot = (n[has] - 1) * p
+            low = np.floor(spot).astype(np.int64)
+            a, c = value[first[has] + low], value[first[has] + np.ceil(spot).astype(np.int64)]
+            out = np.full(len(n), np.nan)
+            out[has] = a + (c - a) * (spot - low)
+            found[b] = out.reshape(len(there), len(order)), n.reshape(len(there), len(order)) == 0
+        columns = [pa.array((there // side + low_x).astype(x.dtype)), pa.array((there % side + low_y).astype(y.dtype))]
+        for k in range(len(order)):
+            columns += [pa.array(found[b][0][:, k], mask=found[b][1][:, k]) for b in bands]
+        return pa.Table.from_arrays(columns, names=[*PIXEL, *names])
+
+    return dealt.groupBy("__bx", "__by").applyInArrow(run, schema)
+
+
 def availability(obs: DataFrame, bands: Sequence[str], by: Sequence[str] = ("y",), scl: str | None = None) -> DataFrame:
     """1 if some observation of the pixel has every band (and, with ``scl``, a usable scene class)."""
     ok = all_valid(*map(F.col, bands))

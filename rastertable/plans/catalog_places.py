@@ -279,3 +279,18 @@ def progress_keyed(spark: SparkSession, d: str) -> DataFrame:
     bounded.progress_keyed(log, f"{out}/table", f"{out}/checkpoint", "6 hours", late="3650 days").awaitTermination()  # files come in any order
     rows = keyed.current(spark, f"{out}/table", progress_rate(log, "6 hours").schema)
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "n_done", "n_valid", "n_failed", F.round("per_minute", 6).alias("per_minute"))
+
+
+# Composites by blocks --------------------------------------------------------------------------------------------
+
+
+def timestep_blocks(spark: SparkSession, d: str) -> DataFrame:
+    px = view(spark, d, "px")
+    optical = px.select("gx", "gy", "y", "cloudy_pct", F.col("b2").alias("B2"), F.col("b4").alias("B4"), F.col("b8").alias("B8"), *[F.col("b4").alias(b) for b in ("B3", "B5", "B6", "B7")])
+    radar = px.where("sensor = 'A'").select("gx", "gy", "y", F.col("b8").alias("VV"), F.col("b4").alias("VH"))
+    land = px.select("gx", "gy", "y", (F.col("cov") / 100.0).alias("trees"), (F.col("scl") / 7.0).alias("crops"), (F.col("b2") / 10.0).alias("built"))
+    out = labels.timestep_blocks(optical, radar, land, {1997: "T0_"}, px.select("gx", "gy").distinct(), cloudy=60.0)
+    return out.select("gx", "gy", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("gx", "gy")])
+
+
+QUERIES["timestep_blocks"], SQL["timestep_blocks"] = timestep_blocks, catalog_pixels.SQL["timestep_stack"]

@@ -403,3 +403,25 @@ def test_merged_moments_keep_digits_and_rates_keep_one_row_a_window(spark, tmp_p
     schema = "start timestamp, n_done long, n_valid long, n_rejected long, n_failed long, per_minute double"
     assert {r.start.hour: (r.n_done, r.n_valid, r.n_failed) for r in keyed.current(spark, f"{tmp_path}/rates", schema).collect()} == {0: (3, 2, 1), 2: (1, 1, 0)}
     assert len(list((tmp_path / "rates" / "manifest").glob("batch=*"))) <= 2
+
+
+# Composites by blocks --------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("side", [16, 3])
+def test_quantiles_by_blocks_against_the_aggregates(spark, side):
+    from rastertable.operators import composite
+
+    r = random.Random(side)
+    rows = [(r.randrange(-20, 20), r.randrange(-5, 30), r.choice([1999, 2001, 2000, 1990]), *(None if r.random() < 0.3 else r.choice([r.random(), 0.5]) for _ in range(2))) for _ in range(6000)]
+    obs = spark.createDataFrame(rows, "gx long, gy int, y long, a double, b double")
+    years = {2001: "p_", 1999: "q_", 2000: "r_"}
+    got = composite.block_quantiles(obs, years, {"a": 0.25, "b": 0.5}, side=side)
+    assert got.schema["gx"].dataType == obs.schema["gx"].dataType and got.schema["gy"].dataType == obs.schema["gy"].dataType
+    of = lambda b, p, y: F.percentile(F.when(F.col("y") == y, F.col(b)), p)
+    want = obs.where("y <> 1990").groupBy("gx", "gy").agg(*[of(b, p, y).alias(f"{n}{b}") for y, n in years.items() for b, p in (("a", 0.25), ("b", 0.5))])
+    table = lambda df: sorted((tuple(None if v is None else round(v, 9) for v in x) for x in df.select(*want.columns).collect()), key=str)
+    assert table(got) == table(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert composite.block_quantiles(obs.limit(0), years, {"a": 0.25}).count() == 0
