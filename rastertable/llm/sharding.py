@@ -25,23 +25,38 @@ from pyspark.sql import functions as F
 from rastertable.llm.shared import written
 
 SLOTS = 8192
-#: Bytes of a shard's part files, about.
+#: Bytes of a shard's part files, about; more where there would be over ``MOST_PARTS`` parts in all.
 PART_BYTES = 128 << 20
+#: Parts of all shards, about: with the slots and shards they bound the table of the parts' places, which is broadcast.
+MOST_PARTS = 1 << 16
 #: Parts of a shard, at least: they write a shard in parallel.
 LEAST_PARTS = 8
 MAP = "version int, virtual_slot int, shard int, n_rows long, n_bytes long"
 
 
-def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """``docs`` with size and virtual_slot, and __hash and __row, which tell records apart."""
+def _keyed(docs: DataFrame) -> DataFrame:
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
-    keyed = docs.withColumns({"size": size, "__hash": F.xxhash64("doc_id", "text"), "__row": F.monotonically_increasing_id()})
-    share = docs.count() // slots + 1
-    counts = keyed.groupBy("__hash").agg(F.count("*").alias("__n")).where(F.col("__n") > share)
-    often = written(counts.select("__hash", F.ceil(F.col("__n") / share).alias("__parts")), "repeated")
-    dealt = keyed.join(F.broadcast(often), "__hash", "left")  # at most ``slots`` rows
+    return docs.withColumns({"size": size, "__hash": F.xxhash64("doc_id", "text"), "__row": F.monotonically_increasing_id()})
+
+
+def _dealt(keyed: DataFrame, often: DataFrame, slots: int) -> DataFrame:
+    """``keyed`` with virtual_slot; ``often`` has the rows that fill several slots, at most ``slots`` of them."""
     copy = F.pmod(F.xxhash64("__row"), F.coalesce("__parts", F.lit(1)))
-    return dealt.withColumn("virtual_slot", F.pmod(F.xxhash64("__hash", copy), F.lit(slots)).cast("int")).drop("__parts")
+    slot = F.pmod(F.xxhash64("__hash", copy), F.lit(slots)).cast("int")
+    return keyed.join(F.broadcast(often), "__hash", "left").withColumn("virtual_slot", slot).drop("__parts")
+
+
+def with_slots(docs: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with size, virtual_slot, and __hash and __row, which tell records apart; and the same without the columns of ``docs``.
+
+    The second is worked out from a written table of (hash, row, size), so that counts and loads read no text.
+    """
+    keyed = _keyed(docs)
+    narrow = written(keyed.select("__hash", "__row", "size"), "shard-keys")
+    share = narrow.count() // slots + 1
+    counts = narrow.groupBy("__hash").agg(F.count("*").alias("__n")).where(F.col("__n") > share)
+    often = written(counts.select("__hash", F.ceil(F.col("__n") / share).alias("__parts")), "repeated")
+    return _dealt(keyed, often, slots), _dealt(narrow, often, slots)
 
 
 def slot_loads(slotted: DataFrame) -> DataFrame:
@@ -110,8 +125,9 @@ def parts(slot_map: DataFrame) -> tuple[list[tuple[int, int, int, int, int]], in
     for r in latest(slot_map).collect():  # one row for each virtual slot
         by_shard.setdefault(r.shard, []).append(r)
     out, task = [], 0
+    least = sum(r.n_bytes for rows in by_shard.values() for r in rows) // MOST_PARTS
     for shard, rows in sorted(by_shard.items()):
-        most = max(1, min(PART_BYTES, sum(r.n_bytes for r in rows) // LEAST_PARTS))
+        most = max(1, least, min(PART_BYTES, sum(r.n_bytes for r in rows) // LEAST_PARTS))
         ahead = last = 0
         for r in sorted(rows, key=lambda r: r.virtual_slot):
             first, n = ahead // most, max(1, -(-r.n_bytes // most))
@@ -135,7 +151,7 @@ def placed(slotted: DataFrame, slot_map: DataFrame) -> DataFrame:
 def with_places(files: DataFrame) -> DataFrame:
     """Shard files with slot: the record's place in its shard, from 0 without gaps.
 
-    The places of the parts are one row for each part of about ``PART_BYTES``: 100 TB are 800,000 narrow rows.
+    The places of the parts are broadcast: they are at most ``MOST_PARTS`` rows and one for each slot and shard, whatever the corpus.
     """
     sizes = files.groupBy("shard", "part").agg(F.count("*").alias("n"), F.min("number").alias("first"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -145,7 +161,7 @@ def with_places(files: DataFrame) -> DataFrame:
 
 def write_shards(docs: DataFrame, shards: int, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
     """Writes ``docs`` as shard folders, dealt by version 2 of their map; returns files and map as read back."""
-    slotted = with_slots(docs.drop("slot", "shard", "part", "virtual_slot", "size", "number"), slots)
+    slotted, narrow = with_slots(docs.drop("slot", "shard", "part", "virtual_slot", "size", "number"), slots)
     first = first_map(docs.sparkSession, shards, slots)
-    slot_map = written(rebalanced(first, shards, slot_loads(slotted), slack=0.0), "slot-map")
+    slot_map = written(rebalanced(first, shards, slot_loads(narrow), slack=0.0), "slot-map")
     return with_places(written(placed(slotted, slot_map), "shards", ["shard"])), slot_map

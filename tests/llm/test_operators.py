@@ -186,6 +186,48 @@ def test_sharding_splits_repeated_rows_and_large_slots(spark, monkeypatch):
     assert loads < 10_000 and largest < 3000
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of longs and strings; nulls change nothing."""
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.to_bytes(8, "little", signed=True) if isinstance(v, int) else v.encode(), h)
+    return h - (h >> 63 << 64)
+
+
+def test_sharding_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "LEAST_PARTS", 1)  # a shard is one part, in order of slot and hash
+    rows = [*EDGE[:4], *EDGE[5:], *[(100 + i, prose(i, 3 + i % 50), None, "a") for i in range(400)]]
+    slots, shards = 64, 5
+    size, slot_of = Counter(), {}
+    for i, t, *_ in rows:
+        slot_of[i, t] = spark_hash(spark_hash(i, t), 0) % slots
+        size[slot_of[i, t]] += len((t or "").encode()) + 8
+    owner = {v: v % shards for v in range(slots)}
+    while True:
+        held = [sum(size[v] for v in owner if owner[v] == s) for s in range(shards)]
+        to = min(range(shards), key=lambda s: (held[s], s))
+        moves = ((s, max(((size[v], v) for v in owner if owner[v] == s and 0 < size[v] <= (held[s] - held[to]) // 2), default=None)) for s in sorted(range(shards), key=lambda s: (-held[s], s)))
+        move = next((m for _, m in moves if m), None)
+        if move is None:
+            break
+        owner[move[1]] = to
+    want = []
+    for s in range(shards):
+        own = sorted((slot_of[i, t], spark_hash(i, t), str(i), t) for i, t, *_ in rows if owner[slot_of[i, t]] == s)
+        want += [(s, k, v, i, t) for k, (v, _, i, t) in enumerate(own)]
+    files, _ = sharding.write_shards(table(spark, rows), shards, slots=slots)
+    assert rows_of(files.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("None"))), "shard", "slot", "virtual_slot", "doc_id", "text") == sorted(want, key=str)
+
+
+def test_parts_of_shards_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART_BYTES", 100)
+    monkeypatch.setattr(sharding, "MOST_PARTS", 50)
+    slot_map = spark.createDataFrame([(1, v, v % 4, 10, 1_000_000 if v == 3 else 3000) for v in range(64)], sharding.MAP)
+    places, tasks = sharding.parts(slot_map)
+    assert len(places) == 64 and 40 < tasks <= 50 + 64 + 4
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------
 
 
