@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rastertable.functions.pixels import REDUCERS, all_valid, scl_valid
+from rastertable.sources.workdir import kept
 
 PIXEL = ("gx", "gy")
 
@@ -90,13 +91,16 @@ def wide_composite(obs: DataFrame, years: Mapping[int, str], bands: Mapping[str,
 
 #: Pixels of the side of a block whose scenes one group of ``block_quantiles`` holds as arrays.
 SIDE = 16
+#: Rows of a block, at most, that one group holds.
+BLOCK_ROWS = 1 << 20
 
 
-def block_quantiles(obs: DataFrame, years: Mapping[int, str], bands: Mapping[str, float], year: str = "y", side: int = SIDE) -> DataFrame:
+def block_quantiles(obs: DataFrame, years: Mapping[int, str], bands: Mapping[str, float], year: str = "y", side: int = SIDE, most: int = BLOCK_ROWS) -> DataFrame:
     """For each pixel a column <prefix><band> for every year (by its prefix) and band: the interpolated quantile of the band's values.
 
     ``obs`` may be a union of tables that have some of the bands each. Scenes are dealt to blocks of pixels in one shuffle; within a block each
     band is put in order once, by pixel, year and value, and the quantiles are picked along the scenes. Pixels without a value have null.
+    Blocks of over ``most`` rows are no group: their values are counted before the shuffle, by pixel, and the same quantiles taken from the counts.
     """
     names = [f"{p}{b}" for p in years.values() for b in bands]
     kinds = [obs.schema[c].dataType for c in PIXEL]
@@ -133,7 +137,14 @@ def block_quantiles(obs: DataFrame, years: Mapping[int, str], bands: Mapping[str
             columns += [pa.array(found[b][0][:, k], mask=found[b][1][:, k]) for b in bands]
         return pa.Table.from_arrays(columns, names=[*PIXEL, *names])
 
-    return dealt.groupBy("__bx", "__by").applyInArrow(run, schema)
+    full = kept(dealt.groupBy("__bx", "__by").agg(F.count("*").alias("__n")).where(F.col("__n") > most).select("__bx", "__by"), "full-blocks")
+    if full.isEmpty():
+        return dealt.groupBy("__bx", "__by").applyInArrow(run, schema)
+    usual = dealt.join(full, ["__bx", "__by"], "left_anti").groupBy("__bx", "__by").applyInArrow(run, schema)
+    value = lambda y, b: F.when(F.col("__y") == y, F.col(b))
+    picked = [F.percentile(value(y, b), p).alias(f"{prefix}{b}") for y, prefix in years.items() for b, p in bands.items()]
+    counted = dealt.join(full, ["__bx", "__by"], "left_semi").groupBy(*PIXEL).agg(*picked)
+    return usual.unionByName(counted)
 
 
 def availability(obs: DataFrame, bands: Sequence[str], by: Sequence[str] = ("y",), scl: str | None = None) -> DataFrame:

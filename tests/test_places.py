@@ -425,3 +425,6 @@ def test_quantiles_by_blocks_against_the_aggregates(spark, side):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert composite.block_quantiles(obs.limit(0), years, {"a": 0.25}).count() == 0
+    for most in (0, 40, 700):  # all, some or few blocks are too large for a group
+        split = composite.block_quantiles(obs, years, {"a": 0.25, "b": 0.5}, side=side, most=most)
+        assert table(split) == table(want) and split.schema["gy"].dataType == obs.schema["gy"].dataType
