@@ -5,8 +5,12 @@ marks, in lower case and with runs of white space as one space; their hashes joi
 message of its conversation that has it unquoted. There are four kinds, and a message is linked by the first kind of which one is found: lines of
 ``LEAST_CHARS`` characters or more; adjacent lines of one level joined (a quotation that is wrapped at another width); sentences of such
 joined lines with as many characters (a quotation of a part of a line or paragraph); shorter lines. A message replies to the
-message that has most of its passages quoted at the lowest level that is found at all, the later one if equal. A quotation
-that is cut within a sentence is not found.
+message that has most of its passages quoted at the lowest level that is found at all, the later one if equal.
+
+A quotation that is cut within a sentence, or shortened by "[...]", has none of these. Messages that no kind links are asked again by
+shingles of ``SHINGLE`` words of their joined lines (in scripts without spaces, of as many characters), each joined to the latest earlier message that
+has it unquoted; shingles with a mark of omission do not count. The parent is the message that has most of the shingles of the lowest level at
+which some message has at least half. Cuts of fewer words are not found.
 
 A conversation's order is thread by thread (by first message), in a thread by depth of reply, then by turn; a message without
 a found quotation begins a thread, so a conversation without quotations keeps its turns. Quoted lines, and a line that ends
@@ -19,6 +23,8 @@ rows. Sums and ranks within a conversation run over ranges or stretches, so no t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +35,15 @@ LEAST_CHARS = 12
 SEGMENT = 32
 #: Turns of a stretch, within which the latest earlier message is searched at once.
 STRETCH = 256
+#: Words of a shingle, by which cut quotations are linked.
+SHINGLE = 5
 _MARKS = r"^(?: ?>)+"
 #: A text with a line that begins with a mark.
 _QUOTES = r"(?m)^ ?>"
 _SENTENCE_END = r"(?<=[.!?])\s+|(?<=[。！？])"
+#: A word: a character of a script without spaces, or a run of other characters.
+_WORD = r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]|[^ \x{3040}-\x{30FF}\x{3400}-\x{9FFF}]+"
+_OMISSION = r"^[\[(]?(?:\.\.\.|…)[\])]?$"
 
 
 def quote_level(line: Column) -> Column:
@@ -58,8 +69,8 @@ def messages(table: DataFrame) -> DataFrame:
     return rows.withColumn("key", F.xxhash64("role", "text"))
 
 
-def passages(rows: DataFrame) -> DataFrame:
-    """(conv, turn, key, kind, level, passage): the hashed passages of each message of a turn that is not null."""
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(conv, turn, key, lines, blocks) of each message of a turn that is not null; a block is adjacent lines of one level, joined."""
     line = lambda x: F.struct(quote_level(x).alias("level"), normalised(x).alias("body"))
     lines = rows.where(F.col("turn").isNotNull()).select("conv", "turn", "key", F.transform(F.split("text", "\n", -1), line).alias("lines"))
     at = lambda i: F.get("lines", i)
@@ -68,23 +79,35 @@ def passages(rows: DataFrame) -> DataFrame:
     length = lambda i, n: F.coalesce(F.get("first", n + 1), F.size("lines")) - i
     joined = lambda i, n: F.array_join(F.transform(F.slice("lines", i + 1, length(i, n)), lambda x: x.body), " ")
     blocks = F.transform("first", lambda i, n: F.struct(F.lit(1).alias("kind"), at(i).level.alias("level"), joined(i, n).alias("body")))
+    return begun.select("conv", "turn", "key", "lines", blocks.alias("blocks"))
+
+
+def passages(rows: DataFrame) -> DataFrame:
+    """(conv, turn, key, kind, level, passage): the hashed passages of each message of a turn that is not null."""
     single = F.transform("lines", lambda x: F.struct(F.when(F.length(x.body) >= LEAST_CHARS, 0).otherwise(3).alias("kind"), x.level.alias("level"), x.body.alias("body")))
     cut = lambda b: F.filter(F.split(b.body, _SENTENCE_END), lambda s: F.length(s) >= LEAST_CHARS)
     sentences = F.flatten(F.transform("blocks", lambda b: F.transform(cut(b), lambda s: F.struct(F.lit(2).alias("kind"), b.level.alias("level"), s.alias("body")))))
-    each = begun.withColumn("blocks", blocks).select("conv", "turn", "key", F.explode(F.concat(single, "blocks", sentences)).alias("p")).select("conv", "turn", "key", "p.*")
+    each = _blocks(rows).select("conv", "turn", "key", F.explode(F.concat(single, "blocks", sentences)).alias("p")).select("conv", "turn", "key", "p.*")
     return each.where("body <> ''").select("conv", "turn", "key", "kind", "level", F.xxhash64("kind", "body").alias("passage"))
 
 
-def links(rows: DataFrame) -> DataFrame:
-    """(conv, turn, key, parent): the turn that each message with a found quotation replies to.
+def shingles(rows: DataFrame) -> DataFrame:
+    """(conv, turn, key, kind, level, passage): as ``passages``, the hashed shingles of the joined lines, as kind 4."""
+    each = _blocks(rows).select("conv", "turn", "key", F.explode("blocks").alias("b"))
+    each = each.select("conv", "turn", "key", F.lit(4).alias("kind"), "b.level", F.regexp_extract_all("b.body", F.lit(_WORD), F.lit(0)).alias("words")).where(F.size("words") >= SHINGLE)
+    word = lambda i: F.get("words", i)
+    whole = F.filter(F.sequence(F.lit(0), F.size("words") - SHINGLE), lambda i: ~F.exists(F.slice("words", i + 1, SHINGLE), lambda w: w.rlike(_OMISSION)))
+    hashed = F.transform(whole, lambda i: F.xxhash64(*[word(i + k) for k in range(SHINGLE)]))
+    return each.select("conv", "turn", "key", "kind", "level", F.explode(F.array_distinct(hashed)).alias("passage"))
+
+
+def _sources(rows: DataFrame, quoted: DataFrame, parts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``quoted`` with source: the latest earlier turn of which ``parts`` has the passage unquoted.
 
-    Messages that quote are worked off first and written; originals are sought among all messages after that, in one more pass.
     Originals and quotations of a passage are one table; within a stretch of turns a window finds the last original before,
     and a second window over the stretches' last originals finds those of earlier stretches.
     """
-    quoted = written(passages(rows.where(F.col("text").rlike(_QUOTES))).where("level > 0").distinct(), "chat-quoted")
-    everything = rows if not quoted.isEmpty() else rows.where("false")
-    origin = passages(everything).where("level = 0").select("conv", "turn", "passage").distinct()
+    origin = parts(rows).where("level = 0").select("conv", "turn", "passage").distinct()
     #: A turn's source does not depend on its messages, so turns of very many messages are one row here.
     asked = quoted.select("conv", "passage", "turn").distinct()
     origin = written(origin.join(asked.select(F.col("conv").alias("c"), F.col("passage").alias("p")).distinct(), (F.col("conv").eqNullSafe(F.col("c"))) & (F.col("passage") == F.col("p")), "left_semi"), "chat-originals")
@@ -97,11 +120,38 @@ def links(rows: DataFrame) -> DataFrame:
     ends = ends.select(F.col("conv").alias("c"), F.col("passage").alias("p"), F.col("stretch").alias("s"), F.max("last").over(before).alias("far"))
     met = near.join(ends, F.col("conv").eqNullSafe(F.col("c")) & (F.col("passage") == F.col("p")) & (F.col("stretch") == F.col("s")))
     sources = met.select(F.col("conv").alias("c"), F.col("passage").alias("p"), F.col("turn").alias("t"), F.coalesce("near", "far").alias("source")).where("source is not null")
-    named = quoted.join(sources, F.col("conv").eqNullSafe(F.col("c")) & (F.col("passage") == F.col("p")) & (F.col("turn") == F.col("t")))
+    return quoted.join(sources, F.col("conv").eqNullSafe(F.col("c")) & (F.col("passage") == F.col("p")) & (F.col("turn") == F.col("t"))).drop("c", "p", "t")
+
+
+def _parents(named: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """(conv, turn, key, parent) from the sources of each message's passages; with ``totals`` a source must have half of a level's passages."""
     votes = named.groupBy("conv", "turn", "key", "kind", "level", "source").agg(F.count("*").alias("n"))
+    if totals is not None:
+        all_ = totals.select(F.col("conv").alias("c"), F.col("turn").alias("t"), F.col("key").alias("k"), F.col("level").alias("l"), "total")
+        votes = votes.join(all_, F.col("conv").eqNullSafe(F.col("c")) & (F.col("turn") == F.col("t")) & (F.col("key") == F.col("k")) & (F.col("level") == F.col("l"))).where("2 * n >= total")
     return votes.groupBy("conv", "turn", "key").agg(F.min_by("source", F.struct("kind", "level", -F.col("n"), -F.col("source"))).alias("parent"))
 
 
+def links(rows: DataFrame) -> DataFrame:
+    """(conv, turn, key, parent): the turn that each message with a found quotation replies to.
+
+    Messages that quote are worked off first and written; originals are sought among all messages after that, in one more pass.
+    Shingles are made only of the conversations that have a quoting message without a parent by then.
+    """
+    quoting = rows.where(F.col("text").rlike(_QUOTES))
+    quoted = written(passages(quoting).where("level > 0").distinct(), "chat-quoted")
+    if quoted.isEmpty():
+        return quoted.select("conv", "turn", "key", F.lit(None).cast("long").alias("parent"))
+    found = written(_parents(_sources(rows, quoted, passages)), "chat-found")
+    named = found.select(F.col("conv").alias("c"), F.col("turn").alias("t"), F.col("key").alias("k"))
+    missed = quoting.join(named, F.col("conv").eqNullSafe(F.col("c")) & (F.col("turn") == F.col("t")) & (F.col("key") == F.col("k")), "left_anti")
+    cut = written(shingles(missed).where("level > 0").distinct(), "chat-cut")
+    if cut.isEmpty():
+        return found
+    their = rows.join(cut.select(F.col("conv").alias("c")).distinct(), F.col("conv").eqNullSafe(F.col("c")), "left_semi")
+    return found.unionByName(_parents(_sources(their, cut, shingles), cut.groupBy("conv", "turn", "key", "level").agg(F.count("*").alias("total"))))
+
+
 def threads(rows: DataFrame) -> DataFrame:
     """``rows`` with parent, root (the first turn of the thread) and depth.
 

@@ -22,7 +22,7 @@ FROM lists LEFT JOIN hits USING (doc_id)"""
 
 
 def chat_sql() -> str:
-    """Chat formatting for tables whose turns are unique in a conversation; passages of all four kinds, threads by recursion."""
+    """Chat formatting for tables whose turns are unique in a conversation; passages of all four kinds and shingles, threads by recursion."""
     return rf"""
 WITH RECURSIVE m AS (SELECT conv_id AS conv, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations),
 k AS (SELECT conv, turn, string_split(text, chr(10)) AS ls FROM m), l AS (SELECT conv, turn, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM k),
@@ -34,7 +34,14 @@ z AS (SELECT conv, turn, level, unnest(string_split(regexp_replace(regexp_replac
 q AS (SELECT DISTINCT * FROM (SELECT conv, turn, CASE WHEN len(body) >= {chat.LEAST_CHARS} THEN 0 ELSE 3 END AS kind, level, body FROM p UNION ALL SELECT conv, turn, 1, level, body FROM j UNION ALL SELECT conv, turn, 2, level, body FROM z WHERE len(body) >= {chat.LEAST_CHARS}) WHERE body <> ''),
 s AS (SELECT a.conv, a.turn, a.kind, a.level, a.body, max(b.turn) AS source FROM q a JOIN q b ON a.conv = b.conv AND a.kind = b.kind AND a.body = b.body AND b.level = 0 AND b.turn < a.turn WHERE a.level > 0 GROUP BY ALL),
 v AS (SELECT conv, turn, kind, level, source, count(*) AS n FROM s GROUP BY ALL),
-up AS (SELECT conv, turn, source AS parent FROM v QUALIFY row_number() OVER (PARTITION BY conv, turn ORDER BY kind, level, n DESC, source DESC) = 1),
+one AS (SELECT conv, turn, source AS parent FROM v QUALIFY row_number() OVER (PARTITION BY conv, turn ORDER BY kind, level, n DESC, source DESC) = 1),
+w AS (SELECT conv, turn, level, regexp_extract_all(body, '{chat._WORD}') AS ws FROM j),
+e AS (SELECT conv, turn, level, unnest(list_transform(range(1, len(ws) - {chat.SHINGLE - 2}), lambda i: ws[i:i + {chat.SHINGLE - 1}])) AS sh FROM w),
+d AS (SELECT DISTINCT * FROM e WHERE NOT list_bool_or(list_transform(sh, lambda x: regexp_matches(x, '{chat._OMISSION}')))),
+y AS (SELECT d.*, count(*) OVER (PARTITION BY conv, turn, level) AS total FROM d LEFT JOIN one USING (conv, turn) WHERE level > 0 AND parent IS NULL),
+r AS (SELECT a.conv, a.turn, a.level, a.sh, total, max(b.turn) AS source FROM y a JOIN d b ON a.conv = b.conv AND a.sh = b.sh AND b.level = 0 AND b.turn < a.turn GROUP BY ALL),
+x AS (SELECT conv, turn, level, source, total, count(*) AS n FROM r GROUP BY ALL HAVING 2 * count(*) >= total),
+up AS (SELECT * FROM one UNION ALL SELECT conv, turn, source FROM x QUALIFY row_number() OVER (PARTITION BY conv, turn ORDER BY level, n DESC, source DESC) = 1),
 t AS (SELECT m.conv, m.turn, m.turn AS root, 0 AS depth FROM m LEFT JOIN up USING (conv, turn) WHERE parent IS NULL UNION ALL SELECT up.conv, up.turn, t.root, t.depth + 1 FROM up JOIN t ON up.conv = t.conv AND up.parent = t.turn),
 o AS (SELECT m.*, parent, row_number() OVER (PARTITION BY m.conv ORDER BY root, depth, m.turn) - 1 AS position FROM m JOIN t USING (conv, turn) LEFT JOIN up USING (conv, turn)),
 f AS (SELECT conv, position, parent, role, string_split(text, chr(10)) AS ls FROM o),

@@ -475,6 +475,52 @@ def test_chat_links_parts_of_lines_and_turns_of_many_messages(spark):
     assert got.where("parent = 0").count() == 5000 and got.agg(F.max("position")).first()[0] == 5000
 
 
+def test_chat_links_cut_quotations(spark, tmp_path):
+    import duckdb
+
+    from rastertable.llm import oracles
+
+    r, rows, want = random.Random(5), [], {}
+    cjk = "今日は良い天気ですねとても嬉しいですが明日は雨が降るでしょうから傘が要ります"
+    for conv in range(80):
+        texts = []
+        for turn in range(12):
+            text = " ".join(r.choice(WORDS) + r.choice(["", ",", "s"]) for _ in range(r.randint(12, 40))) + "."
+            if r.random() < 0.1:
+                text = cjk + str(conv) + "x" * turn
+            lines = [text]
+            if turn and r.random() < 0.5:
+                k = r.randrange(turn)
+                words = texts[k].split()
+                at = r.randrange(1, max(2, len(words) - 9))
+                cut = words[at : at + r.randint(6, 8)] if r.random() < 0.5 else [*words[1:7], r.choice(["[...]", "...", "…", "(...)"]), *words[-7:-1]]
+                quote = cjk[5:20] if len(words) == 1 else " ".join(cut)
+                lines = ["> " * r.choice([1, 1, 2]) + quote, *lines]
+                if len(words) > 1:
+                    want[conv, turn] = k
+            elif r.random() < 0.2:
+                lines = ["> " + " ".join(r.choice(WORDS) for _ in range(9)), *lines]  # no message has it
+            texts.append(text)
+            rows.append((conv, turn, "user", "\n".join(lines)))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(x.conv_id, x.turn): x.parent for x in chat.conversations(df).collect()}
+    right = sum(got[m] == k for m, k in want.items())
+    assert right >= 0.98 * len(want) and sum(p is not None for m, p in got.items() if m not in want and f"> {cjk[5:20]}" not in rows[m[0] * 12 + m[1]][3]) == 0, (right, len(want))
+    df.coalesce(1).write.parquet(f"{tmp_path}/c")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c/*.parquet'")
+    sql = con.sql(oracles.chat_sql())
+    out = chat.formatted(df).select(*sql.columns).collect()
+    assert sorted(map(tuple, out)) == sorted(sql.fetchall())
+
+
+def test_chat_links_a_very_long_message_cut_anywhere(spark):
+    long = " ".join(f"word{k * k % 9973}x{k}" for k in range(200_000))
+    rows = [(1, 0, "user", long), (1, 1, "user", "another"), (1, 2, "user", "> " + " ".join(long.split()[123_456:123_465]) + "\nyes"), (None, 3, "user", "one two three four five six seven"), (None, 4, "user", "> three four five six seven\nno")]
+    out = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {r.turn: r.parent for r in out} == {0: None, 1: None, 2: 0, 3: None, 4: 3}
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------
 
 
