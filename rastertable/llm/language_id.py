@@ -7,8 +7,8 @@ labelled rows (``SAMPLE`` rows in expectation, chosen by a hash of doc_id and te
 is farther from its centroid than any sampled training text of that centroid, by a margin, is rejected.
 
 Document frequencies are counted over all training rows. Null texts and texts without a letter are ``und`` with score 0;
-so is every text if no labelled row exists. Ties go to the language and centroid that sort first. Repeated rows count as
-often as they occur; other columns are not read.
+so is every text if no labelled row exists. Ties go to the language and centroid that sort first. Repeated rows count in
+the frequencies as often as they occur, in the sample once; other columns are not read.
 """
 
 from __future__ import annotations
