@@ -152,6 +152,7 @@ def write_audit(spark: SparkSession, d: str) -> DataFrame:
     return rows.where(statuses).select("aoi_id", "biome", "total_tiles", "complete_tiles", S.map_get(F.col("tile_counts"), "pending").alias("pending_tiles"), "has_coverage")
 
 
+# Names and bands of the derived layers.
 LAYERS = {
     "trees": ("land_cover", "scl*10", "CASE WHEN scl*10 = 10 THEN 1 ELSE 0 END"), "crop": ("land_cover", "scl*10", "CASE WHEN scl*10 = 40 THEN 1 ELSE 0 END"), "tree_crop": ("tree_crop", "scl % 3", "CASE WHEN scl % 3 = 2 THEN 1 ELSE 0 END"),
     "natural_forest": ("natural", "cov*2", "cov*2/250.0"), "canopy_height": ("height", "CASE WHEN cov > 50 THEN b8 END", "CASE WHEN cov > 50 THEN b8 ELSE 0 END"), "cover_2017": ("cover", "cov", "cov/2.55"), "cover_2020": ("cover", "cov + 1", "(cov + 1)/2.55"),
@@ -162,7 +163,7 @@ LAYERS = {
 def layer_catalog(spark: SparkSession, d: str) -> DataFrame:
     px = view(spark, d, "px")
     readers.register_layers({n: px.select("gx", "gy", F.expr(source).alias(band)) for n, (band, source, _) in LAYERS.items()})
-    return sets.merge(*[spark.table(n).groupBy(F.lit(n).alias("layer"), "gx").agg(F.round(F.sum("value").cast("double"), 4).alias("total"), F.count("*").alias("n")) for n in LAYERS])
+    return sets.merge(*[spark.table(f"layer_{n}").groupBy(F.lit(n).alias("layer"), "gx").agg(F.round(F.sum("value").cast("double"), 4).alias("total"), F.count("*").alias("n")) for n in LAYERS])
 
 
 # Pixels ----------------------------------------------------------------------------------------------------------

@@ -97,8 +97,8 @@ def dataset_catalog() -> dict[str, Callable[[DataFrame], DataFrame]]:
     }
 
 
-def register_layers(sources: dict[str, DataFrame]) -> None:
-    """Temporary views of the named layers."""
+def register_layers(sources: dict[str, DataFrame], prefix: str = "layer_") -> None:
+    """Temporary views of the named layers; ``prefix`` keeps them apart from the session's other views."""
     makers = dataset_catalog()
     for name, df in sources.items():
-        makers[name](df).createOrReplaceTempView(name)
+        makers[name](df).createOrReplaceTempView(f"{prefix}{name}")
