@@ -27,7 +27,10 @@ from rastertable.llm.shared import slices, written
 #: Ids in a block, at least (a block ends with the document that fills it).
 BLOCK_IDS = 1 << 16
 #: Bytes that a worker's memory of encoded words may hold, about; when full it starts anew. An entry takes ``ENTRY_BYTES`` and its texts.
-MEMORY_BYTES, ENTRY_BYTES = 160 << 20, 180
+#: Workers live on between tasks and jobs, so this stays beside whatever else an executor does later.
+MEMORY_BYTES, ENTRY_BYTES = 64 << 20, 180
+#: Bytes of text that are encoded at a time, about; as Python objects their words take some ten times as much.
+SLICE_BYTES = 1 << 20
 #: Below this character the pattern and the library agree on letters and digits; a test goes through all of them.
 PLAIN = "\u0500"
 BLOCKS = "shard int, block int, first_id long, n_ids int, width int, payload binary, doc_ids array<long>, doc_starts array<int>"
@@ -179,7 +182,7 @@ def _blocks(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((shard, block, first, count, width, pack(np.concatenate(held), width), docs, starts), schema, strict=True)], schema=schema)
 
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", SLICE_BYTES):
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text")), strict=True):
                 docs.append(doc_id)
                 starts.append(count)
@@ -216,14 +219,15 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "shard", "in_shard", "n_tokens", "ids_crc32"]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     for batch in batches:
-        cols: list[list] = [[] for _ in names]
-        for row in batch.to_pylist():
+        for k in range(batch.num_rows):  # a block at a time: its payload and its documents are Python objects only meanwhile
+            row = batch.slice(k, 1).to_pylist()[0]
+            cols: list[list] = [[] for _ in names]
             edges = [*row["doc_starts"], row["n_ids"]]
             for doc_id, lo, hi in zip(row["doc_ids"], edges, edges[1:], strict=False):
                 ids = unpack(row["payload"], row["width"], lo, hi - lo)
                 for c, v in zip(cols, (doc_id, row["shard"], row["first_id"] + lo, hi - lo, zlib.crc32(ids.astype("<u4").tobytes())), strict=True):
                     c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
 
 def read_documents(blocks: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import re
 import string
+import sys
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -94,6 +96,28 @@ def test_ids_equal_the_library_for_all_kinds_of_white_space_and_characters(monke
         assert enc.encode(pa.array([t]))[0].tobytes() == enc.library(t)
 
 
+def test_a_worker_remembers_few_words():
+    enc, most = token_files.WordEncoder(public_tokenizers.path("byte_bpe_50k.json")), 0
+    for at in range(0, 500_000, 25_000):
+        enc.encode(pa.array([" ".join(f"word{k:020d}" for k in range(at, at + 25_000))]))
+        most = max(most, sys.getsizeof(enc.words) + sum(sys.getsizeof(w) + sys.getsizeof(x) for w, x in enc.words.items()))
+    assert most < 60 << 20, most
+
+
+def test_blocks_are_unpacked_one_by_one():
+    ids = np.arange(1 << 16, dtype=np.uint32)
+    rows = [{"shard": 0, "first_id": k << 16, "n_ids": 1 << 16, "width": 16, "payload": token_files.pack(ids, 16), "doc_ids": [2 * k, 2 * k + 1], "doc_starts": [0, 1000]} for k in range(200)]
+    batch, found = pa.RecordBatch.from_pylist(rows), []
+    tracemalloc.start()
+    for b in token_files._documents(iter([batch])):
+        found += b.to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20, peak
+    crcs = [zlib.crc32(x.astype("<u4").tobytes()) for x in (ids[:1000], ids[1000:])]
+    assert [tuple(x.values()) for x in found] == [(2 * k + h, 0, (k << 16) + 1000 * h, (1000, 64536)[h], crcs[h]) for k in range(200) for h in (0, 1)]
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------
 
 
