@@ -11,13 +11,15 @@ kept as often as they occur. An empty table gives an empty token table. Other co
 
 from __future__ import annotations
 
+import os
+import string
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,10 +31,10 @@ BLOCK_IDS = 1 << 16
 #: Bytes that a worker's memory of encoded words may hold, about; when full it starts anew. An entry takes ``ENTRY_BYTES`` and its texts.
 #: Workers live on between tasks and jobs, so this stays beside whatever else an executor does later.
 MEMORY_BYTES, ENTRY_BYTES = 64 << 20, 180
-#: Bytes of text that are encoded at a time, about; as Python objects their words take some ten times as much.
+#: Bytes of text that are encoded at a time, about; as Python objects their different words take a few times as much.
 SLICE_BYTES = 1 << 20
-#: Below this character the pattern and the library agree on letters and digits; a test goes through all of them.
-PLAIN = "\u0500"
+#: New words that go to the library as one text: a text has costs of its own, and in long ones a word takes longer (measured).
+TOGETHER = 20
 BLOCKS = "shard int, block int, first_id long, n_ids int, width int, payload binary, doc_ids array<long>, doc_starts array<int>"
 
 
@@ -66,93 +68,107 @@ class WordEncoder:
     r"""Encodes whole texts with a byte-level BPE model of the tokenizers library, remembering words it has met.
 
     The library's pre-tokenizer never joins characters across a single space between two characters that are not white
-    space, so such texts are cut before their spaces and only words that are not known yet are encoded. A word of characters
-    below ``PLAIN`` is cut by the pre-tokenizer's pattern and its pieces go to the library's model; any other word goes to the library
-    itself, whose tables of letters and digits may be of another release of Unicode than the pattern's. A text with a space beside
-    other white space or at its end, or with a special token, goes to the library whole. What is remembered is bounded in bytes:
-    ``MEMORY_BYTES`` and one batch. Ids are kept as little-endian bytes, so that a text's ids are one join.
+    space, so such texts are cut before their spaces and only words that are not known yet go to the library, ``TOGETHER`` of them
+    as one text. A word's first id is the only one whose token begins with a space, so it tells the words apart. Nor does it join a
+    letter or digit with an ASCII mark after it, so a word's last marks are looked up apart and the word is remembered without them.
+    A text with a space beside other white space or at its end, or with a special token, goes to the library whole. The texts of a batch are
+    cut, and their words told apart and put together again, by Arrow; Python sees each different word once a batch. What is
+    remembered is bounded in bytes: ``MEMORY_BYTES`` and one batch. Ids are kept as little-endian bytes.
     """
 
     def __init__(self, path: str) -> None:
-        import public_tokenizers
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        #: For words: without special tokens, which no word may become part of.
+        self.plain = Tokenizer(self.whole.model)
+        self.plain.pre_tokenizer = self.whole.pre_tokenizer
         special = [x.content for x in self.whole.get_added_tokens_decoder().values()]
         #: RE2: texts that are not cut. Every character that some release of Unicode counts as white space is in the class.
         self.odd = "|".join([f"{_WHITE} | {_WHITE}| $", *map(_quoted, special)])
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
+        #: Ids of words with the space before them, and of texts' first words and of marks, which have none.
         self.words: dict[str, bytes] = {}
-        self.short: dict[str, list[int]] = {}
+        self.bare: dict[str, bytes] = {}
         self.held = 0
-        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        rest = [b for b in range(256) if b not in set(printable)]
-        #: The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
-        self.alphabet = {b: b for b in printable} | {b: 256 + k for k, b in enumerate(rest)}
+        vocab = self.whole.get_vocab()
+        self.opens = np.zeros(max(vocab.values()) + 1, bool)
+        self.opens[[k for token, k in vocab.items() if token[0] == "\u0120"]] = True  # the byte-level alphabet's space
 
     def library(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def model_ids(self, piece: str) -> list[int]:
-        """The ids of one piece of the pre-tokenizer."""
-        simple = piece.isascii() and piece.isprintable()
-        spelled = piece.replace(" ", "\u0120") if simple else piece.encode().decode("latin-1").translate(self.alphabet)
-        return [t.id for t in self.model.tokenize(spelled)]
-
     def learn(self, words: list[str]) -> None:
-        """Remembers new words, each with the space before it; those of plain characters are cut in one go."""
-        plain = [w for w in words if w.isascii() or max(w) < PLAIN]
-        ids, ends, short = [], [], self.short
-        if plain:
-            for p in self.pattern.findall(" " + " ".join(plain)):
-                if p[0] == " ":  # a word's first piece begins with its space, no other does
-                    ends.append(len(ids))
-                    ids += self.model_ids(p)
-                elif len(p) > 3:
-                    ids += self.model_ids(p)
-                else:
-                    if p not in short:
-                        short[p] = self.model_ids(p)
-                    ids += short[p]
-        each = self.dtype.itemsize
-        raw, edges = np.array(ids, self.dtype).tobytes(), [each * x for x in (*ends, len(ids))]
-        found = {w: raw[lo:hi] for w, lo, hi in zip(plain, edges[:-1], edges[1:], strict=True)} if plain else {}
-        if len(plain) < len(words):
-            found |= {w: self.library(" " + w) for w in words if w not in found}
-        self.words |= found
+        """Remembers new words, each with the space before it."""
+        joined = [" " + " ".join(words[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)]
+        found = self.plain.encode_batch_fast(joined, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(x.ids for x in found), self.dtype)
+        raw, edges = ids.tobytes(), (np.append(np.flatnonzero(self.opens[ids]), len(ids)) * self.dtype.itemsize).tolist()
+        self.remember(self.words, {w: raw[lo:hi] for w, lo, hi in zip(words, edges[:-1], edges[1:], strict=True)})
+
+    def learn_bare(self, words: list[str]) -> None:
+        found = self.plain.encode_batch_fast(words, add_special_tokens=False)
+        self.remember(self.bare, {w: np.array(x.ids, self.dtype).tobytes() for w, x in zip(words, found, strict=True)})
+
+    def find(self, words: list[str]) -> list[bytes]:
+        """The ids of different words that are not remembered, without their marks at least, each with the space before it."""
+        stems = [w.rstrip(string.punctuation) for w in words]
+        stems = [s if s and s[-1] < _LATIN and s[-1].isalnum() else w for s, w in zip(stems, words, strict=True)]
+        marks = [w[len(s) :] for s, w in zip(stems, words, strict=True)]
+        self.learn([s for s in dict.fromkeys(stems) if s not in self.words])
+        self.learn_bare([m for m in dict.fromkeys(marks) if m not in self.bare])
+        return [self.words[s] + self.bare[m] for s, m in zip(stems, marks, strict=True)]
+
+    def remember(self, known: dict[str, bytes], found: dict[str, bytes]) -> None:
+        known |= found
         self.held += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY_BYTES * len(found)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; null counts as empty."""
         if self.held > MEMORY_BYTES:
-            self.words, self.short, self.held = {}, {}, 0
-        odd = pc.fill_null(pc.match_substring_regex(texts, self.odd), False).to_pylist()
-        parts: list[tuple[list[str], list[bytes | None], list[int]]] = []
-        missing: dict[str, None] = {}
-        for text, whole in zip(texts.to_pylist(), odd, strict=True):
-            if whole or not text:
-                parts.append(([], [self.library(text or "")], []))
-                continue
-            words = text.split(" ")
-            got = list(map(self.words.get, words))
-            got[0] = self.library(words[0])  # no space before it
-            new = [k for k, x in enumerate(got) if x is None]
-            missing |= dict.fromkeys([words[k] for k in new])
-            parts.append((words, got, new))
-        self.learn(list(missing))
-        out = []
-        for words, got, new in parts:
-            for k in new:
-                got[k] = self.words[words[k]]
-            out.append(np.frombuffer(b"".join(got), self.dtype))
+            self.words, self.bare, self.held = {}, {}, 0
+        empty = np.zeros(0, self.dtype)
+        out = [empty] * len(texts)
+        odd = pc.fill_null(pc.match_substring_regex(texts, self.odd), False)
+        for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[k] = np.frombuffer(self.library(texts[k].as_py()), self.dtype)
+        cut = np.flatnonzero(pc.and_not(pc.fill_null(pc.greater(pc.binary_length(texts), 0), False), odd).to_numpy(zero_copy_only=False))
+        if not len(cut):
+            return out
+        lists = pc.split_pattern(texts.take(pa.array(cut)), " ")
+        edges = lists.offsets.to_numpy()
+        every, starts = lists.values, edges[:-1]
+        begin, coded = every.take(pa.array(starts)).dictionary_encode(), every.dictionary_encode()
+        at = coded.indices.to_numpy().copy()
+        at[starts] = len(coded.dictionary) + begin.indices.to_numpy()
+        # A word that only begins texts is not looked up as one with a space before it.
+        used = np.zeros(len(coded.dictionary) + len(begin.dictionary), bool)
+        used[at] = True
+        words, heads = _strings(coded.dictionary), _strings(begin.dictionary)
+        got = list(map(self.words.get, words))
+        new = [k for k, x in enumerate(got) if x is None and used[k]]
+        for k, x in zip(new, self.find([words[k] for k in new]), strict=True):
+            got[k] = x
+        self.learn_bare([w for w in heads if w not in self.bare])
+        ids = pa.array([*got, *(self.bare[w] for w in heads)], pa.large_binary()).take(pa.array(at))
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(at) + 1, 8 * ids.offset)[edges] // self.dtype.itemsize
+        flat = np.frombuffer(ids.buffers()[2], self.dtype, ends[-1]) if ends[-1] else empty
+        for k, lo, hi in zip(cut.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            out[k] = flat[lo:hi]
         return out
 
 
 # Fixed value: white space of any release of Unicode, and marks that some tools count as such.
 _WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
 
+#: Letters and digits below this character are such in every release of Unicode.
+_LATIN = "\u0100"
+
+
+def _strings(words: pa.Array) -> list[str]:
+    """Words without spaces, at least one, as Python strings: much faster in one piece."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.scalar(" ", words.type))[0].as_py().split(" ")
+
 
 def _quoted(text: str) -> str:
     return "".join(f"\\x{{{ord(c):x}}}" for c in text)
@@ -164,6 +180,7 @@ _ENCODERS: dict[str, WordEncoder] = {}
 def encoder(path: str) -> WordEncoder:
     """One encoder for each worker process and tokenizer file."""
     if path not in _ENCODERS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
 

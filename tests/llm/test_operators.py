@@ -104,6 +104,44 @@ def test_a_worker_remembers_few_words():
     assert most < 60 << 20, most
 
 
+def test_new_words_take_no_call_each():
+    enc, calls = token_files.WordEncoder(public_tokenizers.path("byte_bpe_50k.json")), 0
+    texts = pa.array([" ".join(f"{'abcdefghij'[k % 10]}word{k}tail" for k in range(at, at + 5000)) for at in range(0, 20_000, 5000)])
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    got = enc.encode(texts)
+    sys.setprofile(None)
+    assert [x.tobytes() for x in got] == [enc.library(t) for t in texts.to_pylist()]
+    assert calls < 5 * 20_000, calls
+
+
+def test_words_are_remembered_without_their_last_marks():
+    enc, r = token_files.WordEncoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(12)
+    marks = [a + b for a in ["", *string.punctuation] for b in ["", *string.punctuation]]
+    text = " ".join(["the", *(f"remembered{m}" for m in marks)])
+    assert enc.encode(pa.array([text]))[0].tobytes() == enc.library(text)
+    assert len(enc.words) == 1, len(enc.words)
+    parts = [*string.punctuation, "a", "The", "7", "é", "ÿ", "²", "¼", "ª", "я", "日", "\u0301", "\u0660", "😀", "\xad", "\x00", "\u0100", "Ġ", "\n", "'s", "'ll", "***", "n't"]
+    for _ in range(300):
+        text = " ".join("".join(r.choice(parts) for _ in range(r.randint(1, 6))) for _ in range(100))
+        found = enc.encode(pa.array([text, None, text[: len(text) // 2], "", text[::-1]]))
+        for t, x in zip((text, "", text[: len(text) // 2], "", text[::-1]), found, strict=True):
+            assert x.tobytes() == enc.library(t), t
+
+
+def test_cut_and_whole_texts_and_parts_of_a_column_keep_their_places():
+    enc, texts = token_files.WordEncoder(public_tokenizers.path("byte_bpe_50k.json")), ["one two", None, "a  b", " one", "", "two <|endoftext|> x", "two one", "one ", "one", " "]
+    for kind in (pa.string(), pa.large_string()):
+        for lo in range(len(texts)):
+            got = enc.encode(pa.array(texts, kind)[lo:])
+            assert [x.tobytes() for x in got] == [enc.library(t or "") for t in texts[lo:]]
+    assert enc.encode(pa.array([], pa.string())) == []
+
+
 def test_blocks_are_unpacked_one_by_one():
     ids = np.arange(1 << 16, dtype=np.uint32)
     rows = [{"shard": 0, "first_id": k << 16, "n_ids": 1 << 16, "width": 16, "payload": token_files.pack(ids, 16), "doc_ids": [2 * k, 2 * k + 1], "doc_starts": [0, 1000]} for k in range(200)]
