@@ -118,13 +118,14 @@ def bbox_metrics(df: DataFrame) -> DataFrame:
     return df.withColumns({"area_km2": dx * dy / 1e6, "centroid_lon": (F.col("min_lon") + F.col("max_lon")) / 2, "centroid_lat": (F.col("min_lat") + F.col("max_lat")) / 2})
 
 
-def extent_union(a: DataFrame, b: DataFrame, pad: float = 0.5) -> DataFrame:
-    """One row: the padded bounds of two layers, inside the world."""
+def extent_union(a: DataFrame, b: DataFrame, pad: float = 0.5, upper_pad: float | None = None) -> DataFrame:
+    """One row: the padded bounds of two layers, inside the world. ``upper_pad`` is the pad of the upper bounds where it differs."""
+    upper = pad if upper_pad is None else upper_pad
     both = a.select("min_lon", "min_lat", "max_lon", "max_lat").unionByName(b.select("min_lon", "min_lat", "max_lon", "max_lat"))
     out = both.agg(F.min("min_lon").alias("min_lon"), F.min("min_lat").alias("min_lat"), F.max("max_lon").alias("max_lon"), F.max("max_lat").alias("max_lat"))
     return out.select(
         F.greatest(F.col("min_lon") - pad, F.lit(-180.0)).alias("min_lon"), F.greatest(F.col("min_lat") - pad, F.lit(-90.0)).alias("min_lat"),
-        F.least(F.col("max_lon") + pad, F.lit(180.0)).alias("max_lon"), F.least(F.col("max_lat") + pad, F.lit(90.0)).alias("max_lat"),
+        F.least(F.col("max_lon") + upper, F.lit(180.0)).alias("max_lon"), F.least(F.col("max_lat") + upper, F.lit(90.0)).alias("max_lat"),
     )
 
 
