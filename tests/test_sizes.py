@@ -42,3 +42,7 @@ def same_as_sql(spark, name, folder, con):
 
 def test_land_candidates_whose_boxes_end_at_the_bounds(spark, sized):
     assert same_as_sql(spark, "land_candidates", *sized("range(90000)")) > 15000
+
+
+def test_filter_bounds_with_boxes_that_end_at_the_bounds(spark, sized):
+    assert same_as_sql(spark, "filter_bounds", *sized("range(90000)")) > 5000
