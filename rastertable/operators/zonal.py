@@ -78,6 +78,26 @@ def bbox_join(left: DataFrame, right: DataFrame, left_box: Sequence[str], right_
     return a.join(found, "__id", "left").drop("__id")
 
 
+def first_meeting(left: DataFrame, right: DataFrame, key: Sequence[str], left_box: Sequence[str], right_box: Sequence[str], take: Sequence[str], order: Sequence[str], cell: float) -> DataFrame:
+    """For each ``key`` of ``left`` the columns ``take`` of the right row that comes first in ``order`` of those whose boxes meet its box.
+
+    The pairs are never made. Of equal right boxes only the first can be chosen; and where a right box reaches beyond a cell on all sides, it
+    meets every left box that is dealt there, so rows that come after it are dropped in that cell. A few are left, however many there are. The
+    first of all is kept in every cell that it shares with a left box, for what drops it there would be chosen in its place.
+    """
+    rank = F.struct(*order)
+    few = right.groupBy(*right_box).agg(F.min_by(F.struct(*take), rank).alias("__take"), F.min(rank).alias("__order"))
+    dealt, at = _cells(few, right_box, cell), lambda c: F.floor(F.col(c) / cell)
+    beyond = (at(right_box[0]) < F.col("__cx")) & (at(right_box[2]) > F.col("__cx")) & (at(right_box[1]) < F.col("__cy")) & (at(right_box[3]) > F.col("__cy"))
+    first = dealt.where(beyond).groupBy("__cx", "__cy").agg(F.min("__order").alias("__first"))
+    near = dealt.join(first, ["__cx", "__cy"], "left").where("__first IS NULL OR __order <= __first").drop("__first")
+    lx0, ly0, lx1, ly1, rx0, ry0, rx1, ry1 = map(F.col, (*left_box, *right_box))
+    meet = (lx0 <= rx1) & (lx1 >= rx0) & (ly0 <= ry1) & (ly1 >= ry0)
+    pairs = _cells(left.select(*key, *left_box), left_box, cell).join(near, ["__cx", "__cy"]).where(meet)
+    chosen = pairs.groupBy(*key).agg(F.min_by("__take", "__order").alias("__take"))
+    return chosen.select(*key, *[F.col(f"__take.{c}").alias(c) for c in take])
+
+
 def box_level(box: Sequence[str], least: float) -> Column:
     """The level whose cells are as wide as the box or just wider; cells of level 0 are ``least`` wide, those of each next one twice as wide."""
     return F.ceil(F.log2(F.greatest(F.col(box[2]) - F.col(box[0]), F.col(box[3]) - F.col(box[1]), F.lit(least)) / least)).cast("int")

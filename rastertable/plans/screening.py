@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rastertable.functions.scalars import ecoregion_labels
 from rastertable.operators import filters, polygons
 from rastertable.operators.grid import bbox_metrics
-from rastertable.operators.zonal import bbox_join, pick_least
+from rastertable.operators.zonal import first_meeting, pick_least
 from rastertable.sources.sinks import write_split
 from rastertable.sources.workdir import work_dir
 
@@ -24,8 +24,7 @@ def smallest_ecoregion(cells: DataFrame, ecoregions: DataFrame, cell: float = 5.
     ``ecoregions`` has eco_id, biome_name, biome_num, realm, eco_area and its box as ``ECO_BOX``.
     """
     facts = ["biome_name", "biome_num", "realm"]
-    pairs = bbox_join(cells.select("id", *BOX), ecoregions, BOX, ECO_BOX, cell)
-    chosen = pick_least(pairs, ["id"], facts, ["eco_area", "eco_id"])
+    chosen = first_meeting(cells, ecoregions, ["id"], BOX, ECO_BOX, facts, ["eco_area", "eco_id"], cell)
     out = cells.drop(*facts, "region").join(chosen, "id", "left")
     return out.select(*[c for c in out.columns if c not in facts], *ecoregion_labels(F.col("biome_name"), F.col("biome_num"), F.col("realm")))
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import random
 from pathlib import Path
 
 import duckdb
 import pytest
 
-from rastertable.plans import catalog
+from rastertable.plans import catalog, screening
 
 SF = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="the given tables are not here")
@@ -46,3 +47,37 @@ def test_land_candidates_whose_boxes_end_at_the_bounds(spark, sized):
 
 def test_filter_bounds_with_boxes_that_end_at_the_bounds(spark, sized):
     assert same_as_sql(spark, "filter_bounds", *sized("range(90000)")) > 5000
+
+
+def joined_rows(df):
+    """Runs ``df`` and returns its rows and how many rows its joins made."""
+    rows, todo, total = df.collect(), [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            if "Join" in name:
+                total += node.metrics().get("numOutputRows").get().value()
+            children = node.children()
+            todo += [children.apply(k) for k in range(children.size())]
+    return rows, total
+
+
+ECO = "eco_id long, biome_name string, biome_num int, realm string, eco_area double, eco_x0 double, eco_y0 double, eco_x1 double, eco_y1 double"
+
+
+def test_smallest_ecoregion_of_many_that_overlap_makes_few_pairs(spark):
+    r = random.Random(7)
+    sizes = [(20.0, 15.0), (33.5, 12.0), (4.0, 40.0), (1.0, 0.5)]
+    eco = [(k, f"b{k}", k % 14, "r", w * h, x, y, x + w, y + h) for k in range(1500) for (w, h), x, y in [(r.choice(sizes), r.choice([-5.0, 0.0, r.uniform(-20, 20)]), r.choice([5.0, r.uniform(-20, 20)]))]]
+    cells = [(f"c{k}", x, y, x + 0.25, y + 0.25) for k in range(1500) for x, y in [(r.choice([0.0, 4.75, 5.0, r.uniform(-25, 25)]), r.choice([-5.25, 5.0, r.uniform(-25, 25)]))]]
+    table = spark.createDataFrame(cells, "id string, min_lon double, min_lat double, max_lon double, max_lat double")
+    rows, pairs = joined_rows(screening.smallest_ecoregion(table, spark.createDataFrame(eco, ECO)))
+    met = {i: [(e[4], e[0]) for e in eco if x0 <= e[7] and x1 >= e[5] and y0 <= e[8] and y1 >= e[6]] for i, x0, y0, x1, y1 in cells}
+    label = lambda k: "Unknown" if k is None else "Rock and Ice" if k % 14 == 11 else f"b{k}"
+    assert {x.id: x.biome_name for x in rows} == {i: label(min(m)[1] if m else None) for i, m in met.items()}
+    assert pairs < sum(map(len, met.values())) / 4
