@@ -45,12 +45,15 @@ def smallest_polygon(cells: DataFrame, points: DataFrame, regions: DataFrame, si
 def cell_fractions(cells: DataFrame, layers: Mapping[str, DataFrame], step: float) -> DataFrame:
     """Adds the mean of each point layer (lon, lat and the value that names it) over each cell of a regular grid; 0 without points.
 
-    Each layer is read once and combined before its shuffle; cells and means all hash on the cell.
+    Each layer is read once and combined before its shuffle; cells and means all hash on the cell. Layers given as one and the same table
+    with a column for each are one scan and one shuffle.
     """
     out = cells.withColumns({"__i": F.floor((F.col("min_lon") + step / 2) / step), "__j": F.floor((F.col("min_lat") + step / 2) / step)})
-    for name, points in layers.items():
-        means = points.groupBy(F.floor(F.col("lon") / step).alias("__i"), F.floor(F.col("lat") / step).alias("__j")).agg(F.avg(name).alias(name))
-        out = out.drop(name).join(means, ["__i", "__j"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+    tables = {id(points): points for points in layers.values()}
+    for key, points in tables.items():
+        names = [name for name, of in layers.items() if id(of) == key]
+        means = points.groupBy(F.floor(F.col("lon") / step).alias("__i"), F.floor(F.col("lat") / step).alias("__j")).agg(*[F.avg(name).alias(name) for name in names])
+        out = out.drop(*names).join(means, ["__i", "__j"], "left").withColumns({name: F.coalesce(name, F.lit(0.0)) for name in names})
     return out.drop("__i", "__j")
 
 

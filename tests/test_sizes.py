@@ -81,3 +81,14 @@ def test_smallest_ecoregion_of_many_that_overlap_makes_few_pairs(spark):
     label = lambda k: "Unknown" if k is None else "Rock and Ice" if k % 14 == 11 else f"b{k}"
     assert {x.id: x.biome_name for x in rows} == {i: label(min(m)[1] if m else None) for i, m in met.items()}
     assert pairs < sum(map(len, met.values())) / 4
+
+
+def test_layers_of_one_table_are_one_aggregate(spark):
+    r = random.Random(3)
+    names = ["land_frac", "veg_fraction", "s2_frac"]
+    points = spark.createDataFrame([(r.uniform(0, 9), r.uniform(0, 9), *(None if r.random() < 0.2 else r.randrange(64) / 64 for _ in names)) for _ in range(300)], f"lon double, lat double, {', '.join(f'{c} double' for c in names)}")
+    cells = spark.range(100).selectExpr("id", "CAST(id % 10 AS DOUBLE) AS min_lon", "CAST(id DIV 10 AS DOUBLE) AS min_lat")
+    apart = screening.cell_fractions(cells, {c: points.select("lon", "lat", c) for c in names}, 1.0)
+    as_one = screening.cell_fractions(cells, dict.fromkeys(names, points), 1.0)
+    assert as_one._jdf.queryExecution().executedPlan().toString().count("HashAggregate") == 2
+    assert sorted(as_one.collect()) == sorted(apart.select(*as_one.columns).collect())
