@@ -8,6 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from rastertable.operators import zonal
 from rastertable.plans import catalog, screening
 
 SF = Path("/root/testdata/sf0.001")
@@ -92,3 +93,28 @@ def test_layers_of_one_table_are_one_aggregate(spark):
     as_one = screening.cell_fractions(cells, dict.fromkeys(names, points), 1.0)
     assert as_one._jdf.queryExecution().executedPlan().toString().count("HashAggregate") == 2
     assert sorted(as_one.collect()) == sorted(apart.select(*as_one.columns).collect())
+
+
+def _boxes_and_places(r):
+    shapes = [(x, y, x + r.uniform(0, 9), y + r.uniform(0, 9)) for x, y in ((r.uniform(-20, 20), r.uniform(-20, 20)) for _ in range(25))]
+    return [(k, *shapes[k % 25]) for k in range(1500)], [(k, r.uniform(-22, 22), r.uniform(-22, 22)) for k in range(200)]
+
+
+@pytest.mark.parametrize("cell", [3.0, 50.0])
+def test_equal_boxes_are_joined_as_one(spark, cell):
+    boxes, places = _boxes_and_places(random.Random(11))
+    right = spark.createDataFrame(boxes, "b long, x0 double, y0 double, x1 double, y1 double")
+    left = spark.createDataFrame([(k, x, y, x + 2, y + 2) for k, x, y in places], "a long, p0 double, q0 double, p1 double, q1 double")
+    rows, joined = joined_rows(zonal.bbox_join(left, right, ("p0", "q0", "p1", "q1"), ("x0", "y0", "x1", "y1"), cell).select("a", "b"))
+    want = {(k, b[0]) for k, x, y in places for b in boxes if x <= b[3] and x + 2 >= b[1] and y <= b[4] and y + 2 >= b[2]}
+    assert len(rows) == len(want) and {tuple(x) for x in rows} == want and joined < len(want) / 3
+
+
+def test_points_in_equal_boxes_are_joined_as_one(spark):
+    boxes, places = _boxes_and_places(random.Random(12))
+    right, points = spark.createDataFrame(boxes, "b long, x0 double, y0 double, x1 double, y1 double"), spark.createDataFrame(places, "a long, x double, y double")
+    found = zonal.point_join(points, right, "x", "y", ("x0", "y0", "x1", "y1"), 5.0)
+    assert found.columns == ["a", "x", "y", "b", "x0", "y0", "x1", "y1"]
+    rows, joined = joined_rows(found)
+    want = {(k, x, y, *b) for k, x, y in places for b in boxes if b[1] <= x <= b[3] and b[2] <= y <= b[4]}
+    assert len(rows) == len(want) and {tuple(x) for x in rows} == want and joined < len(want) / 3
