@@ -118,3 +118,17 @@ def test_points_in_equal_boxes_are_joined_as_one(spark):
     rows, joined = joined_rows(found)
     want = {(k, x, y, *b) for k, x, y in places for b in boxes if b[1] <= x <= b[3] and b[2] <= y <= b[4]}
     assert len(rows) == len(want) and {tuple(x) for x in rows} == want and joined < len(want) / 3
+
+
+@pytest.mark.parametrize("split", [7, 1 << 16])
+def test_equal_boxes_of_all_sizes_are_joined_as_one_and_both_sides_split(spark, split):
+    r = random.Random(13)
+    shape = lambda: (lambda x, y, s: (x, y, x + s, y + s))(r.uniform(-20, 20), r.uniform(-20, 20), r.choice([0.01, 0.5, 3.0, 30.0]))
+    shapes = [shape() for _ in range(12)]
+    a, b = [(k, *shape()) for k in range(150)], [(k, *shapes[k % 12]) for k in range(600)]
+    left, right = spark.createDataFrame(a, "a long, p0 double, q0 double, p1 double, q1 double"), spark.createDataFrame(b, "b long, x0 double, y0 double, x1 double, y1 double")
+    found = zonal.bbox_join_levels(left, right, ("p0", "q0", "p1", "q1"), ("x0", "y0", "x1", "y1"), 0.01, split)
+    want = {(p[0], q[0]) for p in a for q in b if p[1] <= q[3] and p[3] >= q[1] and p[2] <= q[4] and p[4] >= q[2]}
+    rows, joined = joined_rows(found.select("a", "b"))
+    assert len(rows) == len(want) and {tuple(x) for x in rows} == want
+    assert split == 7 or joined < len(want)
