@@ -32,13 +32,17 @@ def smallest_ecoregion(cells: DataFrame, ecoregions: DataFrame, cell: float = 5.
 def smallest_polygon(cells: DataFrame, points: DataFrame, regions: DataFrame, size: float = 1.0) -> DataFrame:
     """As ``smallest_ecoregion``, for ecoregions that are polygons on the globe, with holes, parts and pieces beyond the date line.
 
-    ``points`` are their vertices (``polygons.vertices``), ``regions`` has eco_id, biome_name, biome_num, realm and eco_area.
+    ``points`` are their vertices (``polygons.vertices``), ``regions`` has eco_id, biome_name, biome_num, realm and eco_area. Of regions of
+    the same edges only the smallest can be chosen, and cells of equal boxes have one choice.
     """
     facts = ["biome_name", "biome_num", "realm"]
     edges = polygons.cut_at_date_line(polygons.ring_edges(points))
-    met = polygons.boxes_meeting_polygons(cells, ["id"], BOX, edges, size)
-    chosen = pick_least(met.withColumnRenamed("poly", "eco_id").join(regions, "eco_id"), ["id"], facts, ["eco_area", "eco_id"])
-    out = cells.drop(*facts, "region").join(chosen, "id", "left")
+    known = regions.select(F.col("eco_id").alias("poly"), *facts, "eco_area")
+    same = polygons.shapes(edges.join(known.select("poly").distinct(), "poly", "left_semi"))
+    first = same.join(known, "poly").groupBy("shape").agg(F.min_by(F.struct("poly", *facts, "eco_area"), F.struct("eco_area", "poly")).alias("__f")).select("shape", "__f.*")
+    met = polygons.boxes_meeting_shapes(cells, BOX, edges, same, size)
+    chosen = pick_least(met.join(first, "shape"), BOX, facts, ["eco_area", "poly"])
+    out = cells.drop(*facts, "region").join(chosen, list(BOX), "left").select(*[c for c in cells.columns if c not in (*facts, "region")], *facts)
     return out.select(*[c for c in out.columns if c not in facts], *ecoregion_labels(F.col("biome_name"), F.col("biome_num"), F.col("realm")))
 
 

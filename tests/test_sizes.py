@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from rastertable.operators import zonal
+from rastertable.operators import polygons, zonal
 from rastertable.plans import catalog, screening
 
 SF = Path("/root/testdata/sf0.001")
@@ -24,7 +24,7 @@ def sized(tmp_path):
         made = {
             "customer": f"SELECT CAST(range AS BIGINT) AS c_custkey, concat('c', range) AS c_name, CAST(range * range // 7 % 25 AS INTEGER) AS c_nationkey, CAST(range % 11000 - 1000 AS DOUBLE) AS c_acctbal, 'BUILDING' AS c_mktsegment FROM {customers}",
             "supplier": f"SELECT CAST(range AS BIGINT) AS s_suppkey, concat('s', range) AS s_name, CAST(range % 25 AS INTEGER) AS s_nationkey, CAST(0 AS DOUBLE) AS s_acctbal FROM {suppliers}",
-            **{t: f"SELECT * FROM '{SF}/{t}.parquet'" for t in ("nation", "region", "orders")},
+            **{t: f"SELECT * FROM '{SF}/{t}.parquet'" for t in ("nation", "region", "orders", "part")},
         }
         for t, statement in made.items():
             con.sql(f"COPY ({statement}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
@@ -132,3 +132,8 @@ def test_equal_boxes_of_all_sizes_are_joined_as_one_and_both_sides_split(spark,
     rows, joined = joined_rows(found.select("a", "b"))
     assert len(rows) == len(want) and {tuple(x) for x in rows} == want
     assert split == 7 or joined < len(want)
+
+
+def test_smallest_polygon_of_few_shapes(spark, sized):
+    folder, con = sized("range(3000)", "range(0, 2040*8, 136)")
+    assert same_as_sql(spark, "ecoregion_polygons", folder, con) == 3000
