@@ -134,6 +134,23 @@ def test_equal_boxes_of_all_sizes_are_joined_as_one_and_both_sides_split(spark,
     assert split == 7 or joined < len(want)
 
 
+def test_boxes_meeting_polygons_of_few_shapes(spark, sized):
+    folder, con = sized("range(20000)", "range(0, 2040*15, 68)")
+    assert same_as_sql(spark, "boxes_meeting_polygons", folder, con) > 50000
+
+
 def test_smallest_polygon_of_few_shapes(spark, sized):
     folder, con = sized("range(3000)", "range(0, 2040*8, 136)")
     assert same_as_sql(spark, "ecoregion_polygons", folder, con) == 3000
+
+
+def test_polygons_of_the_same_edges_are_one_shape(spark):
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    rings = {5: square, 3: square[2:] + square[:2], 8: [(x + 1, y) for x, y in square], 9: [*square, (0.0, 2.0)], 7: square}
+    points = spark.createDataFrame([(p, 0, 0, k, x, y) for p, ring in rings.items() for k, (x, y) in enumerate(ring)], "poly long, part int, ring int, seq int, x double, y double")
+    edges = polygons.ring_edges(points)
+    assert sorted(tuple(x) for x in polygons.shapes(edges).collect()) == [(3, 3), (3, 5), (3, 7), (8, 8), (9, 9)]
+    boxes = spark.createDataFrame([(k, 4.5, 1.0, 4.75, 1.25) if k % 2 else (k, 0.5, 1.0, 0.75, 1.25) for k in range(2000)], "id long, a double, b double, c double, d double")
+    rows, joined = joined_rows(polygons.boxes_meeting_polygons(boxes, ["id"], ("a", "b", "c", "d"), edges, 1.0))
+    assert sorted(tuple(x) for x in rows) == sorted((k, p) for k in range(2000) for p in ((8,) if k % 2 else (3, 5, 7, 9)))
+    assert joined < 7000
